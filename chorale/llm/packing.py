@@ -18,10 +18,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from chorale.llm.common import documents, partitions, stored
+from chorale.llm.common import documents, ranked, stored
 
 #: Encoded words that a worker keeps before it starts anew; it bounds memory, not results.
 KEPT = 400_000
@@ -256,17 +255,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     """
     spark = docs.sparkSession
     cut = stored(pieces(docs, tokenizer, capacity, end_id, with_ids, id_col, text_col), "pieces")
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(partitions(spark))).alias("salt")
-    counts = stored(cut.groupBy("length", salt).count(), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
+    histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     places, names = plan(histogram, capacity).places(), cut.columns
-    before = counts.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
-    ranked = (
-        cut.withColumn("salt", salt)
-        .withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
-        .join(before, ["length", "salt"])
-        .select(*cut.columns, (F.col("own") + F.col("before")).alias("rank"))
-    )
+    placed = ranked(cut, ["length"], ["doc_id", "piece"], "rank")
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,4 +274,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"{n} {t}" for n, t in cut.dtypes)
-    return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return placed.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
