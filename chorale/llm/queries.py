@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chorale.llm import decontamination, packing, quality, sharding, token_counts
+from chorale.llm import decontamination, near_duplicates, packing, quality, sharding, token_counts
 from chorale.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=75, shingle=5)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
@@ -33,6 +37,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
