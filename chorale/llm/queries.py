@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chorale.llm import decontamination, line_dedup, near_duplicates, packing, quality, sharding, token_counts, toxicity
+from chorale.llm import decontamination, license_scan, line_dedup, near_duplicates, packing, quality, sharding, token_counts, toxicity
 from chorale.llm.common import table
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -45,6 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_toxicity": op5_toxicity,
@@ -57,7 +62,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _PLAIN_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TEMPLATES = ", ".join(f"({i}, '{label}', string_split('{text}', ' '))" for i, (label, text) in enumerate(license_scan.TEMPLATES))
+_BASE = ", ".join(f"('{label}', string_split('{phrase}', ' '))" for phrase, label in license_scan.BASE.items())
+
 ORACLE: dict[str, str] = {
+    "op2_license_scan": f"""
+WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
+b(label, p) AS (VALUES {_BASE}),
+starts AS (SELECT doc_id, label, i FROM d, b, unnest(range(0, len(w) - len(p) + 1)) AS x(i)
+           WHERE len(w) >= len(p) AND w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM starts GROUP BY doc_id),
+t(template, label, w) AS (VALUES {_TEMPLATES}),
+tg AS (SELECT template, label, len(w) AS n, j, w[j + 1 : j + 3] AS g FROM t, unnest(range(0, len(w) - 2)) AS x(j)),
+votes AS (SELECT DISTINCT doc_id, template, label, n, j, i, i - j AS diagonal
+          FROM (SELECT doc_id, i, w[i + 1 : i + 3] AS g FROM d, unnest(range(0, len(w) - 2)) AS x(i) WHERE len(w) >= 3) JOIN tg USING (g)),
+steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal, j) > 2 THEN 1 ELSE 0 END AS step FROM votes),
+runs AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, template ORDER BY diagonal, j ROWS UNBOUNDED PRECEDING) AS run FROM steps),
+spans AS (SELECT doc_id, template, label, n, run, max(i) - min(i) + 3 AS size FROM runs GROUP BY ALL),
+covered AS (SELECT doc_id, template, run, count(DISTINCT c) AS c FROM runs, unnest(range(j, j + 3)) AS x(c) GROUP BY ALL),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c / n) AS share FROM spans JOIN covered USING (doc_id, template, run)
+          WHERE c / n >= 0.7 AND size <= 1.5 * n GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       array_to_string(coalesce(base.labels, []), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)""",
     "op7_decontamination": f"""
 WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_PLAIN_WORDS} AS w FROM benchmark),
