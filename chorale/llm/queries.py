@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chorale.llm import decontamination, license_scan, line_dedup, near_duplicates, packing, quality, sharding, token_counts, toxicity
+from chorale.llm import decontamination, license_scan, line_dedup, lm_scoring, near_duplicates, packing, quality, sharding, token_counts, toxicity
 from chorale.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.backoff_scores(table(spark, sf_dir, "documents"), order=2)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,

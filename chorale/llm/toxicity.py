@@ -169,3 +169,15 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     out = documents(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that the model doesn't mark as toxic."""
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = model.scorer()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([scorer.score(t) < 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
