@@ -6,7 +6,7 @@
 2. Classes that share a band key are candidates. First each looks only at the smallest class of each of its
    buckets; of the pairs that the sketches allow, its best two are confirmed on full sets.
 3. What these links have joined needs no more pairs. In buckets where different components still meet, members
-   of different components are compared by sketch, in blocks, and the pairs that pass are confirmed.
+   of different components are compared by sketch and confirmed in memory, in blocks; only links come out.
 
 So large groups of copies cost as many pairs as they have members. With 50 bands of 5 samples a pair at
 similarity 0.75 is missed with a probability of about 1e-6, and one far above it never.
@@ -31,7 +31,7 @@ SLACK = 0.13
 #: Ids up to which a list of documents is sent to all tasks (8 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket that are compared in one task, and members that are confirmed with their centre in one.
-BLOCK, SIDE = 20_000, 200
+BLOCK, SIDE = 5_000, 200
 
 
 def shingle_set(text: bytes | None, k: int = 5) -> np.ndarray:
@@ -132,7 +132,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for centre in (s for s, c in zip(texts, is_centre, strict=True) if c):
             for other, s, c in zip(node, texts, is_centre, strict=True):
                 if not c and len(s) and len(centre):
-                    common = int((centre[np.minimum(np.searchsorted(centre, s), len(centre) - 1)] == s).sum())
+                    common = _shared(s, centre)
                     if 100 * common >= percent * (len(s) + len(centre) - common):
                         found.add(other)
         found = sorted(found)
@@ -142,29 +142,53 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return wanted.groupBy("centre", "part").applyInArrow(compare, "a long, b long")
 
 
-def _across(members: DataFrame, most: float) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components whose sketches pass; members(key, n, node, component, sketch).
+def _shared(left: np.ndarray, right: np.ndarray) -> int:
+    return int((right[np.minimum(np.searchsorted(right, left), len(right) - 1)] == left).sum())
 
-    Members are compared in memory, and only pairs that pass come out. Of a bucket above BLOCK each two
-    blocks meet in a task of their own.
+
+def _across(members: DataFrame, most: float, percent: int) -> DataFrame:
+    """Links (a, b) between different components of one bucket; members(key, n, node, component, sketch, bands, shingles).
+
+    Members are compared in memory: pairs whose sketches pass are confirmed on full sets, likeliest first, and a
+    pair whose components have met already is left out. A pair that shares several buckets is compared in
+    the first. Of a bucket above BLOCK each two blocks meet in a task of their own.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "sketch")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "sketch", "bands", "shingles")
 
     def compare(group: pa.Table) -> pa.Table:
-        node, component = group["node"].to_numpy(), group["component"].to_numpy()
-        sketch = _unpacked(group["sketch"].combine_chunks())
-        a, b = [], []
+        node, component, key = group["node"].to_numpy(), group["component"].to_numpy(), group["key"][0].as_py()
+        sketch, bands = _unpacked(group["sketch"].combine_chunks()), np.array(group["bands"].to_pylist(), np.int64)
+        sets, root = group["shingles"], {}
+
+        def find(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        links = []
         for k in range(0, len(node), 256):
             part = slice(k, k + 256)
-            near = (_ones(sketch[part, None, :], sketch[None, :, :]) <= most) & (component[part, None] != component[None, :]) & (node[part, None] > node[None, :])
-            left, right = np.nonzero(near)
-            a.append(node[part][left]), b.append(node[right])
-        return pa.table({"a": np.concatenate(a).astype(np.int64), "b": np.concatenate(b).astype(np.int64)})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+            ones = _ones(sketch[part, None, :], sketch[None, :, :])
+            left, right = np.nonzero((ones <= most) & (component[part, None] != component[None, :]) & (node[part, None] > node[None, :]))
+            ones, left = ones[left, right], left + k
+            same = bands[left] == bands[right]
+            here = bands[left, same.argmax(axis=1)] == key
+            order = np.argsort(ones[here], kind="stable")
+            for x, y in zip(left[here][order].tolist(), right[here][order].tolist(), strict=True):
+                cx, cy = find(component[x]), find(component[y])
+                if cx != cy:
+                    one, two = (np.frombuffer(sets[z].as_py(), np.uint64) for z in (x, y))
+                    common = _shared(one, two)
+                    if 100 * common >= percent * (len(one) + len(two) - common):
+                        root[max(cx, cy)] = min(cx, cy)
+                        links.append((int(node[x]), int(node[y])))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,11 +225,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, id_col
 
     placed = members.join(joined, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("component"))
     mixed_keys = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
-    left = placed.join(mixed_keys, "key", "left_semi").join(sketches, "node")
-    more = stored(_across(left, most), "pairs")
-    tested = more.join(first, ["a", "b"], "left_anti")
-    every = links.unionByName(confirmed(tested, sets, percent))
-    final = components(every)
+    left = placed.join(mixed_keys, "key", "left_semi").join(classes.select("node", "sketch", "bands"), "node").join(sets, "node")
+    final = components(links.unionByName(_across(left, most, percent)))
 
     changed = classes.select(*name, "node", "copies").join(final, "node", "left").where("copies > 1 or component != node").select(*name, F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", *name).join(changed, name, "left")
