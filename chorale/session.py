@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+from functools import lru_cache
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -32,3 +35,18 @@ def share_code(spark: SparkSession) -> SparkSession:
     if ROOT not in have.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, have]))
     return spark
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the folder that the cluster shares (spark.checkpoint.dir) and read it back; it cuts lineage."""
+    spark = df.sparkSession
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    """Only where the setting is unset, as in tests."""
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
