@@ -16,6 +16,8 @@ from chorale.session import stored
 RUN = ["playlist_id", "k", "seed"]
 #: Rows of a playlist up to which its silhouette is exact; of larger ones so many rows are sampled by hash.
 EXACT_ROWS, SAMPLED_ROWS = 5000, 1500
+#: Points of a playlist that a restart picks its first centres from.
+START_ROWS = 64
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -63,15 +65,16 @@ def candidate_ks(n: Column, min_k: int = 2, max_k: int = 12, min_size: int = 8)
 def batched_kmeans(points: DataFrame, ks: DataFrame, seeds: int = 3, rounds: int = 12) -> DataFrame:
     """(playlist_id, k, seed, track_key, cluster, sq) by Lloyd's rounds; points(playlist_id, track_key, embedding), ks(playlist_id, k).
 
-    A restart begins at the k points that come first by a hash of key and seed. The rounds end when no label moves.
+    A restart begins at points far from each other, of the START_ROWS that come first by a hash of key and seed. The rounds end when no label moves.
     """
     runs = ks.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    many = F.lit(seeds)
-    hashed = points.withColumn("seed", F.explode(F.sequence(F.lit(0), many - 1)))
+    hashed = points.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     order = F.row_number().over(Window.partitionBy("playlist_id", "seed").orderBy(F.xxhash64("track_key", "seed"), "track_key"))
-    top = ks.groupBy("playlist_id").agg(F.max("k").alias("most"))
-    firsts = hashed.withColumn("n", order).join(top, "playlist_id").where("n <= most").select("playlist_id", "seed", "n", F.col("embedding").alias("centre"))
-    centres = stored(runs.join(firsts, ["playlist_id", "seed"]).where("n <= k").select(*RUN, (F.col("n") - 1).alias("cluster"), "centre"), "centres")
+    sample = hashed.withColumn("n", order).where(F.col("n") <= START_ROWS).groupBy("playlist_id", "seed")
+    sample = sample.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "embedding"))), lambda x: x["embedding"]).alias("sample"))
+    starts = sample.join(ks.groupBy("playlist_id").agg(F.max("k").alias("most")), "playlist_id").withColumn("picked", _farthest("sample", F.col("most")))
+    each = starts.select("playlist_id", "seed", F.posexplode("picked").alias("cluster", "centre"))
+    centres = stored(runs.join(each, ["playlist_id", "seed"]).where("cluster < k").select(*RUN, "cluster", "centre"), "centres")
     labels = None
     for _ in range(rounds):
         near = points.join(centres, "playlist_id").withColumn("sq", squared_distance(F.col("embedding"), F.col("centre")))
@@ -87,6 +90,13 @@ def batched_kmeans(points: DataFrame, ks: DataFrame, seeds: int = 3, rounds: int
     return labels.drop("embedding") if labels is not None else points.sparkSession.createDataFrame([], "playlist_id string, k int, seed int, track_key string, cluster int, sq double")
 
 
+def _farthest(sample: str, k: Column) -> Column:
+    """Of an array of points the first, and then k - 1 times the one that is farthest from those picked."""
+    apart = lambda picked: F.transform(sample, lambda p: F.struct(F.array_min(F.transform(picked, lambda c: squared_distance(p, c))).alias("d"), p.alias("p")))
+    step = lambda picked, _: F.array_append(picked, F.array_max(apart(picked))["p"])
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(k, F.lit(2))), F.slice(sample, 1, 1), step)
+
+
 def means(df: DataFrame, by: list[str], vector: str, name: str) -> DataFrame:
     """The mean array of each group, by dimension."""
     each = df.select(*by, F.posexplode(vector).alias("i", "v")).groupBy(*by, "i").agg(F.avg("v").alias("m"))

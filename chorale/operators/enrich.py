@@ -81,7 +81,7 @@ def upsert(base: DataFrame, delta: DataFrame, key: str, fill_columns: list[str],
     def value(c: str) -> Column:
         b, d = F.col(f"b.{c}"), F.col(f"d.{c}")
         if c in longer_columns:
-            return F.when(size(d) > F.greatest(size(b), F.lit(0)), d).otherwise(b)
+            return F.when(size(d) > F.greatest(size(b), F.lit(0)), d).otherwise(F.coalesce(b, d))
         return F.coalesce(b, d) if c in fill_columns else F.when(F.col("__last").isNotNull(), b).otherwise(d)
 
     return joined.select(*(value(c).alias(c) for c in base.columns))

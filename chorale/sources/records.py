@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ITEM = "ARRAY<STRUCT<name: STRING, count: DOUBLE>>"
 #: The canonical record.
-SONG = T._parse_datatype_string(
-    f"""schema_version INT, track_id STRING, title STRING, artists ARRAY<STRING>, album STRING, year INT, duration_ms BIGINT,
+SONG = f"""schema_version INT, track_id STRING, title STRING, artists ARRAY<STRING>, album STRING, year INT, duration_ms BIGINT,
     ids STRUCT<spotify_id: STRING, spotify_uri: STRING, isrc: STRING, musicbrainz_recording_id: STRING>,
     brainz STRUCT<tags: {ITEM}, genres: {ITEM}, acoustic_high_level: STRING, acoustic_low_level: STRING>,
     spotify_artist_genres {ITEM},
@@ -17,16 +15,15 @@ SONG = T._parse_datatype_string(
     audio_embeddings STRUCT<model_name: STRING, vector: ARRAY<DOUBLE>>,
     source STRUCT<dataset_name: STRING, dataset_version: STRING, source_files: ARRAY<STRING>, ingested_at_utc: STRING>,
     aliases STRUCT<normalized_title: STRING, normalized_artists_key: STRING>"""
-)
 
 
-def records(spark: SparkSession, paths: str | list[str], schema=SONG, strict: bool = True, multiline: bool = False, glob: str = "*.json*") -> DataFrame:
+def records(spark: SparkSession, paths: str | list[str], schema: str = SONG, strict: bool = True, multiline: bool = False, glob: str = "*.json*") -> DataFrame:
     """Record files: a line or (multiline) an array of objects each; files, folders and globs.
 
     Strict reading fails on a bad row; otherwise such rows come with their text in `_corrupt_record`.
     """
     if not strict:
-        schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+        schema = f"{schema}, _corrupt_record STRING"
     mode = "FAILFAST" if strict else "PERMISSIVE"
     return spark.read.schema(schema).option("mode", mode).option("multiLine", multiline).option("pathGlobFilter", glob).json(paths)
 
