@@ -165,7 +165,7 @@ def _scores(order: int, backoff: float, corpus: int):
         longest = np.bincount(grams.doc[level == order], minlength=len(lengths))
         return pa.table({
             "doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": pa.array(lengths), "n_found": pa.array(longest.astype(np.int64)),
-            "log_score": pa.array(total), "mean_log_score": pa.array([t / n if n else None for t, n in zip(total.tolist(), lengths.tolist(), strict=True)], pa.float64()),
+            "log_score": pa.array(total.astype(float)), "mean_log_score": pa.array([t / n if n else None for t, n in zip(total.tolist(), lengths.tolist(), strict=True)], pa.float64()),
         })
 
     return score

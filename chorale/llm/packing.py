@@ -70,7 +70,7 @@ class _Words(dict):
             self.clear()
         if word.isalpha() and max(word) <= LATIN:
             found = pack_ids(self.merge(word.lower().encode() + b"\xff"))
-        elif word[-1:] in ENDS and word[:-1].isalpha():
+        elif word[-1:] in ENDS and word[:-1].isalpha() and max(word) <= LATIN:
             found = self[word[:-1]] + self[word[-1]]
         elif _PLAIN_WORD.fullmatch(word) and "<|" not in word:
             found = b"".join(pack_ids(self.merge(part.encode() + b"\xff")) for part in _PARTS.findall(word.lower()))
