@@ -74,11 +74,13 @@ def near_pairs(every: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     signed = (
         every.select("h", "line", F.char_length("line").alias("n"))
         .where(n >= min_chars)
-        .select("h", "n", _parity(line).alias("parity"), _index_keys(line, n, edits).alias("index"), _probe_keys(line, n, edits).alias("probe"))
+        .select("h", "n", _parity(line).alias("parity"), F.concat(_index_keys(line, n, edits), _probe_keys(line, n, edits)).alias("keys"))
     )
-    distinct = signed.groupBy("h").agg(*(F.first(c).alias(c) for c in ("n", "parity", "index", "probe")))
-    index = distinct.select(F.explode("index").alias("key"), F.col("h").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    probe = distinct.select(F.explode("probe").alias("key"), F.col("h").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    # One array for both sides, so that they share the scan, the hashing and the shuffle of distinct lines.
+    distinct = signed.groupBy("h").agg(*(F.first(c).alias(c) for c in ("n", "parity", "keys")))
+    rows = distinct.select("h", "n", "parity", F.posexplode("keys").alias("at", "key"))
+    side = lambda rule, x: rows.where(rule).select("key", F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    index, probe = side(F.col("at") <= edits, "b"), side(F.col("at") > edits, "a")
     meet = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     alike = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * edits
     pairs = stored(probe.join(index, (probe["key"] == index["key"]) & meet & alike).select("a", "b").distinct(), "line-pairs")
