@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -373,8 +373,6 @@ def pca_embed(spark, sf_dir):
     """The embeddings reduced to 32 components."""
     v = read(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = features.fit_pca(v, 32)
-    from pyspark.ml.functions import vector_to_array
-
     return model.transform(v).select("vec_id", vector_to_array("embedding").alias("embedding"))
 
 
