@@ -82,7 +82,7 @@ BASE = [
 RULES = [
     *BASE,
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
-    Rule("repeated_lines", lambda t: 100 * t.n_dup_lines > 30 * len(t.lines)),
+    Rule("repeated_lines", lambda t: 100 * t.n_dup_lines > 50 * len(t.lines)),
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words),
 ]
 
