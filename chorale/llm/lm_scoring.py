@@ -26,6 +26,8 @@ from chorale.llm.common import documents, partitions, rows, shingle_hashes, spac
 BACKOFF = 0.4
 #: Words at which a block is closed.
 BLOCK = 3_000_000
+#: n-grams of the corpus, repeats included, for each hash partition at most: there are as many partitions as that takes.
+GRAMS = 8_000_000
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -182,7 +184,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, backoff: float = BACKOFF, id
     spark = docs.sparkSession
     made = stored(blocks(docs, id_col, text_col), "blocks")
     corpus = made.select(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()["n"]
-    parts = partitions(spark)
+    parts = max(partitions(spark), order * corpus // GRAMS)
     asked = made.mapInArrow(_questions(order, parts), "block long, n int, part int, hashes binary, counts binary")
     answered = asked.groupBy("n", "part").applyInArrow(_answer, "block long, n int, part int, totals binary")
     kinds = "doc_id long, n_words long, n_found long, log_score double, mean_log_score double"
