@@ -27,8 +27,10 @@ from chorale.llm.near_duplicates import shingle_set
 SAMPLE, FOLDS = {1: 1500, 0: 6000}, 3
 #: Bytes of the ordinary dictionary; per mille of the toxic texts in which a word recurs (3 texts at least, 2 of less than 100).
 ORDINARY, RECURS = 8192, 4
+#: Copies are told by one shingle hash in so many; texts that the ordinary dictionary itself is trained on.
+SHINGLES, TRAINED = 16, 2000
 #: Distances whose windows are counted; windows that a worker keeps.
-STEPS, KEPT = (3, 4, 5, 6, 7), 400_000
+STEPS, KEPT = (3, 4, 5, 6, 7), 200_000
 
 
 @dataclass
@@ -86,12 +88,16 @@ def _compressor(content: bytes):
 
 
 def _unlike(texts: list[bytes]) -> list[bytes]:
-    """Texts of which at most three tenths of the shingles stand in earlier ones: a copy tells nothing about recurrence."""
+    """Texts of which at most three tenths of the shingles stand in earlier ones: a copy tells nothing about recurrence.
+
+    One shingle hash in SHINGLES stands for all; a text without any such is kept.
+    """
     seen: set[int] = set()
     out = []
     for t in texts:
-        own = shingle_set(t).tolist()
-        new = [h for h in own if h not in seen]
+        h = shingle_set(t)
+        own = h[h % np.uint64(SHINGLES) == 0].tolist()
+        new = [x for x in own if x not in seen]
         if 10 * len(new) >= 7 * len(own):
             out.append(t)
         seen.update(new)
@@ -101,12 +107,16 @@ def _unlike(texts: list[bytes]) -> list[bytes]:
 def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     import zstandard as z
 
-    words1, words0 = [plain_words(t) for t in _unlike(toxic)], [plain_words(t) for t in _unlike(ordinary)]
-    common = {w for words in words0 for w in words}
-    texts = Counter(w for words in words1 for w in {*words} - common)
-    least = max(2 if len(words1) < 100 else 3, len(words1) * RECURS // 1000)
+    toxic, ordinary = _unlike(toxic), _unlike(ordinary)
+    common: set[bytes] = set()
+    for t in ordinary:
+        common.update(plain_words(t))
+    texts: Counter[bytes] = Counter()
+    for t in toxic:
+        texts.update({*plain_words(t)} - common)
+    least = max(2 if len(toxic) < 100 else 3, len(toxic) * RECURS // 1000)
     recurring = [w for w, n in sorted(texts.items(), key=lambda x: (x[1], x[0])) if n >= least]
-    samples = [b" " + b" ".join(words) + b" " for words in words0]
+    samples = [b" " + b" ".join(plain_words(t)) + b" " for t in ordinary[:TRAINED]]
     try:
         base = z.train_dictionary(2 * ORDINARY, samples, k=200, d=8).as_bytes()[-ORDINARY:]
     except z.ZstdError:  # too few samples to train on
@@ -156,6 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = documents(docs, id_col, text_col).join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "y", "text").collect()
     found.sort(key=lambda r: (r["id"], r["text"] or ""))
     texts = {y: [(r["text"] or "").encode() for r in found if r["y"] == y] for y in (0, 1)}
+    del found
     return train(texts[1], texts[0])
 
 
