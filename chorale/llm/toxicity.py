@@ -1,9 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: one trained on ordinary text, one that also holds what recurs in toxic texts and
-which ordinary ones lack. A window, here a word between spaces, is compressed with both, followed by the same
-context so that fixed costs are equal. The bytes that the toxic dictionary saves are its distance. A text's
-distances give its features, and a logistic calibration on other labelled texts their thresholds and score.
+Two zstandard dictionaries, one trained on toxic and one on ordinary texts. Windows of WINDOW words, each STEP words
+after the one before, cover the whole text; a window's distance is the bytes that the toxic dictionary saves. Two
+trained dictionaries alone differ by chance more than by toxicity, so the toxic one goes on with the ordinary one's
+content and with what leans to toxic texts: words, and pairs of words that don't lean by themselves. Single words are
+windows too; they are compressed followed by the same context, so that fixed costs are equal. A text's distances give its
+features, and a logistic calibration on other labelled texts their thresholds and score.
 
 The classifier is fitted on a bounded sample of labelled rows (SAMPLE of each class, by a hash of the id);
 every text is scored whole.
@@ -12,7 +14,7 @@ every text is scored whole.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,11 +27,15 @@ from chorale.llm.near_duplicates import shingle_set
 
 #: Labelled rows of each class that are fitted on at most, and the folds of the calibration.
 SAMPLE, FOLDS = {1: 1500, 0: 6000}, 3
-#: Bytes of the ordinary dictionary; per mille of the toxic texts in which a word recurs (3 texts at least, 2 of less than 100).
-ORDINARY, RECURS = 8192, 4
+#: Bytes of the dictionaries, and of the ordinary one's end that single words are compared with.
+ORDINARY, TOXIC, SHORT = 65536, 2048, 8192
+#: Per mille of the toxic texts in which a word recurs (3 texts at least, 2 of less than 100), and how many times its share of the ordinary texts that is.
+RECURS, LEANS = 4, 20
+#: Words of a window and from one to the next; distances whose windows are counted; bytes of text compressed at a time.
+WINDOW, STEP, FAR, CHUNK = 6, 3, (5, 8), 1 << 22
 #: Copies are told by one shingle hash in so many; texts that the ordinary dictionary itself is trained on.
 SHINGLES, TRAINED = 16, 2000
-#: Distances whose windows are counted; windows that a worker keeps.
+#: Distances whose words are counted; words that a worker keeps.
 STEPS, KEPT = (3, 4, 5, 6, 7), 200_000
 
 
@@ -37,7 +43,7 @@ STEPS, KEPT = (3, 4, 5, 6, 7), 200_000
 class Model:
     ordinary: bytes = b""
     toxic: bytes = b""
-    context: bytes = b""
+    leaning: bytes = b""
     mean: np.ndarray = field(default_factory=lambda: np.zeros(1))
     scale: np.ndarray = field(default_factory=lambda: np.ones(1))
     weights: np.ndarray | None = None
@@ -51,30 +57,73 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
-        if model.context:
-            self.lengths = [_compressor(model.ordinary + model.context), _compressor(model.ordinary + model.toxic + model.context)]
+        if model.ordinary:
+            short = model.ordinary[-SHORT:]
+            self.context = short[-64:]
+            self.lengths = [_compressor(short + self.context), _compressor(short + model.leaning + self.context)]
+            self.windowed = [_compressor(model.ordinary), _compressor(model.toxic + model.ordinary + model.leaning)]
 
     def distance(self, word: bytes) -> int:
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= KEPT:
                 self.known.clear()
-            window = b" " + word + b" " + self.model.context
-            ordinary, toxic = (len(f(window)) for f in self.lengths)
+            window = b" " + word + b" " + self.context
+            ordinary, toxic = (len(c.compress(window)) for c in self.lengths)
             found = self.known[word] = ordinary - toxic
         return found
 
-    def features(self, text: bytes | None) -> np.ndarray:
-        words = plain_words(text)
-        d = np.fromiter(map(self.distance, words), np.int64, len(words))
-        counts = np.array([(d >= t).sum() for t in STEPS], float)
-        return np.concatenate([[d.max(initial=0)], np.log1p(counts), 100 * counts / (len(d) + 10)])
-
-    def score(self, text: bytes | None) -> float:
+    def distances(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Of each text's windows, in order; a text without words has none, one of up to WINDOW words has one."""
+        import zstandard as z
+
+        parts, at, segments, counts = [], 0, [], []
+        for words in texts:
+            found = _windows(words)
+            found[:, 0] += at
+            parts.append(b" ".join([b"", *words, b""]))
+            at += len(parts[-1])
+            segments.append(found), counts.append(len(found))
+        if not sum(counts):
+            return [np.zeros(0, np.int64) for _ in texts]
+        data = z.BufferWithSegments(b"".join(parts), np.concatenate(segments).astype(np.uint64).tobytes())
+        ordinary, toxic = (np.fromiter(map(len, c.multi_compress_to_buffer(data)), np.int64) for c in self.windowed)
+        return np.split(ordinary - toxic, np.cumsum(counts)[:-1])
+
+    def features(self, texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+        """One row for each text, in order."""
+        some, size = [], 0
+        for text in texts:
+            some.append(plain_words(text))
+            size += len(text or b"")
+            if size >= CHUNK:
+                yield from self._features(some)
+                some, size = [], 0
+        yield from self._features(some)
+
+    def _features(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
+        for words, far in zip(texts, self.distances(texts), strict=True) if texts else ():
+            d = np.fromiter(map(self.distance, words), np.int64, len(words))
+            counts = np.array([(d >= t).sum() for t in STEPS], float)
+            windows = np.array([(far >= t).sum() for t in FAR], float)
+            yield np.concatenate([100 * windows / (len(far) + 10), [d.max(initial=0)], np.log1p(counts), 100 * counts / (len(d) + 10)])
+
+    def scores(self, texts: list[bytes | None]) -> list[float]:
         if self.model.weights is None:
-            return 0.0
-        x = np.append((self.features(text) - self.model.mean) / self.model.scale, 1.0)
-        return float(1 / (1 + np.exp(-np.clip(x @ self.model.weights, -30, 30))))
+            return [0.0] * len(texts)
+        rows = (np.append((x - self.model.mean) / self.model.scale, 1.0) for x in self.features(texts))
+        return [float(1 / (1 + np.exp(-np.clip(x @ self.model.weights, -30, 30)))) for x in rows]
+
+
+def _windows(words: list[bytes]) -> np.ndarray:
+    """(start, bytes) of each window in the words with a space before, between and after them; the last one ends with the text."""
+    n = len(words)
+    if not n:
+        return np.zeros((0, 2), np.int64)
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)])
+    first = np.arange(0, max(n - WINDOW, 0) + STEP, STEP) if n > WINDOW else np.zeros(1, np.int64)
+    first = np.unique(np.minimum(first, max(n - WINDOW, 0)))
+    return np.column_stack([starts[first], starts[np.minimum(first + WINDOW, n)] + 1 - starts[first]])
 
 
 def _compressor(content: bytes):
@@ -82,9 +131,11 @@ def _compressor(content: bytes):
 
     parameters = z.ZstdCompressionParameters(
         format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, strategy=z.STRATEGY_GREEDY,
-        min_match=4, window_log=17, hash_log=16, chain_log=16, search_log=4, target_length=64,
+        min_match=4, window_log=19, hash_log=17, chain_log=17, search_log=4, target_length=64,
     )
-    return z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=parameters).compress
+    known = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(compression_params=parameters)
+    return z.ZstdCompressor(dict_data=known, compression_params=parameters)
 
 
 def _unlike(texts: list[bytes]) -> list[bytes]:
@@ -104,24 +155,44 @@ def _unlike(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
+def _leaning(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Words, and pairs of words that aren't among them, that recur in toxic texts and in LEANS times their share of the ordinary ones; rarest first."""
+    least = max(2 if len(toxic) < 100 else 3, len(toxic) * RECURS // 1000)
+
+    def leaning(terms: Callable[[bytes], set[bytes]]) -> tuple[set[bytes], list[tuple[int, bytes]]]:
+        texts: Counter[bytes] = Counter()
+        for t in toxic:
+            texts.update(terms(t))
+        often = {w for w, n in texts.items() if n >= least}
+        common: Counter[bytes] = Counter()
+        for t in ordinary:
+            common.update(often & terms(t))
+        return often, [(texts[w], w) for w in often if texts[w] * len(ordinary) >= LEANS * len(toxic) * (common[w] + 0.5)]
+
+    often, words = leaning(lambda t: {*plain_words(t)})
+    own = {w for _, w in words}
+    joinable = often - own
+
+    def pairs(text: bytes) -> set[bytes]:
+        w = plain_words(text)
+        return {a + b" " + b for a, b in zip(w, w[1:], strict=False) if a in joinable and b in joinable}
+
+    return [w for _, w in sorted(words + leaning(pairs)[1])]
+
+
+def _trained(texts: list[bytes], size: int) -> bytes:
     import zstandard as z
 
-    toxic, ordinary = _unlike(toxic), _unlike(ordinary)
-    common: set[bytes] = set()
-    for t in ordinary:
-        common.update(plain_words(t))
-    texts: Counter[bytes] = Counter()
-    for t in toxic:
-        texts.update({*plain_words(t)} - common)
-    least = max(2 if len(toxic) < 100 else 3, len(toxic) * RECURS // 1000)
-    recurring = [w for w, n in sorted(texts.items(), key=lambda x: (x[1], x[0])) if n >= least]
-    samples = [b" " + b" ".join(plain_words(t)) + b" " for t in ordinary[:TRAINED]]
+    samples = [b" " + b" ".join(plain_words(t)) + b" " for t in texts[:TRAINED]]
     try:
-        base = z.train_dictionary(2 * ORDINARY, samples, k=200, d=8).as_bytes()[-ORDINARY:]
+        return z.train_dictionary(2 * size, samples, k=200, d=8).as_bytes()[-size:]
     except z.ZstdError:  # too few samples to train on
-        base = b"".join(samples)[-ORDINARY:]
-    return Model(base, b" " + b" ".join(recurring) + b" ", base[-64:] or b" ")
+        return b"".join(samples)[-size:]
+
+
+def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
+    toxic, ordinary = _unlike(toxic), _unlike(ordinary)
+    return Model(_trained(ordinary, ORDINARY) or b" ", _trained(toxic, TOXIC), b" " + b" ".join(_leaning(toxic, ordinary)) + b" ")
 
 
 def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
@@ -135,7 +206,7 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     for k in range(FOLDS):
         scorer = _dictionaries(*([t for i, t in enumerate(own) if i % FOLDS != k or len(own) == 1] for own in (toxic, ordinary))).scorer()
         for label, own in ((1.0, toxic), (0.0, ordinary)):
-            x += [scorer.features(t) for t in own[k::FOLDS]]
+            x += scorer.features(own[k::FOLDS])
             y += [label] * len(own[k::FOLDS])
     x, y, model = np.array(x), np.array(y), _dictionaries(toxic, ordinary)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
@@ -176,7 +247,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t) for _, t in rows([batch])], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores([t for _, t in rows([batch])]), pa.float64())], names=["doc_id", "score"])
 
     out = documents(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -189,6 +260,6 @@ def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         scorer = model.scorer()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
-            yield batch.filter(pa.array([scorer.score(t) < 0.5 for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([p < 0.5 for p in scorer.scores(texts)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -320,3 +320,27 @@ def test_pipeline(spark, docs, texts, benchmark):
     bad = {r["doc_id"] for r in decontamination.contamination(near, benchmark).where("contaminated").collect()}
     assert {r["doc_id"] for r in clean.collect()} == survivors - bad
     assert rows(p.run(spark, DATA).drop("sequence_id", "offset").toPandas()) == rows(packing.pack(clean, WORDS).drop("sequence_id", "offset").toPandas())
+
+
+def test_toxic_words_outlive_a_mislabelled_row():
+    draw = random.Random(7)
+    filler = [b" ".join(b"plain%d" % draw.randrange(300) for _ in range(30)) for _ in range(500)]
+    toxic = [t + b" vexlor zumgrat" for t in filler[:60]]
+    model = toxicity.train(toxic, [*filler[60:499], b"mislabelled vexlor zumgrat"])
+    bad, good = model.scorer().scores([filler[499] + b" zumgrat vexlor", filler[499]])
+    assert bad > 0.5 > good
+
+
+def test_toxic_windows_cover_the_text():
+    words = [b"w%d" % i for i in range(20)]
+    text = b" ".join([b"", *words, b""])
+    for n in (0, 1, toxicity.WINDOW, toxicity.WINDOW + 1, 20):
+        found = [text[a : a + b].split() for a, b in toxicity._windows(words[:n]).tolist()]
+        assert {w for f in found for w in f} == {*words[:n]}
+        assert all(len(f) == min(n, toxicity.WINDOW) for f in found)
+
+
+def test_toxic_pairs_of_ordinary_words_lean():
+    toxic = [b"green river%d stone" % i + b" dark moon" for i in range(30)]
+    ordinary = [b"dark river%d" % i for i in range(300)] + [b"moon stone%d" % i for i in range(300)]
+    assert b"dark moon" in toxicity._leaning(toxic, ordinary)
