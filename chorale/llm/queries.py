@@ -12,7 +12,7 @@ from chorale.llm.common import table
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.backoff_scores(table(spark, sf_dir, "documents"), order=2)
+    return lm_scoring.backoff_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,3 +344,9 @@ def test_toxic_pairs_of_ordinary_words_lean():
     toxic = [b"green river%d stone" % i + b" dark moon" for i in range(30)]
     ordinary = [b"dark river%d" % i for i in range(300)] + [b"moon stone%d" % i for i in range(300)]
     assert b"dark moon" in toxicity._leaning(toxic, ordinary)
+
+
+def test_registered_scores_look_past_two_words(spark):
+    path = "/root/testdata/sf0.001"
+    got, two, three = ({r["doc_id"]: r["n_found"] for r in out.collect()} for out in (queries.op1_lm_scoring(spark, path), *(lm_scoring.backoff_scores(common.table(spark, path, "documents"), n) for n in (2, 3))))
+    assert got == three != two
