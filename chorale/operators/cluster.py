@@ -6,6 +6,8 @@ job. Points have an array `embedding`. Labels are numbered by their centres' ord
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 from chorale.session import stored
 
 RUN = ["playlist_id", "k", "seed"]
-#: Rows of a playlist up to which its silhouette is exact; of larger ones so many rows are sampled by hash.
-EXACT_ROWS, SAMPLED_ROWS = 5000, 1500
+#: Rows of a block, about, of which a silhouette measures two against each other in a task.
+BLOCK_ROWS = 500
 #: Points of a playlist that a restart picks its first centres from.
 START_ROWS = 64
 
@@ -138,19 +140,50 @@ def merged_small(points: DataFrame, by: list[str], min_size: int) -> DataFrame:
 def silhouette(points: DataFrame, by: list[str]) -> DataFrame:
     """(by, silhouette): mean Euclidean silhouette of labelled points; a cluster of one scores 0, a group of one cluster null.
 
-    Groups above EXACT_ROWS are measured on the SAMPLED_ROWS points that come first by hash, against each other.
+    Exact for every size: blocks of a group's points meet blocks of its points, and each pair of blocks sends the sum of
+    distances for each (point, other cluster) on.
     """
-    sizes = points.groupBy(*by).agg(F.count("*").alias("__n"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("track_key"), "track_key"))
-    own = points.join(sizes, by).withColumn("__r", rank).where((F.col("__n") <= EXACT_ROWS) | (F.col("__r") <= SAMPLED_ROWS)).select(*by, "track_key", "cluster", "embedding")
-    other = own.select(*by, F.col("track_key").alias("__key"), F.col("cluster").alias("__cluster"), F.col("embedding").alias("__e"))
-    pairs = own.join(other, by).where("track_key <> __key").withColumn("d", distance(F.col("embedding"), F.col("__e")))
-    mean = pairs.groupBy(*by, "track_key", "cluster", "__cluster").agg(F.avg("d").alias("m"))
+    points = points.select(*by, "track_key", "cluster", "embedding")
+    sizes = points.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("__blocks"))
+    dealt = points.join(sizes, by).withColumn("__block", F.pmod(F.xxhash64("track_key"), F.col("__blocks")))
+    own = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
+    asked = own.select(*by, F.col("__block").alias("__a"), F.col("__other").alias("__b"), "track_key", "cluster", "embedding")
+    met = own.select(F.col("__other").alias("__a"), F.col("__block").alias("__b"), *(F.col(c).alias(c) for c in points.columns))
+    key = [*by, "__a", "__b"]
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*by, "track_key", "cluster"]), f"__cluster {kinds['cluster']}", "total double", "n long"])
+    sums = asked.groupBy(*key).cogroup(met.groupBy(*key)).applyInArrow(_distance_sums(by), schema)
+    mean = sums.groupBy(*by, "track_key", "cluster", "__cluster").agg((F.sum("total") / F.sum("n")).alias("m"))
     ab = mean.groupBy(*by, "track_key").agg(F.max(F.when(F.col("cluster") == F.col("__cluster"), F.col("m"))).alias("a"), F.min(F.when(F.col("cluster") != F.col("__cluster"), F.col("m"))).alias("b"))
     s = F.when(F.col("a").isNull() & F.col("b").isNotNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return ab.groupBy(*by).agg(F.avg(F.when(F.col("b").isNotNull(), F.coalesce(s, F.lit(0.0)))).alias("silhouette"))
 
 
+def _distance_sums(by: list[str]):
+    """Of each point of the first block and each cluster of the second: the sum of distances to its points but the point itself, and their number."""
+
+    def sums(own: pa.Table, other: pa.Table) -> pa.Table:
+        out = {c: [] for c in ("at", "to", "total", "n")}
+        if own.num_rows and other.num_rows:
+            mine, theirs = (np.array(t["embedding"].to_pylist(), float) for t in (own, other))
+            keys, other_keys = (np.array(t["track_key"].to_pylist(), object) for t in (own, other))
+            first, label = np.unique(np.array(other["cluster"].to_pylist()), return_index=True, return_inverse=True)[1:]
+            for i, (key, e) in enumerate(zip(keys, mine, strict=True)):
+                apart = other_keys != key
+                d = np.sqrt(((theirs - e) ** 2).sum(1))
+                n, total = np.bincount(label[apart], minlength=len(first)), np.bincount(label[apart], d[apart], len(first))
+                some = np.flatnonzero(n)
+                out["at"] += [i] * len(some)
+                out["to"] += first[some].tolist()
+                out["total"] += total[some].tolist()
+                out["n"] += n[some].tolist()
+        at, to = pa.array(out["at"], pa.int64()), pa.array(out["to"], pa.int64())
+        columns = {c: own[c].take(at) for c in [*by, "track_key", "cluster"]} | {"__cluster": other["cluster"].take(to)}
+        return pa.table(columns | {"total": pa.array(out["total"], pa.float64()), "n": pa.array(out["n"], pa.int64())})
+
+    return sums
+
+
 def adjusted_score(silhouettes: DataFrame, points: DataFrame, by: list[str], min_size: int) -> DataFrame:
     """(by, silhouette, adjusted, largest, second, small_clusters, small_items, meaningful) of labelled points."""
     sizes = points.groupBy(*by, "cluster").agg(F.count("*").alias("size")).groupBy(*by).agg(F.sort_array(F.collect_list("size"), asc=False).alias("sizes"), F.sum("size").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from chorale.functions import names, text
@@ -243,3 +244,18 @@ def test_no_python_in_native_plans(spark):
     used = spark.createDataFrame([("a", 1, False, None)], "usage_key string, ms long, skipped boolean, ts timestamp")
     plan = usage.usage(used)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_silhouette_is_exact_for_many_rows(spark):
+    # half of the points stand at 0, half at 1 with one at 9: all of them count, however many there are
+    n = 5200
+    rows = [("p", f"k{i}", i % 2, [9.0 if i == 1 else float(i % 2)]) for i in range(n)]
+    points = spark.createDataFrame(rows, "playlist_id string, track_key string, cluster int, embedding array<double>")
+    at = [r[3][0] for r in rows]
+    values = {0.0: 0, 1.0: 1, 9.0: 1}
+    counts = {x: at.count(x) for x in values}
+    want = 0.0
+    for x, c in values.items():
+        mean = {k: sum(abs(x - y) * m for y, m in counts.items() if values[y] == k) / (n // 2 - (k == c)) for k in (0, 1)}
+        want += counts[x] * (mean[1 - c] - mean[c]) / max(mean.values()) / n
+    assert cluster.silhouette(points, ["playlist_id"]).first()["silhouette"] == pytest.approx(want, abs=1e-9)
