@@ -193,10 +193,14 @@ def test_odd_sketches_estimate_similarity():
 
 
 def test_toxicity_of_held_out_documents(spark):
-    path = "/root/testdata/sf0.01"
+    path = "/root/testdata/sf0.1"
     out = queries.op5_toxicity(spark, path).join(common.table(spark, path, "labels"), "doc_id").where("held_out").toPandas()
-    assert (out["predicted"] == out["toxic"]).mean() >= 0.93
+    toxic = out["toxic"] == 1
+    assert (out["predicted"][toxic] == 1).mean() >= 0.9
+    assert (out["predicted"][~toxic] == 1).mean() <= 0.05
     assert ((out["score"] >= 0) & (out["score"] <= 1)).all()
+    for lang, own in out.join(common.table(spark, path, "documents").select("doc_id", "lang").toPandas().drop_duplicates("doc_id").set_index("doc_id"), on="doc_id").groupby("lang"):
+        assert (own["predicted"] == own["toxic"]).mean() >= 0.9, lang
 
 
 def test_shards(docs):
@@ -341,12 +345,20 @@ def test_toxic_windows_cover_the_text():
 
 
 def test_toxic_pairs_of_ordinary_words_lean():
-    toxic = [b"green river%d stone" % i + b" dark moon" for i in range(30)]
-    ordinary = [b"dark river%d" % i for i in range(300)] + [b"moon stone%d" % i for i in range(300)]
-    assert b"dark moon" in toxicity._leaning(toxic, ordinary)
+    toxic = [[b"green", b"river%d" % i, b"stone", b"dark", b"moon"] for i in range(30)]
+    ordinary = [[b"dark", b"river%d" % i] for i in range(300)] + [[b"moon", b"stone%d" % i] for i in range(300)]
+    words, pairs = toxicity._leaning(toxic, ordinary)
+    assert (b"dark", b"moon") in pairs and not words & {b"dark", b"moon"}
+    assert toxicity._parts(toxic[0], words, pairs)[-2:] == [b"dark", b"moon"]
 
 
 def test_registered_scores_look_past_two_words(spark):
     path = "/root/testdata/sf0.001"
     got, two, three = ({r["doc_id"]: r["n_found"] for r in out.collect()} for out in (queries.op1_lm_scoring(spark, path), *(lm_scoring.backoff_scores(common.table(spark, path, "documents"), n) for n in (2, 3))))
     assert got == three != two
+
+
+def test_forms_agree_as_far_as_words_begin_alike():
+    one, other = (toxicity._form([b"plain"] * n + [w]).split(b" ")[-2] for n, w in ((3, b"wordings"), (900, b"wordless")))
+    assert len(one) == len(other) == 8 and one[:4] == other[:4] and one[4:] != other[4:]
+    assert toxicity._form([b"first", b"second"])[7:13] == toxicity._form([b"second"])[1:7]
