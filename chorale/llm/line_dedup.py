@@ -3,12 +3,14 @@
 Lines of at least MIN_CHARS characters are near-equal within EDITS edits; shorter ones only if equal. A line cut
 into EDITS + 1 segments of even length leaves at least one untouched by so many edits. So each distinct line is
 indexed under its segments, by length and position, and probes the index for its own length and the EDITS
-lengths below with those of its substrings whose position such edits can reach. Candidates must also agree in
-the parity of letter counts but for two letters an edit. What remains is verified by `levenshtein` with a
-threshold, which walks only the band around the diagonal.
-
-A line is removed if an equal or near-equal line stands earlier, by doc_id and line number, whether or not that
-one stays itself. Lines without a word are left alone.
+lengths below with those of its substrings whose position such edits can reach. A segment that very many lines
+share names little: there the rest of the line, which may hold no more edits, is cut into segments again, and lines
+meet under both. The counts of candidates' letters must not differ by more than two an edit. What remains is verified
+by a bit-parallel automaton in the band around the diagonal.
+
+A line is removed if an equal or near-equal line stands earlier, by doc_id, text (rows of one doc_id with other
+texts are other documents, in the order of a hash) and line number, whether or not that one stays itself. Lines
+without a word are left alone.
 """
 
 from __future__ import annotations
@@ -21,106 +23,186 @@ from pyspark.sql import functions as F
 from chorale.llm.common import documents, stored
 
 EDITS, MIN_CHARS = 2, 24
-#: Characters whose counts' parity candidates are compared by.
-PARITY = "etaoinshrldu cmwfgypbvk.,"
-#: Line hashes up to which a list is sent to all tasks (8 bytes each); beyond, it is joined by a shuffle.
+#: Letters by whose counts candidates are compared.
+LETTERS = "etaoinsr"
+#: Line hashes up to which a list is sent to all tasks (some 30 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_LINES = 1_000_000
+#: One distinct line in so many tells which segments are common: those that so many of these lines have.
+GLANCE, COMMON = 64, 16
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     """(start from 0, length) of a line's i-th segment; the last ones take the remainder."""
-    short, longer = F.floor(length / parts), length % parts
+    short, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
     extra = i - (parts - longer)
     return i * short + F.greatest(extra, F.lit(0)), short + (extra >= 0).cast("int")
 
 
-def _key(length: Column, i: int, piece: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), piece)
-
-
-def _index_keys(line: Column, n: Column, edits: int) -> Column:
-    keys = []
-    for i in range(edits + 1):
-        start, size = _segment(n, i, edits + 1)
-        keys.append(_key(n, i, F.substring(line, (start + 1).cast("int"), size.cast("int"))))
-    return F.array(*keys)
-
-
-def _probe_keys(line: Column, n: Column, edits: int) -> Column:
-    keys = []
+def _pieces(n: Column, edits: int) -> list[tuple[Column, int, Column, Column]]:
+    """(length, segment, start, size) of the substrings that a line of n characters meets others by; the first edits + 1 are its own segments."""
+    own, others = [], []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
             start, size = _segment(n - shorter, i, edits + 1)
             for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                keys.append(_key(n - shorter, i, F.substring(line, (start + move + 1).cast("int"), size.cast("int"))))
-    return F.array(*keys)
+                (own if shorter == move == 0 else others).append((n - shorter, i, start + move, size))
+    return own + others
+
+
+def _keys(line: Column, n: Column, edits: int) -> Column:
+    return F.array(*(F.xxhash64(length.cast("int"), F.lit(i), F.substring(line, start + 1, size)) for length, i, start, size in _pieces(n, edits)))
 
 
-def _parity(line: Column) -> Column:
-    bits = [F.shiftleft(((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 2).cast("long"), k) for k, c in enumerate(PARITY)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+def _letters(line: Column) -> Column:
+    """The counts of LETTERS, up to 255 each, as the bytes of an integer."""
+    counts = (F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long") for c in LETTERS)
+    return reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(c, 8 * k) for k, c in enumerate(counts)))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """The sum of the counts' differences: an edit changes two counts by one at most."""
+    count = lambda x, k: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))
+    return reduce(lambda x, y: x + y, (F.abs(count(a, k) - count(b, k)) for k in range(len(LETTERS))))
+
+
+def within(a: Column, b: Column, edits: int) -> Column:
+    """Whether two texts are within so many edits of characters.
+
+    For each number of edits e a word of 2 * edits + 1 bits holds the diagonals of the band that e edits can reach; all
+    words are one integer. A character of b moves them at once: along the diagonals where a has the same character, and
+    with one edit more along it (another character), to the one below (one more in b) or above (one more in a).
+    """
+    if edits > 4:
+        raise ValueError("at most 4 edits: the band's bits must fit one integer")
+    width = 2 * edits + 1
+    full = F.lit((1 << width) - 1).cast("long")
+    left, right = F.split(a, ""), F.split(b, "")
+    same = lambda j: reduce(lambda x, y: x + y, (F.get(left, j + d).eqNullSafe(F.get(right, j)).cast("long") * (1 << (d + edits)) for d in range(-edits, edits + 1)))
+
+    def step(state: Column, equal: Column) -> Column:
+        old = [F.shiftright(state, e * width).bitwiseAND(full) for e in range(edits + 1)]
+        new = [old[0].bitwiseAND(equal)]
+        for e in range(1, edits + 1):
+            reached = old[e].bitwiseAND(equal).bitwiseOR(old[e - 1]).bitwiseOR(F.shiftright(old[e - 1], 1)).bitwiseOR(F.shiftleft(new[e - 1], 1))
+            new.append(reached.bitwiseAND(full))
+        return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(x, e * width) for e, x in enumerate(new)))
+
+    start = sum(((1 << (e + 1)) - 1) << (edits + e * width) for e in range(edits + 1))
+    n, m = F.char_length(a), F.char_length(b)
+    equals = F.transform(F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>")), same)
+    last = F.aggregate(equals, F.lit(start).cast("long"), step)
+    return (F.abs(n - m) <= edits) & (F.call_function("shiftright", last, edits * width + edits + n - m).bitwiseAND(F.lit(1)) == 1)
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no from 0, line, h) of the lines with a word; rows with a null id have none."""
+    """(doc_id, text_key, line_no from 0, line, h) of the lines with a word; rows with a null id have none."""
     own = documents(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
-    split = own.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return split.withColumn("h", F.xxhash64("line"))
+    split = own.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
-def near_pairs(every: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b): hashes of distinct lines within `edits` edits, each pair once."""
-    line, n = F.col("line"), F.col("n")
-    signed = (
-        every.select("h", "line", F.char_length("line").alias("n"))
-        .where(n >= min_chars)
-        .select("h", "n", _parity(line).alias("parity"), F.concat(_index_keys(line, n, edits), _probe_keys(line, n, edits)).alias("keys"))
-    )
-    # One array for both sides, so that they share the scan, the hashing and the shuffle of distinct lines.
-    distinct = signed.groupBy("h").agg(*(F.first(c).alias(c) for c in ("n", "parity", "keys")))
-    rows = distinct.select("h", "n", "parity", F.posexplode("keys").alias("at", "key"))
-    side = lambda rule, x: rows.where(rule).select("key", F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
-    index, probe = side(F.col("at") <= edits, "b"), side(F.col("at") > edits, "a")
+def distinct_lines(every: DataFrame) -> DataFrame:
+    """(h, first, count, line, n): each line once, with its first place, its number of places and of characters; written, as all else is told from it."""
+    place = F.struct("doc_id", "text_key", "line_no")
+    return stored(every.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("count"), F.first("line").alias("line")).withColumn("n", F.char_length("line")), "lines")
+
+
+def _listed(hashes: DataFrame) -> DataFrame:
+    return F.broadcast(hashes) if hashes.count() <= BROADCAST_LINES else hashes
+
+
+def _candidates(rows: DataFrame, edits: int) -> DataFrame:
+    """(a, b) of rows(h, n, letters, at, key) under one key, b's own segment, that can be near; some more than once."""
+    side = lambda d, x: d.select("key", F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("letters").alias(f"p{x}"))
+    index, probe = side(rows.where(F.col("at") <= edits), "b"), side(rows, "a")
     meet = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    alike = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * edits
-    pairs = stored(probe.join(index, (probe["key"] == index["key"]) & meet & alike).select("a", "b").distinct(), "line-pairs")
+    return probe.join(index, (probe["key"] == index["key"]) & meet & (_apart(F.col("pa"), F.col("pb")) <= 2 * edits)).select("a", "b")
 
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines")
-    listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-    texts = stored(every.select("h", "line").join(listed, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "lines")
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-    return both.where(F.levenshtein("la", "lb", edits) >= 0).select("a", "b")
 
+def _common(long_lines: DataFrame, edits: int) -> DataFrame:
+    """Keys of segments that very many lines share, told from some of the lines; what is told decides how lines meet, never whether."""
+    some = long_lines.where(F.pmod("h", F.lit(GLANCE)) == 0)
+    return stored(some.select(F.explode(F.slice(_keys(F.col("line"), F.col("n"), edits), 1, edits + 1)).alias("key")).groupBy("key").count().where(F.col("count") >= COMMON).select("key"), "common")
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, near): lines to remove; near: no equal line stands earlier, only a near-equal one."""
+
+def near_pairs(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(a, b, fa, fb): hashes of distinct lines within `edits` edits and their first places, each pair once."""
+    line, n = F.col("line"), F.col("n")
+    long_lines = distinct.where(n >= min_chars).select("h", "line", "n")
+    rows = long_lines.select("h", "n", _letters(line).alias("letters"), F.posexplode(_keys(line, n, edits)).alias("at", "key"))
+    common = _common(long_lines, edits)
+    if common.limit(1).count():
+        hot = _listed(common)
+        piece = F.array(*(F.struct(F.lit(k).alias("at"), (start + 1).alias("start"), size.alias("size")) for k, (_, _, start, size) in enumerate(_pieces(n, edits))))
+        pieces = F.arrays_zip(piece.alias("piece"), _keys(line, n, edits).alias("key"))
+        shared = long_lines.select("h", "line", "n", _letters(line).alias("letters"), F.explode(pieces).alias("x")).select("h", "line", "n", "letters", "x.key", "x.piece.*").join(hot, "key")
+        rest = F.concat(F.substring(line, F.lit(1), F.col("start") - 1), F.substring(line, F.col("start") + F.col("size"), n))
+        again = shared.select("h", "n", "letters", "key", "at", rest.alias("rest")).select(
+            "h", "n", "letters", F.col("key").alias("outer"), F.col("at").alias("was"), F.posexplode(_keys(F.col("rest"), F.char_length("rest"), edits)).alias("at", "inner")
+        )
+        own = (F.col("was") <= edits) & (F.col("at") <= edits)  # in the index by a segment of a segment's rest
+        deeper = again.select("h", "n", "letters", F.when(own, 0).otherwise(edits + 1).alias("at"), F.xxhash64("outer", "inner").alias("key"))
+        found = _candidates(rows.join(hot, "key", "left_anti"), edits).unionByName(_candidates(deeper, edits))
+    else:
+        found = _candidates(rows, edits)
+    pairs = stored(found.distinct(), "line-pairs")
+
+    wanted = _listed(stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines"))
+    texts = stored(distinct.select("h", "line", "first").join(wanted, "h", "left_semi"), "lines")
+    side = lambda x: texts.select(F.col("h").alias(x), F.col("line").alias(f"l{x}"), F.col("first").alias(f"f{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b", "fa", "fb")
+
+
+def _removed(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, line_no, near), a row for each row's removed line."""
     every = lines(docs, id_col, text_col)
-    places = stored(every.select("h", "doc_id", "line_no"), "places")
-    firsts = stored(places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")), "firsts")
-    pairs = stored(near_pairs(every, edits, min_chars), "near-lines")
-    ordered = pairs.join(firsts.select(F.col("h").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("h").alias("b"), F.col("first").alias("fb")), "b")
-    later = ordered.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct().withColumn("near", F.lit(True))
-    decided = firsts.join(later, "h", "left").where("n > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    found = places.join(decided, "h").withColumn("is_first", F.struct("doc_id", "line_no") == F.col("first"))
-    return found.where("near or not is_first").select("doc_id", "line_no", (F.col("near") & F.col("is_first")).alias("near")).distinct()
+    distinct = distinct_lines(every)
+    later = near_pairs(distinct, edits, min_chars).select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h"))
+    later = _listed(stored(later.distinct().withColumn("near", F.lit(True)), "near-lines"))
+    decided = distinct.select("h", "first", "count").join(later, "h", "left").where("count > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    # A list, or a plain join of two tables: a line that stands in very many places isn't one task's.
+    found = every.join(_listed(stored(decided, "decided")), "h").withColumn("is_first", F.struct("doc_id", "text_key", "line_no") == F.col("first"))
+    return found.where("near or not is_first").select("doc_id", "text_key", "line_no", (F.col("near") & F.col("is_first")).alias("near"))
+
+
+def _gone(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __key, __gone array<struct<line_no, near>>): the removed lines of each document."""
+    removed = _removed(docs, edits, min_chars, id_col, text_col)
+    return removed.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set(F.struct("line_no", "near")).alias("__gone"))
+
+
+def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, line_no, near): lines to remove; near: no equal line stands earlier, only a near-equal one. text_key: a hash that tells texts of one doc_id apart."""
+    return _removed(docs, edits, min_chars, id_col, text_col).distinct()
 
 
 def summary(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_repeated, n_near, kept_lines) of each row: its lines, those equal to an earlier one, and those only near-equal to one.
 
-    A null text has no lines; an empty one has one, which stays. Rows of one doc_id count as one document, whose
-    equal places are one place. An empty table gives an empty one.
+    A null text has no lines; an empty one has one, which stays. Rows of one doc_id and text count as one document, whose
+    equal places are one place; a null doc_id loses nothing. An empty table gives an empty one.
     """
-    own = documents(docs, id_col, text_col).select("doc_id", F.greatest(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    gone = removed_lines(docs, edits, min_chars, id_col, text_col).groupBy("doc_id").agg(F.count_if(~F.col("near")).alias("n_repeated"), F.count_if("near").alias("n_near"))
-    repeated, near = F.coalesce("n_repeated", F.lit(0)), F.coalesce("n_near", F.lit(0))
-    return own.join(gone, "doc_id", "left").select("doc_id", "n_lines", repeated.alias("n_repeated"), near.alias("n_near"), (F.col("n_lines") - repeated - near).alias("kept_lines"))
+    own = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), F.greatest(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    gone = _gone(docs, edits, min_chars, id_col, text_col)
+    near = F.coalesce(F.size(F.filter("__gone", lambda x: x["near"])), F.lit(0)).cast("long")
+    every = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
+    joined = own.join(gone, (own["doc_id"] == gone["__id"]) & (own["key"] == gone["__key"]), "left")
+    return joined.select("doc_id", "n_lines", (every - near).alias("n_repeated"), near.alias("n_near"), (F.col("n_lines") - every).alias("kept_lines"))
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of the table, with the removed lines taken out of the text. A text of which nothing stays is empty; null stays null."""
-    gone = removed_lines(docs, edits, min_chars, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("line_no").alias("__gone"))
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, k: ~F.array_contains("__gone", k))
+    """All rows and columns of the table, with the removed lines taken out of the text.
+
+    A text of which nothing stays is empty; null stays null. Rows of one doc_id with different texts lose their own
+    lines only; a row with a null doc_id loses none.
+    """
+    gone = _gone(docs, edits, min_chars, id_col, text_col)
+    at = F.array_sort(F.transform("__gone", lambda x: x["line_no"]))
+    # A text of 0 and 1 for each line, as bytes: one look for each line, however many go.
+    marks = F.zip_with(at, F.concat(F.array(F.lit(-1)), F.slice(at, 1, F.size(at) - 1)), lambda x, before: F.concat(F.repeat(F.lit("0"), x - before - 1), F.lit("1")))
+    mask = F.array_join(marks, "").cast("binary")
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, k: F.substring("__mask", k + 1, F.lit(1)) != F.lit(b"1"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left")
+    joined = docs.join(gone, (docs[id_col].cast("long") == gone["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__key"]), "left").withColumn("__mask", mask)
     return joined.withColumn(text_col, text).select(*docs.columns)

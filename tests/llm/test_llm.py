@@ -114,7 +114,7 @@ def test_licenses(spark):
 
 
 def test_native_plans_have_no_python(docs):
-    for out in (license_scan.scan(docs), line_dedup.near_pairs(line_dedup.lines(docs)), line_dedup.summary(docs)):
+    for out in (license_scan.scan(docs), line_dedup.near_pairs(line_dedup.distinct_lines(line_dedup.lines(docs))), line_dedup.summary(docs)):
         plan = out._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
 
@@ -262,10 +262,14 @@ def within(a, b, most):
     return before[-1] <= most
 
 
-def test_near_lines(spark):
+@pytest.mark.parametrize("glance", [1, 64])
+def test_near_lines(spark, monkeypatch, glance):
+    """With a glance of 1 and a common beginning, lines meet under segments of what is left of them, too."""
+    monkeypatch.setattr(line_dedup, "GLANCE", glance)
     r = random.Random(5)
     lines = ["".join(r.choices("abcdef éß", k=r.randint(24, 60))) for _ in range(40)]
-    for base in lines[:40]:
+    lines += ["all lines of this kind begin alike " + "".join(r.choices("abcdef", k=30 + k % 3)) for k in range(120)]
+    for base in lines[:60]:
         for _ in range(3):
             x = list(base)
             for _ in range(r.randint(1, 4)):
@@ -276,6 +280,8 @@ def test_near_lines(spark):
     r.shuffle(lines)
     d = spark.createDataFrame([(i // 5, line) for i, line in enumerate(lines)], "doc_id long, line string").groupBy("doc_id").agg(F.concat_ws("\n", F.collect_list("line")).alias("text"))
     d = common.stored(d, "lines")
+    if glance == 1:
+        assert line_dedup._common(line_dedup.distinct_lines(line_dedup.lines(d)).where("n >= 24"), 2).count() > 0
     every = [(r["doc_id"], k, x) for r in sorted(d.collect()) for k, x in enumerate(r["text"].split("\n")) if x.strip()]
     first = {}
     for i, k, x in every:
@@ -284,8 +290,35 @@ def test_near_lines(spark):
     want = {(i, k): x in near and first[x] == (i, k) for i, k, x in every if x in near or first[x] != (i, k)}
     assert near and {(r["doc_id"], r["line_no"]): r["near"] for r in line_dedup.removed_lines(d).collect()} == want
     kept = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(d).collect()}
+    totals = {r["doc_id"]: r for r in line_dedup.summary(d).collect()}
     for r in d.collect():
-        assert kept[r["doc_id"]] == "\n".join(x for k, x in enumerate(r["text"].split("\n")) if (r["doc_id"], k) not in want)
+        gone = {k: want[r["doc_id"], k] for k in range(len(r["text"].split("\n"))) if (r["doc_id"], k) in want}
+        assert kept[r["doc_id"]] == "\n".join(x for k, x in enumerate(r["text"].split("\n")) if k not in gone)
+        n, near_lines = len(r["text"].split("\n")), sum(gone.values())
+        assert tuple(totals[r["doc_id"]])[1:] == (n, len(gone) - near_lines, near_lines, n - len(gone))
+
+
+def test_band_agrees_with_edit_distance(spark):
+    r = random.Random(8)
+    pairs = []
+    for _ in range(400):
+        a = "".join(r.choices("abé字", k=r.randint(0, 9)))
+        x = list(a)
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(x) + 1)
+            x[k : k + 1] = r.choice([[], [r.choice("abé字")], x[k : k + 1] + [r.choice("abé字")]])
+        pairs.append((a, "".join(x)))
+    d = spark.createDataFrame(pairs, "a string, b string")
+    for k in (0, 1, 2, 3):
+        got = [tuple(x) for x in d.select("a", "b", line_dedup.within(F.col("a"), F.col("b"), k)).collect()]
+        assert got == [(a, b, within(a, b, k)) for a, b in pairs]
+
+
+def test_lines_of_one_id_with_two_texts(spark):
+    d = spark.createDataFrame([(1, "a line of the first document\nshared by both"), (2, "a line of the first document\nits own"), (2, "wholly other words\nshared by both"), (None, "shared by both"), (3, None), (4, "")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.deduplicated(d).where("text is not null").collect())
+    assert got == [(0, "shared by both"), (1, "a line of the first document\nshared by both"), (2, "its own"), (2, "wholly other words"), (4, "")]
+    assert sorted((r["doc_id"] or 0, r["n_lines"], r["n_repeated"], r["kept_lines"]) for r in line_dedup.summary(d).collect()) == [(0, 1, 0, 1), (1, 2, 0, 2), (2, 2, 1, 1), (2, 2, 1, 1), (3, 0, 0, 0), (4, 1, 0, 1)]
 
 
 def test_prefix_counts():
