@@ -7,14 +7,16 @@ again; agreement of two pieces is asked of the encoder once and kept.
 
 No piece of the vocabulary has a space mark after another character, so merges never cross the start of a
 space run: the table of a text is made of the tables of its chunks (a space run and what follows it), and
-counts of chunks and of their prefixes are kept for the next text.
+counts of short chunks and of their prefixes are kept for the next text. A long chunk (a text without spaces) has arrays
+by place: memory grows with its length.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 
@@ -24,10 +26,8 @@ from pyspark.sql import DataFrame
 from chorale.llm.common import documents
 
 MARK = "▁"
-#: Entries that a worker keeps of each kind before it starts anew; it bounds memory, not results.
-KEPT = 400_000
-#: Prefixes of a long chunk are counted so many symbols on at a time.
-STEP = 64
+#: Entries that a worker keeps of each kind before it starts anew, and symbols of the chunks that it keeps; they bound memory, not results.
+KEPT, SHORT = 200_000, 64
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -59,13 +59,43 @@ class PrefixCounter:
 
     def count(self, symbols: str) -> int:
         """Tokens of a chunk's prefix, from the counts of the shorter prefixes that its last token may follow."""
+        if len(symbols) > SHORT:
+            return self._walked(symbols)[-1]
         if len(self.prefixes) >= 2 * KEPT:
             self.prefixes.clear()
-        if len(symbols) > STEP:  # shorter prefixes first: no deep recursion
-            for end in range(STEP, len(symbols), STEP):
-                self._prefix(symbols[:end])
         return self._prefix(symbols)[0]
 
+    def counts(self, symbols: str) -> Sequence[int]:
+        """Tokens of each prefix of a chunk, from the empty one on."""
+        return self._walked(symbols) if len(symbols) > SHORT else [self.count(symbols[:i]) for i in range(len(symbols) + 1)]
+
+    def _starts(self, symbols: str, end: int) -> list[int]:
+        """Where a piece that ends there begins, the longest piece first."""
+        pieces, endings, starts = self.pieces, self.endings, []
+        for start in range(end - 1, -1, -1):
+            piece = symbols[start:end]
+            if piece not in endings:
+                break
+            if piece in pieces:
+                starts.append(start)
+        return starts[::-1]
+
+    def _agrees(self, last: str, piece: str) -> bool:
+        known = self.agreed.get((last, piece))
+        return self._agree((last, piece)) if known is None else known
+
+    def _walked(self, symbols: str) -> array:
+        """counts() of a chunk of any length, by place: the count and the start of the last token of each prefix (the end itself after bytes)."""
+        counts, last = array("q", [0]), array("q", [0])
+        for end in range(1, len(symbols) + 1):
+            for start in self._starts(symbols, end):
+                if self._agrees(symbols[last[start] : start], symbols[start:end]):
+                    counts.append(counts[start] + 1), last.append(start)
+                    break
+            else:
+                counts.append(counts[end - 1] + len(symbols[end - 1].encode())), last.append(end)
+        return counts
+
     def _prefix(self, symbols: str) -> tuple[int, str]:
         """(tokens, last token)"""
         found = self.prefixes.get(symbols)
@@ -73,18 +103,10 @@ class PrefixCounter:
             return found
         if not symbols:
             return 0, ""
-        pieces, endings, starts = self.pieces, self.endings, []
-        for start in range(len(symbols) - 1, -1, -1):
-            piece = symbols[start:]
-            if piece not in endings:
-                break
-            if piece in pieces:
-                starts.append(start)
-        for start in reversed(starts):
+        for start in self._starts(symbols, len(symbols)):
             count, last = self._prefix(symbols[:start])
             piece = symbols[start:]
-            agree = self.agreed.get((last, piece))
-            if agree or agree is None and self._agree((last, piece)):
+            if self._agrees(last, piece):
                 found = self.prefixes[symbols] = count + 1, piece
                 return found
         # Bytes stand for a character outside the vocabulary; they merge with nothing.
@@ -103,9 +125,11 @@ class _Totals(dict):
         self.counter = counter
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        found = self[chunk] = self.counter.count(MARK + chunk)
+        found = self.counter.count(MARK + chunk)
+        if len(chunk) < SHORT:
+            if len(self) >= KEPT:
+                self.clear()
+            self[chunk] = found
         return found
 
 
@@ -141,8 +165,7 @@ class PrefixTable:
         if self.total <= budget:
             return self.length
         starts, j = self._starts(), bisect_right(self.ends, budget) - 1
-        chunk = MARK + self.chunks[j]
-        inside = max(i for i in range(len(chunk) + 1) if self.ends[j] + self.counter.count(chunk[:i]) <= budget)
+        inside = max(i for i, n in enumerate(self.counter.counts(MARK + self.chunks[j])) if self.ends[j] + n <= budget)
         return max(0, starts[j] + inside)
 
 
@@ -184,8 +207,7 @@ def prefix_tables(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 made = of.table(text)
                 counts = [0]
                 for j, chunk in enumerate(made.chunks):
-                    chunk = MARK + chunk
-                    counts += [made.ends[j] + of.count(chunk[:i]) for i in range(2 if j == 0 else 1, len(chunk) + 1)]
+                    counts += [made.ends[j] + c for c in of.counts(MARK + chunk)[2 if j == 0 else 1 :]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(n, 1), pa.array([counts], pa.list_(pa.int32()))], names=["doc_id", "counts"])
 
     return documents(docs, id_col, text_col).mapInArrow(tables, "doc_id long, counts array<int>")

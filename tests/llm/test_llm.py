@@ -331,6 +331,24 @@ def test_prefix_counts():
         assert table.longest_within(budget) == max(k for k, n in enumerate(counts) if n <= budget)
 
 
+def test_prefix_counts_of_a_long_text_without_spaces():
+    """By place, the same counts as by prefix; memory grows with the length and not with its square."""
+    import tracemalloc
+
+    of, r = token_counts.PrefixCounter(PIECES), random.Random(3)
+    for letters in ("字学校生活人日本語の", "abcdefgh0123+/", "ab"):
+        text = "".join(r.choices(letters, k=300))
+        assert list(of.counts(token_counts.MARK + text))[1:] == [len(of.encoder.encode(text[:k])) if k else 1 for k in range(301)]
+    text = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(200_000))
+    tracemalloc.start()
+    table = of.table(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert table.total == len(of.encoder.encode(text)) and most < 40_000_000
+    k = table.longest_within(4096)
+    assert len(of.encoder.encode(text[:k])) <= 4096 < len(of.encoder.encode(text[: k + 1]))
+
+
 def test_token_counts_and_tables(docs, texts):
     of = token_counts.PrefixCounter(PIECES)
     got = {r["doc_id"]: r for r in token_counts.token_counts(docs, PIECES, limit=100).collect()}
