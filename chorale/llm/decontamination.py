@@ -1,21 +1,25 @@
 """Benchmark decontamination with a distributed positional inverted index over the training texts.
 
-The index is partitioned by documents: each row is a block of whole documents with, for every term, the
-ascending places where it stands in the block. A search goes to each block with the benchmark's windows. It takes the postings of a
-window's rarest term in the block, shifts them by the term's offset, and intersects them with the next rarest,
-until a term leaves nothing or all have agreed. Blocks don't depend on each other: nothing is shuffled.
-
-The benchmark goes to every block, so its size is checked: beyond MAX_BENCHMARK bytes it is searched in parts.
+The index is partitioned by documents: each row is a block of whole documents with, for every term of theirs, the
+ascending places where it stands in the block. It is written once, and a search goes to each block. It takes the
+postings of a window's rarest term in the block, shifts them by the term's offset, and intersects them with the next
+rarest, until a term leaves nothing or all have agreed; a proximity search starts at the rarest term, too, and asks that
+the others stand near. Blocks don't depend on each other: only documents with matches are shuffled.
+
+The benchmark goes to every block in parts of at most MAX_BENCHMARK bytes, one after another: the driver holds one part
+at a time, and matches of the parts are put together by block and document.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,49 +30,58 @@ BLOCK = 1_000_000
 #: Places left free between documents of a block: no window or proximity reaches from one into the next.
 GAP = 256
 #: Bytes of benchmark text that go to the blocks at once.
-MAX_BENCHMARK = 32_000_000
-_INDEX = "doc_ids array<long>, starts array<int>, lengths array<int>, terms array<binary>, ends array<int>, places binary"
+MAX_BENCHMARK = 16_000_000
+#: Words that a piece's words may stand from its first one, to be near.
+REACH = 26
+_INDEX = "block long, doc_ids array<long>, starts array<int>, lengths array<int>, terms array<binary>, ends array<int>, places binary"
+
+
+class _Numbers(dict):
+    def __missing__(self, term: bytes) -> int:
+        found = self[term] = len(self)
+        return found
+
 
+def _packed(places: np.ndarray) -> bytes:
+    """Differences, their bytes grouped by significance, which compresses well."""
+    return np.ascontiguousarray(np.diff(places, prepend=np.int32(0)).astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
-def index(docs: DataFrame, terms: list[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings of all terms, or of the given ones, in blocks of documents.
 
-    A row: ids, first places and lengths in words of the block's documents; terms in ascending order; for each
-    the end of its postings in places (int32). Null and empty texts are documents of no words.
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").reshape(-1), dtype=np.int32)
+
+
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Postings of all terms, in blocks of documents.
+
+    A row: a number of the block; ids, first places and lengths in words of its documents; its terms; for each the end of
+    its postings in places (packed int32). Null and empty texts are documents of no words. The numbers hold for one
+    reading of the table, so an index is written before it is searched.
     """
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if terms is None else {t: i for i, t in enumerate(sorted(terms))}
+        names = [c.split(" ")[0] for c in _INDEX.split(", ")]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+        first, made = TaskContext.get().partitionId() << 32, 0
 
         def block(ids, starts, lengths, codes, at, numbers) -> pa.RecordBatch:
-            codes, at = np.concatenate(codes or [np.zeros(0, np.int32)]), np.concatenate(at or [np.zeros(0, np.int32)])
-            order = np.argsort(codes, kind="stable")
-            used, counts = np.unique(codes, return_counts=True)
-            names = {i: t for t, i in numbers.items()}
-            used_names = [names[i] for i in used.tolist()]
-            if wanted is None:  # numbers were given as the words came
-                rank = np.argsort(np.array(used_names, object)) if used_names else np.zeros(0, int)
-                first = np.concatenate([[0], np.cumsum(counts)])
-                order = np.concatenate([order[first[r] : first[r + 1]] for r in rank] or [order])
-                used_names, counts = [used_names[r] for r in rank], counts[rank]
-            cells = [ids, starts, lengths, used_names, np.cumsum(counts).astype(np.int32), at[order].astype("<i4").tobytes()]
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=["doc_ids", "starts", "lengths", "terms", "ends", "places"])
-
-        fresh = lambda: ([], [], [], [], [], {} if wanted is None else wanted)
+            codes, at = np.concatenate(codes), np.concatenate(at)
+            ends = np.cumsum(np.bincount(codes, minlength=len(numbers))).astype(np.int32)
+            cells = [first + made, ids, starts, lengths, list(numbers), ends, _packed(at[np.argsort(codes, kind="stable")])]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=names)
+
+        fresh = lambda: ([], [], [], [], [], _Numbers())
         state, end = fresh(), 0
         for key, text in rows(batches):
             words = plain_words(text)
             if state[0] and end + len(words) > BLOCK:
                 yield block(*state)
-                state, end = fresh(), 0
+                state, end, made = fresh(), 0, made + 1
             ids, starts, lengths, codes, at, numbers = state
-            if wanted is None:
-                own = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32)
-            else:
-                own = np.fromiter((numbers.get(w, -1) for w in words), np.int32, len(words))
-            kept = np.flatnonzero(own >= 0).astype(np.int32)
-            ids.append(key), starts.append(end), lengths.append(len(words)), codes.append(own[kept]), at.append(kept + np.int32(end))
+            ids.append(key), starts.append(end), lengths.append(len(words))
+            codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+            at.append(np.arange(end, end + len(words), dtype=np.int32))
             end += len(words) + GAP
         if state[0]:
             yield block(*state)
@@ -78,49 +91,54 @@ def index(docs: DataFrame, terms: list[bytes] | None = None, id_col: str = "doc_
 
 @dataclass
 class Windows:
-    """The windows of a benchmark: sequences of term numbers, the items of each, and the terms."""
+    """Sequences of words of a benchmark as term numbers, the items of each, and the terms."""
 
     terms: list[bytes]
     numbers: np.ndarray  # windows x longest, -1 beyond a shorter window's end
-    items: list[list[int]]  # of each window, numbers of items
-    names: list[str]  # of the items
+    items: list[list[str]]  # of each window
 
     @staticmethod
-    def of(items: list[tuple[object, str | None]], size: int) -> Windows:
-        found: dict[tuple[bytes, ...], list[int]] = {}
-        names = []
+    def of(items: list[tuple[str, str | None]], size: int, step: int = 1) -> Windows:
+        """Windows of `size` words, each `step` words on; the last one ends with the item, and an item of fewer words is one."""
+        found: dict[tuple[bytes, ...], dict[str, None]] = {}
         for item, text in items:
             words = plain_words(text.encode()) if text else []
-            if not words:
-                continue
-            names.append(str(item))
-            for k in range(max(1, len(words) - size + 1)):
-                own = found.setdefault(tuple(words[k : k + size]), [])
-                if not own or own[-1] != len(names) - 1:
-                    own.append(len(names) - 1)
-        terms = sorted({t for w in found for t in w})
-        of = {t: i for i, t in enumerate(terms)}
+            if words:
+                last = max(len(words) - size, 0)
+                for k in sorted({min(k, last) for k in range(0, last + step, step)}):
+                    found.setdefault(tuple(words[k : k + size]), {})[item] = None
+        of = _Numbers()
         numbers = np.full((len(found), size), -1, np.int32)
         for i, w in enumerate(found):
             numbers[i, : len(w)] = [of[t] for t in w]
-        return Windows(terms, numbers, list(found.values()), names)
+        return Windows(list(of), numbers, [list(x) for x in found.values()])
 
 
 class _Block:
     """The postings of one block for the terms of a search."""
 
-    def __init__(self, terms: list[bytes], row: dict) -> None:
-        places = np.frombuffer(row["places"], "<i4")
-        have = dict(zip(row["terms"], zip([0, *row["ends"][:-1]], row["ends"], strict=True), strict=True)) if row["terms"] else {}
-        self.postings = [places[slice(*have.get(t, (0, 0)))] for t in terms]
+    def __init__(self, terms: pa.Array, row: dict) -> None:
+        places, ends = _unpacked(row["places"].as_py()), row["ends"].values.to_numpy()
+        have = pc.fill_null(pc.index_in(terms, value_set=row["terms"].values), -1).to_numpy()
+        begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        none = np.zeros(0, np.int32)
+        self.postings = [places[begins[k] : ends[k]] if k >= 0 else none for k in have.tolist()]
         self.counts = np.array([*(len(p) for p in self.postings), np.iinfo(np.int64).max])  # the last: beyond a window's end
+        self.starts, self.lengths = (row[c].values.to_numpy().astype(np.int64) for c in ("starts", "lengths"))
+
+    def documents(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, places, "right") - 1
+
+    def _rarest_first(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(window, its offsets by how rare their terms are) of the windows whose terms the block has."""
+        counts = self.counts[numbers]
+        for w in np.flatnonzero(counts.min(axis=1) > 0).tolist():
+            order = np.argsort(counts[w], kind="stable")
+            yield w, order[numbers[w, order] >= 0]
 
     def phrases(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
         """(window, places where it begins, its length) of the windows that stand in the block."""
-        rare = self.counts[numbers]
-        for w in np.flatnonzero(rare.min(axis=1) > 0).tolist():
-            order = np.argsort(rare[w], kind="stable")
-            order = order[numbers[w, order] >= 0]
+        for w, order in self._rarest_first(numbers):
             at = self.postings[numbers[w, order[0]]] - order[0]
             for k in order[1:]:
                 at = at[_among(self.postings[numbers[w, k]], at + k)]
@@ -130,12 +148,12 @@ class _Block:
                 yield w, at, len(order)
 
     def near(self, numbers: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(window, places of its rarest term) where all its terms stand at most `reach` words from there."""
-        rare = self.counts[numbers]
-        for w in np.flatnonzero(rare.min(axis=1) > 0).tolist():
-            order = np.argsort(rare[w], kind="stable")
-            order = order[numbers[w, order] >= 0]
-            at = self.postings[numbers[w, order[0]]]
+        """(window, places of its first word) where all its other words stand at most `reach` words from there."""
+        for w, order in self._rarest_first(numbers):
+            at, rare = self.postings[numbers[w, 0]], self.postings[numbers[w, order[0]]]
+            low, high = np.searchsorted(at, rare - reach, "left"), np.searchsorted(at, rare + reach, "right")
+            sizes = high - low
+            at = at[np.unique(np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()))]
             for k in order[1:]:
                 other = self.postings[numbers[w, k]]
                 at = at[np.searchsorted(other, at + reach, "right") > np.searchsorted(other, at - reach, "left")]
@@ -151,102 +169,93 @@ def _among(sorted_places: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sorted_places[k] == at
 
 
-def _bounded_parts(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark's items in parts of bounded size."""
-    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = total // MAX_BENCHMARK + 1
-    for k in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k)
-        yield [tuple(r) for r in own.collect()]
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i] for name in batch.schema.names}
 
 
-def proximity(indexed: DataFrame, queries: list[tuple[str, list[bytes]]], reach: int) -> DataFrame:
-    """(doc_id, query, n_places): documents where all terms of a query stand within `reach` (below GAP) words of its rarest term in the block."""
-    terms = sorted({t for _, q in queries for t in q})
-    of = {t: i for i, t in enumerate(terms)}
+def proximity(indexed: DataFrame, queries: list[tuple[str, list[bytes]]], reach: int = REACH) -> DataFrame:
+    """(doc_id, query, n_places): documents with places of a query's first word from which all its words stand at most `reach` (below GAP) words."""
+    if reach >= GAP:
+        raise ValueError(f"reach must be below {GAP}")
+    of = _Numbers()
     numbers = np.full((len(queries), max([1, *(len(q) for _, q in queries)])), -1, np.int32)
     for i, (_, q) in enumerate(queries):
         numbers[i, : len(q)] = [of[t] for t in q]
-    if reach >= GAP:
-        raise ValueError(f"reach must be below {GAP}")
+    terms = list(of)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                starts = np.array(row["starts"], np.int64)
-                out = []
-                for q, at in _Block(terms, row).near(numbers, reach):
-                    docs, n = np.unique(np.searchsorted(starts, at, "right") - 1, return_counts=True)
-                    out += [(row["doc_ids"][d], queries[q][0], int(c)) for d, c in zip(docs, n, strict=True)]
-                a, b, c = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.int64())], names=["doc_id", "query", "n_places"])
+        wanted = pa.array(terms, pa.binary())
+        for row in _blocks(batches):
+            block, ids, out = _Block(wanted, row), row["doc_ids"].as_py(), []
+            for q, at in block.near(numbers, reach):
+                docs, n = np.unique(block.documents(at), return_counts=True)
+                out += [(ids[d], queries[q][0], int(c)) for d, c in zip(docs, n, strict=True)]
+            a, b, c = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.int64())], names=["doc_id", "query", "n_places"])
 
     return indexed.mapInArrow(search, "doc_id long, query string, n_places long")
 
 
+def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str | None]]]:
+    """The benchmark's items in parts of bounded size, dealt by a hash; an item is whole."""
+    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    parts = total // MAX_BENCHMARK + 1
+    for k in range(parts):
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k)
+        yield [(str(r["item"]), r["text"]) for r in own.collect()]
+
+
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, near: bool = True, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items): the benchmark's windows in each document.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated[, n_near_items], items): the benchmark's windows in each row's document.
 
     n_hit: words inside any window of `window` words; an item of fewer words is one window. contaminated:
-    share * n_hit >= n_words > 0 and n_hit > 0. A null or empty text has no words, and an item without words no
-    window; repeated documents each have their row; item ids are told apart as strings.
+    share * n_hit >= n_words and n_hit > 0. n_near_items: items of which a piece (`window` words, cut side by side, the last
+    ending with the item) has all its words at most REACH words from a place of its first one, in whatever order. A null or
+    empty text has no words, and an item without words no window; repeated documents each have their row; item ids are
+    told apart as strings.
     """
-    parts = []
-    for items in _bounded_parts(benchmark, item_col, item_text_col):
-        windows = Windows.of(items, window)
-        indexed = stored(index(docs, windows.terms, id_col, text_col), "postings")
-        parts.append(indexed.mapInArrow(_search(windows, share), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<int>, part_no long"))
-    if len(parts) == 1:
-        return parts[0].drop("spans", "part_no")
-    return _merged(parts, share)
+    indexed = stored(index(docs, id_col, text_col), "postings")
+    found = [stored(indexed.mapInArrow(_search(items, window, near), "block long, doc_no int, items array<string>, near_items array<string>, hit array<int>"), "matches") for items in _parts(benchmark, item_col, item_text_col)]
+    together = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    matches = reduce(DataFrame.unionByName, found).groupBy("block", "doc_no").agg(together("items"), together("near_items"), together("hit"))
+    every = indexed.select("block", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("doc_no", "d")).select("block", "doc_no", F.col("d.doc_ids").alias("doc_id"), F.col("d.lengths").cast("long").alias("n_words"))
+    none = F.array().cast("array<string>")
+    hit, items = F.coalesce(F.size("hit"), F.lit(0)).cast("long"), F.array_sort(F.coalesce("items", none))
+    return every.join(matches, ["block", "doc_no"], "left").select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"), *([F.size(F.coalesce("near_items", none)).cast("long").alias("n_near_items")] if near else []), items.alias("items"),
+    )
 
 
-def _search(windows: Windows, share: int):
+def _search(part: list[tuple[str, str | None]], size: int, near: bool):
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                starts, lengths = np.array(row["starts"], np.int64), np.array(row["lengths"], np.int64)
-                cover = np.zeros(int(starts[-1] + lengths[-1]) + 1, np.int32)
-                items: dict[int, set[int]] = {}
-                for w, at, size in _Block(windows.terms, row).phrases(windows.numbers):
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + size, -1)
-                    for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
-                        items.setdefault(d, set()).update(windows.items[w])
-                hit = np.cumsum(cover) > 0
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = total[starts + lengths] - total[starts]
-                names = [sorted({windows.names[i] for i in items[d]}) if d in items else [] for d in range(len(starts))]
-                spans = [np.flatnonzero(hit[s : s + n]).astype(np.int32) if h else [] for s, n, h in zip(starts, lengths, n_hit, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(lengths),
-                        pa.array(n_hit, pa.int64()),
-                        pa.array([len(x) for x in names], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
-                        pa.array((n_hit > 0) & (share * n_hit >= lengths)),
-                        pa.array(names, pa.list_(pa.string())),
-                        pa.array(spans, pa.list_(pa.int32())),
-                        pa.array(starts),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", "part_no"],
-                )
+        windows, pieces = Windows.of(part, size), Windows.of(part if near else [], size, size)
+        terms, piece_terms = pa.array(windows.terms, pa.binary()), pa.array(pieces.terms, pa.binary())
+        names = ["block", "doc_no", "items", "near_items", "hit"]
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32())]
+        for row in _blocks(batches):
+            block = _Block(terms, row)
+            cover = np.zeros(int(block.starts[-1] + block.lengths[-1]) + 1, np.int32)
+            items: dict[int, set[str]] = {}
+            for w, at, length in block.phrases(windows.numbers):
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + length, -1)
+                for d in np.unique(block.documents(at)).tolist():
+                    items.setdefault(d, set()).update(windows.items[w])
+            hit = np.flatnonzero(np.cumsum(cover) > 0)
+            alike: dict[int, set[str]] = {}
+            for w, at in _Block(piece_terms, row).near(pieces.numbers, REACH) if near else ():
+                for d in np.unique(block.documents(at)).tolist():
+                    alike.setdefault(d, set()).update(pieces.items[w])
+            some = sorted(items.keys() | alike.keys())
+            low, high = (np.searchsorted(hit, block.starts[some] + (block.lengths[some] if end else 0)) for end in (False, True))
+            places = [(hit[a:b] - block.starts[d]).astype(np.int32) for d, a, b in zip(some, low, high, strict=True)]
+            cells = [[row["block"].as_py()] * len(some), some, [sorted(items.get(d, ())) for d in some], [sorted(alike.get(d, ())) for d in some], places]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=names)
 
     return search
-
-
-def _merged(parts: list[DataFrame], share: int) -> DataFrame:
-    """Results for the parts of a large benchmark, as if it had been searched at once; rows of one doc_id with equal word counts are told apart by their places."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    out = every.groupBy("doc_id", "n_words", "part_no").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    hit = F.size("hit").cast("long")
-    return out.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"), "items",
-    )

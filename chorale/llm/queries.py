@@ -102,10 +102,15 @@ dw AS (SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS win
        FROM d, sizes, unnest(range(1, len(w) - size + 2)) AS t(i) WHERE len(w) >= size),
 hits AS (SELECT doc_id, item, i, dw.size FROM dw JOIN bw ON dw.win = bw.win AND dw.size = bw.size),
 places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + size)) AS t(p) GROUP BY doc_id),
-found AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM hits GROUP BY doc_id)
+found AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM hits GROUP BY doc_id),
+pieces AS (SELECT DISTINCT item, w[greatest(least(i, len(w) - 12), 1) : greatest(least(i, len(w) - 12), 1) + 12] AS p FROM b, unnest(range(1, len(w) + 1, 13)) AS t(i)),
+held AS (SELECT doc_id, item, w, p FROM d JOIN pieces ON list_has_all(w, p)),
+near AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM held, unnest(range(1, len(w) + 1)) AS t(i)
+         WHERE w[i] = p[1] AND list_has_all(w[greatest(i - {decontamination.REACH}, 1) : i + {decontamination.REACH}], p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)""",
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near, 0) AS n_near_items
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op8_quality_rules": r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM w, unnest(range(1, len(w) - 3)) AS x(i) WHERE len(w) > 4),

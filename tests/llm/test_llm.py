@@ -229,6 +229,15 @@ def test_contamination_in_parts_equals_at_once(spark, docs, benchmark, monkeypat
     assert rows(decontamination.contamination(docs, benchmark).drop("items").toPandas()) == rows(whole.drop("items").toPandas())
 
 
+def test_contamination_in_parts_keeps_repeated_rows(spark, monkeypatch):
+    d = spark.createDataFrame([(7, "one two three"), (7, "one two three"), (7, "four five six"), (8, "one two three"), (None, "four five six")], "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "two three")], "item_id long, text string")
+    whole = decontamination.contamination(d, b)
+    monkeypatch.setattr(decontamination, "MAX_BENCHMARK", 10)
+    got = rows(decontamination.contamination(d.orderBy(F.desc("text")), b).drop("items").toPandas())
+    assert got == rows(whole.drop("items").toPandas()) and len(got) == 5
+
+
 def test_contamination_of_repeats_and_short_items(spark):
     d = spark.createDataFrame([(1, "a b c a b c"), (2, "A, b! c"), (3, "c b a"), (4, None)], "doc_id long, text string")
     b = spark.createDataFrame([(10, "a b c"), (9, "b c"), (8, ""), (7, None)], "item_id long, text string")
@@ -243,6 +252,22 @@ def test_proximity(spark):
     assert [(r["doc_id"], r["query"]) for r in found.collect()] == [(1, "q")]
 
 
+def test_proximity_against_every_place(spark):
+    r = random.Random(6)
+    texts = {i: r.choices("abcdefgh", k=r.randint(0, 40)) for i in range(60)}
+    asked = {f"q{i}": r.choices("abcdefgh", k=r.randint(1, 5)) for i in range(30)}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    indexed = common.stored(decontamination.index(d), "index")
+    got = {(x["doc_id"], x["query"]): x["n_places"] for x in decontamination.proximity(indexed, [(q, [t.encode() for t in w]) for q, w in asked.items()], 3).collect()}
+    want = {}
+    for i, w in texts.items():
+        for q, terms in asked.items():
+            n = sum(x == terms[0] and set(terms) <= set(w[max(0, k - 3) : k + 4]) for k, x in enumerate(w))
+            if n:
+                want[i, q] = n
+    assert got == want
+
+
 def test_cascade_order_changes_no_verdict(docs):
     ordered = quality.judged(docs, quality.RULES, measures=False, sample=1).select("doc_id", "kept")
     turned = quality.judged(docs, quality.RULES[::-1], measures=False, sample=1).select("doc_id", "kept")
