@@ -37,16 +37,38 @@ def share_code(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_written: dict[str, list[str]] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; one of our own only in local mode, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the folder that the cluster shares (spark.checkpoint.dir) and read it back; it cuts lineage."""
+    """Write a table to the shared folder and read it back: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete all tables that stored() wrote in this application, once the results made from them are written; their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    return len(paths)
+
+
 @lru_cache(maxsize=1)
 def _own_dir() -> str:
-    """Only where the setting is unset, as in tests."""
     return f"file://{tempfile.mkdtemp(prefix='spark-')}"
