@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chorale.session import stored
+
+__all__ = ["documents", "mixed", "partitions", "plain_words", "ranked", "rows", "shingle_hashes", "spaced_words", "stored", "table", "word_hashes"]
+
 #: A-Z to a-z; every other ASCII character but digits and letters to a space.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -26,23 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; one of our own only where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: it cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -85,7 +69,6 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """df and a rank gapless from 0 within each group, without a group ever meeting in one task.
 
