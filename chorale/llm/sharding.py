@@ -7,7 +7,8 @@ weights change, and below a child that keeps its weights nothing moves.
 
 A shard that joins a rack raises the weights of its rack and region, which then also take documents for their
 older shards. tree() therefore gives each shard beyond the first `base` a region of its own: then one more
-shard takes documents only into itself.
+shard takes documents only into itself. `base` belongs to a layout: it is the number of shards that it began with, and
+stays as shards are added.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ class Shard:
     weight: float = 1.0
 
 
-def tree(shards: int, base: int = 40, racks: int = 4, per_rack: int = 5) -> list[Shard]:
-    """Shards 0 to shards - 1 of equal weight; of the first `base`, per_rack stand in a rack and `racks` racks in a region."""
-    out = []
+def tree(shards: int, base: int | None = None, racks: int = 4, per_rack: int = 5) -> list[Shard]:
+    """Shards 0 to shards - 1 of equal weight; of the first `base` (all, if not given), per_rack stand in a rack and `racks` racks in a region."""
+    base, out = shards if base is None else base, []
     for s in range(shards):
         region = f"r{s // (racks * per_rack)}" if s < base else f"x{s}"
         out.append(Shard(region, f"{region}.{s // per_rack % racks if s < base else 0}", s))
@@ -68,15 +69,19 @@ class Tree:
         return out
 
 
-def shard(docs: DataFrame, shards: int = 40, grown: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, grown: int | None = None, base: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) under the law `key`.
 
     The shard follows from doc_id and the shard count alone, so repeated rows meet in one shard, and texts have
     no part in it. size: UTF-8 bytes plus 16; a null text has none and the checksum 0. slot: the row's place in
     its shard, gapless from 0, in no order that means anything. A null doc_id has a shard too. grown_shard:
-    the shard when there are `grown` of them (one more if not given).
+    the shard when there are `grown` of them (one more if not given). base: the number of shards that the layout began
+    with, at most `shards`; that number itself if not given.
     """
-    now, later = Tree(tree(shards)), Tree(tree(grown or shards + 1))
+    base = shards if base is None else base
+    if not 1 <= base <= shards:
+        raise ValueError("base must be from 1 to the number of shards")
+    now, later = Tree(tree(shards, base)), Tree(tree(grown or shards + 1, base))
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
