@@ -117,12 +117,18 @@ g AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM w, unnest(r
 r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 p AS (SELECT doc_id, count(DISTINCT k) AS n_repeat FROM r, unnest(range(i, i + 5)) AS x(k) GROUP BY doc_id),
 l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+chars AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'), '')) AS c FROM w),
+top AS (SELECT doc_id, max(n) AS n_top FROM (SELECT doc_id, c, count(*) AS n FROM chars WHERE c <> '' GROUP BY ALL) GROUP BY doc_id),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
       CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
-      CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words
-      FROM w JOIN l USING (doc_id) LEFT JOIN p USING (doc_id))
+      CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
+      len(list_filter(w, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letterless,
+      len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*([-*]|•)'))) AS n_bullets,
+      len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipses, coalesce(n_top, 0) AS n_top_char
+      FROM w JOIN l USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN top USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 50 * n_lines
-            OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_letterless > 40 * n_words
+            OR 100 * n_bullets > 90 * n_lines OR 100 * n_ellipses > 30 * n_lines OR 100 * n_top_char > 30 * word_chars) AS kept
 FROM m""",
 }

@@ -113,6 +113,14 @@ def test_licenses(spark):
     assert got[1]["score"] == 1.0 and 0.7 <= got[2]["score"] <= 1 and got[3]["score"] == 0
 
 
+def test_words_beyond_ascii_are_not_lowered_to_ascii(spark):
+    d = spark.createDataFrame([(1, "this wor\u212a has been dedicated to the public domain"), (2, "THIS WORK has been dedicated to the Public Domain"), (3, "All R\u0130GHTS reserved"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["labels"]) for r in license_scan.scan(d).collect()}
+    assert got[2] == (9, "public-domain") and got[3] == (3, "") and got[4] == (0, "")
+    one = {r["word_"]: r["n"] for r in d.where("doc_id = 1").select(F.explode(license_scan.words(F.col("text"))).alias("word_")).groupBy("word_").agg(F.count("*").alias("n")).collect()}
+    assert "work" not in one and sum(one.values()) == 9 == got[1][0]
+
+
 def test_native_plans_have_no_python(docs):
     for out in (license_scan.scan(docs), line_dedup.near_pairs(line_dedup.distinct_lines(line_dedup.lines(docs))), line_dedup.summary(docs)):
         plan = out._jdf.queryExecution().toString()
@@ -211,6 +219,36 @@ def test_shards(docs):
     assert len(moved) and (moved["grown_shard"] == 40).all() and got["shard"].max() < 40
 
 
+@pytest.mark.parametrize("shards", [1, 2, 19, 20, 39, 40, 41])
+def test_one_more_shard_takes_rows_only_into_itself(shards):
+    keys = common.word_hashes([str(i).encode() for i in range(20_000)])
+    for base in {shards, max(1, shards - 3)}:
+        now, later = (sharding.Tree(sharding.tree(n, base)).assign(keys) for n in (shards, shards + 1))
+        moved = now != later
+        assert (later[moved] == shards).all() and abs(moved.mean() * (shards + 1) - 1) < 0.35
+
+
+def test_shards_against_plain_draws(spark, docs, texts):
+    """Sizes, checksums and the descent, one key and one child at a time."""
+    got = {r["doc_id"]: r for r in sharding.shard(docs, 40).collect()}
+    shards = sharding.tree(40)
+
+    def draw(key: str, name: str, weight: float) -> float:
+        h = common.word_hashes([key.encode()]) ^ common.word_hashes([name.encode()])
+        x = int(common.mixed(common.mixed(h) + np.uint64(0x9E3779B97F4A7C15))[0]) >> 11
+        return -math.log((x + 0.5) / 2**53) / weight
+
+    for i, t in texts.items():
+        size, at = len(t.encode()) + 16, shards
+        for level in ("region", "rack", "shard"):
+            weights = collections.Counter()
+            for s in at:
+                weights[getattr(s, level)] += s.weight
+            best = min(weights, key=lambda c: draw(str(i), f"{level} {c}", weights[c]))
+            at = [s for s in at if getattr(s, level) == best]
+        assert (got[i]["size"], got[i]["text_crc32"], got[i]["shard"], got[i]["law"]) == (size, zlib.crc32(t.encode()), at[0].shard, "key")
+
+
 def test_movement_stays_in_subtrees_whose_weights_change():
     shards = sharding.tree(40)
     keys = common.word_hashes([str(i).encode() for i in range(20_000)])
@@ -275,6 +313,24 @@ def test_cascade_order_changes_no_verdict(docs):
     assert {r.name for r in quality.cascade(docs, sample=2)} == {r.name for r in quality.RULES}
 
 
+def test_measures_of_later_rules_are_not_made_after_a_failure():
+    asked = []
+
+    class Watched(quality.Text):
+        def __getattribute__(self, name):
+            if name.startswith("n_") or name == "word_chars":
+                asked.append(name)
+            return super().__getattribute__(name)
+
+    text = Watched(b"few words")
+    assert next(r.name for r in quality.RULES if r.fails(text)) == "few_words" and set(asked) == {"n_words"}
+
+
+@pytest.mark.parametrize("text, by", [("1 2 3 4 5 6 7 eight nine ten", "letterless"), ("- one line of words\n* two lines of words\n\u2022 three of them", "bullets"), ("a line that is cut...\nanother line, cut off as well\u2026 \nand one that goes on", "ellipses"), ("zzzzzzzzzz zzz zzzzzz za zb zc zd ze zf zg", "one_character")])
+def test_usual_rules(text, by):
+    assert by in [r.name for r in quality.RULES if r.fails(quality.Text(text.encode()))]
+
+
 def within(a, b, most):
     if abs(len(a) - len(b)) > most:
         return False
