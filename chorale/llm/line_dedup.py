@@ -5,7 +5,7 @@ into EDITS + 1 segments of even length leaves at least one untouched by so many
 indexed under its segments, by length and position, and probes the index for its own length and the EDITS
 lengths below with those of its substrings whose position such edits can reach. A segment that very many lines
 share names little: there the rest of the line, which may hold no more edits, is cut into segments again, and lines
-meet under both. The counts of candidates' letters must not differ by more than two an edit. What remains is verified
+meet under both. The counts of candidates' letters must not differ by more than two an edit; what remains is verified
 by a bit-parallel automaton in the band around the diagonal.
 
 A line is removed if an equal or near-equal line stands earlier, by doc_id, text (rows of one doc_id with other
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from chorale.llm.common import documents, stored
 
 EDITS, MIN_CHARS = 2, 24
-#: Letters by whose counts candidates are compared.
-LETTERS = "etaoinsr"
+#: Characters by whose counts candidates are compared.
+LETTERS = "etaoinshrldu cm."
 #: Line hashes up to which a list is sent to all tasks (some 30 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 #: One distinct line in so many tells which segments are common: those that so many of these lines have.
@@ -50,19 +50,20 @@ def _pieces(n: Column, edits: int) -> list[tuple[Column, int, Column, Column]]:
 
 
 def _keys(line: Column, n: Column, edits: int) -> Column:
-    return F.array(*(F.xxhash64(length.cast("int"), F.lit(i), F.substring(line, start + 1, size)) for length, i, start, size in _pieces(n, edits)))
+    """Of a line in UTF-32, so that a substring is a slice of bytes."""
+    return F.array(*(F.xxhash64(length.cast("int"), F.lit(i), F.substring(line, 4 * start + 1, 4 * size)) for length, i, start, size in _pieces(n, edits)))
 
 
-def _letters(line: Column) -> Column:
-    """The counts of LETTERS, up to 255 each, as the bytes of an integer."""
-    counts = (F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long") for c in LETTERS)
-    return reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(c, 8 * k) for k, c in enumerate(counts)))
+def _keyed(df: DataFrame, line: str, edits: int, *kept: str) -> DataFrame:
+    """(kept, keys) of each row's line."""
+    wide = df.select(*kept, F.encode(line, "UTF-32").alias("__line"))
+    return wide.select(*kept, _keys(F.col("__line"), (F.octet_length("__line") / 4).cast("int"), edits).alias("keys"))
 
 
-def _apart(a: Column, b: Column) -> Column:
-    """The sum of the counts' differences: an edit changes two counts by one at most."""
-    count = lambda x, k: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))
-    return reduce(lambda x, y: x + y, (F.abs(count(a, k) - count(b, k)) for k in range(len(LETTERS))))
+def _letters_apart(a: Column, b: Column) -> Column:
+    """The sum of the differences in the counts of LETTERS: an edit changes two counts by one at most."""
+    count = lambda x, c: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(c), F.lit("")))
+    return reduce(lambda x, y: x + y, (F.abs(count(a, c) - count(b, c)) for c in LETTERS))
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -76,8 +77,6 @@ def within(a: Column, b: Column, edits: int) -> Column:
         raise ValueError("at most 4 edits: the band's bits must fit one integer")
     width = 2 * edits + 1
     full = F.lit((1 << width) - 1).cast("long")
-    left, right = F.split(a, ""), F.split(b, "")
-    same = lambda j: reduce(lambda x, y: x + y, (F.get(left, j + d).eqNullSafe(F.get(right, j)).cast("long") * (1 << (d + edits)) for d in range(-edits, edits + 1)))
 
     def step(state: Column, equal: Column) -> Column:
         old = [F.shiftright(state, e * width).bitwiseAND(full) for e in range(edits + 1)]
@@ -87,10 +86,16 @@ def within(a: Column, b: Column, edits: int) -> Column:
             new.append(reached.bitwiseAND(full))
         return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(x, e * width) for e, x in enumerate(new)))
 
+    def equals(x: Column) -> Column:
+        """For each character of b the diagonals of the band on which a has it."""
+        same = lambda c, j: reduce(lambda u, v: u + v, (F.get(x["a"], j + d).eqNullSafe(c).cast("long") * (1 << (d + edits)) for d in range(-edits, edits + 1)))
+        return F.transform(x["b"], same)
+
     start = sum(((1 << (e + 1)) - 1) << (edits + e * width) for e in range(edits + 1))
     n, m = F.char_length(a), F.char_length(b)
-    equals = F.transform(F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>")), same)
-    last = F.aggregate(equals, F.lit(start).cast("long"), step)
+    # The characters are bound to a variable, or each step would split the texts anew.
+    characters = F.array(F.struct(F.split(a, "").alias("a"), F.when(m > 0, F.split(b, "")).otherwise(F.array().cast("array<string>")).alias("b")))
+    last = F.get(F.transform(characters, lambda x: F.aggregate(equals(x), F.lit(start).cast("long"), step)), F.lit(0))
     return (F.abs(n - m) <= edits) & (F.call_function("shiftright", last, edits * width + edits + n - m).bitwiseAND(F.lit(1)) == 1)
 
 
@@ -101,68 +106,73 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
-def distinct_lines(every: DataFrame) -> DataFrame:
-    """(h, first, count, line, n): each line once, with its first place, its number of places and of characters; written, as all else is told from it."""
-    place = F.struct("doc_id", "text_key", "line_no")
-    return stored(every.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("count"), F.first("line").alias("line")).withColumn("n", F.char_length("line")), "lines")
-
-
 def _listed(hashes: DataFrame) -> DataFrame:
     return F.broadcast(hashes) if hashes.count() <= BROADCAST_LINES else hashes
 
 
-def _candidates(rows: DataFrame, edits: int) -> DataFrame:
-    """(a, b) of rows(h, n, letters, at, key) under one key, b's own segment, that can be near; some more than once."""
-    side = lambda d, x: d.select("key", F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("letters").alias(f"p{x}"))
-    index, probe = side(rows.where(F.col("at") <= edits), "b"), side(rows, "a")
-    meet = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return probe.join(index, (probe["key"] == index["key"]) & meet & (_apart(F.col("pa"), F.col("pb")) <= 2 * edits)).select("a", "b")
+def _meeting(index: DataFrame, probe: DataFrame) -> DataFrame:
+    """(a, b), a < b: different lines under one key; some more than once."""
+    both = index.select("key", F.col("h").alias("x")).join(probe.select("key", F.col("h").alias("y")), "key").where("x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _common(long_lines: DataFrame, edits: int) -> DataFrame:
+def _common(keyed: DataFrame, edits: int) -> DataFrame:
     """Keys of segments that very many lines share, told from some of the lines; what is told decides how lines meet, never whether."""
-    some = long_lines.where(F.pmod("h", F.lit(GLANCE)) == 0)
-    return stored(some.select(F.explode(F.slice(_keys(F.col("line"), F.col("n"), edits), 1, edits + 1)).alias("key")).groupBy("key").count().where(F.col("count") >= COMMON).select("key"), "common")
-
-
-def near_pairs(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b, fa, fb): hashes of distinct lines within `edits` edits and their first places, each pair once."""
-    line, n = F.col("line"), F.col("n")
-    long_lines = distinct.where(n >= min_chars).select("h", "line", "n")
-    rows = long_lines.select("h", "n", _letters(line).alias("letters"), F.posexplode(_keys(line, n, edits)).alias("at", "key"))
-    common = _common(long_lines, edits)
+    some = keyed.where(F.pmod("h", F.lit(GLANCE)) == 0)
+    return stored(some.select(F.explode(F.slice("keys", 1, edits + 1)).alias("key")).groupBy("key").count().where(F.col("count") >= COMMON).select("key"), "common")
+
+
+def _deeper(texts: DataFrame, common: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """(index, probe), each (key, h), of lines(h, line) for their common keys: under a common key and the segments of what it leaves of the line."""
+    n = (F.octet_length("wide") / 4).cast("int")
+    wide = texts.select("h", F.encode("line", "UTF-32").alias("wide"))
+    piece = F.array(*(F.struct(F.lit(k).alias("was"), (4 * start).alias("start"), (4 * size).alias("size")) for k, (_, _, start, size) in enumerate(_pieces(n, edits))))
+    each = wide.select("h", "wide", piece.alias("pieces"), _keys(F.col("wide"), n, edits).alias("keys")).select("h", "wide", F.posexplode("keys").alias("k", "outer"), "pieces")
+    shared = each.join(common.withColumnRenamed("key", "outer"), "outer").select("h", "wide", "outer", F.get("pieces", F.col("k")).alias("p"))
+    rest = F.concat(F.substring("wide", F.lit(1), F.col("p.start")), F.substring("wide", F.col("p.start") + F.col("p.size") + 1, F.octet_length("wide")))
+    left = shared.select("h", "outer", "p.was", rest.alias("wide"))
+    again = left.select("h", "outer", "was", F.posexplode(_keys(F.col("wide"), n, edits)).alias("at", "inner"))
+    found = again.select("h", F.xxhash64("outer", "inner").alias("key"), ((F.col("was") <= edits) & (F.col("at") <= edits)).alias("own"))
+    return found.where("own").select("key", "h"), found.select("key", "h")
+
+
+def near_pairs(every: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(a, b), a < b: hashes of lines within `edits` edits, each pair once."""
+    long_lines = every.where(F.char_length("line") >= min_chars)
+    keyed = _keyed(long_lines, "line", edits, "h").groupBy("h").agg(F.first("keys").alias("keys"))  # one shuffle, read by index and probe
+    rows = keyed.select("h", F.posexplode("keys").alias("at", "key"))
+    common = _common(keyed, edits)
+    texts = lambda wanted: long_lines.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     if common.limit(1).count():
         hot = _listed(common)
-        piece = F.array(*(F.struct(F.lit(k).alias("at"), (start + 1).alias("start"), size.alias("size")) for k, (_, _, start, size) in enumerate(_pieces(n, edits))))
-        pieces = F.arrays_zip(piece.alias("piece"), _keys(line, n, edits).alias("key"))
-        shared = long_lines.select("h", "line", "n", _letters(line).alias("letters"), F.explode(pieces).alias("x")).select("h", "line", "n", "letters", "x.key", "x.piece.*").join(hot, "key")
-        rest = F.concat(F.substring(line, F.lit(1), F.col("start") - 1), F.substring(line, F.col("start") + F.col("size"), n))
-        again = shared.select("h", "n", "letters", "key", "at", rest.alias("rest")).select(
-            "h", "n", "letters", F.col("key").alias("outer"), F.col("at").alias("was"), F.posexplode(_keys(F.col("rest"), F.char_length("rest"), edits)).alias("at", "inner")
-        )
-        own = (F.col("was") <= edits) & (F.col("at") <= edits)  # in the index by a segment of a segment's rest
-        deeper = again.select("h", "n", "letters", F.when(own, 0).otherwise(edits + 1).alias("at"), F.xxhash64("outer", "inner").alias("key"))
-        found = _candidates(rows.join(hot, "key", "left_anti"), edits).unionByName(_candidates(deeper, edits))
+        who = _listed(stored(rows.join(hot, "key", "left_semi").select("h").distinct(), "lines"))
+        cold = rows.join(hot, "key", "left_anti")
+        found = _meeting(cold.where(F.col("at") <= edits), cold).unionByName(_meeting(*_deeper(texts(who), hot, edits)))
     else:
-        found = _candidates(rows, edits)
+        found = _meeting(rows.where(F.col("at") <= edits), rows)
     pairs = stored(found.distinct(), "line-pairs")
 
     wanted = _listed(stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines"))
-    texts = stored(distinct.select("h", "line", "first").join(wanted, "h", "left_semi"), "lines")
-    side = lambda x: texts.select(F.col("h").alias(x), F.col("line").alias(f"l{x}"), F.col("first").alias(f"f{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b", "fa", "fb")
+    known = stored(texts(wanted), "lines")
+    side = lambda x: known.select(F.col("h").alias(x), F.col("line").alias(f"l{x}"))
+    alike = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(_letters_apart(F.col("la"), F.col("lb")) <= 2 * edits), "line-pairs")
+    return alike.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b")
 
 
 def _removed(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_key, line_no, near), a row for each row's removed line."""
     every = lines(docs, id_col, text_col)
-    distinct = distinct_lines(every)
-    later = near_pairs(distinct, edits, min_chars).select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h"))
+    place = F.struct("doc_id", "text_key", "line_no")
+    firsts = stored(every.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
+    pairs = stored(near_pairs(every, edits, min_chars), "near-lines")
+    wanted = _listed(stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines"))
+    begin = stored(firsts.join(wanted, "h", "left_semi").select("h", "first"), "firsts")
+    side = lambda x: begin.select(F.col("h").alias(x), F.col("first").alias(f"f{x}"))
+    later = pairs.join(side("a"), "a").join(side("b"), "b").select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h"))
     later = _listed(stored(later.distinct().withColumn("near", F.lit(True)), "near-lines"))
-    decided = distinct.select("h", "first", "count").join(later, "h", "left").where("count > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    decided = firsts.join(later, "h", "left").where("n > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     # A list, or a plain join of two tables: a line that stands in very many places isn't one task's.
-    found = every.join(_listed(stored(decided, "decided")), "h").withColumn("is_first", F.struct("doc_id", "text_key", "line_no") == F.col("first"))
+    found = every.join(_listed(stored(decided, "decided")), "h").withColumn("is_first", place == F.col("first"))
     return found.where("near or not is_first").select("doc_id", "text_key", "line_no", (F.col("near") & F.col("is_first")).alias("near"))
 
 

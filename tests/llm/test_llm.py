@@ -122,7 +122,7 @@ def test_words_beyond_ascii_are_not_lowered_to_ascii(spark):
 
 
 def test_native_plans_have_no_python(docs):
-    for out in (license_scan.scan(docs), line_dedup.near_pairs(line_dedup.distinct_lines(line_dedup.lines(docs))), line_dedup.summary(docs)):
+    for out in (license_scan.scan(docs), line_dedup.near_pairs(line_dedup.lines(docs)), line_dedup.summary(docs)):
         plan = out._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
 
@@ -362,7 +362,7 @@ def test_near_lines(spark, monkeypatch, glance):
     d = spark.createDataFrame([(i // 5, line) for i, line in enumerate(lines)], "doc_id long, line string").groupBy("doc_id").agg(F.concat_ws("\n", F.collect_list("line")).alias("text"))
     d = common.stored(d, "lines")
     if glance == 1:
-        assert line_dedup._common(line_dedup.distinct_lines(line_dedup.lines(d)).where("n >= 24"), 2).count() > 0
+        assert line_dedup._common(line_dedup._keyed(line_dedup.lines(d), "line", 2, "h"), 2).count() > 0
     every = [(r["doc_id"], k, x) for r in sorted(d.collect()) for k, x in enumerate(r["text"].split("\n")) if x.strip()]
     first = {}
     for i, k, x in every:
