@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorale.llm.common import documents, mixed, plain_words, rows
@@ -286,11 +286,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = marked.where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     chosen = [marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in SAMPLE.items()]
     ids = chosen[0].unionByName(chosen[1])  # 7,500 at most
-    text = F.coalesce("text", F.lit(""))
-    own = documents(docs, id_col, text_col).select("doc_id", text.alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT)
+    own = documents(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT)
     one = own.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("id", "y").agg(F.min("text").alias("text"))
-    bytes_ = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
-    found = one.withColumn("bytes", bytes_).where(F.col("bytes") <= F.when(F.col("y") == 1, SAMPLE_BYTES[1]).otherwise(SAMPLE_BYTES[0])).select("id", "y", "text").collect()
+    sizes = one.select("id", "y", F.octet_length("text").alias("n"), F.xxhash64("id").alias("order")).collect()
+    within, most = [], dict(SAMPLE_BYTES)
+    for r in sorted(sizes, key=lambda r: (r["order"], r["id"])):
+        most[r["y"]] -= r["n"]
+        within += [r["id"]] * (most[r["y"]] >= 0)
+    found = one.where(F.col("id").isin(within)).collect() if within else []
     found.sort(key=lambda r: r["id"])
     texts = {y: [r["text"].encode() for r in found if r["y"] == y] for y in (0, 1)}
     del found
