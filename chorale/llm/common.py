@@ -7,12 +7,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chorale.session import stored
 
-__all__ = ["documents", "mixed", "partitions", "plain_words", "ranked", "rows", "shingle_hashes", "spaced_words", "stored", "table", "word_hashes"]
+__all__ = ["documents", "mixed", "partitions", "plain_words", "ranked", "rows", "shingle_hashes", "spaced_words", "stored", "table", "text_key", "without", "word_hashes"]
 
 #: A-Z to a-z; every other ASCII character but digits and letters to a space.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -23,6 +23,17 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def text_key(docs: DataFrame, text_col: str = "text") -> Column:
+    """A hash that tells texts of one doc_id apart."""
+    return F.xxhash64(docs[text_col].cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose id and text aren't among gone(doc_id, text_key); a null id is one like any other."""
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (text_key(docs, text_col) == gone["__key"]), "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,10 +42,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes | None]]:
-    """(doc_id, UTF-8 bytes of the text) of each row of a documents() table."""
+def rows(batches: Iterable[pa.RecordBatch], *others: int) -> Iterator[tuple]:
+    """(doc_id, UTF-8 bytes of the text, and other columns by number) of each row of a documents() table."""
     for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)
+        yield from zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), *(batch.column(k).to_pylist() for k in others), strict=True)
 
 
 def spaced_words(text: bytes | None) -> list[bytes]:

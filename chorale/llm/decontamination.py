@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.common import documents, plain_words, rows, stored
+from chorale.llm.common import documents, plain_words, rows, stored, text_key, without
 
 #: Words of a block at which it is closed; a longer document has a block of its own.
 BLOCK = 1_000_000
@@ -33,7 +33,7 @@ GAP = 256
 MAX_BENCHMARK = 16_000_000
 #: Words that a piece's words may stand from its first one, to be near.
 REACH = 26
-_INDEX = "block long, doc_ids array<long>, starts array<int>, lengths array<int>, terms array<binary>, ends array<int>, places binary"
+_INDEX = "block long, doc_ids array<long>, keys array<long>, starts array<int>, lengths array<int>, terms array<binary>, ends array<int>, places binary"
 
 
 class _Numbers(dict):
@@ -55,38 +55,39 @@ def _unpacked(data: bytes) -> np.ndarray:
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings of all terms, in blocks of documents.
 
-    A row: a number of the block; ids, first places and lengths in words of its documents; its terms; for each the end of
+    A row: a number of the block; ids, hashes of the texts, first places and lengths in words of its documents; its terms; for each the end of
     its postings in places (packed int32). Null and empty texts are documents of no words. The numbers hold for one
     reading of the table, so an index is written before it is searched.
     """
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in _INDEX.split(", ")]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
         first, made = TaskContext.get().partitionId() << 32, 0
 
-        def block(ids, starts, lengths, codes, at, numbers) -> pa.RecordBatch:
+        def block(ids, keys, starts, lengths, codes, at, numbers) -> pa.RecordBatch:
             codes, at = np.concatenate(codes), np.concatenate(at)
             ends = np.cumsum(np.bincount(codes, minlength=len(numbers))).astype(np.int32)
-            cells = [first + made, ids, starts, lengths, list(numbers), ends, _packed(at[np.argsort(codes, kind="stable")])]
+            cells = [first + made, ids, keys, starts, lengths, list(numbers), ends, _packed(at[np.argsort(codes, kind="stable")])]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=names)
 
-        fresh = lambda: ([], [], [], [], [], _Numbers())
+        fresh = lambda: ([], [], [], [], [], [], _Numbers())
         state, end = fresh(), 0
-        for key, text in rows(batches):
+        for key, text, name in rows(batches, 2):
             words = plain_words(text)
             if state[0] and end + len(words) > BLOCK:
                 yield block(*state)
                 state, end, made = fresh(), 0, made + 1
-            ids, starts, lengths, codes, at, numbers = state
-            ids.append(key), starts.append(end), lengths.append(len(words))
+            ids, keys, starts, lengths, codes, at, numbers = state
+            ids.append(key), keys.append(name), starts.append(end), lengths.append(len(words))
             codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
             at.append(np.arange(end, end + len(words), dtype=np.int32))
             end += len(words) + GAP
         if state[0]:
             yield block(*state)
 
-    return documents(docs, id_col, text_col).mapInArrow(build, _INDEX)
+    own = documents(docs, id_col, text_col)
+    return own.withColumn("text_key", text_key(own)).mapInArrow(build, _INDEX)
 
 
 @dataclass
@@ -219,15 +220,28 @@ def contamination(
     empty text has no words, and an item without words no window; repeated documents each have their row; item ids are
     told apart as strings.
     """
+    return _judged(docs, benchmark, window, share, near, id_col, text_col, item_col, item_text_col).drop("text_key")
+
+
+def clean(
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The rows, with all their columns, that aren't contaminated; null and empty texts stay, and rows of one doc_id are judged each by its own text."""
+    judged = _judged(docs, benchmark, window, share, False, id_col, text_col, item_col, item_text_col)
+    return without(docs, judged.where("contaminated"), id_col, text_col)
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, share: int, near: bool, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     indexed = stored(index(docs, id_col, text_col), "postings")
     found = [stored(indexed.mapInArrow(_search(items, window, near), "block long, doc_no int, items array<string>, near_items array<string>, hit array<int>"), "matches") for items in _parts(benchmark, item_col, item_text_col)]
     together = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
     matches = reduce(DataFrame.unionByName, found).groupBy("block", "doc_no").agg(together("items"), together("near_items"), together("hit"))
-    every = indexed.select("block", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("doc_no", "d")).select("block", "doc_no", F.col("d.doc_ids").alias("doc_id"), F.col("d.lengths").cast("long").alias("n_words"))
+    every = indexed.select("block", F.posexplode(F.arrays_zip("doc_ids", "keys", "lengths")).alias("doc_no", "d"))
+    every = every.select("block", "doc_no", F.col("d.doc_ids").alias("doc_id"), F.col("d.keys").alias("text_key"), F.col("d.lengths").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     hit, items = F.coalesce(F.size("hit"), F.lit(0)).cast("long"), F.array_sort(F.coalesce("items", none))
     return every.join(matches, ["block", "doc_no"], "left").select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        "doc_id", "text_key", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"), *([F.size(F.coalesce("near_items", none)).cast("long").alias("n_near_items")] if near else []), items.alias("items"),
     )
 

@@ -2,7 +2,7 @@
 
 1. Each document's set of word shingles gives MinHash samples, band keys of them, and an odd sketch: a bitmap
    in which every sample flips one bit. Two sketches' XOR has few ones if the sets are very alike; the count
-   estimates a high similarity closely. Documents with equal sets become one class, named by its smallest id.
+   estimates a high similarity closely. Documents with equal sets become one class, a node named by a hash of the set.
 2. Classes that share a band key are candidates. First each looks only at the smallest class of each of its
    buckets; of the pairs that the sketches allow, its best two are confirmed on full sets.
 3. What these links have joined needs no more pairs. In buckets where different components still meet, members
@@ -22,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chorale.llm.common import documents, mixed, rows, shingle_hashes, spaced_words, stored, word_hashes
+from chorale.llm.common import documents, mixed, rows, shingle_hashes, spaced_words, stored, text_key, without, word_hashes
 from chorale.llm.components import components
 
 BANDS, ROWS, BITS = 50, 5, 1024
 #: How far below the threshold a sketch's estimate may be for a pair to be confirmed; over four standard deviations.
 SLACK = 0.13
-#: Ids up to which a list of documents is sent to all tasks (8 bytes each); beyond, it is joined by a shuffle.
+#: Documents up to which a list is sent to all tasks (24 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket that are compared in one task, and members that are confirmed with their centre in one.
-BLOCK, SIDE = 5_000, 200
+#: Members of a bucket, and bytes of their sets, that are compared in one task (with as many others); members that are confirmed with their centre in one.
+BLOCK, BLOCK_BYTES, SIDE = 5_000, 64_000_000, 200
 
 
 def shingle_set(text: bytes | None, k: int = 5) -> np.ndarray:
@@ -67,7 +67,7 @@ def most_ones(samples: int, similarity: float, bits: int = BITS) -> float:
 
 
 def signatures(docs: DataFrame, shingle: int = 5, bands: int = BANDS, per_band: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, bands array<long>, sketch): k1 and k2 together name the set."""
+    """(doc_id, text_key, n_shingles, k1, k2, bands array<long>, sketch): k1 and k2 together name the set, text_key the text."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.arange(bands, dtype=np.uint64)
@@ -87,9 +87,11 @@ def signatures(docs: DataFrame, shingle: int = 5, bands: int = BANDS, per_band:
                     key = mixed(key ^ column)
                 keys.append(key.view(np.int64)), sketches.append(odd_sketch(samples))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (k1, k2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *longs, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
+            cells = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), *longs, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "text_key", "n_shingles", "k1", "k2", "bands", "sketch"])
 
-    return documents(docs, id_col, text_col).mapInArrow(sign, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
+    own = documents(docs, id_col, text_col)
+    return own.withColumn("text_key", text_key(own)).mapInArrow(sign, "doc_id long, text_key long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
 def _ones(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -147,13 +149,13 @@ def _shared(left: np.ndarray, right: np.ndarray) -> int:
 
 
 def _across(members: DataFrame, most: float, percent: int) -> DataFrame:
-    """Links (a, b) between different components of one bucket; members(key, n, node, component, sketch, bands, shingles).
+    """Links (a, b) between different components of one bucket; members(key, blocks, node, component, sketch, bands, shingles).
 
     Members are compared in memory: pairs whose sketches pass are confirmed on full sets, likeliest first, and a
     pair whose components have met already is left out. A pair that shares several buckets is compared in
-    the first. Of a bucket above BLOCK each two blocks meet in a task of their own.
+    the first. Of a bucket of several blocks each two meet in a task of their own.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.col("blocks")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "sketch", "bands", "shingles")
@@ -196,42 +198,60 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, id_col
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets. component_id: the
     smallest doc_id reachable over links; kept: it is the row's own. A text without words (empty, blank, null)
-    has no shingles and is linked with nothing. Repeated rows have equal results; a row with a null id is
-    linked with nothing and has a null component_id and is kept. An empty table gives an empty one.
+    has no shingles and is linked with nothing. Repeated rows have equal results; rows of one doc_id with other
+    texts have a component each; a row with a null id is linked with nothing and has a null component_id and is
+    kept. An empty table gives an empty one.
     """
+    return _placed(docs, percent, shingle, id_col, text_col).drop("text_key")
+
+
+def kept(docs: DataFrame, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that are kept, and one row of repeated ones (equal id and text); rows with a null id all stay."""
+    staying = without(docs, _placed(docs, percent, shingle, id_col, text_col).where("not kept"), id_col, text_col)
+    named = staying.where(staying[id_col].isNotNull()).dropDuplicates([id_col, text_col])
+    return named.unionByName(staying.where(staying[id_col].isNull()))
+
+
+def _placed(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept) for each row."""
     samples = BANDS * ROWS
     most = most_ones(samples, percent / 100 - SLACK)
     signed = stored(signatures(docs, shingle, id_col=id_col, text_col=text_col), "signatures")
     name = ["n_shingles", "k1", "k2"]
-    classes = stored(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
-        "classes",
-    )
+    reader = F.min(F.struct("doc_id", "text_key")).alias("reader")  # the document whose text stands for the class
+    grouped = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*name).agg(reader, F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = stored(grouped.withColumn("node", F.xxhash64(*name)), "classes")
     sketches = classes.select("node", "sketch")
     bands = classes.select("node", F.explode("bands").alias("key"))
-    bucket = Window.partitionBy("key")
-    members = stored(bands.select("key", "node", F.count("*").over(bucket).alias("n"), F.min("node").over(bucket).alias("centre")).where("n > 1"), "members")
+    # Counted before they meet: a bucket of very many classes isn't one task's.
+    shared = stored(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1"), "buckets")
+    members = stored(bands.join(shared, "key"), "members")
 
     pairs = members.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     best = F.row_number().over(Window.partitionBy("a").orderBy("ones", "b"))
     first = stored(_estimated(pairs, most).withColumn("rank", best).where("rank <= 2").select("a", "b"), "pairs")
 
-    involved = stored(members.select("node").distinct(), "involved")
-    texts = documents(docs, id_col, text_col).join(_listed(involved, involved.count()), F.col("doc_id") == F.col("node"), "left_semi")
+    involved = stored(members.select("node").distinct().join(classes.select("node", "reader.*"), "node"), "involved")
+    own = documents(docs, id_col, text_col)
+    texts = own.withColumn("text_key", text_key(own)).join(_listed(involved, involved.count()), ["doc_id", "text_key"]).select("node", "text")
     sets = stored(_sets(texts, shingle), "sets")
     links = stored(confirmed(first, sets, percent), "links")
     joined = components(links)
 
-    placed = members.join(joined, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("component"))
-    mixed_keys = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
-    left = placed.join(mixed_keys, "key", "left_semi").join(classes.select("node", "sketch", "bands"), "node").join(sets, "node")
+    placed = members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    counted = placed.join(classes.select("node", "n_shingles"), "node").groupBy("key").agg((F.min("component") != F.max("component")).alias("open"), F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(8 * F.col("size") / BLOCK_BYTES)).cast("int")
+    mixed_keys = counted.where("open").select("key", blocks.alias("blocks"))
+    left = placed.join(mixed_keys, "key").join(classes.select("node", "sketch", "bands"), "node").join(sets, "node")
     final = components(links.unionByName(_across(left, most, percent)))
 
-    changed = classes.select(*name, "node", "copies").join(final, "node", "left").where("copies > 1 or component != node").select(*name, F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", *name).join(changed, name, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = classes.select("node", F.col("reader.doc_id").alias("first"), "copies", *name).join(final, "node", "left")
+    least = named.where("component is not null").groupBy("component").agg(F.min("first").alias("component_id"))
+    changed = named.join(least, "component", "left").where("copies > 1 or component_id < first").select(*name, F.coalesce("component_id", "first").alias("component_id"))
+    out = signed.select("doc_id", "text_key", *name).join(changed, name, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:

@@ -190,6 +190,24 @@ def test_near_duplicates_in_a_chain_of_copies(spark):
     assert {x[0]: tuple(x[1:]) for x in near_duplicates.near_duplicates(d).collect()} == brute_components(texts)
 
 
+def test_texts_of_one_id_are_judged_each_by_itself(spark, monkeypatch):
+    """A bucket's blocks bounded in bytes change nothing; a second text of an id isn't drawn along."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", 2000)
+    base = " ".join(f"w{i}" for i in range(80))
+    rows_ = [(1, base + " one"), (2, base + " two"), (2, "wholly other words than those"), (3, "wholly other words than those"), (None, base), (4, None), (4, None), (5, "own words stand here alone and again"), (5, "own words stand here alone and again")]
+    d = spark.createDataFrame([(*r, 0) for r in rows_], "doc_id long, text string, node int")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in near_duplicates.near_duplicates(d).collect())
+    assert got == sorted([("1", 77, "1", True), ("2", 77, "1", False), ("2", 1, "2", True), ("3", 1, "2", False), ("None", 76, "None", True), ("4", 0, "4", True), ("4", 0, "4", True), ("5", 3, "5", True), ("5", 3, "5", True)])
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in near_duplicates.kept(d).collect())
+    assert kept == sorted([("1", base + " one"), ("2", "wholly other words than those"), ("None", base), ("4", ""), ("5", "own words stand here alone and again")])
+
+
+def test_clean_judges_rows_by_their_texts(spark):
+    d = spark.createDataFrame([(1, "alpha beta gamma", "x"), (1, "quite different", "y"), (None, "alpha beta gamma", "z"), (2, None, "n"), (3, "", "e")], "doc_id long, text string, keys string")
+    b = spark.createDataFrame([(9, "Alpha, beta gamma")], "item_id long, text string")
+    assert sorted(r["keys"] for r in decontamination.clean(d, b).collect()) == ["e", "n", "y"]
+
+
 def test_odd_sketches_estimate_similarity():
     r = np.random.default_rng(1)
     both = r.integers(0, 2**63, 900, np.uint64)
