@@ -19,29 +19,27 @@ from chorale.llm.common import stored, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what the classifier, fitted on the labelled rows among docs, marks as toxic."""
+    """Rejects what the classifier, fitted on the labelled rows among docs, marks as toxic; null and empty texts are scored like others."""
     return toxic.kept(docs, toxic.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated and near-equal lines out of the texts; no document goes."""
+    """Takes repeated and near-equal lines out of the texts; no document goes, a null text stays null."""
     return repeats.deduplicated(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, and one row of repeated rows."""
-    gone = near.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Keeps the document with the smallest id of each group, and one row of repeated rows; rows without words or an id stay."""
+    return near.kept(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents contaminated by benchmark items."""
-    gone = contamination.contamination(docs, table(spark, sf_dir, "benchmark"), near=False).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rejects documents contaminated by benchmark items; null and empty texts stay."""
+    return contamination.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences of 4096 tokens."""
+    """Packs all documents into sequences of 4096 tokens; a null text is an empty one, of its end token alone."""
     return packs.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -53,7 +51,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: SQL can't express the toxicity and packing stages; tests hold every stage against brute force.
+#: SQL can't express the toxicity and packing stages; tests hold what each stage keeps against plain Python on a small table.
 ORACLE_SQL = None
 
 
