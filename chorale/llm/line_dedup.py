@@ -5,7 +5,7 @@ into EDITS + 1 segments of even length leaves at least one untouched by so many
 indexed under its segments, by length and position, and probes the index for its own length and the EDITS
 lengths below with those of its substrings whose position such edits can reach. A segment that very many lines
 share names little: there the rest of the line, which may hold no more edits, is cut into segments again, and lines
-meet under both. The counts of candidates' letters must not differ by more than two an edit; what remains is verified
+meet under both: first each with the earliest one there, then those that aren't decided by that with all. The counts of candidates' letters must not differ by more than two an edit; what remains is verified
 by a bit-parallel automaton in the band around the diagonal.
 
 A line is removed if an equal or near-equal line stands earlier, by doc_id, text (rows of one doc_id with other
@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from chorale.llm.common import documents, stored
 
 EDITS, MIN_CHARS = 2, 24
-#: Characters by whose counts candidates are compared.
+#: The sixteen characters by whose counts candidates are compared.
 LETTERS = "etaoinshrldu cm."
 #: Line hashes up to which a list is sent to all tasks (some 30 bytes each); beyond, it is joined by a shuffle.
-BROADCAST_LINES = 1_000_000
+BROADCAST_LINES = 300_000
 #: One distinct line in so many tells which segments are common: those that so many of these lines have.
-GLANCE, COMMON = 64, 16
+GLANCE, COMMON = 8, 8
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -60,10 +60,17 @@ def _keyed(df: DataFrame, line: str, edits: int, *kept: str) -> DataFrame:
     return wide.select(*kept, _keys(F.col("__line"), (F.octet_length("__line") / 4).cast("int"), edits).alias("keys"))
 
 
-def _letters_apart(a: Column, b: Column) -> Column:
-    """The sum of the differences in the counts of LETTERS: an edit changes two counts by one at most."""
-    count = lambda x, c: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(c), F.lit("")))
-    return reduce(lambda x, y: x + y, (F.abs(count(a, c) - count(b, c)) for c in LETTERS))
+def _letters(line: Column) -> Column:
+    """The counts of LETTERS, up to 255 each, as the bytes of two integers."""
+    counts = [F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long") for c in LETTERS]
+    whole = lambda some: reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(c, 8 * k) for k, c in enumerate(some)))
+    return F.struct(whole(counts[:8]).alias("x"), whole(counts[8:]).alias("y"))
+
+
+def _letters_apart(a: str, b: str) -> Column:
+    """The sum of the counts' differences: an edit changes two counts by one at most."""
+    count = lambda x, half, k: F.shiftright(F.col(f"{x}.{half}"), 8 * k).bitwiseAND(F.lit(255))
+    return reduce(lambda x, y: x + y, (F.abs(count(a, half, k) - count(b, half, k)) for half in "xy" for k in range(8)))
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -110,10 +117,14 @@ def _listed(hashes: DataFrame) -> DataFrame:
     return F.broadcast(hashes) if hashes.count() <= BROADCAST_LINES else hashes
 
 
-def _meeting(index: DataFrame, probe: DataFrame) -> DataFrame:
-    """(a, b), a < b: different lines under one key; some more than once."""
-    both = index.select("key", F.col("h").alias("x")).join(probe.select("key", F.col("h").alias("y")), "key").where("x <> y")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def _meeting(index: DataFrame, probe: DataFrame, edits: int | None = None) -> DataFrame:
+    """(a, b), a < b: different lines under one key, and with edits those whose letters can be so near; some more than once."""
+    kept = [] if edits is None else ["letters"]
+    one, other = (d.select("key", F.col("h").alias(x), *(F.col(c).alias(c + x) for c in kept)) for d, x in ((index, "x"), (probe, "y")))
+    alike = F.col("x") != F.col("y")
+    if edits is not None:
+        alike &= _letters_apart("lettersx", "lettersy") <= 2 * edits
+    return one.join(other, (one["key"] == other["key"]) & alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _common(keyed: DataFrame, edits: int) -> DataFrame:
@@ -122,41 +133,61 @@ def _common(keyed: DataFrame, edits: int) -> DataFrame:
     return stored(some.select(F.explode(F.slice("keys", 1, edits + 1)).alias("key")).groupBy("key").count().where(F.col("count") >= COMMON).select("key"), "common")
 
 
-def _deeper(texts: DataFrame, common: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """(index, probe), each (key, h), of lines(h, line) for their common keys: under a common key and the segments of what it leaves of the line."""
+def _deeper(texts: DataFrame, common: DataFrame, edits: int) -> DataFrame:
+    """(key, h, own, letters) of lines(h, line) under their common keys and the segments of what each leaves of the line; own: in the index, too."""
     n = (F.octet_length("wide") / 4).cast("int")
     wide = texts.select("h", F.encode("line", "UTF-32").alias("wide"))
+    letters = texts.select("h", _letters(F.col("line")).alias("letters"))
     piece = F.array(*(F.struct(F.lit(k).alias("was"), (4 * start).alias("start"), (4 * size).alias("size")) for k, (_, _, start, size) in enumerate(_pieces(n, edits))))
     each = wide.select("h", "wide", piece.alias("pieces"), _keys(F.col("wide"), n, edits).alias("keys")).select("h", "wide", F.posexplode("keys").alias("k", "outer"), "pieces")
     shared = each.join(common.withColumnRenamed("key", "outer"), "outer").select("h", "wide", "outer", F.get("pieces", F.col("k")).alias("p"))
     rest = F.concat(F.substring("wide", F.lit(1), F.col("p.start")), F.substring("wide", F.col("p.start") + F.col("p.size") + 1, F.octet_length("wide")))
     left = shared.select("h", "outer", "p.was", rest.alias("wide"))
     again = left.select("h", "outer", "was", F.posexplode(_keys(F.col("wide"), n, edits)).alias("at", "inner"))
-    found = again.select("h", F.xxhash64("outer", "inner").alias("key"), ((F.col("was") <= edits) & (F.col("at") <= edits)).alias("own"))
-    return found.where("own").select("key", "h"), found.select("key", "h")
+    keyed = again.select(F.xxhash64("outer", "inner").alias("key"), "h", ((F.col("was") <= edits) & (F.col("at") <= edits)).alias("own")).distinct()
+    return keyed.join(letters, "h")
+
+
+def _verified(pairs: DataFrame, texts, edits: int) -> DataFrame:
+    """The distinct pairs (a, b) of lines within `edits` edits; texts gives (h, line) of the wanted ones."""
+    pairs = stored(pairs.distinct(), "line-pairs")
+    wanted = _listed(stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines"))
+    known = stored(texts(wanted).withColumn("letters", _letters(F.col("line"))), "lines")
+    side = lambda x: known.select(F.col("h").alias(x), F.col("line").alias(f"l{x}"), F.col("letters").alias(f"c{x}"))
+    alike = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(_letters_apart("ca", "cb") <= 2 * edits).drop("ca", "cb"), "line-pairs")
+    return stored(alike.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b"), "near-lines")
 
 
-def near_pairs(every: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b), a < b: hashes of lines within `edits` edits, each pair once."""
+def _later(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(h): the line of each pair whose first place is the later one."""
+    wanted = _listed(stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines"))
+    begin = stored(firsts.join(wanted, "h", "left_semi").select("h", "first"), "firsts")
+    side = lambda x: begin.select(F.col("h").alias(x), F.col("first").alias(f"f{x}"))
+    chosen = F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select(chosen.alias("h")).distinct()
+
+
+def near_lines(every: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h): lines that have a near-equal one with an earlier first place; every: lines(), firsts(h, first)."""
     long_lines = every.where(F.char_length("line") >= min_chars)
     keyed = _keyed(long_lines, "line", edits, "h").groupBy("h").agg(F.first("keys").alias("keys"))  # one shuffle, read by index and probe
     rows = keyed.select("h", F.posexplode("keys").alias("at", "key"))
     common = _common(keyed, edits)
     texts = lambda wanted: long_lines.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    if common.limit(1).count():
-        hot = _listed(common)
-        who = _listed(stored(rows.join(hot, "key", "left_semi").select("h").distinct(), "lines"))
-        cold = rows.join(hot, "key", "left_anti")
-        found = _meeting(cold.where(F.col("at") <= edits), cold).unionByName(_meeting(*_deeper(texts(who), hot, edits)))
-    else:
-        found = _meeting(rows.where(F.col("at") <= edits), rows)
-    pairs = stored(found.distinct(), "line-pairs")
-
-    wanted = _listed(stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines"))
-    known = stored(texts(wanted), "lines")
-    side = lambda x: known.select(F.col("h").alias(x), F.col("line").alias(f"l{x}"))
-    alike = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(_letters_apart(F.col("la"), F.col("lb")) <= 2 * edits), "line-pairs")
-    return alike.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b")
+    if not common.limit(1).count():
+        return _later(_verified(_meeting(rows.where(F.col("at") <= edits), rows), texts, edits), firsts)
+
+    hot = _listed(common)
+    who = _listed(stored(rows.join(hot, "key", "left_semi").select("h").distinct(), "lines"))
+    deep = stored(_deeper(stored(texts(who), "lines"), hot, edits).join(firsts.select("h", "first"), "h"), "deeper")
+    centres = stored(deep.where("own").groupBy("key").agg(F.min(F.struct("first", "h")).alias("c")), "centres")
+    star = deep.join(centres, "key").where("h <> c.h and first > c.first").select(F.least("h", "c.h").alias("a"), F.greatest("h", "c.h").alias("b"))
+    decided = stored(_later(_verified(star, texts, edits), firsts), "near-lines")
+    open_ = stored(deep.join(_listed(decided), "h", "left_anti"), "deeper")
+    still = _meeting(deep.where("own"), open_, edits).unionByName(_meeting(open_.where("own"), deep, edits))
+    cold = rows.join(hot, "key", "left_anti")
+    others = _verified(_meeting(cold.where(F.col("at") <= edits), cold).unionByName(still), texts, edits)
+    return decided.unionByName(_later(others, firsts)).distinct()
 
 
 def _removed(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -164,12 +195,7 @@ def _removed(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col:
     every = lines(docs, id_col, text_col)
     place = F.struct("doc_id", "text_key", "line_no")
     firsts = stored(every.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
-    pairs = stored(near_pairs(every, edits, min_chars), "near-lines")
-    wanted = _listed(stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines"))
-    begin = stored(firsts.join(wanted, "h", "left_semi").select("h", "first"), "firsts")
-    side = lambda x: begin.select(F.col("h").alias(x), F.col("first").alias(f"f{x}"))
-    later = pairs.join(side("a"), "a").join(side("b"), "b").select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h"))
-    later = _listed(stored(later.distinct().withColumn("near", F.lit(True)), "near-lines"))
+    later = _listed(stored(near_lines(every, firsts, edits, min_chars).withColumn("near", F.lit(True)), "near-lines"))
     decided = firsts.join(later, "h", "left").where("n > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     # A list, or a plain join of two tables: a line that stands in very many places isn't one task's.
     found = every.join(_listed(stored(decided, "decided")), "h").withColumn("is_first", place == F.col("first"))

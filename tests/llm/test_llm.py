@@ -122,7 +122,7 @@ def test_words_beyond_ascii_are_not_lowered_to_ascii(spark):
 
 
 def test_native_plans_have_no_python(docs):
-    for out in (license_scan.scan(docs), line_dedup.near_pairs(line_dedup.lines(docs)), line_dedup.summary(docs)):
+    for out in (license_scan.scan(docs), line_dedup.removed_lines(docs), line_dedup.summary(docs)):
         plan = out._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
 
@@ -361,7 +361,7 @@ def within(a, b, most):
     return before[-1] <= most
 
 
-@pytest.mark.parametrize("glance", [1, 64])
+@pytest.mark.parametrize("glance", [1, 8])
 def test_near_lines(spark, monkeypatch, glance):
     """With a glance of 1 and a common beginning, lines meet under segments of what is left of them, too."""
     monkeypatch.setattr(line_dedup, "GLANCE", glance)
