@@ -28,7 +28,7 @@ LETTERS = "etaoinshrldu cm."
 #: Line hashes up to which a list is sent to all tasks (some 30 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_LINES = 300_000
 #: One distinct line in so many tells which segments are common: those that so many of these lines have.
-GLANCE, COMMON = 8, 8
+GLANCE, COMMON = 4, 4
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -170,7 +170,7 @@ def _later(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
 def near_lines(every: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(h): lines that have a near-equal one with an earlier first place; every: lines(), firsts(h, first)."""
     long_lines = every.where(F.char_length("line") >= min_chars)
-    keyed = _keyed(long_lines, "line", edits, "h").groupBy("h").agg(F.first("keys").alias("keys"))  # one shuffle, read by index and probe
+    keyed = stored(_keyed(long_lines, "line", edits, "h").groupBy("h").agg(F.first("keys").alias("keys")), "keyed")
     rows = keyed.select("h", F.posexplode("keys").alias("at", "key"))
     common = _common(keyed, edits)
     texts = lambda wanted: long_lines.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
