@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorale.functions.text import squeeze, token
+from chorale.session import stored
 
 ITEM = "array<struct<name:string,count:double>>"
 
@@ -79,25 +80,27 @@ def exploded_tags(df: DataFrame, key: str, items: str) -> DataFrame:
     return made.where(keeps_tag(F.col("token")) & (F.col("weight") >= 0))
 
 
-def numeric_leaves(df: DataFrame, key: str, json: str, depth: int = 5) -> DataFrame:
-    """(key, path, value) of the numbers in a JSON text column, to a fixed depth.
+def numeric_leaves(df: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, path, value) of the numbers in a JSON text column, however deep.
 
     Path parts are tokens of object keys, or positions in arrays, joined by two underscores. Keys that name no
-    measure are skipped, texts and booleans left out; invalid JSON and null have no leaves. One pass a level,
-    each over what is nested still: no recursion limit, no driver loop over data.
+    measure are skipped, texts and booleans left out; invalid JSON and null have no leaves. One job a level, over what
+    is nested still: the text is parsed once, and levels end when nothing is nested.
     """
-    level = df.select(key, F.try_parse_json(json).alias("v"), F.lit("").alias("path"))
+    spark = df.sparkSession
+    level = df.select(F.col(key).alias("__key"), F.try_parse_json(json).alias("v"), F.lit("").alias("path"))
     found = None
-    for _ in range(depth):
-        level.createOrReplaceTempView("__level")
-        each = level.sparkSession.sql(f"SELECT {key}, path, t.pos AS pos, t.key AS name, t.value AS v FROM __level, LATERAL variant_explode(v) AS t")
+    while True:
+        each = spark.sql("SELECT __key, path, t.pos AS pos, t.key AS name, t.value AS v FROM {level}, LATERAL variant_explode(v) AS t", level=level)
         part = F.when(F.col("name").isNull(), F.col("pos").cast("string")).otherwise(token(F.col("name")))
         each = each.where(F.col("name").isNull() | ((F.trim("name") != "") & ~F.lower(F.trim("name")).isin(SKIPPED_ACOUSTIC_KEYS)))
-        each = each.select(key, F.when(F.col("path") == "", part).otherwise(F.concat_ws("__", "path", part)).alias("path"), "v", F.schema_of_variant("v").alias("kind"))
-        number = each.where(F.col("kind").rlike("^(BIGINT|DOUBLE|FLOAT|INT|TINYINT|SMALLINT|DECIMAL)")).select(key, "path", F.try_variant_get("v", "$", "double").alias("value"))
+        each = each.select("__key", F.when(F.col("path") == "", part).otherwise(F.concat_ws("__", "path", part)).alias("path"), "v", F.schema_of_variant("v").alias("kind"))
+        each = stored(each.where(F.col("kind").rlike("^(OBJECT|ARRAY|BIGINT|DOUBLE|FLOAT|INT|TINYINT|SMALLINT|DECIMAL)")), "leaves")
+        number = each.where(~F.col("kind").rlike("^(OBJECT|ARRAY)")).select(F.col("__key").alias(key), "path", F.try_variant_get("v", "$", "double").alias("value"))
         found = number if found is None else found.unionByName(number)
-        level = each.where(F.col("kind").rlike("^(OBJECT|ARRAY)")).select(key, "v", "path")
-    return found
+        level = each.where(F.col("kind").rlike("^(OBJECT|ARRAY)")).select("__key", "v", "path")
+        if not level.limit(1).count():
+            return found
 
 
 def ordered_distinct(items: Column, limit: int) -> Column:

@@ -31,6 +31,27 @@ def isrc(c: Column) -> Column:
     return F.nullif(F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9]", "")), F.lit(""))
 
 
+def isrc_squeezed(c: Column) -> Column:
+    """The corpus builder's form: upper case, white space as single spaces; null if blank."""
+    return F.upper(nonblank(c))
+
+
+def isrc_trimmed(c: Column) -> Column:
+    """The service's form: trimmed upper case; null if blank."""
+    return F.nullif(F.upper(F.trim(c)), F.lit(""))
+
+
+def strict_double(v: Column) -> Column:
+    """A number of a VARIANT; null for texts and booleans."""
+    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+
+
+def strict_int(v: Column) -> Column:
+    """A whole number of a VARIANT, also one written with a fraction of zero; null for all else."""
+    number = strict_double(v)
+    return F.when(number == F.floor(number), F.floor(number))
+
+
 def lenient_int(c: Column) -> Column:
     return F.coalesce(c.try_cast("bigint"), c.try_cast("double").try_cast("bigint"))
 

@@ -29,12 +29,15 @@ def waveform(df: DataFrame, key: str, rate: str = "sr", samples: str = "samples"
 
 
 def key_and_mode(df: DataFrame, key: str, chroma: str = "chroma") -> DataFrame:
-    """(key, pitch, mode, confidence): the best rotation of the profiles, and its lead over the next."""
+    """(key, pitch, mode, confidence): the best rotation of either profile, and its lead over the other's best; the lower pitch and the major mode of equals."""
     spark = df.sparkSession
     rows = [(k, mode, i, profile[(i - k) % 12] / sum(profile)) for k in range(12) for mode, profile in (("major", MAJOR), ("minor", MINOR)) for i in range(12)]
     profiles = spark.createDataFrame(rows, "k int, mode string, i int, w double")  # 288 rows
-    bins = df.select(key, F.posexplode(chroma).alias("i", "v"))
+    total = _sum(F.col(chroma)) + 1e-12
+    bins = df.select(key, F.posexplode(F.transform(chroma, lambda x: x.cast("double") / total)).alias("i", "v"))
     dots = bins.join(F.broadcast(profiles), "i").groupBy(key, "k", "mode").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    best = dots.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dot", (-F.col("k")).alias("o"), "mode")), asc=False).alias("x"))
-    top = F.get("x", F.lit(0))
-    return best.select(key, F.element_at(F.array(*map(F.lit, KEYS)), (1 - top["o"]).cast("int")).alias("pitch"), top["mode"].alias("mode"), (top["dot"] - F.get("x", F.lit(1))["dot"]).alias("confidence"))
+    best = lambda mode: F.max(F.when(F.col("mode") == mode, F.struct("dot", (-F.col("k")).alias("o"))))
+    found = dots.groupBy(key).agg(best("major").alias("up"), best("minor").alias("down"))
+    major, gap = F.col("up.dot") >= F.col("down.dot"), F.abs(F.col("up.dot") - F.col("down.dot"))
+    pitch = F.element_at(F.array(*map(F.lit, KEYS)), (1 - F.when(major, F.col("up.o")).otherwise(F.col("down.o"))).cast("int"))
+    return found.select(key, pitch.alias("pitch"), F.when(major, "major").otherwise("minor").alias("mode"), gap.alias("confidence"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chorale.functions import text as t
 from chorale.functions.names import ITEM, first_wins, from_structs
+from chorale.session import stored
 
 
 def field(df: DataFrame, *paths: str) -> Column:
@@ -68,6 +69,44 @@ def canonical(tracks: DataFrame, dataset: str, version: str = "v1", now: Column
     return made.where(F.size("reasons") == 0).drop("reasons"), made.where(F.size("reasons") > 0)
 
 
+def looks_normalized(df: DataFrame) -> bool:
+    """Whether rows are canonical records already: their four parts are structs."""
+    kinds = dict(df.dtypes)
+    return all(kinds.get(c, "").startswith("struct<") for c in ("ids", "brainz", "runtime_metadata", "source"))
+
+
+def playlist_records(rows: DataFrame, dataset: str, version: str = "v1", now: Column | None = None) -> DataFrame:
+    """Canonical records of a playlist's rows: normalised ones pass, with the source's blanks filled in; of the others those without a title or artists go."""
+    if not looks_normalized(rows):
+        return canonical(rows, dataset, version, now, playlist=True)[0]
+    blanks = {"dataset_name": F.lit(dataset), "dataset_version": F.lit(version), "source_files": F.array().cast("array<string>"), "ingested_at_utc": t.utc_second() if now is None else now}
+    have = rows.schema["source"].dataType.fieldNames()
+    source = F.struct(*((F.coalesce(F.col(f"source.{c}"), v) if c in have else v).alias(c) for c, v in blanks.items()))
+    return rows.withColumn("source", source)
+
+
+def enrichment_payload() -> Column:
+    """What a lookup holds of a canonical record: its own fields, ids, what enriches it, and where it is from; lists are never null."""
+    some = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c.rsplit(".", 1)[-1])
+    part = lambda parent, *names: F.struct(*(F.col(f"{parent}.{n}").alias(n) for n in names)).alias(parent)
+    return F.struct(
+        "track_id", "title", some("artists", "array<string>"), "album", "year", "duration_ms", part("ids", "spotify_id", "spotify_uri", "isrc", "musicbrainz_recording_id"),
+        F.struct(some("brainz.tags", ITEM), some("brainz.genres", ITEM), F.col("brainz.acoustic_high_level").alias("acoustic_high_level"), F.col("brainz.acoustic_low_level").alias("acoustic_low_level")).alias("brainz"),
+        part("runtime_metadata", "spotify_popularity", "spotify_url", "preview_url", "image_url"), part("aliases", "normalized_title", "normalized_artists_key"),
+        F.struct(F.col("source.dataset_name").alias("dataset_name"), some("source.source_files", "array<string>")).alias("source"),
+    )
+
+
+def ordinal(df: DataFrame, *order: str) -> DataFrame:
+    """df and row_index from 0 in the given order, gapless: rows are dealt to ranges of the first column, numbered there, and moved by the counts of the ranges before."""
+    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = stored(dealt, "ordinal")
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("n"))
+    before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn("row_index", (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before")
+
+
 def record_key(prefix: str = "") -> Column:
     """Canonical key of a record."""
     c = lambda n: F.col(prefix + n)

@@ -6,6 +6,8 @@ job. Points have an array `embedding`. Labels are numbered by their centres' ord
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -13,13 +15,16 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chorale.operators.route import MIXED, cluster_names
 from chorale.session import stored
 
 RUN = ["playlist_id", "k", "seed"]
 #: Rows of a block, about, of which a silhouette measures two against each other in a task.
 BLOCK_ROWS = 500
-#: Points of a playlist that a restart picks its first centres from.
-START_ROWS = 64
+#: Points of a playlist that a restart picks its first centres from: so many, or so many for each centre.
+START_ROWS, START_EACH = 64, 4
+# Limits of the penalties of a solution and of the split of a cluster.
+MIN_SPLIT, LARGE_SHARE, LOW_SIGNAL_SIZE, LOW_FEATURES, LOW_SCORE, CHILD_GAIN, MOST_OF_A_PART, LEAST_ADJUSTED = 24, 0.28, 18, 2, 0.35, 0.08, 0.78, 0.02
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -64,29 +69,33 @@ def candidate_ks(n: Column, min_k: int = 2, max_k: int = 12, min_size: int = 8)
     return F.when((n < 2) | (high < 2), F.array().cast("array<int>")).otherwise(F.sequence(low, high))
 
 
-def batched_kmeans(points: DataFrame, ks: DataFrame, seeds: int = 3, rounds: int = 12) -> DataFrame:
+def batched_kmeans(points: DataFrame, ks: DataFrame, seeds: int = 3, rounds: int = 60) -> DataFrame:
     """(playlist_id, k, seed, track_key, cluster, sq) by Lloyd's rounds; points(playlist_id, track_key, embedding), ks(playlist_id, k).
 
-    A restart begins at points far from each other, of the START_ROWS that come first by a hash of key and seed. The rounds end when no label moves.
+    A restart begins at points far from each other, of the START_ROWS, or START_EACH for each centre of the greatest k, that come first by
+    a hash of key and seed. The rounds end when no label moves; if some still do after so many rounds, a warning says how many restarts.
     """
     runs = ks.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     hashed = points.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     order = F.row_number().over(Window.partitionBy("playlist_id", "seed").orderBy(F.xxhash64("track_key", "seed"), "track_key"))
-    sample = hashed.withColumn("n", order).where(F.col("n") <= START_ROWS).groupBy("playlist_id", "seed")
+    most = ks.groupBy("playlist_id").agg(F.max("k").alias("most"))
+    sample = hashed.withColumn("n", order).join(most, "playlist_id").where(F.col("n") <= F.greatest(F.lit(START_ROWS), START_EACH * F.col("most"))).groupBy("playlist_id", "seed")
     sample = sample.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "embedding"))), lambda x: x["embedding"]).alias("sample"))
-    starts = sample.join(ks.groupBy("playlist_id").agg(F.max("k").alias("most")), "playlist_id").withColumn("picked", _farthest("sample", F.col("most")))
+    starts = sample.join(most, "playlist_id").withColumn("picked", _farthest("sample", F.col("most")))
     each = starts.select("playlist_id", "seed", F.posexplode("picked").alias("cluster", "centre"))
     centres = stored(runs.join(each, ["playlist_id", "seed"]).where("cluster < k").select(*RUN, "cluster", "centre"), "centres")
     labels = None
-    for _ in range(rounds):
+    for done in range(rounds):
         near = points.join(centres, "playlist_id").withColumn("sq", squared_distance(F.col("embedding"), F.col("centre")))
         found = near.groupBy(*RUN, "track_key").agg(F.min(F.struct("sq", "cluster")).alias("x"), F.first("embedding").alias("embedding"))
         new = stored(found.select(*RUN, "track_key", F.col("x.cluster").alias("cluster"), F.col("x.sq").alias("sq"), "embedding"), "labels")
         if labels is not None:
-            moved = new.join(labels.select(*RUN, "track_key", F.col("cluster").alias("old")), [*RUN, "track_key"]).where("cluster <> old").limit(1).count()
-            if not moved:
+            moving = new.join(labels.select(*RUN, "track_key", F.col("cluster").alias("old")), [*RUN, "track_key"]).where("cluster <> old").select(*RUN).distinct()
+            if not moving.limit(1).count():
                 labels = new
                 break
+            if done == rounds - 1:
+                warnings.warn(f"k-means: {moving.count()} restarts still moved after {rounds} rounds", stacklevel=2)
         labels = new
         centres = stored(means(new, [*RUN, "cluster"], "embedding", "centre"), "centres")
     return labels.drop("embedding") if labels is not None else points.sparkSession.createDataFrame([], "playlist_id string, k int, seed int, track_key string, cluster int, sq double")
@@ -131,9 +140,7 @@ def merged_small(points: DataFrame, by: list[str], min_size: int) -> DataFrame:
         options = lost.join(large.join(centres, [*by, "cluster"]), by).withColumn("d", distance(F.col("at"), F.col("centre")))
         move = stored(options.groupBy(*by, "small").agg(F.min(F.struct("d", "cluster")).alias("x")).select(*by, F.col("small").alias("cluster"), F.col("x.cluster").alias("to")), "moves")
         if not move.limit(1).count():
-            rank = F.dense_rank().over(Window.partitionBy(*by).orderBy("cluster")) - 1
-            names = points.select(*by, "cluster").distinct().withColumn("new", rank)
-            return points.join(names, [*by, "cluster"]).drop("cluster").withColumnRenamed("new", "cluster")
+            return contiguous(points, by)
         points = stored(points.join(move, [*by, "cluster"], "left").withColumn("cluster", F.coalesce("to", "cluster")).drop("to"), "labels")
 
 
@@ -166,17 +173,21 @@ def _distance_sums(by: list[str]):
         out = {c: [] for c in ("at", "to", "total", "n")}
         if own.num_rows and other.num_rows:
             mine, theirs = (np.array(t["embedding"].to_pylist(), float) for t in (own, other))
-            keys, other_keys = (np.array(t["track_key"].to_pylist(), object) for t in (own, other))
+            number: dict = {}
+            keys, other_keys = (np.array([number.setdefault(k, len(number)) for k in t["track_key"].to_pylist()]) for t in (own, other))
             first, label = np.unique(np.array(other["cluster"].to_pylist()), return_index=True, return_inverse=True)[1:]
-            for i, (key, e) in enumerate(zip(keys, mine, strict=True)):
-                apart = other_keys != key
-                d = np.sqrt(((theirs - e) ** 2).sum(1))
-                n, total = np.bincount(label[apart], minlength=len(first)), np.bincount(label[apart], d[apart], len(first))
-                some = np.flatnonzero(n)
-                out["at"] += [i] * len(some)
-                out["to"] += first[some].tolist()
-                out["total"] += total[some].tolist()
-                out["n"] += n[some].tolist()
+            member = (label[:, None] == np.arange(len(first))).astype(float)
+            square = (theirs * theirs).sum(1)
+            for k in range(0, len(mine), 256):
+                part, same = mine[k : k + 256], keys[k : k + 256, None] == other_keys[None, :]
+                d = np.sqrt(np.maximum((part * part).sum(1)[:, None] + square - 2 * part @ theirs.T, 0))
+                d[same] = 0
+                total, n = d @ member, (~same).astype(float) @ member
+                i, j = np.nonzero(n)
+                out["at"] += (i + k).tolist()
+                out["to"] += first[j].tolist()
+                out["total"] += total[i, j].tolist()
+                out["n"] += n[i, j].astype(int).tolist()
         at, to = pa.array(out["at"], pa.int64()), pa.array(out["to"], pa.int64())
         columns = {c: own[c].take(at) for c in [*by, "track_key", "cluster"]} | {"__cluster": other["cluster"].take(to)}
         return pa.table(columns | {"total": pa.array(out["total"], pa.float64()), "n": pa.array(out["n"], pa.int64())})
@@ -216,42 +227,108 @@ def cluster_playlists(points: DataFrame, min_k: int = 2, max_k: int = 12, min_si
     return chosen.unionByName(alone.select(*chosen.columns)), solutions.join(best, by)
 
 
-def split_oversized(labelled: DataFrame, signal: DataFrame, rounds: int = 2, min_size: int = 8) -> tuple[DataFrame, DataFrame]:
+def sampled_silhouette(points: DataFrame, by: list[str], most: int = 1500, least: int = 50) -> DataFrame:
+    """silhouette() of the `most` points of each group that come first by a hash of their keys; groups of fewer than `least` points have none."""
+    order = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("track_key"), "track_key"))
+    some = points.withColumn("__n", order).where(F.col("__n") <= most).drop("__n")
+    enough = some.groupBy(*by).agg(F.count("*").alias("__m")).where(F.col("__m") >= least).select(*by)
+    return silhouette(some.join(enough, by, "left_semi"), by)
+
+
+def signals(features: DataFrame, labelled: DataFrame, by: list[str]) -> DataFrame:
+    """(by, cluster, name, n_features, top_score, mixed): what the clusters' greatest features say; a cluster without any is mixed."""
+    named = cluster_names(top_features(features, labelled, by), [*by, "cluster"])
+    every = labelled.select(*by, "cluster").distinct().join(named, [*by, "cluster"], "left")
+    return every.select(*by, "cluster", F.coalesce("name", F.lit(MIXED)).alias("name"), F.coalesce("n_features", F.lit(0)).alias("n_features"), F.coalesce("top_score", F.lit(0.0)).alias("top_score"), F.coalesce("mixed", F.lit(True)).alias("mixed"))
+
+
+def strong_children(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """(playlist_id, strong): clusters of each split with a name, enough features and a top score that gains on the parent's.
+
+    children: signals() of the parts; parents(playlist_id, parent_score).
+    """
+    bar = F.greatest(F.lit(LOW_SCORE), F.col("parent_score") + CHILD_GAIN)
+    good = ~F.col("mixed") & (F.col("n_features") >= LOW_FEATURES) & (F.col("top_score") >= bar)
+    return children.join(parents.select("playlist_id", "parent_score"), "playlist_id").groupBy("playlist_id").agg(F.count_if(good).alias("strong"))
+
+
+def split_oversized(labelled: DataFrame, features: DataFrame, rounds: int = 2, min_size: int = 8, min_k: int = 2, max_k: int = 8) -> tuple[DataFrame, DataFrame | None]:
     """(labels, decisions): clusters that are too large or say too little are clustered again, for some rounds.
 
-    signal(playlist_id, cluster, n_features, top_score, mixed) tells what the clusters say. A cluster is tried when it has at least
-    max(24, ceil(0.28 n)) rows, or max(18, 2 min_size) and a low signal (mixed name, fewer than two features, or a top score
-    below 0.35). It is split if that gives two meaningful parts, the largest of at most 0.78, with an adjusted score of
-    at least 0.02. One cluster of a playlist is split in a round, the largest first.
+    labelled(playlist_id, track_key, embedding, cluster), features(track_key, feature, value). A cluster is tried when it has at
+    least max(24, ceil(0.28 n)) rows, or has at least max(18, 2 min_size) and a low signal (mixed name, fewer than two features,
+    or a top score below 0.35). A split is accepted if it has two meaningful parts, the largest of at most 0.78, and an
+    adjusted score of at least 0.02 or, under a low signal, two strong children. In a round the largest cluster whose split
+    is accepted is split in each playlist: its largest part keeps the number.
     """
     decisions = None
     for r in range(rounds):
         n = labelled.groupBy("playlist_id").agg(F.count("*").alias("n"))
-        sizes = labelled.groupBy("playlist_id", "cluster").agg(F.count("*").alias("size")).join(n, "playlist_id").join(signal, ["playlist_id", "cluster"], "left")
-        low = F.coalesce("mixed", F.lit(False)) | (F.coalesce("n_features", F.lit(9)) < 2) | (F.coalesce("top_score", F.lit(1.0)) < 0.35)
-        large = F.col("size") >= F.greatest(F.lit(24), F.ceil(0.28 * F.col("n")))
-        tried = sizes.where(large | (low & (F.col("size") >= max(18, 2 * min_size)))).withColumn("low_signal", low)
+        sizes = labelled.groupBy("playlist_id", "cluster").agg(F.count("*").alias("size")).join(n, "playlist_id").join(signals(features, labelled, ["playlist_id"]), ["playlist_id", "cluster"])
+        low = (F.col("size") >= max(LOW_SIGNAL_SIZE, 2 * min_size)) & (F.col("mixed") | (F.col("n_features") < LOW_FEATURES) | (F.col("top_score") < LOW_SCORE))
+        large = F.col("size") >= F.greatest(F.lit(MIN_SPLIT), F.ceil(LARGE_SHARE * F.col("n")))
+        pseudo = F.concat_ws("\u0001", F.col("playlist_id").cast("string"), F.col("cluster").cast("string"))
+        tried = sizes.withColumn("low", low).where(large | low).select(F.col("playlist_id").alias("parent"), F.col("cluster").alias("was"), "size", "low", F.col("top_score").alias("parent_score"), pseudo.alias("playlist_id"), F.when(large, "size").otherwise("low_signal").alias("trigger"))
+        tried = stored(tried, "tried")
         if not tried.limit(1).count():
             break
-        pseudo = F.concat_ws("\u0001", "playlist_id", "cluster")
-        parts = labelled.join(tried.select("playlist_id", "cluster", "size", "low_signal"), ["playlist_id", "cluster"]).withColumn("parent", F.col("playlist_id")).withColumn("playlist_id", pseudo)
-        sub, solutions = cluster_playlists(parts, 2, 4, min_size)
-        ok = (F.col("meaningful") >= 2) & (F.col("largest") <= 0.78) & (F.col("adjusted") >= 0.02)
-        parents = parts.groupBy("playlist_id").agg(F.first("parent").alias("parent"), F.first("cluster").alias("cluster"), F.first("size").alias("size"))
-        judged = solutions.join(parents, "playlist_id").withColumn("round", F.lit(r)).withColumn("reason", F.when(F.col("meaningful") < 2, "too few parts").when(F.col("largest") > 0.78, "one part too large").when(F.col("adjusted") < 0.02, "score too low"))
-        first = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("size"), "cluster"))
-        accepted = stored(judged.where(ok).withColumn("rank", first).where("rank = 1").select("playlist_id", "parent", F.col("cluster").alias("was")), "accepted")
-        log = judged.select("round", F.col("parent").alias("playlist_id"), "cluster", "size", "adjusted", ok.alias("accepted"), "reason")
+        parts = labelled.withColumn("playlist_id", pseudo).drop("cluster").join(tried.select("playlist_id"), "playlist_id")
+        sub, solutions = cluster_playlists(parts, max(2, min_k), max_k, min_size)
+        sub = stored(sub, "parts")
+        strong = strong_children(signals(features, sub, ["playlist_id"]), tried)
+        better = F.col("low") & (F.coalesce("strong", F.lit(0)) >= 2)
+        judged = tried.join(solutions, "playlist_id", "left").join(strong, "playlist_id", "left").withColumn("better", better)
+        few, low_score, big = F.coalesce("meaningful", F.lit(0)) < 2, (F.coalesce("adjusted", F.lit(-9.0)) < LEAST_ADJUSTED) & ~F.col("better"), F.coalesce("largest", F.lit(1.0)) > MOST_OF_A_PART
+        reasons = F.concat_ws(",", F.when(few, "not_enough_meaningful_clusters"), F.when(low_score, "adjusted_score_too_low"), F.when(F.col("low") & ~F.col("better"), "low_signal_not_improved"), F.when(big, "largest_subcluster_still_too_large"))
+        judged = stored(judged.withColumn("ok", ~few & ~low_score & ~big).withColumn("reason", F.when(F.col("ok"), "accepted").otherwise(reasons)), "judged")
+        first = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("size"), "was"))
+        accepted = judged.where("ok").withColumn("rank", first).where("rank = 1").select("playlist_id", "parent", "was")
+        log = judged.select(F.lit(r + 1).alias("round"), F.col("parent").alias("playlist_id"), F.col("was").alias("cluster"), "size", "trigger", "adjusted", F.coalesce("strong", F.lit(0)).alias("strong"), "reason")
         decisions = log if decisions is None else decisions.unionByName(log)
         if not accepted.limit(1).count():
             break
-        moved = sub.join(accepted, "playlist_id").select(F.col("parent").alias("playlist_id"), "track_key", F.col("cluster").alias("sub"))
+        order = F.row_number().over(Window.partitionBy("playlist_id").orderBy(F.desc("m"), "cluster")) - 1
+        places = sub.groupBy("playlist_id", "cluster").agg(F.count("*").alias("m")).withColumn("place", order)
+        moved = sub.join(accepted, "playlist_id").join(places, ["playlist_id", "cluster"]).select(F.col("parent").alias("playlist_id"), "track_key", "place")
         top = labelled.groupBy("playlist_id").agg(F.max("cluster").alias("top"))
-        labelled = stored(
-            labelled.join(moved, ["playlist_id", "track_key"], "left").join(top, "playlist_id")
-            .withColumn("cluster", F.when(F.coalesce("sub", F.lit(0)) > 0, F.col("top") + F.col("sub")).otherwise(F.col("cluster"))).drop("sub", "top"), "split",
-        )
-    return labelled, decisions
+        number = F.when(F.coalesce("place", F.lit(0)) > 0, F.col("top") + F.col("place")).otherwise(F.col("cluster"))
+        labelled = stored(labelled.join(moved, ["playlist_id", "track_key"], "left").join(top, "playlist_id").withColumn("cluster", number).drop("place", "top"), "split")
+    return contiguous(labelled, ["playlist_id"]), decisions
+
+
+def contiguous(labelled: DataFrame, by: list[str]) -> DataFrame:
+    """Clusters of each group numbered from 0 without gaps, in their order."""
+    rank = F.dense_rank().over(Window.partitionBy(*by).orderBy("cluster")) - 1
+    names = labelled.select(*by, "cluster").distinct().withColumn("__new", rank)
+    return labelled.join(names, [*by, "cluster"]).drop("cluster").withColumnRenamed("__new", "cluster")
+
+
+def label_table(model, vectors: DataFrame, key: str) -> DataFrame:
+    """(key, cluster) of a fitted k-means model."""
+    return model.transform(vectors).select(key, F.col("prediction").alias("cluster"))
+
+
+def corpus_summary(labels: DataFrame, centres: DataFrame, components: DataFrame, tracks: DataFrame, order: str, top: int = 12, shown: int = 10) -> DataFrame:
+    """(cluster, size, sample_tracks, top_features) of a clustered corpus, largest first.
+
+    labels(track_key, cluster); centres(cluster, k, value) in the reduced space; components(k, feature, weight, centre).
+    """
+    told = contributors(centres, components, top).groupBy("cluster").agg(_ranked("feature", "weight").alias("top_features"))
+    out = cluster_sizes(labels, ["cluster"]).join(samples(labels, tracks, ["cluster"], order, shown, 2), "cluster", "left").join(told, "cluster", "left")
+    return out.select("cluster", "size", "sample_tracks", "top_features").orderBy(F.desc("size"), "cluster")
+
+
+def playlist_summary(features: DataFrame, labelled: DataFrame, tracks: DataFrame, order: str, top: int = 8, shown: int = 10) -> DataFrame:
+    """(playlist_id, cluster, name, size, sample_tracks, top_features) of clustered playlists."""
+    by = ["playlist_id", "cluster"]
+    greatest = top_features(features, labelled, ["playlist_id"], top)
+    told = greatest.groupBy(*by).agg(_ranked("feature", "score").alias("top_features"))
+    out = cluster_sizes(labelled, by).join(cluster_names(greatest, by).select(*by, "name"), by, "left").join(samples(labelled, tracks, by, order, shown), by, "left").join(told, by, "left")
+    return out.select(*by, F.coalesce("name", F.lit(MIXED)).alias("name"), "size", "sample_tracks", "top_features")
+
+
+def _ranked(*columns: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("rank", *columns))), lambda x: F.struct(*(x[c].alias(c) for c in columns)))
 
 
 def cluster_sizes(labelled: DataFrame, by: list[str]) -> DataFrame:
@@ -268,15 +345,19 @@ def top_features(features: DataFrame, labelled: DataFrame, by: list[str], n: int
 
 
 def contributors(centres: DataFrame, components: DataFrame, n: int = 12) -> DataFrame:
-    """(cluster, feature, weight, rank): centres(cluster, k, value) mapped back to features, greatest absolute weight first."""
-    back = centres.join(components, "k").groupBy("cluster", "feature").agg(F.sum(F.col("value") * F.col("weight")).alias("weight"))
+    """(cluster, feature, weight, rank): centres(cluster, k, value) mapped back to features, greatest absolute weight first.
+
+    components(k, feature, weight, centre): centre is what the projection took away, the same for each k.
+    """
+    back = centres.join(components, "k").groupBy("cluster", "feature").agg((F.sum(F.col("value") * F.col("weight")) + F.max("centre")).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.abs("weight")), "feature"))
     return back.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def samples(labelled: DataFrame, tracks: DataFrame, by: list[str], order: str, n: int = 10) -> DataFrame:
-    """(by, sample_tracks): the first tracks of each cluster as `title — artists`."""
-    shown = F.concat(F.coalesce("title", F.lit("None")), F.lit(" — "), F.array_join(F.slice(F.coalesce("artists", F.array().cast("array<string>")), 1, 2), ", "))
+def samples(labelled: DataFrame, tracks: DataFrame, by: list[str], order: str, n: int = 10, artists: int | None = None) -> DataFrame:
+    """(by, sample_tracks): the first tracks of each cluster as `title — artists`, all artists or so many."""
+    who = F.coalesce("artists", F.array().cast("array<string>"))
+    shown = F.concat(F.coalesce("title", F.lit("None")), F.lit(" — "), F.array_join(who if artists is None else F.slice(who, 1, artists), ", "))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(order, "track_key"))
     rows = labelled.join(tracks, "track_key").withColumn("rank", rank).where(F.col("rank") <= n).select(*by, "rank", shown.alias("shown"))
     return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "shown"))), lambda x: x["shown"]).alias("sample_tracks"))

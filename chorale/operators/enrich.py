@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chorale.functions.text import isrc, slug, token
+from chorale.functions.text import isrc, isrc_trimmed, slug, token
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -132,6 +132,19 @@ def assembled_genres(tracks: DataFrame, artists: DataFrame) -> DataFrame:
     return first.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "genre"))), lambda x: x["genre"]).alias("genres"))
 
 
+def enriched_if_absent(tracks: DataFrame, by_code: DataFrame, genres: DataFrame) -> DataFrame:
+    """tracks(id, isrc, brainz, ...) with what a track lacks: brainz of its trimmed upper-case ISRC from by_code(isrc, brainz), and genres(id, genres array<string>) as items of count 1.
+
+    A track that has brainz keeps it; genres replace those held where the track's id has some.
+    """
+    codes = by_code.select(isrc_trimmed(F.col("isrc")).alias("__code"), F.col("brainz").alias("__brainz")).where("__code is not null").groupBy("__code").agg(F.first("__brainz").alias("__brainz"))
+    named = genres.select(F.col("id").alias("__id"), F.transform("genres", lambda g: F.struct(g.alias("name"), F.lit(1.0).alias("count"))).alias("__genres"))
+    joined = tracks.join(codes, isrc_trimmed(F.col("isrc")) == F.col("__code"), "left").join(named, F.col("id") == F.col("__id"), "left")
+    held = F.col("spotify_artist_genres") if "spotify_artist_genres" in tracks.columns else F.lit(None)
+    kept = [tracks[c] for c in tracks.columns if c not in ("brainz", "spotify_artist_genres")]
+    return joined.select(*kept, F.coalesce(tracks["brainz"], F.col("__brainz")).alias("brainz"), F.coalesce("__genres", held).alias("spotify_artist_genres"))
+
+
 def attributes(rows: DataFrame, facts: DataFrame, key: str, numeric: list[str]) -> DataFrame:
     """rows with numeric facts by id; null where absent or not a number."""
     return rows.join(facts.select(key, *(F.col(c).try_cast("double").alias(c) for c in numeric)), key, "left")

@@ -9,7 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorale.functions.names import exploded_tags, keeps_acoustic, numeric_leaves
+from chorale.functions.names import ITEM, canonical_tag, exploded_tags, keeps_acoustic, keeps_tag, numeric_leaves
+from chorale.functions.text import token
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,8 @@ class Weights:
     present: float = 0.10
 
 
+#: Acoustic features that may be filled in for a record.
+MOST_MEANS = 10_000
 #: Weights of the families after scaling (fixed values of the last training).
 BLOCKS = {"tag": 1.0, "genre": 0.7, "acoustic": 1.2, "meta": 0.1}
 
@@ -59,8 +62,44 @@ def song_features(songs: DataFrame, key: str = "track_id", w: Weights | None = N
     return out.groupBy(key, "feature").agg(F.sum("value").alias("value"))
 
 
+def browser_features(tracks: DataFrame, key: str, year_mean: float, year_std: float, w: Weights | None = None) -> DataFrame:
+    """The browser's profile of song_features(): tracks(key, year, popularity, tags, genres, acoustic JSON) with the training's year statistics.
+
+    Has-flags are set before terms are filtered; genres are tokens as they are; of the acoustic payload only `all` leaves of
+    its classifiers count, under highlevel if it has that; the last of equal names wins.
+    """
+    w = w or Weights()
+    flag = lambda d, name: d.select(key, F.lit(f"meta__has_{name}").alias("feature"), F.lit(w.present).alias("value"))
+    one = lambda c, name, value: tracks.where(c).select(key, F.lit(name).alias("feature"), value.alias("value"))
+    item = lambda c: F.coalesce(F.col(c).cast(ITEM), F.array().cast(ITEM))
+    year, popular = F.col("year") > 0, F.col("popularity").isNotNull()
+    tags = tracks.select(key, F.explode(item("tags")).alias("x")).select(key, token(F.col("x.name")).alias("t"), F.coalesce("x.count", F.lit(1.0)).alias("n"))
+    genres = tracks.select(key, F.explode(item("genres")).alias("x")).select(key, token(F.col("x.name")).alias("t"), F.coalesce("x.count", F.lit(1.0)).alias("n"))
+    weight = lambda d, prefix, term, rate: d.groupBy(key, F.concat(F.lit(prefix), term).alias("feature")).agg((F.sum(F.log1p(F.greatest("n", F.lit(0.0)))) * rate).alias("value"))
+    payload = tracks.select(key, F.try_parse_json("acoustic").alias("v")).select(key, F.coalesce(F.try_variant_get("v", "$.highlevel", "variant"), "v").alias("v"))
+    payload = payload.where(F.schema_of_variant("v").startswith("OBJECT"))
+    classes = tracks.sparkSession.sql(
+        "SELECT {key}, c.key AS clf, l.key AS cls, l.value AS p FROM {payload}, LATERAL variant_explode(v) AS c, LATERAL variant_explode(try_variant_get(c.value, '$.all', 'variant')) AS l".replace("{key}", key),
+        payload=payload,
+    )
+    number = classes.where(F.schema_of_variant("p").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")).select(key, F.concat(F.lit("acoustic__highlevel__"), "clf", F.lit("__all__"), "cls").alias("feature"), F.try_variant_get("p", "$", "double").alias("p"))
+    acoustic = number.where(keeps_acoustic(F.col("feature"))).select(key, "feature", (F.greatest(F.least("p", F.lit(1.0)), F.lit(-1.0)) * w.acoustic).alias("value"))
+    parts = [
+        one(year, "meta__has_year", F.lit(w.present)), one(year, "meta__year_z", (F.col("year") - year_mean) / year_std * w.year),
+        one(popular, "meta__has_popularity", F.lit(w.present)), one(popular, "meta__popularity_scaled", F.col("popularity") / 100 * w.popularity),
+        flag(tracks.where(F.size(item("tags")) > 0), "tags"), flag(tracks.where(F.size(item("genres")) > 0), "genres"), flag(payload, "acoustic_high_level"),
+        weight(tags.where((F.col("t") != "") & keeps_tag(F.col("t"))), "tag__", canonical_tag(F.col("t")), w.tag), weight(genres.where("t <> ''"), "genre__", F.col("t"), w.genre), acoustic,
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def fill_acoustic(features: DataFrame, keys: DataFrame, means: DataFrame, key: str = "track_id") -> DataFrame:
-    """Records without any acoustic feature get the training means(feature, value) of all."""
+    """Records without any acoustic feature get the training means(feature, value) of all, which are as many as a vocabulary has at most."""
+    if means.limit(MOST_MEANS + 1).count() > MOST_MEANS:
+        raise ValueError(f"more than {MOST_MEANS} acoustic features")
     have = features.where(F.col("feature").startswith("acoustic__")).select(key).distinct()
     lacking = keys.select(key).join(have, key, "left_anti")
     return features.unionByName(lacking.join(F.broadcast(means)).select(key, "feature", "value"))  # means: a vocabulary's rows

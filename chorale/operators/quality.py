@@ -68,6 +68,33 @@ def validation_report(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("records"), F.count_if(e == 0).alias("valid"), F.count_if((e > 0) | (w > 0)).alias("with_issues"), F.sum(e).alias("errors"), F.sum(w).alias("warnings"))
 
 
+def issues(df: DataFrame, order: str, n: int = 100) -> DataFrame:
+    """The first n validated records that have errors or warnings."""
+    return df.where((F.size("errors") > 0) | (F.size("warnings") > 0)).orderBy(order).select(order, "track_id", "title", "errors", "warnings").limit(n)
+
+
+def quality_counts(songs: DataFrame) -> DataFrame:
+    """One row of counters over canonical records; an empty list, a blank id and an empty payload count as missing."""
+    some = lambda c: F.count_if(F.coalesce(F.size(c), F.lit(0)) > 0)
+    told = lambda c: F.count_if(~blank(F.col(c)) & ~F.coalesce(F.col(c), F.lit("")).isin("{}", "null"))
+    return songs.agg(
+        F.count("*").alias("records"), told("ids.isrc").alias("with_isrc"), told("ids.musicbrainz_recording_id").alias("with_mbid"), some("brainz.tags").alias("with_tags"), some("brainz.genres").alias("with_genres"),
+        told("brainz.acoustic_high_level").alias("with_acoustic_high_level"), told("brainz.acoustic_low_level").alias("with_acoustic_low_level"), some("audio_embeddings.vector").alias("with_audio_embedding"),
+    )
+
+
+def build_stats(raw: DataFrame, written: DataFrame) -> DataFrame:
+    """One row on a corpus build: files and tracks read (raw has source_file), records written, duplicates, what written records lack and have, distinct tags and genres."""
+    seen = raw.agg(F.count_distinct("source_file").alias("files_seen"), F.count("*").alias("raw_tracks_seen"))
+    counts = quality_counts(written)
+    names = lambda c: written.select(F.explode(c).alias("x")).agg(F.count_distinct("x.name").alias("n"))
+    row = seen.join(F.broadcast(counts)).join(F.broadcast(names("brainz.tags").withColumnRenamed("n", "unique_tags"))).join(F.broadcast(names("brainz.genres").withColumnRenamed("n", "unique_genres")))  # one row each
+    return row.select(
+        "files_seen", "raw_tracks_seen", F.col("records").alias("records_written"), (F.col("raw_tracks_seen") - F.col("records")).alias("duplicates_skipped"), (F.col("records") - F.col("with_isrc")).alias("missing_isrc"),
+        (F.col("records") - F.col("with_mbid")).alias("missing_mbid"), "with_tags", "with_genres", "with_acoustic_high_level", "with_acoustic_low_level", "unique_tags", "unique_genres",
+    )
+
+
 def coverage(df: DataFrame, present: dict[str, Column], key: Column, year: Column) -> DataFrame:
     """One row: records, distinct keys, duplicates, first and last year, count and percent of each predicate."""
     n = F.count("*")

@@ -16,7 +16,7 @@ ABBREVIATIONS = {
 PREFIXED = ["mood_happy", "mood_sad", "mood_relaxed", "mood_party", "mood_electronic", "voice_instrumental", "timbre"]
 GENERIC = ["tempo change", "danceable", "voice instrumental / voice", "voice instrumental / instrumental"]
 UNNAMING = ["genre_tzanetakis", "genre_dortmund", "genre_rosamerica", "ismir04_rhythm", "moods_mirex", "tonal_atonal", "genre_electronic"]
-MIXED = "mixed vibe cluster"
+MIXED, LEAST_DESCRIPTOR = "mixed vibe cluster", 0.15
 
 # Ordered rules (group, any of these words, but none of those); the first that holds wins.
 BY_NAME = [
@@ -124,13 +124,17 @@ def cluster_names(features: DataFrame, by: list[str]) -> DataFrame:
 
 
 def display_groups(clusters: DataFrame, by: list[str]) -> DataFrame:
-    """Roll-up of clusters(by, display_group, cluster, name, size, sample_tracks, descriptors): members by size, first distinct samples and descriptors."""
+    """Roll-up of clusters(by, display_group, cluster, name, size, sample_tracks, descriptors): members by size, first distinct samples and descriptors.
+
+    descriptors: array<struct<label, score>>; blank ones and those below 0.15 are left out.
+    """
     members = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("o"), "cluster", "name", "sample_tracks", "descriptors")))
     grouped = clusters.groupBy(*by, "display_group").agg(F.sum("size").alias("size"), members.alias("m"))
     column = lambda n: F.transform("m", lambda x: x[n])
+    told = F.filter(F.flatten(column("descriptors")), lambda d: (F.coalesce(d["label"], F.lit("")) != "") & (d["score"] >= LEAST_DESCRIPTOR))
     return grouped.select(
         *by, "display_group", "size", column("cluster").alias("member_cluster_ids"), column("name").alias("member_cluster_names"),
-        F.slice(F.array_distinct(F.flatten(column("descriptors"))), 1, 10).alias("top_descriptors"), F.slice(F.array_distinct(F.flatten(column("sample_tracks"))), 1, 12).alias("sample_tracks"),
+        F.slice(F.array_distinct(F.transform(told, lambda d: d["label"])), 1, 10).alias("top_descriptors"), F.slice(F.array_distinct(F.flatten(column("sample_tracks"))), 1, 12).alias("sample_tracks"),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -85,12 +85,20 @@ def replay(rows: Iterable[tuple], meter: Meter) -> list[tuple]:
 
 
 def metered(log: DataFrame) -> DataFrame:
-    """(user_id, ts, decision, used) of log(user_id, ts, status, cached, force, succeeded), each user's in order of time."""
+    """(user_id, ts, decision, used) of log(user_id, ts, status, cached, force, succeeded), each user's in order of time.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        columns = ["user_id", "ts", "status", "cached", "force", "succeeded"]
-        made = replay(zip(*(pdf[c].tolist() for c in columns), strict=True), Meter())
-        return pd.DataFrame(made, columns=["user_id", "ts", "decision", "used"])
+    A user's rows come sorted and in batches: a long log is walked, never held.
+    """
 
-    return log.select("user_id", "ts", "status", "cached", "force", "succeeded").groupBy("user_id").applyInPandas(run, METERED)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, meter = None, Meter()
+        for pdf in batches:
+            made = []
+            for row in zip(*(pdf[c].tolist() for c in columns), strict=True):
+                if row[0] != user:
+                    user, meter = row[0], Meter()
+                made += replay([row], meter)
+            yield pd.DataFrame(made, columns=["user_id", "ts", "decision", "used"])
+
+    columns = ["user_id", "ts", "status", "cached", "force", "succeeded"]
+    return log.select(*columns).repartition("user_id").sortWithinPartitions("user_id", "ts").mapInPandas(run, METERED)

@@ -25,6 +25,16 @@ PRESETS = {"balanced": Thresholds(), "aggressive": Thresholds(5, 5, 4, 5, 40, 45
 LEAST = {"barely": 5, "old_favourite": 5, "skipped": 3, "core": 5, "tourist": 5}
 
 
+# Names of the buckets' suggestions, their labels, descriptions and rules.
+SUGGESTIONS = {
+    "barely": ("usage-barely-played", "Barely played tracks", "Songs from this playlist that you’ve almost never listened to in your Spotify history.", "plays ≤ {t.barely_plays} or total listening time ≤ {t.barely_minutes} minutes (from uploaded history)"),
+    "old_favourite": ("usage-long-ago", "Old favorites (not played recently)", "Tracks you used to listen to a lot but haven’t played in over 6 months.", "plays ≥ 5 and lastPlayed > 6 months ago (from uploaded history)"),
+    "skipped": ("usage-frequently-skipped", "Frequently skipped tracks", "Songs in this playlist that you skip a lot in your Spotify history.", "skips ≥ 2 and skip rate ≥ 50% of plays (from uploaded history)"),
+    "core": ("usage-core-favorites", "Core favorites", "The tracks you really live in – high plays and lots of listening time.", "plays ≥ {t.core_plays} and total listening ≥ {t.core_minutes} minutes (from uploaded history)"),
+    "tourist": ("usage-tourists", "Tourists / padding", "Tracks that rarely get listened to – good candidates for cleanup or a backup playlist.", "plays ≤ {t.tourist_plays} and total listening ≤ {t.tourist_minutes} minutes (from uploaded history)"),
+}
+
+
 def name_key(artist: Column, title: Column) -> Column:
     a, t = F.lower(F.trim(artist)), F.lower(F.trim(title))
     return F.when((a != "") & (t != ""), F.concat(F.lit("name::"), a, F.lit("::"), t))
@@ -84,6 +94,14 @@ def buckets(tracks: DataFrame, now: Column, thresholds: Thresholds | str = "bala
     return rows.join(sizes, [playlist, "bucket"]).select(playlist, "bucket", "id", "size")
 
 
+def suggestions(tracks: DataFrame, now: Column, thresholds: Thresholds | str = "balanced", playlist: str = "playlist_id") -> DataFrame:
+    """(playlist, id, label, description, rule, size, tracks): a row for each bucket of a playlist that is large enough, with its tracks' ids."""
+    t = PRESETS[thresholds] if isinstance(thresholds, str) else Thresholds(*astuple(thresholds))
+    told = F.create_map(*(x for name, (key, label, text, rule) in SUGGESTIONS.items() for x in (F.lit(name), F.struct(F.lit(key).alias("id"), F.lit(label).alias("label"), F.lit(text).alias("description"), F.lit(rule.format(t=t)).alias("rule")))))
+    made = buckets(tracks, now, t, playlist).groupBy(playlist, "bucket").agg(F.first("size").alias("size"), F.array_sort(F.collect_list("id")).alias("tracks"))
+    return made.withColumn("x", F.element_at(told, F.col("bucket"))).select(playlist, "x.id", "x.label", "x.description", "x.rule", "size", "tracks")
+
+
 def health(tracks: DataFrame, now: Column, playlist: str = "playlist_id") -> DataFrame:
     """(playlist, never_played_pct, skipped_pct, median_plays, days_since_played) of tracks with usage."""
     plays = F.coalesce("usage.plays", F.lit(0))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.functions import names, text
-from chorale.operators import audio, canonical, cluster, enrich, features, quality, route, serve, usage, vocab
+from chorale.operators import audio, canonical, cluster, enrich, features, quality, serve, usage, vocab
+from chorale.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,7 +41,7 @@ _EVENTS = """ev AS (SELECT 'u' || user_id || '_' || json_extract_string(props, '
 us AS (SELECT usage_key, count(*) AS plays, CAST(sum(ms) AS BIGINT) AS total_ms, max(ts) AS last_played, count(*) FILTER (skipped) AS skips,
        CAST(coalesce(sum(ms) FILTER (skipped), 0) AS BIGINT) AS skip_ms FROM ev GROUP BY usage_key)"""
 _TRACKS = f"""{_EVENTS}, now AS (SELECT max(ts) + INTERVAL 170 DAY AS now FROM events),
-tr AS (SELECT DISTINCT user_id % 10 AS playlist_id, usage_key AS id FROM ev WHERE user_id % 3 = 0 UNION ALL SELECT c_custkey % 10, 'c' || c_custkey FROM customer),
+tr AS (SELECT DISTINCT user_id % 10 AS playlist_id, usage_key AS id FROM ev UNION ALL SELECT c_custkey % 10, 'c' || c_custkey FROM customer),
 tu AS (SELECT playlist_id, id, us.*, usage_key IS NULL AS unseen, total_ms / 60000.0 AS minutes, date_diff('microsecond', last_played, now) / 86400000000.0 AS days
        FROM tr LEFT JOIN us ON id = usage_key, now)"""
 
@@ -52,16 +53,15 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    played = _events(spark, sf_dir).where("user_id % 3 = 0").select((F.col("user_id") % 10).alias("playlist_id"), F.col("usage_key").alias("id")).distinct()
+    played = _events(spark, sf_dir).select((F.col("user_id") % 10).alias("playlist_id"), F.col("usage_key").alias("id")).distinct()
     bought = read(spark, sf_dir, "customer").select((F.col("c_custkey") % 10).alias("playlist_id"), F.concat(F.lit("c"), "c_custkey").alias("id"))
     tracks = played.unionByName(bought).withColumns({"name": F.lit(""), "artists": F.array().cast("array<string>")})
     return usage.with_usage(tracks, usage.usage(_events(spark, sf_dir)))
 
 
-def _now(spark: SparkSession, sf_dir: str):
-    """The last event's time and 170 days more: one value."""
-    last = read(spark, sf_dir, "events").agg(F.max("ts").alias("t")).first()["t"]
-    return (F.lit(last) + F.expr("INTERVAL 170 DAYS")).cast("timestamp")
+def _now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: 170 days after the last event."""
+    return F.broadcast(read(spark, sf_dir, "events").agg((F.max("ts").cast("timestamp") + F.expr("INTERVAL 170 DAYS")).alias("now")))
 
 
 @query(f"WITH {_EVENTS} SELECT * FROM us")
@@ -76,14 +76,14 @@ SELECT playlist_id, id, unnest(list_filter([CASE WHEN unseen OR plays <= 3 OR mi
 s AS (SELECT playlist_id, bucket, count(*) AS size FROM b GROUP BY ALL HAVING count(*) >= CASE bucket WHEN 'skipped' THEN 3 ELSE 5 END)
 SELECT playlist_id, bucket, id, size FROM b JOIN s USING (playlist_id, bucket)""")
 def usage_buckets(spark, sf_dir):
-    return usage.buckets(_tracks(spark, sf_dir), _now(spark, sf_dir))
+    return usage.buckets(_tracks(spark, sf_dir).join(_now(spark, sf_dir)), F.col("now"))
 
 
 @query(f"""WITH {_TRACKS} SELECT playlist_id, CAST(floor(100.0 * count(*) FILTER (coalesce(plays, 0) = 0) / count(*) + 0.5) AS BIGINT) AS never_played_pct,
 CAST(floor(100.0 * count(*) FILTER (plays >= 3 AND skips >= 2 AND skips / plays >= 0.5) / count(*) + 0.5) AS BIGINT) AS skipped_pct,
 CAST(median(coalesce(plays, 0)) AS DOUBLE) AS median_plays, round(avg(days) FILTER (days >= 0), 6) AS days_since_played FROM tu GROUP BY playlist_id""")
 def usage_health(spark, sf_dir):
-    return usage.health(_tracks(spark, sf_dir), _now(spark, sf_dir)).withColumn("days_since_played", F.round("days_since_played", 6))
+    return usage.health(_tracks(spark, sf_dir).join(_now(spark, sf_dir)), F.col("now")).withColumn("days_since_played", F.round("days_since_played", 6))
 
 
 # -- text and keys ---------------------------------------------------------------------------------------------------
@@ -107,11 +107,6 @@ def key_hash(spark, sf_dir):
     return serve.playlist_key(orders, "o_custkey", F.lit("  Mellow "))
 
 
-@query("""SELECT doc_id, CAST(regexp_extract(text, '\\b((?:19|20)[0-9]{2})\\b', 1) AS VARCHAR) AS year_text FROM documents WHERE regexp_matches(text, '\\b(19|20)[0-9]{2}\\b')""")
-def year_extract(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.year(F.col("text")).cast("string").alias("year_text")).where("year_text is not null")
-
-
 @query("""SELECT page_id, regexp_extract(url, '[?&]page=([a-zA-Z0-9]+)', 1) AS page_no, CASE WHEN length(trim(html)) > 0 THEN sha256(html) END AS html_key FROM pages""")
 def page_keys(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
@@ -131,7 +126,7 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TERMS}, d AS (SELECT lang, term, count(*) AS df FROM terms GROUP BY ALL HAVING count(*) >= 2)
 SELECT lang, term, df, CAST(row_number() OVER (PARTITION BY lang ORDER BY df DESC, term) - 1 AS INTEGER) AS idx FROM d QUALIFY idx < 500""")
 def doc_frequency_vocab(spark, sf_dir):
-    return vocab.select_vocabulary(vocab.document_frequency(_terms(spark, sf_dir), "doc_id", ["lang"]), ["lang"], F.lit(500))
+    return vocab.select_vocabulary(vocab.document_frequency(_terms(spark, sf_dir), "doc_id", ["lang"]), ["lang"], 500)
 
 
 @query(f"""WITH {_TERMS}, s AS (SELECT source, count(DISTINCT doc_id) AS size FROM terms GROUP BY source), c AS (SELECT source, term, count(*) AS cf FROM terms GROUP BY ALL),
@@ -139,7 +134,8 @@ g AS (SELECT term, count(DISTINCT doc_id) AS gf FROM terms GROUP BY term), n AS
 SELECT source, term, round(cf / size * ln((total + 1) / gf), 6) AS score, CAST(row_number() OVER (PARTITION BY source ORDER BY round(cf / size * ln((total + 1) / gf), 9) DESC, term) AS INTEGER) AS rank
 FROM c JOIN s USING (source) JOIN g USING (term), n QUALIFY rank <= 4""")
 def top_terms_by_group_tfidf(spark, sf_dir):
-    return vocab.tfidf(_terms(spark, sf_dir), "doc_id", "source").withColumn("score", F.round("score", 6))
+    with_terms = read(spark, sf_dir, "documents").where(F.lower("text").rlike("[a-z0-9]")).select("doc_id", "source")
+    return vocab.tfidf(_terms(spark, sf_dir), "doc_id", "source", members=with_terms).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_TERMS}, c AS (SELECT term, count(*) AS n FROM terms GROUP BY term) SELECT CASE WHEN n < 5 THEN '<5' WHEN n < 20 THEN '5-19' WHEN n < 50 THEN '20-49' WHEN n < 100 THEN '50-99' ELSE '>=100' END AS band, count(*) AS terms FROM c GROUP BY 1")
@@ -255,11 +251,6 @@ def coverage_gaps(spark, sf_dir):
     return quality.gaps(p.groupBy(F.col("p_brand").alias("term")).agg(F.count("*").alias("n")), targets, "term")
 
 
-@query("SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS DOUBLE) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
-def json_numeric_leaves(spark, sf_dir):
-    return names.numeric_leaves(read(spark, sf_dir, "events"), "event_id", "props", depth=2)
-
-
 # -- features and representation -------------------------------------------------------------------------------------
 
 _LONG = """long AS (SELECT vec_id AS track_key, 'f__' || (i - 1) AS feature, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, unnest(range(1, len(embedding) + 1)) AS x(i)),
@@ -293,12 +284,14 @@ def block_weighted(spark, sf_dir):
     return z.groupBy("track_key").agg(F.round(F.sum(F.col("value") * F.col("value")), 4).alias("energy"))
 
 
-@query(f"""WITH {_LONG}, c AS (SELECT k, 'f__' || i AS feature, ((i * 7 + k * 3) % 11 - 5) / 10.0 AS weight, 0.01 * k AS centre FROM range(0, 64) AS a(i), range(0, 4) AS b(k))
-SELECT track_key, CAST(k AS INTEGER) AS k, round(sum(((value - mean) / scale - centre) * weight), 4) AS value FROM long JOIN st USING (feature) JOIN c USING (feature) GROUP BY ALL""")
+@query(f"""WITH {_LONG}, c AS (SELECT k, 'f__' || i AS feature, ((i * 7 + k * 3) % 11 - 5) / 10.0 AS weight, 0.01 * k AS centre, [1.0, 0.7, 1.2, 0.1][i % 4 + 1] AS w FROM range(0, 64) AS a(i), range(0, 4) AS b(k))
+SELECT track_key, CAST(k AS INTEGER) AS k, round(sum(((value - mean) / scale * w - centre) * weight), 4) AS value FROM long JOIN st USING (feature) JOIN c USING (feature) GROUP BY ALL""")
 def project(spark, sf_dir):
     i = spark.range(64).select(F.col("id").cast("int").alias("i")).withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
-    components = i.select("k", F.concat(F.lit("f__"), "i").alias("feature"), (((F.col("i") * 7 + F.col("k") * 3) % 11 - 5) / 10).alias("weight"), (0.01 * F.col("k")).alias("centre"))
-    out = features.project(_long(spark, sf_dir), _stats(spark, sf_dir), components, "track_key", weighted=False)
+    family = lambda n: F.concat(F.get(F.array(*map(F.lit, ("tag", "genre", "acoustic", "meta"))), n % 4), F.lit("__"), n)
+    components = i.select("k", family(F.col("i")).alias("feature"), (((F.col("i") * 7 + F.col("k") * 3) % 11 - 5) / 10).alias("weight"), (0.01 * F.col("k")).alias("centre"))
+    named = lambda d: d.withColumn("feature", family(F.split_part("feature", F.lit("__"), F.lit(2)).cast("int")))
+    out = features.project(named(_long(spark, sf_dir)), named(_stats(spark, sf_dir)), components, "track_key")
     return out.withColumn("value", F.round("value", 4))
 
 
@@ -355,15 +348,15 @@ def solution_score(spark, sf_dir):
 @query()
 def playlist_cluster(spark, sf_dir):
     """Batched k-means of both halves of the embeddings; labels have no oracle."""
-    labels, solutions = cluster.cluster_playlists(_points(spark, sf_dir), min_k=4, max_k=10, seeds=2)
+    labels, solutions = cluster.cluster_playlists(_points(spark, sf_dir))
     return labels.groupBy("playlist_id", "cluster").agg(F.count("*").alias("size")).join(solutions.select("playlist_id", "k", F.round("adjusted", 6).alias("adjusted")), "playlist_id")
 
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    """Inertia and silhouette of the whole table for k = 8 to 11, and which is best."""
-    v = read(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
-    found = cluster.sweep(v, range(8, 12), seeds=2)
+    """Inertia and silhouette of the whole table for k = 4 to 10, and which is best."""
+    v = stored(read(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")), "vectors")
+    found = cluster.sweep(v, range(4, 11), seeds=4)
     best = cluster.best_k(found)
     return spark.createDataFrame([(r["k"], r["inertia"], r["silhouette"], r["k"] == best["k"]) for r in found], "k int, inertia double, silhouette double, best boolean")
 
@@ -405,22 +398,6 @@ def request_metering(spark, sf_dir):
     return serve.metered(log)
 
 
-@query("""SELECT p_partkey, CASE WHEN contains(t, 'small') OR contains(t, 'tiny') THEN 'small' WHEN contains(t, 'ring') AND NOT contains(t, 'economy') THEN 'rings' WHEN contains(t, 'red') OR contains(t, 'blue') THEN 'colour' ELSE 'other' END AS display_group
-FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS t FROM part)""")
-def rule_router(spark, sf_dir):
-    rules = [("small", ["small", "tiny"], []), ("rings", ["ring"], ["economy"]), ("colour", ["red", "blue"], [])]
-    return read(spark, sf_dir, "part").select("p_partkey", route.routed(F.lower(F.concat_ws(" ", "p_name", "p_type")), rules, F.lit("other")).alias("display_group"))
-
-
-@query("""WITH c AS (SELECT p_brand, p_type AS display_group, p_size AS cluster, count(*) AS size FROM part GROUP BY ALL)
-SELECT p_brand, display_group, CAST(sum(size) AS BIGINT) AS size, array_to_string(list(cluster ORDER BY size DESC, cluster), ',') AS members FROM c GROUP BY ALL""")
-def display_group_rollup(spark, sf_dir):
-    c = read(spark, sf_dir, "part").groupBy("p_brand", F.col("p_type").alias("display_group"), F.col("p_size").alias("cluster")).agg(F.count("*").alias("size"))
-    none = F.array().cast("array<string>")
-    rolled = route.display_groups(c.withColumns({"name": F.col("cluster").cast("string"), "sample_tracks": none, "descriptors": none}), ["p_brand"])
-    return rolled.select("p_brand", "display_group", "size", F.array_join("member_cluster_ids", ",").alias("members"))
-
-
 @query("""WITH w AS (SELECT o_custkey, o_orderkey, CAST((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 5 AS BIGINT) AS batch FROM orders)
 SELECT o_custkey, batch, array_to_string(list('spotify:track:' || o_orderkey ORDER BY o_orderkey), ',') AS uris FROM w GROUP BY ALL""")
 def write_batches(spark, sf_dir):

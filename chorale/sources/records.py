@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chorale.operators.features import checked_components
+
 ITEM = "ARRAY<STRUCT<name: STRING, count: DOUBLE>>"
 #: The canonical record.
 SONG = f"""schema_version INT, track_id STRING, title STRING, artists ARRAY<STRING>, album STRING, year INT, duration_ms BIGINT,
@@ -28,6 +30,22 @@ def records(spark: SparkSession, paths: str | list[str], schema: str = SONG, str
     return spark.read.schema(schema).option("mode", mode).option("multiLine", multiline).option("pathGlobFilter", glob).json(paths)
 
 
+def checked(df: DataFrame) -> DataFrame:
+    """Records as they are; an error if the files hold none."""
+    if df.limit(1).count() == 0:
+        raise ValueError("no records in the given files")
+    return df
+
+
+def exports(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """Raw exports, a JSON list of tracks a file; a file that holds anything else is an error."""
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), (~F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("ARRAY"), F.lit(False))).alias("bad"))
+    bad = [r["file"] for r in whole.where("bad").limit(5).collect()]
+    if bad:
+        raise ValueError(f"not a JSON list of tracks: {', '.join(bad)}")
+    return with_file(records(spark, paths, schema, multiline=True))
+
+
 def with_file(df: DataFrame) -> DataFrame:
     """Adds source_file, the name of the file that a row was read from."""
     return df.withColumn("source_file", F.col("_metadata.file_name"))
@@ -65,6 +83,38 @@ def write_rounded(df: DataFrame, path: str, digits: int = 6) -> None:
     df.select(F.to_json(F.struct(*rounded)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_matrix(features: DataFrame, vocabulary: DataFrame, rows: DataFrame, report: DataFrame, path: str) -> None:
+    """A feature matrix as tables below a folder: long features, the vocabulary with its columns, the row index, and a report."""
+    for name, df in (("features", features), ("vocabulary", vocabulary), ("rows", rows)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    write_report(report, f"{path}/report")
+
+
+def write_representation(stats: DataFrame, components: DataFrame, path: str) -> None:
+    """The scaler's (feature, mean, scale) and the components (k, feature, weight, centre)."""
+    stats.write.mode("overwrite").parquet(f"{path}/scaler")
+    components.write.mode("overwrite").parquet(f"{path}/components")
+
+
+def load_representation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(stats, components) as written; an error where a column lacks, a feature has no statistics, or components differ in length."""
+    stats, components = spark.read.parquet(f"{path}/scaler"), spark.read.parquet(f"{path}/components")
+    for name, df, need in (("scaler", stats, ["feature", "mean", "scale"]), ("components", components, ["k", "feature", "weight", "centre"])):
+        lacking = sorted(set(need) - set(df.columns))
+        if lacking:
+            raise ValueError(f"representation: {name} lacks {', '.join(lacking)}")
+    return stats, checked_components(components, stats)
+
+
+def write_model(centres: DataFrame, stats: DataFrame, silhouette: float | None, path: str, digits: int = 6) -> None:
+    """A portable k-means model as one JSON document: k, feature names, scales, and centres(cluster, feature, value) in their order; bounded by the vocabulary times k."""
+    names = stats.agg(F.array_sort(F.collect_list("feature")).alias("feature_names"), F.transform(F.array_sort(F.collect_list(F.struct("feature", "scale"))), lambda x: F.round(x["scale"], digits)).alias("scale"))
+    each = centres.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda x: F.round(x["value"], digits)).alias("c"))
+    rows = each.agg(F.count("*").alias("k"), F.transform(F.array_sort(F.collect_list(F.struct("cluster", "c"))), lambda x: x["c"]).alias("centroids"))
+    model = names.join(F.broadcast(rows)).select(F.lit(1).alias("schema_version"), "k", "feature_names", "scale", "centroids", F.lit(silhouette).cast("double").alias("silhouette_sample"))  # one row each
+    write_report(model, path)
+
+
 def jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
 

@@ -15,8 +15,18 @@ def test_terms_once_a_track(spark):
 
 
 def test_quick_ks(spark):
-    got = {n: spark.range(1).select(labels.quick_ks(F.lit(n)).alias("k")).first()["k"] for n in (5, 30, 100, 1000)}
-    assert got == {5: [1], 30: [2], 100: [6], 1000: [16]}
+    got = {n: spark.range(1).select(labels.quick_ks(F.lit(n)).alias("k")).first()["k"] for n in (5, 29, 30, 100, 1000)}
+    assert got == {5: [2], 29: [2], 30: [2], 100: [6], 1000: [16]}
+
+
+def test_large_clusters_are_split_once(spark):
+    """40 of 60 rows are above the threshold and fall apart into 20 + 20; the small cluster stays."""
+    rows = [("p", f"{c}{i}", [100.0 * c, float(i) / 50], 0 if c < 2 else 1) for c in range(3) for i in range(20)]
+    points = spark.createDataFrame(rows, "playlist_id string, track_key string, embedding array<double>, cluster int")
+    got = {}
+    for r in labels.quick_split(points).collect():
+        got.setdefault(r["cluster"], set()).add(r["track_key"][0])
+    assert got.pop(1) == {"2"} and len(got) >= 2 and all(len(x) == 1 for x in got.values())
 
 
 def test_quick_groups(spark):

@@ -8,6 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from chorale.plans import songs  # noqa: F401
 from chorale.plans.catalogue import ORACLE, QUERIES
 from tests.conftest import DATA
 
