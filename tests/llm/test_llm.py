@@ -458,22 +458,85 @@ def test_token_counts_and_tables(docs, texts):
     assert all(r["counts"][-1] == got[r["doc_id"]]["n_tokens"] and len(r["counts"]) == len(texts[r["doc_id"]]) + 1 for r in table)
 
 
-def test_pipeline(spark, docs, texts, benchmark):
+def brute_lines(docs):
+    """(doc_id, text) of each row without the lines that stand earlier, equal or within two edits."""
+    every = sorted({(i, common_key(t), t) for i, t in docs if i is not None and t is not None}, key=lambda r: r[:2])
+    places = [((i, k, n), x) for i, k, t in every for n, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
+    first: dict = {}
+    for place, x in places:
+        first[x] = min(first.get(x, place), place)
+    by_length = collections.defaultdict(list)
+    for x in first:
+        if len(x) >= 24:
+            by_length[len(x)].append((x, collections.Counter(x)))
+    near = set()
+    for n, own in by_length.items():
+        for (x, cx), (y, cy) in itertools.chain(itertools.combinations(own, 2), itertools.product(own, by_length.get(n + 1, ())), itertools.product(own, by_length.get(n + 2, ()))):
+            if sum(((cx - cy) + (cy - cx)).values()) <= 4 and within(x, y, 2):
+                near.add(max(x, y, key=first.get))
+    out = []
+    for i, t in docs:
+        if i is None or t is None:
+            out.append((i, t))
+            continue
+        k = common_key(t)
+        kept = [x for n, x in enumerate(t.split("\n")) if x not in first or (first[x] == (i, k, n) and x not in near)]
+        out.append((i, "\n".join(kept)))
+    return out
+
+
+def common_key(text):
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh64(text.encode(), seed=42).digest(), "big", signed=True)
+
+
+def brute_contaminated(text, benchmark):
+    words = common.plain_words((text or "").encode())
+    hit = set()
+    for item in benchmark:
+        w = common.plain_words((item or "").encode())
+        size = min(13, len(w))
+        own = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if w else set()
+        for k in range(len(words) - size + 1):
+            if tuple(words[k : k + size]) in own:
+                hit.update(range(k, k + size))
+    return bool(hit) and 20 * len(hit) >= len(words)
+
+
+def test_pipeline(spark, docs, benchmark):
+    """Each stage against plain Python over its own input, with nulls, empty and repeated rows and one id with two texts."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as p
 
-    columns, stage = docs.columns, docs
-    kept = []
-    for name, f in p.STAGES[:-1]:
-        stage = common.stored(f(spark, stage, DATA), name.replace(" ", "-"))
-        assert stage.columns == columns
-        kept.append(stage)
-    toxic, lines, near, clean = kept
-    assert toxic.count() == lines.count()
-    survivors = {r["doc_id"] for r in near_duplicates.near_duplicates(lines).where("kept").collect()}
-    assert {r["doc_id"] for r in near.collect()} == survivors
-    bad = {r["doc_id"] for r in decontamination.contamination(near, benchmark).where("contaminated").collect()}
-    assert {r["doc_id"] for r in clean.collect()} == survivors - bad
-    assert rows(p.run(spark, DATA).drop("sequence_id", "offset").toPandas()) == rows(packing.pack(clean, WORDS).drop("sequence_id", "offset").toPandas())
+    some = [r["text"] for r in docs.limit(3).collect()]
+    odd = [(-1, None), (-2, ""), (-2, ""), (-3, some[0]), (-3, "an own text that stands once"), (None, some[1]), (None, some[1]), (-4, some[2] + "\nand a line of its own at the end")]
+    extra = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], docs.schema)
+    stage = common.stored(docs.unionByName(extra).repartition(3), "documents")
+    pairs = lambda d: [(r["doc_id"], r["text"]) for r in d.collect()]
+    order = lambda x: sorted(x, key=str)
+    items = [r["text"] for r in benchmark.collect()]
+
+    toxic = common.stored(p.toxicity(spark, stage, DATA), "toxicity")
+    scorer = toxicity.fit(stage, common.table(spark, DATA, "labels")).scorer()
+    assert order(pairs(toxic)) == order([(i, t) for i, t in pairs(stage) if scorer.scores([t.encode() if t else None])[0] < 0.5])
+    lines = common.stored(p.line_dedup(spark, toxic, DATA), "lines")
+    assert order(pairs(lines)) == order(brute_lines(pairs(toxic)))
+    near = common.stored(p.near_dedup(spark, lines, DATA), "near")
+    rows_ = pairs(lines)
+    named = {(i, t): (i, k) for k, (i, t) in enumerate(dict.fromkeys(x for x in rows_ if x[0] is not None))}
+    found = brute_components({v: t for (i, t), v in named.items()})
+    want = [x for x, v in named.items() if found[v][1][0] == x[0]] + [x for x in rows_ if x[0] is None]
+    assert order(pairs(near)) == order(want)
+    clean = common.stored(p.decontamination(spark, near, DATA), "clean")
+    assert order(pairs(clean)) == order([(i, t) for i, t in pairs(near) if not brute_contaminated(t, items)])
+    assert all(d.columns == docs.columns for d in (toxic, lines, near, clean))
+    packed, tokenizer = p.packing(spark, clean, DATA).toPandas(), Tokenizer.from_file(WORDS)
+    sizes = collections.Counter((i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in pairs(clean) if i is not None)
+    lengths = collections.Counter((int(i), int(n)) for (i, _), n in packed[packed["start"] == 0].dropna(subset=["doc_id"]).groupby(["doc_id", "ids_crc32"])["length"].first().items())
+    assert {k for k in sizes if k[1] <= 4096} == {k for k in lengths if k[1] < 4096} and packed.groupby("sequence_id")["length"].sum().max() <= 4096
+    assert p.run(spark, DATA).columns == p.packing(spark, clean, DATA).columns
 
 
 def test_toxic_words_outlive_a_mislabelled_row():
