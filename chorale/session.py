@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from functools import lru_cache
 from pathlib import Path
 
@@ -30,13 +31,29 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 
 
 def share_code(spark: SparkSession) -> SparkSession:
-    """Put the repository on the path of Python workers, wherever the driver was started from."""
-    have = spark.sparkContext.environment.get("PYTHONPATH", "")
+    """Make the package importable in Python workers, wherever the driver was started from: by path on this machine, as a zip file on a cluster."""
+    context = spark.sparkContext
+    have = context.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, have]))
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, have]))
+    if not context.master.startswith("local") and context.applicationId not in _shared:
+        context.addPyFile(_zipped())
+        _shared.add(context.applicationId)
     return spark
 
 
+_shared: set[str] = set()
+
+
+@lru_cache(maxsize=1)
+def _zipped() -> str:
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / "chorale.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted((Path(ROOT) / "chorale").rglob("*.py")):
+            z.write(file, file.relative_to(ROOT))
+    return str(path)
+
+
 _written: dict[str, list[str]] = {}
 
 
