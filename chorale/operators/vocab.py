@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def document_frequency(terms: DataFrame, key: str, by: list[str], term: str = "term") -> DataFrame:
-    """(by, term, df): records that have the term; terms has a row for each (key, by, term), perhaps repeated."""
-    return terms.groupBy(*by, term).agg(F.count_distinct(key).alias("df"))
+def document_frequency(terms: DataFrame, key: str, by: list[str], term: str = "term", repeated: bool = True) -> DataFrame:
+    """(by, term, df): records that have the term; terms has a row for each (key, by, term), perhaps repeated.
+
+    Where no row is repeated, rows are counted: that combines before the shuffle, which telling records apart can't.
+    """
+    return terms.groupBy(*by, term).agg((F.count_distinct(key) if repeated else F.count("*")).alias("df"))
 
 
 def select_vocabulary(df: DataFrame, by: list[str], limits: Column | int, term: str = "term", min_df: int = 2) -> DataFrame:
@@ -30,12 +33,13 @@ def family(feature: Column) -> Column:
     return F.split_part(feature, F.lit("__"), F.lit(1))
 
 
-def tfidf(terms: DataFrame, key: str, group: str, term: str = "term", top: int = 4, members: DataFrame | None = None) -> DataFrame:
+def tfidf(terms: DataFrame, key: str, group: str, term: str = "term", top: int = 4, members: DataFrame | None = None, repeated: bool = True) -> DataFrame:
     """(group, term, score, rank): tf = share of the group's records that have the term; idf = ln((N + 1) / records that have it).
 
     A record is in one group. members(key, group): the records that have a term at all; without it they are told from the terms.
+    repeated: terms may have a (key, term) twice.
     """
-    each = terms.groupBy(group, term).agg(F.count_distinct(key).alias("cf"))
+    each = document_frequency(terms, key, [group], term, repeated).withColumnRenamed("df", "cf")
     sizes = (terms if members is None else members).groupBy(group).agg(F.count_distinct(key).alias("size"))
     everywhere = each.groupBy(term).agg(F.sum("cf").alias("gf"))
     total = F.broadcast(sizes.agg(F.sum("size").alias("total")))  # one row

@@ -126,7 +126,7 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TERMS}, d AS (SELECT lang, term, count(*) AS df FROM terms GROUP BY ALL HAVING count(*) >= 2)
 SELECT lang, term, df, CAST(row_number() OVER (PARTITION BY lang ORDER BY df DESC, term) - 1 AS INTEGER) AS idx FROM d QUALIFY idx < 500""")
 def doc_frequency_vocab(spark, sf_dir):
-    return vocab.select_vocabulary(vocab.document_frequency(_terms(spark, sf_dir), "doc_id", ["lang"]), ["lang"], 500)
+    return vocab.select_vocabulary(vocab.document_frequency(_terms(spark, sf_dir), "doc_id", ["lang"], repeated=False), ["lang"], 500)
 
 
 @query(f"""WITH {_TERMS}, s AS (SELECT source, count(DISTINCT doc_id) AS size FROM terms GROUP BY source), c AS (SELECT source, term, count(*) AS cf FROM terms GROUP BY ALL),
@@ -135,7 +135,7 @@ SELECT source, term, round(cf / size * ln((total + 1) / gf), 6) AS score, CAST(r
 FROM c JOIN s USING (source) JOIN g USING (term), n QUALIFY rank <= 4""")
 def top_terms_by_group_tfidf(spark, sf_dir):
     with_terms = read(spark, sf_dir, "documents").where(F.lower("text").rlike("[a-z0-9]")).select("doc_id", "source")
-    return vocab.tfidf(_terms(spark, sf_dir), "doc_id", "source", members=with_terms).withColumn("score", F.round("score", 6))
+    return vocab.tfidf(_terms(spark, sf_dir), "doc_id", "source", members=with_terms, repeated=False).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_TERMS}, c AS (SELECT term, count(*) AS n FROM terms GROUP BY term) SELECT CASE WHEN n < 5 THEN '<5' WHEN n < 20 THEN '5-19' WHEN n < 50 THEN '20-49' WHEN n < 100 THEN '50-99' ELSE '>=100' END AS band, count(*) AS terms FROM c GROUP BY 1")
