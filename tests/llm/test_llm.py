@@ -388,6 +388,8 @@ def test_near_lines(spark, monkeypatch, glance):
     near = {max(a, b, key=first.get) for a, b in itertools.combinations([x for x in first if len(x) >= 24], 2) if within(a, b, 2)}
     want = {(i, k): x in near and first[x] == (i, k) for i, k, x in every if x in near or first[x] != (i, k)}
     assert near and {(r["doc_id"], r["line_no"]): r["near"] for r in line_dedup.removed_lines(d).collect()} == want
+    if glance == 1:
+        return
     kept = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(d).collect()}
     totals = {r["doc_id"]: r for r in line_dedup.summary(d).collect()}
     for r in d.collect():
