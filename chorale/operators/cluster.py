@@ -259,7 +259,7 @@ def split_oversized(labelled: DataFrame, features: DataFrame, rounds: int = 2, m
     least max(24, ceil(0.28 n)) rows, or has at least max(18, 2 min_size) and a low signal (mixed name, fewer than two features,
     or a top score below 0.35). A split is accepted if it has two meaningful parts, the largest of at most 0.78, and an
     adjusted score of at least 0.02 or, under a low signal, two strong children. In a round the largest cluster whose split
-    is accepted is split in each playlist: its largest part keeps the number.
+    is accepted is split in each playlist: its largest part keeps the number. The decisions end with it, the largest cluster first.
     """
     decisions = None
     for r in range(rounds):
@@ -283,7 +283,8 @@ def split_oversized(labelled: DataFrame, features: DataFrame, rounds: int = 2, m
         judged = stored(judged.withColumn("ok", ~few & ~low_score & ~big).withColumn("reason", F.when(F.col("ok"), "accepted").otherwise(reasons)), "judged")
         first = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("size"), "was"))
         accepted = judged.where("ok").withColumn("rank", first).where("rank = 1").select("playlist_id", "parent", "was")
-        log = judged.select(F.lit(r + 1).alias("round"), F.col("parent").alias("playlist_id"), F.col("was").alias("cluster"), "size", "trigger", "adjusted", F.coalesce("strong", F.lit(0)).alias("strong"), "reason")
+        done = F.coalesce(F.max("ok").over(Window.partitionBy("parent").orderBy(F.desc("size"), "was").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+        log = judged.withColumn("done", done).where("not done").select(F.lit(r + 1).alias("round"), F.col("parent").alias("playlist_id"), F.col("was").alias("cluster"), "size", "trigger", "adjusted", F.coalesce("strong", F.lit(0)).alias("strong"), "reason")
         decisions = log if decisions is None else decisions.unionByName(log)
         if not accepted.limit(1).count():
             break
@@ -319,12 +320,12 @@ def corpus_summary(labels: DataFrame, centres: DataFrame, components: DataFrame,
 
 
 def playlist_summary(features: DataFrame, labelled: DataFrame, tracks: DataFrame, order: str, top: int = 8, shown: int = 10) -> DataFrame:
-    """(playlist_id, cluster, name, size, sample_tracks, top_features) of clustered playlists."""
+    """(playlist_id, cluster, name, size, sample_tracks, top_features) of clustered playlists, the largest clusters of each first."""
     by = ["playlist_id", "cluster"]
     greatest = top_features(features, labelled, ["playlist_id"], top)
     told = greatest.groupBy(*by).agg(_ranked("feature", "score").alias("top_features"))
     out = cluster_sizes(labelled, by).join(cluster_names(greatest, by).select(*by, "name"), by, "left").join(samples(labelled, tracks, by, order, shown), by, "left").join(told, by, "left")
-    return out.select(*by, F.coalesce("name", F.lit(MIXED)).alias("name"), "size", "sample_tracks", "top_features")
+    return out.select(*by, F.coalesce("name", F.lit(MIXED)).alias("name"), "size", "sample_tracks", "top_features").orderBy("playlist_id", F.desc("size"), "cluster")
 
 
 def _ranked(*columns: str) -> Column:

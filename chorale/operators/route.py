@@ -160,8 +160,3 @@ def suffixed(clusters: DataFrame, playlist: str = "playlist_id") -> DataFrame:
 
     kinds = dict(clusters.dtypes)
     return clusters.select(playlist, "cluster", "display_group", "size", "terms").groupBy(playlist).applyInPandas(label, f"{playlist} {kinds[playlist]}, cluster {kinds['cluster']}, label string")
-
-
-def ordered(df: DataFrame, size: str = "size", tie: str = "cluster") -> DataFrame:
-    return df.orderBy(F.desc(size), tie)
-

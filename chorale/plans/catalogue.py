@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.functions import names, text
+from chorale.functions import text
 from chorale.operators import audio, canonical, cluster, enrich, features, quality, serve, usage, vocab
 from chorale.session import stored
 

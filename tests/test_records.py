@@ -61,6 +61,14 @@ def test_matrix_representation_and_model(spark, tmp_path):
     assert (model["k"], model["feature_names"], model["centroids"], model["silhouette_sample"]) == (2, ["x", "y"], [[9.0, 1.0], [0.123457, 0.0]], 0.5)
 
 
+def test_relational_tables(spark):
+    options = {"url": "jdbc:derby:memory:chorale;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    users = spark.createDataFrame([("u1", "active", 2), ("u2", None, 0)], "user_id string, subscription_status string, monthly_used int")
+    users.write.format("jdbc").options(dbtable="users", **options).mode("overwrite").save()
+    got = records.jdbc(spark, options["url"], "users", driver=options["driver"])
+    assert sorted(map(tuple, got.collect())) == [("u1", "active", 2), ("u2", None, 0)]
+
+
 def test_numbers_of_any_depth(spark):
     deep = "1"
     for i in range(12):
@@ -110,16 +118,16 @@ def test_key_confidence_is_the_lead_over_the_other_mode(spark):
 def test_a_large_cluster_is_split_and_small_ones_stay(spark):
     rows = [("p", f"{c}-{i}", [50.0 * c + 0.01 * i, float(c % 2)], 0 if c < 2 else 1) for c in range(3) for i in range(18)]
     points = spark.createDataFrame(rows, "playlist_id string, track_key string, embedding array<double>, cluster int")
-    told = points.select("track_key", F.concat(F.lit("tag__kind"), F.substring("track_key", 1, 1)).alias("feature"), F.lit(0.9).alias("value"))
+    told = points.select("track_key", F.explode(F.array(F.lit("tag__kind"), F.lit("tag__mood"))).alias("f")).select("track_key", F.concat("f", F.substring("track_key", 1, 1)).alias("feature"), F.lit(0.9).alias("value"))
     split, decisions = cluster.split_oversized(points, told, min_size=8)
     parts = {}
     for r in split.collect():
         parts.setdefault(r["cluster"], set()).add(r["track_key"][0])
     assert sorted(map(sorted, parts.values())) == [["0"], ["1"], ["2"]] and set(parts) == {0, 1, 2}
     log = {(r["round"], r["cluster"]): (r["trigger"], r["reason"]) for r in decisions.collect()}
-    assert log[1, 0] == ("size", "accepted")
+    assert log == {(1, 0): ("size", "accepted")}
     summary = {r["name"]: (r["size"], len(r["sample_tracks"])) for r in cluster.playlist_summary(told, split, points.select("track_key", F.col("track_key").alias("title"), F.array("playlist_id").alias("artists")), "track_key").collect()}
-    assert summary == {"kind0": (18, 10), "kind1": (18, 10), "kind2": (18, 10)}
+    assert summary == {f"kind{k} / mood{k}": (18, 10) for k in range(3)}
 
 
 def test_strong_children_gain_on_their_parent(spark):
