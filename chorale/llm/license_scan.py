@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chorale.llm.common import documents
+from chorale.llm.common import documents, text_key
 
 #: Words of a k-gram, diagonals that are merged, and the shares that verify a span.
 K, SHIFT, COVER, STRETCH = 3, 2, 0.7, 1.5
@@ -75,18 +75,23 @@ def _starts(w: Column, phrase: str) -> Column:
 
 def base_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels): places of the base phrases."""
-    w = documents(docs, id_col, text_col).select("doc_id", words(F.col("text")).alias("w"))
-    found = w.select("doc_id", F.size("w").cast("long").alias("n_words"), *(_starts(F.col("w"), p).alias(f"s{i}") for i, p in enumerate(BASE)))
+    return _base(docs, id_col, text_col).drop("text_key")
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    own = documents(docs, id_col, text_col)
+    w = own.select("doc_id", text_key(own).alias("text_key"), words(F.col("text")).alias("w"))
+    found = w.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), *(_starts(F.col("w"), p).alias(f"s{i}") for i, p in enumerate(BASE)))
     places = F.concat(*(F.col(f"s{i}") for i in range(len(BASE))))
     named = F.array_sort(F.array_compact(F.array(*(F.when(F.size(f"s{i}") > 0, label) for i, label in enumerate(BASE.values())))))
     return found.select(
-        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"),
+        "doc_id", "text_key", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"),
         F.array_max(places).cast("long").alias("last_word"), named.alias("base_labels"),
     )
 
 
 def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, label, template, first_word, n_span, share, verified): merged diagonals of each document and template."""
+    """(doc_id, text_key, label, template, first_word, n_span, share, verified): merged diagonals of each document and template; text_key tells texts of one id apart."""
     templates = TEMPLATES if templates is None else templates
     split = [(i, label, text.split()) for i, (label, text) in enumerate(templates)]
     if sum(len(w) for _, _, w in split) > MAX_GRAMS:
@@ -97,22 +102,24 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, k: in
     grams = spark.createDataFrame(gram(split), "template int, label string, j int, n_template int, " + ", ".join(f"{n} string" for n in names))
     grams = grams.select("template", "label", "j", "n_template", F.xxhash64(*names).alias("h"))
 
-    w = documents(docs, id_col, text_col).where(F.col("doc_id").isNotNull()).select("doc_id", words(F.col("text")).alias("w"))
+    own = documents(docs, id_col, text_col)
+    who = ["doc_id", "text_key"]
+    w = own.select("doc_id", text_key(own).alias("text_key"), words(F.col("text")).alias("w"))
     hashes = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(*(F.get("w", i + n) for n in range(k))))
-    rolled = w.where(F.size("w") >= k).select("doc_id", F.posexplode(hashes).alias("i", "h"))
-    votes = rolled.join(F.broadcast(grams), "h").select("doc_id", "template", "label", "n_template", "j", "i", (F.col("i") - F.col("j")).alias("diagonal"))
+    rolled = w.where(F.size("w") >= k).select(*who, F.posexplode(hashes).alias("i", "h"))
+    votes = rolled.join(F.broadcast(grams), "h").select(*who, "template", "label", "n_template", "j", "i", (F.col("i") - F.col("j")).alias("diagonal"))
 
-    by_diagonal = votes.groupBy("doc_id", "template", "label", "n_template", "diagonal").agg(F.collect_set("j").alias("js"), F.min("i").alias("first"), F.max("i").alias("last"))
-    order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    by_diagonal = votes.groupBy(*who, "template", "label", "n_template", "diagonal").agg(F.collect_set("j").alias("js"), F.min("i").alias("first"), F.max("i").alias("last"))
+    order = Window.partitionBy(*who, "template").orderBy("diagonal")
     begins = (F.col("diagonal") - F.lag("diagonal").over(order) > SHIFT).cast("int")
     run = F.sum(F.coalesce(begins, F.lit(0))).over(order)
-    merged = by_diagonal.withColumn("run", run).groupBy("doc_id", "template", "label", "n_template", "run").agg(
+    merged = by_diagonal.withColumn("run", run).groupBy(*who, "template", "label", "n_template", "run").agg(
         F.array_distinct(F.flatten(F.collect_list("js"))).alias("js"), F.min("first").alias("first"), F.max("last").alias("last")
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j, j + k - 1)))))
     share, length = covered / F.col("n_template"), F.col("last") - F.col("first") + k
     return merged.select(
-        "doc_id", "label", "template", F.col("first").cast("long").alias("first_word"), length.cast("long").alias("n_span"), share.alias("share"),
+        *who, "label", "template", F.col("first").cast("long").alias("first_word"), length.cast("long").alias("n_span"), share.alias("share"),
         ((share >= COVER) & (length <= STRETCH * F.col("n_template"))).alias("verified"),
     )
 
@@ -122,13 +129,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
 
     labels: those of base phrases and of verified spans. score: 1 with a base phrase, else the largest share of a
     template that a verified span covers, else 0. A null or empty text has no words. Repeated rows each have
-    their row, and rows of one doc_id share their spans; a null id has base labels only.
+    their row; rows of one doc_id with other texts, and rows with a null id, are labelled each by its own text.
     """
     verified = spans(docs, templates, id_col=id_col, text_col=text_col).where("verified")
-    found = verified.groupBy("doc_id").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
+    found = verified.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
     none = F.array().cast("array<string>")
     labels = F.array_sort(F.array_union("base_labels", F.coalesce("found", none)))
-    return base_scan(docs, id_col, text_col).join(found, "doc_id", "left").select(
+    base = _base(docs, id_col, text_col)
+    return base.join(found, base["doc_id"].eqNullSafe(found["__id"]) & (base["text_key"] == found["__key"]), "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )

@@ -113,6 +113,11 @@ def test_licenses(spark):
     assert got[1]["score"] == 1.0 and 0.7 <= got[2]["score"] <= 1 and got[3]["score"] == 0
 
 
+def test_licenses_of_rows_that_share_an_id(spark):
+    d = spark.createDataFrame([(1, "released under the mit license"), (1, "no license here at all"), (None, "released under the mit license"), (None, None)], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["n_words"], r["labels"]) for r in license_scan.scan(d).collect()) == [("1", 5, ""), ("1", 5, "mit"), ("None", 0, ""), ("None", 5, "mit")]
+
+
 def test_words_beyond_ascii_are_not_lowered_to_ascii(spark):
     d = spark.createDataFrame([(1, "this wor\u212a has been dedicated to the public domain"), (2, "THIS WORK has been dedicated to the Public Domain"), (3, "All R\u0130GHTS reserved"), (4, None)], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["labels"]) for r in license_scan.scan(d).collect()}
