@@ -37,11 +37,11 @@ ORDINARY, TOXIC, SHORT = 8192, 4096, 2048
 #: Per mille of the toxic texts in which a word recurs (3 texts at least, 2 of less than 100), and how many times its share of the ordinary texts that is.
 RECURS, LEANS = 4, 20
 #: Words of a window and from one to the next; distances that are counted; bytes of text compressed at a time.
-WINDOW, STEP, FAR, CHUNK = 6, 3, (3, 4, 5, 6, 7, 8), 1 << 22
+WINDOW, STEP, FAR, CHUNK = 6, 3, (3, 4, 5, 6, 7, 8), 1 << 20
 #: Copies are told by one shingle hash in so many; texts that the ordinary dictionary itself is trained on.
 SHINGLES, TRAINED = 16, 2000
 #: Words whose distance a worker keeps, if they have no more than so many bytes.
-KEPT, KEPT_BYTES = 200_000, 64
+KEPT, KEPT_BYTES = 100_000, 64
 
 
 @dataclass
@@ -198,19 +198,22 @@ def _unlike(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def _leaning(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[set[bytes], set[tuple[bytes, bytes]]]:
-    """Words, and pairs of words that aren't among them, that recur in toxic texts and in LEANS times their share of the ordinary ones."""
+def _leaning(toxic: list[bytes], ordinary: list[bytes]) -> tuple[set[bytes], set[tuple[bytes, bytes]]]:
+    """Words, and pairs of words that aren't among them, that recur in toxic texts and in LEANS times their share of the ordinary ones.
+
+    Texts are split when they are counted: their words are never held together.
+    """
     least = max(2 if len(toxic) < 100 else 3, len(toxic) * RECURS // 1000)
 
     def leaning(terms: Callable[[list[bytes]], set]) -> tuple[set, set]:
         texts: Counter = Counter()
         for t in toxic:
-            texts.update(terms(t))
-        often = {w for w, n in texts.items() if n >= least}
+            texts.update(terms(plain_words(t)))
+        texts = Counter({w: n for w, n in texts.items() if n >= least})
         common: Counter = Counter()
         for t in ordinary:
-            common.update(often & terms(t))
-        return often, {w for w in often if texts[w] * len(ordinary) >= LEANS * len(toxic) * (common[w] + 0.5)}
+            common.update(w for w in terms(plain_words(t)) if w in texts)
+        return set(texts), {w for w, n in texts.items() if n * len(ordinary) >= LEANS * len(toxic) * (common[w] + 0.5)}
 
     often, words = leaning(set)
     joinable = often - words
@@ -237,10 +240,10 @@ def _trained(samples: list[bytes], size: int, segment: int, grain: int) -> bytes
     return z.train_dictionary(2 * size, samples, k=segment, d=grain).as_bytes()[-size:]
 
 
-def _dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
+def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     words, pairs = _leaning(toxic, ordinary)
-    parts = [p for p in (_parts(t, words, pairs) for t in toxic) if p]
-    plain = [_form(t) for t in ordinary[:TRAINED] if t]
+    parts = [p for p in (_parts(plain_words(t), words, pairs) for t in toxic) if p]
+    plain = [_form(w) for w in map(plain_words, ordinary[:TRAINED]) if w]
     return Model(_trained(plain, ORDINARY, 200, 8) or b" ", _trained([_form(p) for p in parts], TOXIC, 16, 6) or b" ")
 
 
@@ -251,13 +254,14 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     """
     if not toxic or not ordinary:
         return Model()
-    split = [[plain_words(t) for t in _unlike(own)] for own in (toxic, ordinary)]
+    split = [_unlike(own) for own in (toxic, ordinary)]
     x, y = [], []
     for k in range(FOLDS):
         scorer = _dictionaries(*([t for i, t in enumerate(own) if i % FOLDS != k or len(own) == 1] for own in split)).scorer()
         for label, own in ((1.0, split[0]), (0.0, split[1])):
-            x += scorer._features(own[k::FOLDS])
+            x += scorer.features(own[k::FOLDS])
             y += [label] * len(own[k::FOLDS])
+    del scorer
     x, y, model = np.array(x), np.array(y), _dictionaries(*split)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     model.weights = _logistic(np.column_stack([(x - model.mean) / model.scale, np.ones(len(x))]), y)

@@ -565,11 +565,11 @@ def test_toxic_windows_cover_the_text():
 
 
 def test_toxic_pairs_of_ordinary_words_lean():
-    toxic = [[b"green", b"river%d" % i, b"stone", b"dark", b"moon"] for i in range(30)]
-    ordinary = [[b"dark", b"river%d" % i] for i in range(300)] + [[b"moon", b"stone%d" % i] for i in range(300)]
+    toxic = [b"green river%d stone dark moon" % i for i in range(30)]
+    ordinary = [b"dark river%d" % i for i in range(300)] + [b"moon stone%d" % i for i in range(300)]
     words, pairs = toxicity._leaning(toxic, ordinary)
     assert (b"dark", b"moon") in pairs and not words & {b"dark", b"moon"}
-    assert toxicity._parts(toxic[0], words, pairs)[-2:] == [b"dark", b"moon"]
+    assert toxicity._parts(toxic[0].split(), words, pairs)[-2:] == [b"dark", b"moon"]
 
 
 def test_registered_scores_look_past_two_words(spark):
