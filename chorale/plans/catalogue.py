@@ -405,8 +405,11 @@ def write_batches(spark, sf_dir):
     return canonical.write_batches(ids, "o_orderkey", "o_custkey", 5).withColumn("uris", F.array_join("uris", ","))
 
 
-@query("""SELECT vec_id, CAST(round(64 * 1000.0 / 8000) AS BIGINT) AS duration_ms, round(20 * log10(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) / 64)), 4) AS rms_dbfs,
-round(list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))), 6) AS peak FROM embeddings""")
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), m AS (SELECT vec_id, sqrt(list_sum(list_transform(e, lambda x: x * x)) / 64) AS rms, list_max(list_transform(e, lambda x: abs(x))) AS peak,
+list_sum(list_transform(range(1, 64), lambda i: CASE WHEN (e[i] < 0) <> (e[i + 1] < 0) THEN 1 ELSE 0 END)) / 64.0 AS zcr FROM e)
+SELECT vec_id, CAST(round(64 * 1000.0 / 8000) AS BIGINT) AS duration_ms, round(20 * log10(rms), 4) AS rms_dbfs, round(peak, 6) AS peak, round(20 * log10(peak) - 20 * log10(rms), 4) AS crest_db,
+round(greatest(0, least(1, (rms - 0.02) / 0.18)), 6) AS energy, round(zcr, 6) AS zcr FROM m""")
 def waveform_summary(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.lit(8000).alias("sr"), F.col("embedding").alias("samples"))
-    return audio.waveform(e, "vec_id").select("vec_id", "duration_ms", F.round("rms_dbfs", 4).alias("rms_dbfs"), F.round("peak", 6).alias("peak"))
+    places = {"rms_dbfs": 4, "peak": 6, "crest_db": 4, "energy": 6, "zcr": 6}
+    return audio.waveform(e, "vec_id").select("vec_id", "duration_ms", *(F.round(c, n).alias(c) for c, n in places.items()))
