@@ -133,19 +133,18 @@ def _common(keyed: DataFrame, edits: int) -> DataFrame:
     return stored(some.select(F.explode(F.slice("keys", 1, edits + 1)).alias("key")).groupBy("key").count().where(F.col("count") >= COMMON).select("key"), "common")
 
 
-def _deeper(texts: DataFrame, common: DataFrame, edits: int) -> DataFrame:
-    """(key, h, own, letters) of lines(h, line) under their common keys and the segments of what each leaves of the line; own: in the index, too."""
+def _deeper(hot_lines: DataFrame, common: DataFrame, edits: int) -> DataFrame:
+    """(key, h, first, letters, own) of lines(h, line, first, letters) under their common keys and the segments of what each leaves of the line; own: in the index, too."""
+    kept = ["h", "first", "letters"]
     n = (F.octet_length("wide") / 4).cast("int")
-    wide = texts.select("h", F.encode("line", "UTF-32").alias("wide"))
-    letters = texts.select("h", _letters(F.col("line")).alias("letters"))
+    wide = hot_lines.select(*kept, F.encode("line", "UTF-32").alias("wide"))
     piece = F.array(*(F.struct(F.lit(k).alias("was"), (4 * start).alias("start"), (4 * size).alias("size")) for k, (_, _, start, size) in enumerate(_pieces(n, edits))))
-    each = wide.select("h", "wide", piece.alias("pieces"), _keys(F.col("wide"), n, edits).alias("keys")).select("h", "wide", F.posexplode("keys").alias("k", "outer"), "pieces")
-    shared = each.join(common.withColumnRenamed("key", "outer"), "outer").select("h", "wide", "outer", F.get("pieces", F.col("k")).alias("p"))
+    each = wide.select(*kept, "wide", piece.alias("pieces"), _keys(F.col("wide"), n, edits).alias("keys")).select(*kept, "wide", F.posexplode("keys").alias("k", "outer"), "pieces")
+    shared = each.join(common.withColumnRenamed("key", "outer"), "outer").select(*kept, "wide", "outer", F.get("pieces", F.col("k")).alias("p"))
     rest = F.concat(F.substring("wide", F.lit(1), F.col("p.start")), F.substring("wide", F.col("p.start") + F.col("p.size") + 1, F.octet_length("wide")))
-    left = shared.select("h", "outer", "p.was", rest.alias("wide"))
-    again = left.select("h", "outer", "was", F.posexplode(_keys(F.col("wide"), n, edits)).alias("at", "inner"))
-    keyed = again.select(F.xxhash64("outer", "inner").alias("key"), "h", ((F.col("was") <= edits) & (F.col("at") <= edits)).alias("own")).distinct()
-    return keyed.join(letters, "h")
+    left = shared.select(*kept, "outer", "p.was", rest.alias("wide"))
+    again = left.select(*kept, "outer", "was", F.posexplode(_keys(F.col("wide"), n, edits)).alias("at", "inner"))
+    return again.select(F.xxhash64("outer", "inner").alias("key"), *kept, ((F.col("was") <= edits) & (F.col("at") <= edits)).alias("own")).distinct()
 
 
 def _verified(pairs: DataFrame, texts, edits: int) -> DataFrame:
@@ -179,12 +178,14 @@ def near_lines(every: DataFrame, firsts: DataFrame, edits: int = EDITS, min_char
 
     hot = _listed(common)
     who = _listed(stored(rows.join(hot, "key", "left_semi").select("h").distinct(), "lines"))
-    deep = stored(_deeper(stored(texts(who), "lines"), hot, edits).join(firsts.select("h", "first"), "h"), "deeper")
-    centres = stored(deep.where("own").groupBy("key").agg(F.min(F.struct("first", "h")).alias("c")), "centres")
-    star = deep.join(centres, "key").where("h <> c.h and first > c.first").select(F.least("h", "c.h").alias("a"), F.greatest("h", "c.h").alias("b"))
+    hot_lines = stored(texts(who).join(firsts.select("h", "first"), "h").withColumn("letters", _letters(F.col("line"))), "hot-lines")
+    deep = stored(_deeper(hot_lines, hot, edits), "deeper")
+    index = deep.where("own")
+    centres = stored(index.groupBy("key").agg(F.min(F.struct("first", "h")).alias("c")), "centres")
+    star = index.join(centres, "key").where("first > c.first").select(F.least("h", "c.h").alias("a"), F.greatest("h", "c.h").alias("b"))
     decided = stored(_later(_verified(star, texts, edits), firsts), "near-lines")
-    open_ = stored(deep.join(_listed(decided), "h", "left_anti"), "deeper")
-    still = _meeting(deep.where("own"), open_, edits).unionByName(_meeting(open_.where("own"), deep, edits))
+    open_ = stored(_deeper(hot_lines.join(_listed(decided), "h", "left_anti"), hot, edits), "deeper")
+    still = _meeting(index, open_, edits).unionByName(_meeting(open_.where("own"), deep, edits))
     cold = rows.join(hot, "key", "left_anti")
     others = _verified(_meeting(cold.where(F.col("at") <= edits), cold).unionByName(still), texts, edits)
     return decided.unionByName(_later(others, firsts)).distinct()
