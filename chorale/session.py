@@ -67,17 +67,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir()
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, for a table or a stream's checkpoint; release() deletes what is there."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete all tables that stored() wrote in this application, once the results made from them are written; their number."""
+    """Delete all that stands at the paths of shared_path() and stored() in this application, once the results made from them are written; their number."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
