@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +29,28 @@ def token(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(spelled, "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+@cache
+def _unaccented() -> tuple[str, str]:
+    """Letters and digits that compatibility decomposition makes one character and combining accents, and those characters."""
+    found = {}
+    for code in (*range(0xA0, 0xD800), *range(0xF900, 0x10000)):
+        c = chr(code)
+        base = unicodedata.normalize("NFKD", c)
+        base = base[:1] + "".join(x for x in base[1:] if not 0x300 <= ord(x) <= 0x36F)
+        if len(base) == 1 and base != c and base.isalnum() and ord(base) < 0x10000:
+            found[c] = base.lower() if len(base.lower()) == 1 else base
+    return "".join(found), "".join(found.values())
+
+
+def fold(c: Column) -> Column:
+    """Lower case without accents, vowel points or punctuation, words one space apart, in any script; a text of
+    punctuation alone stays as it is, null is empty."""
+    low = F.lower(squeeze(c))
+    plain = F.regexp_replace(F.translate(low, *_unaccented()), "[\u0300-\u036f\u064b-\u0652\u0640]+", "")
+    plain = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}\p{M}]+", " "))
+    return F.when(plain != "", plain).otherwise(low)
+
+
 def isrc(c: Column) -> Column:
     """Upper-case letters and digits alone; null if none."""
     return F.nullif(F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9]", "")), F.lit(""))

@@ -1,11 +1,11 @@
-"""De-duplication, lookups by priority, fills, upserts and matching against recordings."""
+"""De-duplication, lookups by priority, fills, upserts and matching by code."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chorale.functions.text import isrc, isrc_trimmed, slug, token
+from chorale.functions.text import isrc, isrc_trimmed
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -103,28 +103,6 @@ def by_isrc(rows: DataFrame, recordings: DataFrame, code: str = "isrc") -> DataF
     return rows.join(each.groupBy("__isrc").agg(F.min_by("mbid", "ord").alias("mbid")), isrc(F.col(code)) == F.col("__isrc"), "left").drop("__isrc")
 
 
-#: Points for title and artist: exact text, equal slugs, one contains the other; the least total that matches (fixed values).
-PROFILES = {"search": {"title": (50, 35, 20), "artist": (40, 25, 0), "least": 35}, "simple": {"title": (3, 3, 0), "artist": (3, 3, 0), "least": None}}
-
-
-def by_title_artist(rows: DataFrame, recordings: DataFrame, profile: str = "search", key: str = "track_id") -> DataFrame:
-    """(key, mbid, points): the best recording among those that share the title's or first artist's token."""
-    p = PROFILES[profile]
-    left = rows.select(key, "title", F.get("artists", F.lit(0)).alias("artist")).withColumn("block", F.explode(F.array_distinct(F.array(F.concat(F.lit("t:"), token(F.col("title"))), F.concat(F.lit("a:"), token(F.col("artist")))))))
-    right = recordings.select("mbid", "ord", F.col("title").alias("rt"), F.get("artist_credit", F.lit(0)).alias("ra"), F.coalesce("source_score", F.lit(0)).alias("score"))
-    right = right.withColumn("block", F.explode(F.array_distinct(F.array(F.concat(F.lit("t:"), token(F.col("rt"))), F.concat(F.lit("a:"), token(F.col("ra")))))))
-
-    def points(a: str, b: str, given: tuple[int, int, int]) -> Column:
-        x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
-        return F.when(x == y, given[0]).when(slug(F.col(a)) == slug(F.col(b)), given[1]).when(F.contains(x, y) | F.contains(y, x), given[2]).otherwise(0)
-
-    scored = left.join(right, "block").select(key, "mbid", "ord", "score", (F.coalesce(points("title", "rt", p["title"]), F.lit(0)) + F.coalesce(points("artist", "ra", p["artist"]), F.lit(0))).alias("text")).distinct()
-    total = F.col("text") + F.col("score") if p["least"] is not None else F.col("text")
-    best = scored.withColumn("points", total).groupBy(key).agg(F.max(F.struct("points", "score", (-F.col("ord")).alias("o"), "mbid")).alias("x"))
-    best = best.select(key, "x.mbid", "x.points")
-    return best if p["least"] is None else best.where(F.col("points") >= p["least"])
-
-
 def assembled_genres(tracks: DataFrame, artists: DataFrame) -> DataFrame:
     """(track_id, genres): genres of the track's artists in the artists' and their own order, each once; tracks without any are left out."""
     each = tracks.select("track_id", F.posexplode("artist_ids").alias("ap", "artist_id")).join(artists.select("artist_id", F.posexplode("genres").alias("gp", "genre")), "artist_id")
@@ -135,9 +113,10 @@ def assembled_genres(tracks: DataFrame, artists: DataFrame) -> DataFrame:
 def enriched_if_absent(tracks: DataFrame, by_code: DataFrame, genres: DataFrame) -> DataFrame:
     """tracks(id, isrc, brainz, ...) with what a track lacks: brainz of its trimmed upper-case ISRC from by_code(isrc, brainz), and genres(id, genres array<string>) as items of count 1.
 
-    A track that has brainz keeps it; genres replace those held where the track's id has some.
+    A track that has brainz keeps it; genres replace those held where the track's id has some. Of several payloads of
+    one code the least by its JSON text is taken.
     """
-    codes = by_code.select(isrc_trimmed(F.col("isrc")).alias("__code"), F.col("brainz").alias("__brainz")).where("__code is not null").groupBy("__code").agg(F.first("__brainz").alias("__brainz"))
+    codes = by_code.select(isrc_trimmed(F.col("isrc")).alias("__code"), F.col("brainz").alias("__brainz")).where("__code is not null").groupBy("__code").agg(F.min_by("__brainz", F.to_json(F.struct("__brainz"))).alias("__brainz"))
     named = genres.select(F.col("id").alias("__id"), F.transform("genres", lambda g: F.struct(g.alias("name"), F.lit(1.0).alias("count"))).alias("__genres"))
     joined = tracks.join(codes, isrc_trimmed(F.col("isrc")) == F.col("__code"), "left").join(named, F.col("id") == F.col("__id"), "left")
     held = F.col("spotify_artist_genres") if "spotify_artist_genres" in tracks.columns else F.lit(None)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.functions import names, text
-from chorale.operators import audio, canonical, cluster, enrich, features, labels, quality, route, serve, usage, vocab
+from chorale.operators import audio, canonical, cluster, enrich, features, labels, matching, quality, route, serve, usage, vocab
 from chorale.plans.catalogue import _POINTS, _SIL, _TRACKS, _events, _now, _points, _tracks, query, read
 from chorale.sources import records
 from chorale.streaming.usage import merged_usage, plays_by_period
@@ -236,18 +236,39 @@ def recordings_by_code(spark, sf_dir):
 
 
 _MATCH = f"""{_RAW}, rec AS (SELECT p_partkey AS ord, p_name || ' no ' || (p_partkey % 90) AS rt, p_brand AS ra, p_size % 10 AS score FROM part), one AS (SELECT DISTINCT 't' || k AS track_id, title, artists[1] AS artist FROM song),
-pr AS (SELECT track_id, ord, score, CASE WHEN lower(title) = rt THEN 50 WHEN contains(lower(title), rt) OR contains(rt, lower(title)) THEN 20 ELSE 0 END AS tp, CASE WHEN artist = ra THEN 40 ELSE 0 END AS ap, lower(title) = rt AS same
-FROM one JOIN rec ON lower(title) = rt OR artist = ra)"""
+pr AS (SELECT track_id, ord, score, lower(title) = rt AS same, CASE WHEN lower(title) = rt THEN 50 ELSE 20 END + 40 AS p FROM one JOIN rec ON artist = ra AND contains(rt, lower(title)))"""
 
 
-@query(f"WITH {_MATCH} SELECT track_id, 'm' || arg_max(ord, (tp + ap + score) * 1e12 + score * 1e10 - ord) AS mbid, CAST(max(tp + ap + score) AS INTEGER) AS points FROM pr GROUP BY track_id HAVING max(tp + ap + score) >= 35")
+@query(f"WITH {_MATCH} SELECT track_id, 'm' || arg_max(ord, (p + score) * 1e12 + score * 1e10 - ord) AS mbid, CAST(max(p + score) AS INTEGER) AS points FROM pr GROUP BY track_id")
 def recordings_by_title(spark, sf_dir):
-    return enrich.by_title_artist(_titled(spark, sf_dir), _recordings(spark, sf_dir)).withColumn("points", F.col("points").cast("int"))
+    return matching.by_title_artist(_titled(spark, sf_dir), _recordings(spark, sf_dir)).withColumn("points", F.col("points").cast("int"))
 
 
-@query(f"WITH {_MATCH}, s AS (SELECT track_id, ord, score, CASE WHEN same THEN 3 ELSE 0 END + CASE WHEN ap > 0 THEN 3 ELSE 0 END AS p FROM pr) SELECT track_id, 'm' || arg_max(ord, p * 1e12 + score * 1e10 - ord) AS mbid, CAST(max(p) AS INTEGER) AS points FROM s GROUP BY track_id")
+@query(f"WITH {_MATCH}, s AS (SELECT track_id, ord, score, CASE WHEN same THEN 6 ELSE 3 END AS p FROM pr) SELECT track_id, 'm' || arg_max(ord, p * 1e12 + score * 1e10 - ord) AS mbid, CAST(max(p) AS INTEGER) AS points FROM s GROUP BY track_id")
 def recordings_by_title_simple(spark, sf_dir):
-    return enrich.by_title_artist(_titled(spark, sf_dir), _recordings(spark, sf_dir), "simple").withColumn("points", F.col("points").cast("int"))
+    return matching.by_title_artist(_titled(spark, sf_dir), _recordings(spark, sf_dir), "simple").withColumn("points", F.col("points").cast("int"))
+
+
+_FOLDED = r"CASE WHEN regexp_matches({0}, '[\p{{L}}\p{{N}}]') THEN trim(regexp_replace(strip_accents(lower({0})), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g')) ELSE lower({0}) END"
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')) AS heading,
+           regexp_extract(url, '://([^/]*)', 1) AS site FROM pages),
+f AS (SELECT *, {_FOLDED.format("title")} AS ft, {_FOLDED.format("heading")} AS fh FROM p),
+pr AS (SELECT x.page_id, y.page_id AS ord, y.page_id % 7 AS score, CASE WHEN lower(x.heading) = lower(y.title) THEN 50
+       WHEN regexp_replace(regexp_replace(lower(x.heading), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') = regexp_replace(regexp_replace(lower(y.title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')
+       AND regexp_matches(lower(x.heading), '[a-z0-9]') THEN 35
+       WHEN contains(lower(y.title), lower(x.heading)) THEN 20 ELSE 0 END + 40 AS p
+       FROM f x JOIN f y ON x.site = y.site AND contains(y.ft, x.fh) WHERE x.heading <> '')
+SELECT page_id, 'p' || arg_max(ord, (p + score) * 1e12 + score * 1e10 - ord) AS mbid, CAST(max(p + score) AS INTEGER) AS points FROM pr GROUP BY page_id""")
+def page_headings_by_title(spark, sf_dir):
+    """Headings in four languages, held against titles of the same site as tracks are against recordings."""
+    html, site = F.col("html"), F.array(F.regexp_extract("url", "://([^/]*)", 1))
+    p = read(spark, sf_dir, "pages")
+    asked = p.select("page_id", F.regexp_extract(html, "(?s)<h1>(.*?)</h1>", 1).alias("title"), site.alias("artists"))
+    held = p.select(F.concat(F.lit("p"), "page_id").alias("mbid"), F.col("page_id").alias("ord"), F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1).alias("title"), site.alias("artist_credit"), (F.col("page_id") % 7).alias("source_score"))
+    return matching.by_title_artist(asked.where(text.squeeze(F.col("title")) != ""), held, key="page_id").withColumn("points", F.col("points").cast("int"))
 
 
 def _titled(spark, sf_dir):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chorale.functions import names, text
-from chorale.operators import audio, canonical, cluster, enrich, features, quality, route, serve, usage
+from chorale.operators import audio, canonical, cluster, enrich, features, matching, quality, route, serve, usage
 from chorale.sources import records
 from chorale.streaming import usage as streams
 
@@ -117,7 +117,7 @@ def test_upsert_updates_the_last_of_equal_keys(spark):
 def test_title_and_artist_match(spark):
     rows = spark.createDataFrame([("t1", "My Song", ["An Artist"]), ("t2", "Other", ["Nobody"])], "track_id string, title string, artists array<string>")
     recs = spark.createDataFrame([("m1", 1, "my song", ["An  Artist"], 5), ("m2", 2, "My Song (live)", ["An Artist"], 9)], "mbid string, ord int, title string, artist_credit array<string>, source_score int")
-    got = {r["track_id"]: r["mbid"] for r in enrich.by_title_artist(rows, recs).collect()}
+    got = {r["track_id"]: r["mbid"] for r in matching.by_title_artist(rows, recs).collect()}
     assert got == {"t1": "m1"}
 
 
