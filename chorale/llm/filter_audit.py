@@ -33,11 +33,6 @@ _CAPITALS, _SYMBOLS, _LATER = bytes(range(65, 91)), b"#$%&*|", bytes(range(128,
 _WHAT = ["part", "mask", "good", "toxic"]
 _TEXT = ["h1", "h2"]
 _ROW = "h1 long, h2 long, doc_id long, part string, mask int, good boolean, toxic boolean, n long"
-_STREAM_CONF = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-}
 
 
 def mask(text: bytes) -> int:
@@ -98,11 +93,17 @@ _OUT = pa.schema([("group", pa.int32()), *_KEPT])
 def merged(old: pd.DataFrame, new: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     """(rows with the smallest id of each text, signed counts by part, mask, good and toxic) once new rows have met the old ones."""
     seen = pd.concat([old.assign(old=True), new.assign(old=False)], ignore_index=True)
-    least = seen["doc_id"] == seen.groupby(_TEXT)["doc_id"].transform("min")
-    gained, lost = seen[~seen["old"] | ~least], seen[seen["old"] & ~least]
-    gained = gained.assign(mask=gained["mask"] | np.where(least[gained.index], 0, REPEATED))
-    change = pd.concat([gained[[*_WHAT, "n"]], lost[[*_WHAT, "n"]].assign(n=-lost["n"])])
-    return seen[least].groupby([*_TEXT, "doc_id", *_WHAT], as_index=False)["n"].sum(), change.groupby(_WHAT, as_index=False)["n"].sum()
+    seen = seen.iloc[np.lexsort((seen["doc_id"], seen["h2"], seen["h1"]))].reset_index(drop=True)
+    ids, h1, h2, was = (seen[c].to_numpy() for c in ("doc_id", "h1", "h2", "old"))
+    first = np.ones(len(seen), bool)
+    first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    least = ids == ids[np.flatnonzero(first)][first.cumsum() - 1] if len(seen) else first
+    gained, lost = seen[~was | ~least], seen[was & ~least]
+    gained = gained.assign(mask=(gained["mask"] | np.where(least[~was | ~least], 0, REPEATED)).astype("int32"))
+    kept = seen[least].drop(columns="old")
+    if first.sum() < len(kept):  # several rows have a text's smallest id
+        kept = kept.groupby([*_TEXT, "doc_id", *_WHAT], as_index=False)["n"].sum()
+    return kept, pd.concat([gained[[*_WHAT, "n"]], lost[[*_WHAT, "n"]].assign(n=-lost["n"])])
 
 
 def _kept_state(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -114,14 +115,18 @@ def _kept_state(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
     with pa.ipc.new_stream(sink, _KEPT, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_table(pa.Table.from_pandas(kept, schema=_KEPT, preserve_index=False))
     state.update((sink.getvalue().to_pybytes(),))
-    yield pd.concat([change, new.loc[settled, [*_WHAT, "n"]]]).groupby(_WHAT, as_index=False)["n"].sum()
+    yield pd.concat([change, new.loc[settled, [*_WHAT, "n"]]])
 
 
 def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
-    """(part, mask, n, good, toxic) of all rows of the Parquet files at path, which pass in about so many micro-batches."""
+    """(part, mask, n, good, toxic) of all rows of the Parquet files at path, which pass in about so many micro-batches.
+
+    The state, some 50 bytes for each different text, is kept by the session's state store: in executors' memory if
+    spark.sql.streaming.stateStore.providerClass isn't set, on their disks with RocksDB, for texts beyond that memory.
+    """
     table = spark.read.parquet(path)
     files = table.inputFiles()
-    groups = max(4 * partitions(spark), table.count() // GROUP_TEXTS)
+    groups = max(partitions(spark), table.count() // GROUP_TEXTS)
     flags = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     flags = stored(flags.where("doc_id IS NOT NULL AND (good OR toxic)"), "flags")
     reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max(1, -(-len(files) // batches)))
@@ -132,21 +137,14 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = 4
         arriving = reader.parquet(path)
     docs = arriving.select(arriving[id_col].cast("long").alias("doc_id"), arriving[text_col].cast("string").alias("text"), F.coalesce(arriving[part_col].cast("string"), F.lit("")).alias("part"))
     changes = combined(flagged(measured(docs), flags), groups).groupBy("group").applyInPandasWithState(_kept_state, "part string, mask int, good boolean, toxic boolean, n long", "rows binary", "append", GroupStateTimeout.NoTimeout)
-    into = shared_path(spark, "counters")
+    into, files_out = shared_path(spark, "counters"), max(1, partitions(spark) // 16)
     spark.createDataFrame([], "part string, mask int, good boolean, toxic boolean, n long").write.parquet(f"{into}/batch=-1")
 
     def add(change: DataFrame, batch: int) -> None:
-        change.groupBy(*_WHAT).agg(F.sum("n").alias("n")).where("n != 0").write.mode("overwrite").parquet(f"{into}/batch={batch}")
-
-    before = {k: spark.conf.get(k, None) for k in _STREAM_CONF}
-    try:
-        for k, v in _STREAM_CONF.items():
-            spark.conf.set(k, v)
-        query = changes.writeStream.outputMode("append").foreachBatch(add).option("checkpointLocation", shared_path(spark, "audit")).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        change.groupBy(*_WHAT).agg(F.sum("n").alias("n")).where("n != 0").coalesce(files_out).write.mode("overwrite").parquet(f"{into}/batch={batch}")
+
+    query = changes.writeStream.outputMode("append").foreachBatch(add).option("checkpointLocation", shared_path(spark, "audit")).trigger(availableNow=True).start()
+    query.awaitTermination()
     every = spark.read.schema("part string, mask int, good boolean, toxic boolean, n long, batch long").parquet(into)
     return every.groupBy("part", "mask").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("toxic"))
 
