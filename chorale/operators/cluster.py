@@ -1,28 +1,23 @@
-"""Clustering: the corpus by Spark ML, and many playlists at once by batched rounds.
+"""Clustering: corpora and many playlists at once, by k-means over blocks of points.
 
-A batch is keyed by (playlist, k, seed): every playlist, every candidate k and every restart moves in the same
-job. Points have an array `embedding`. Labels are numbered by their centres' order and mean nothing else.
+Every playlist, every candidate k and every restart runs in the same job. Points have an array `embedding`. Labels are numbered by their centres' order and mean nothing else.
 """
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chorale.operators import kmeans
 from chorale.operators.route import MIXED, cluster_names
 from chorale.session import stored
 
-RUN = ["playlist_id", "k", "seed"]
 #: Rows of a block, about, of which a silhouette measures two against each other in a task.
 BLOCK_ROWS = 500
-#: Points of a playlist that a restart picks its first centres from: so many, or so many for each centre.
-START_ROWS, START_EACH = 64, 4
 # Limits of the penalties of a solution and of the split of a cluster.
 MIN_SPLIT, LARGE_SHARE, LOW_SIGNAL_SIZE, LOW_FEATURES, LOW_SCORE, CHILD_GAIN, MOST_OF_A_PART, LEAST_ADJUSTED = 24, 0.28, 18, 2, 0.35, 0.08, 0.78, 0.02
 
@@ -38,17 +33,21 @@ def distance(a: Column, b: Column) -> Column:
 # -- the whole corpus ------------------------------------------------------------------------------------------------
 
 
-def sweep(vectors: DataFrame, ks: range = range(4, 11), seeds: int = 3, features: str = "features") -> list[dict]:
-    """For each k the best of some restarts: inertia and squared-Euclidean silhouette; invalid k are passed over."""
-    out, n = [], vectors.count()
-    judge = ClusteringEvaluator(featuresCol=features)
-    for k in ks:
-        if not 2 <= k < n:
-            continue
-        model = min((KMeans(k=k, seed=s, featuresCol=features, maxIter=20).fit(vectors) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
-        labelled = model.transform(vectors)
-        if labelled.select("prediction").distinct().count() > 1:
-            out.append({"k": k, "inertia": model.summary.trainingCost, "silhouette": judge.evaluate(labelled), "model": model})
+def sweep(vectors: DataFrame, ks: range = range(4, 11), seeds: int = 20, features: str = "features", key: str = "track_key") -> list[dict]:
+    """For each k the best of some restarts: inertia, squared-Euclidean silhouette and labels(key, cluster); invalid k are passed over."""
+    n, spark = vectors.count(), vectors.sparkSession
+    tried = [k for k in ks if 2 <= k < n]
+    if not tried:
+        return []
+    points = vectors.select(F.lit("all").alias("playlist_id"), F.col(key).alias("track_key"), vector_to_array(features).alias("embedding"))
+    labels = stored(kmeans.clustered(points, spark.createDataFrame([("all", k) for k in tried], "playlist_id string, k int"), seeds), "sweep")
+    told = {r["k"]: r for r in labels.groupBy("k").agg(F.first("inertia").alias("inertia"), F.countDistinct("cluster").alias("clusters")).collect()}
+    judge, out = ClusteringEvaluator(featuresCol=features), []
+    for k in tried:
+        own = labels.where(F.col("k") == k).select(F.col("track_key").alias(key), "cluster")
+        if told[k]["clusters"] > 1:
+            judged = vectors.select(key, features).join(own, key).withColumn("prediction", F.col("cluster").cast("double"))
+            out.append({"k": k, "inertia": told[k]["inertia"], "silhouette": judge.evaluate(judged), "labels": own})
     return out
 
 
@@ -69,57 +68,12 @@ def candidate_ks(n: Column, min_k: int = 2, max_k: int = 12, min_size: int = 8)
     return F.when((n < 2) | (high < 2), F.array().cast("array<int>")).otherwise(F.sequence(low, high))
 
 
-def batched_kmeans(points: DataFrame, ks: DataFrame, seeds: int = 3, rounds: int = 60) -> DataFrame:
-    """(playlist_id, k, seed, track_key, cluster, sq) by Lloyd's rounds; points(playlist_id, track_key, embedding), ks(playlist_id, k).
-
-    A restart begins at points far from each other, of the START_ROWS, or START_EACH for each centre of the greatest k, that come first by
-    a hash of key and seed. The rounds end when no label moves; if some still do after so many rounds, a warning says how many restarts.
-    """
-    runs = ks.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    hashed = points.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    order = F.row_number().over(Window.partitionBy("playlist_id", "seed").orderBy(F.xxhash64("track_key", "seed"), "track_key"))
-    most = ks.groupBy("playlist_id").agg(F.max("k").alias("most"))
-    sample = hashed.withColumn("n", order).join(most, "playlist_id").where(F.col("n") <= F.greatest(F.lit(START_ROWS), START_EACH * F.col("most"))).groupBy("playlist_id", "seed")
-    sample = sample.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "embedding"))), lambda x: x["embedding"]).alias("sample"))
-    starts = sample.join(most, "playlist_id").withColumn("picked", _farthest("sample", F.col("most")))
-    each = starts.select("playlist_id", "seed", F.posexplode("picked").alias("cluster", "centre"))
-    centres = stored(runs.join(each, ["playlist_id", "seed"]).where("cluster < k").select(*RUN, "cluster", "centre"), "centres")
-    labels = None
-    for done in range(rounds):
-        near = points.join(centres, "playlist_id").withColumn("sq", squared_distance(F.col("embedding"), F.col("centre")))
-        found = near.groupBy(*RUN, "track_key").agg(F.min(F.struct("sq", "cluster")).alias("x"), F.first("embedding").alias("embedding"))
-        new = stored(found.select(*RUN, "track_key", F.col("x.cluster").alias("cluster"), F.col("x.sq").alias("sq"), "embedding"), "labels")
-        if labels is not None:
-            moving = new.join(labels.select(*RUN, "track_key", F.col("cluster").alias("old")), [*RUN, "track_key"]).where("cluster <> old").select(*RUN).distinct()
-            if not moving.limit(1).count():
-                labels = new
-                break
-            if done == rounds - 1:
-                warnings.warn(f"k-means: {moving.count()} restarts still moved after {rounds} rounds", stacklevel=2)
-        labels = new
-        centres = stored(means(new, [*RUN, "cluster"], "embedding", "centre"), "centres")
-    return labels.drop("embedding") if labels is not None else points.sparkSession.createDataFrame([], "playlist_id string, k int, seed int, track_key string, cluster int, sq double")
-
-
-def _farthest(sample: str, k: Column) -> Column:
-    """Of an array of points the first, and then k - 1 times the one that is farthest from those picked."""
-    apart = lambda picked: F.transform(sample, lambda p: F.struct(F.array_min(F.transform(picked, lambda c: squared_distance(p, c))).alias("d"), p.alias("p")))
-    step = lambda picked, _: F.array_append(picked, F.array_max(apart(picked))["p"])
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(k, F.lit(2))), F.slice(sample, 1, 1), step)
-
-
 def means(df: DataFrame, by: list[str], vector: str, name: str) -> DataFrame:
     """The mean array of each group, by dimension."""
     each = df.select(*by, F.posexplode(vector).alias("i", "v")).groupBy(*by, "i").agg(F.avg("v").alias("m"))
     return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias(name))
 
 
-def best_seed(labels: DataFrame) -> DataFrame:
-    """Labels of the restart with the least inertia for each (playlist, k)."""
-    cost = labels.groupBy(*RUN).agg(F.sum("sq").alias("inertia")).groupBy("playlist_id", "k").agg(F.min(F.struct("inertia", "seed")).alias("x"))
-    return labels.join(cost.select("playlist_id", "k", "x.seed", "x.inertia"), RUN)
-
-
 def nearest(points: DataFrame, centres: DataFrame, by: list[str]) -> DataFrame:
     """(by, track_key, cluster, distance): the nearest of the group's centres(by, cluster, centre); ties to the lower number."""
     near = points.join(centres, by).withColumn("d", distance(F.col("embedding"), F.col("centre")))
@@ -209,7 +163,7 @@ def adjusted_score(silhouettes: DataFrame, points: DataFrame, by: list[str], min
     return facts.join(silhouettes, by, "left").withColumn("adjusted", F.coalesce("silhouette", F.lit(-1.0)) - penalty + reward)
 
 
-def cluster_playlists(points: DataFrame, min_k: int = 2, max_k: int = 12, min_size: int = 8, seeds: int = 3) -> tuple[DataFrame, DataFrame]:
+def cluster_playlists(points: DataFrame, min_k: int = 2, max_k: int = 12, min_size: int = 8, seeds: int = 20) -> tuple[DataFrame, DataFrame]:
     """(labels, solutions): for each playlist the candidate with the best adjusted score, the lowest k of equals; small clusters are merged before scoring.
 
     A playlist with no candidate (fewer than two rows) is one cluster.
@@ -217,7 +171,7 @@ def cluster_playlists(points: DataFrame, min_k: int = 2, max_k: int = 12, min_si
     points = points.select("playlist_id", "track_key", "embedding")
     counts = points.groupBy("playlist_id").agg(F.count("*").alias("n"))
     ks = counts.select("playlist_id", F.explode(candidate_ks(F.col("n"), min_k, max_k, min_size)).alias("k"))
-    labels = best_seed(batched_kmeans(points, ks, seeds)).select("playlist_id", "k", "track_key", "cluster")
+    labels = kmeans.clustered(points, ks, seeds).select("playlist_id", "k", "track_key", "cluster")
     merged = stored(merged_small(labels.join(points, ["playlist_id", "track_key"]), ["playlist_id", "k"], min_size), "merged")
     by = ["playlist_id", "k"]
     solutions = stored(adjusted_score(silhouette(merged, by), merged, by, min_size), "solutions")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chorale.functions.names import ITEM
 from chorale.functions.text import token
-from chorale.operators import cluster, route, vocab
+from chorale.operators import kmeans, route, vocab
 from chorale.session import stored
 
 # Terms that label nothing, whole or in part, and the longest term.
@@ -57,7 +57,7 @@ def quick_split(labelled: DataFrame) -> DataFrame:
     tried = labelled.join(sizes, ["playlist_id", "cluster"]).withColumn("parent", F.col("playlist_id")).withColumn("playlist_id", pseudo)
     tried = stored(tried, "tried")
     ks = tried.select("playlist_id", _effective(F.greatest(F.lit(3), F.ceil(F.col("size") / 20)), F.col("size")).alias("k")).distinct()
-    parts = cluster.best_seed(cluster.batched_kmeans(tried.select("playlist_id", "track_key", "embedding"), ks)).select("playlist_id", "track_key", F.col("cluster").alias("part"))
+    parts = kmeans.clustered(tried.select("playlist_id", "track_key", "embedding"), ks, seeds=3).select("playlist_id", "track_key", F.col("cluster").alias("part"))
     parts = stored(parts.join(tried.select("playlist_id", "track_key", "parent", "cluster", "size", "top"), ["playlist_id", "track_key"]), "parts")
     largest = parts.groupBy("playlist_id", "part").agg(F.count("*").alias("m"), F.first("size").alias("size")).groupBy("playlist_id").agg(F.max("m").alias("m"), F.first("size").alias("size"))
     taken = parts.join(largest.where(F.col("m") < 0.9 * F.col("size")).select("playlist_id"), "playlist_id")
@@ -74,7 +74,7 @@ def quick_groups(points: DataFrame, terms: DataFrame, least: int = 5) -> DataFra
     """
     counts = points.groupBy("playlist_id").agg(F.count("*").alias("n"))
     ks = counts.select("playlist_id", F.explode(quick_ks(F.col("n"))).alias("k"))
-    first = cluster.best_seed(cluster.batched_kmeans(points.select("playlist_id", "track_key", "embedding"), ks)).select("playlist_id", "track_key", "cluster")
+    first = kmeans.clustered(points.select("playlist_id", "track_key", "embedding"), ks, seeds=3).select("playlist_id", "track_key", "cluster")
     labelled = stored(quick_split(first.join(points.select("playlist_id", "track_key", "embedding"), ["playlist_id", "track_key"])).drop("embedding"), "quick")
     group = F.struct("playlist_id", "cluster").alias("g")
     telling = vocab.tfidf(labelled.join(terms, "track_key").select("track_key", group, "term"), "track_key", "g")

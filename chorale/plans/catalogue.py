@@ -356,7 +356,7 @@ def playlist_cluster(spark, sf_dir):
 def kmeans_sweep(spark, sf_dir):
     """Inertia and silhouette of the whole table for k = 4 to 10, and which is best."""
     v = stored(read(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")), "vectors")
-    found = cluster.sweep(v, range(4, 11), seeds=4)
+    found = cluster.sweep(v, range(4, 11), key="vec_id")
     best = cluster.best_k(found)
     return spark.createDataFrame([(r["k"], r["inertia"], r["silhouette"], r["k"] == best["k"]) for r in found], "k int, inertia double, silhouette double, best boolean")
 
