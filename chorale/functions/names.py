@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from json import loads as parse
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from chorale.functions.text import squeeze, token
-from chorale.session import stored
 
+#: Rows of a batch of numeric leaves, about.
+LEAVES = 1 << 16
 ITEM = "array<struct<name:string,count:double>>"
 
 # Tag aliases, tags that are dropped, and acoustic measures that are dropped.
@@ -81,26 +90,54 @@ def exploded_tags(df: DataFrame, key: str, items: str) -> DataFrame:
 
 
 def numeric_leaves(df: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, path, value) of the numbers in a JSON text column, however deep.
+    """(key, path, value) of the numbers in a JSON text column, however deep, in one pass over batches of rows.
 
     Path parts are tokens of object keys, or positions in arrays, joined by two underscores. Keys that name no
-    measure are skipped, texts and booleans left out; invalid JSON and null have no leaves. One job a level, over what
-    is nested still: the text is parsed once, and levels end when nothing is nested.
+    measure are skipped, texts and booleans left out; invalid JSON, also such as is nested beyond what Python's parser takes, and
+    null have no leaves. Of keys that an object repeats the last counts.
     """
-    spark = df.sparkSession
-    level = df.select(F.col(key).alias("__key"), F.try_parse_json(json).alias("v"), F.lit("").alias("path"))
-    found = None
-    while True:
-        each = spark.sql("SELECT __key, path, t.pos AS pos, t.key AS name, t.value AS v FROM {level}, LATERAL variant_explode(v) AS t", level=level)
-        part = F.when(F.col("name").isNull(), F.col("pos").cast("string")).otherwise(token(F.col("name")))
-        each = each.where(F.col("name").isNull() | ((F.trim("name") != "") & ~F.lower(F.trim("name")).isin(SKIPPED_ACOUSTIC_KEYS)))
-        each = each.select("__key", F.when(F.col("path") == "", part).otherwise(F.concat_ws("__", "path", part)).alias("path"), "v", F.schema_of_variant("v").alias("kind"))
-        each = stored(each.where(F.col("kind").rlike("^(OBJECT|ARRAY|BIGINT|DOUBLE|FLOAT|INT|TINYINT|SMALLINT|DECIMAL)")), "leaves")
-        number = each.where(~F.col("kind").rlike("^(OBJECT|ARRAY)")).select(F.col("__key").alias(key), "path", F.try_variant_get("v", "$", "double").alias("value"))
-        found = number if found is None else found.unionByName(number)
-        level = each.where(F.col("kind").rlike("^(OBJECT|ARRAY)")).select("__key", "v", "path")
-        if not level.limit(1).count():
-            return found
+    held = df.select(F.col(key).alias(key), F.col(json).cast("string").alias("__json"))
+    schema = StructType([held.schema[key], StructField("path", StringType()), StructField("value", DoubleType())])
+
+    def walked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, paths, values = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for path, value in leaves(text):
+                    at.append(i)
+                    paths.append(path)
+                    values.append(value)
+                if len(at) >= LEAVES or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.float64())], names=schema.names)
+                    at, paths, values = [], [], []
+
+    return held.mapInArrow(walked, schema)
+
+
+def leaves(text: str | None) -> Iterator[tuple[str, float]]:
+    """(path, value) of the numbers in one JSON text."""
+    try:
+        open_ = [("", parse(text))] if text else []
+    except (ValueError, RecursionError):
+        return
+    while open_:
+        path, node = open_.pop()
+        parts = ((p, v) for k, v in node.items() if (p := _part(k)) is not None) if isinstance(node, dict) else ((str(i), v) for i, v in enumerate(node)) if isinstance(node, list) else ()
+        for part, v in parts:
+            name = f"{path}__{part}" if path else part
+            if isinstance(v, (dict, list)):
+                open_.append((name, v))
+            elif isinstance(v, float) or isinstance(v, int) and not isinstance(v, bool) and v.bit_length() < 1024:
+                yield name, float(v)
+            elif isinstance(v, int) and not isinstance(v, bool):
+                yield name, math.inf if v > 0 else -math.inf
+
+
+@lru_cache(maxsize=1 << 16)
+def _part(name: str) -> str | None:
+    """token() of an object's key; None for one to skip."""
+    low = name.strip().lower()
+    return None if not low or low in SKIPPED_ACOUSTIC_KEYS else re.sub("[^a-z0-9]+", "_", low.replace("&", " and ")).strip("_")
 
 
 def ordered_distinct(items: Column, limit: int) -> Column:

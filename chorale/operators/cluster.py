@@ -17,7 +17,7 @@ from chorale.operators.route import MIXED, cluster_names
 from chorale.session import stored
 
 #: Rows of a block, about, of which a silhouette measures two against each other in a task.
-BLOCK_ROWS = 500
+BLOCK_ROWS = 2000
 # Limits of the penalties of a solution and of the split of a cluster.
 MIN_SPLIT, LARGE_SHARE, LOW_SIGNAL_SIZE, LOW_FEATURES, LOW_SCORE, CHILD_GAIN, MOST_OF_A_PART, LEAST_ADJUSTED = 24, 0.28, 18, 2, 0.35, 0.08, 0.78, 0.02
 
@@ -126,7 +126,7 @@ def _distance_sums(by: list[str]):
     def sums(own: pa.Table, other: pa.Table) -> pa.Table:
         out = {c: [] for c in ("at", "to", "total", "n")}
         if own.num_rows and other.num_rows:
-            mine, theirs = (np.array(t["embedding"].to_pylist(), float) for t in (own, other))
+            mine, theirs = (t["embedding"].combine_chunks().flatten().to_numpy().astype(float).reshape(t.num_rows, -1) for t in (own, other))
             number: dict = {}
             keys, other_keys = (np.array([number.setdefault(k, len(number)) for k in t["track_key"].to_pylist()]) for t in (own, other))
             first, label = np.unique(np.array(other["cluster"].to_pylist()), return_index=True, return_inverse=True)[1:]

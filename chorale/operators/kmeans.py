@@ -106,14 +106,14 @@ def clustered(points: DataFrame, ks: DataFrame, seeds: int = 20, rounds: int = 3
     spark = points.sparkSession
     asked = ks.groupBy("playlist_id").agg(F.sort_array(F.collect_set(F.col("k").cast("int"))).alias("ks"))
     kind = points.schema["playlist_id"].dataType
-    held = stored(blocks(points.select(F.col("playlist_id").cast("string").alias("playlist_id"), "track_key", F.col("embedding").cast("array<double>").alias("embedding")), block_rows), "blocks")
-    held = held.join(asked.select(F.col("playlist_id").cast("string").alias("playlist_id"), "ks"), "playlist_id")
+    held = blocks(points.select(F.col("playlist_id").cast("string").alias("playlist_id"), "track_key", F.col("embedding").cast("array<double>").alias("embedding")), block_rows)
+    held = stored(held.join(asked.select(F.col("playlist_id").cast("string").alias("playlist_id"), "ks"), "playlist_id"), "blocks")
     small, large = held.where("parts = 1"), held.where("parts > 1")
-    lists = small.count()
+    lists, many = held.agg(F.count_if(F.col("parts") == 1), F.count_if(F.col("parts") > 1)).first()
     chunks = max(1, min(seeds, -(-2 * spark.sparkContext.defaultParallelism // max(1, lists))))  # few playlists: their restarts run side by side
     some = small.select("playlist_id", "part", "hashes", "data", "ks", F.explode(F.array(*(F.lit(c) for c in range(chunks)))).alias("chunk")).repartition("playlist_id", "chunk")
     found = stored(some.mapInArrow(lambda batches: _small(batches, seeds, chunks, rounds), f"{_RUN}, part long, inertia double, moving int, labels array<int>"), "runs")
-    if large.limit(1).count():
+    if many:
         found = found.unionByName(_large(large, seeds, rounds))
     still = found.agg(F.sum("moving")).first()[0]
     if still:

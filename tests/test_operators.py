@@ -62,6 +62,18 @@ def test_numeric_leaves(spark):
     assert {r["path"] for r in kept} == {"highlevel__danceability__all__danceable", "l__0"}
 
 
+def test_numeric_leaves_of_odd_payloads(spark):
+    deep = '{"a":' * 400 + "7" + "}" * 400
+    given = {1: deep, 2: "[" * 200_000, 3: '{"R&B  x":{"":1," Version ":2,"é":3,"k":[[1],[2,{"y":-0.5}]]}}', 4: "5", 5: '"5"', 6: "[1e400, %d, null, false]" % 10**400, 7: '{"a":1,"a":2}', 8: "", 9: " [ 3 ] x"}
+    df = spark.createDataFrame([({"id": k}, v, "x") for k, v in given.items()], "k struct<id:int>, j string, path string")
+    out = names.numeric_leaves(df, "k", "j")
+    found = {(r["k"]["id"], r["path"]): r["value"] for r in out.collect()}
+    inf = float("inf")
+    assert found.pop((1, "__".join(["a"] * 400))) == 7.0
+    assert found == {(3, "r_and_b_x__"): 3.0, (3, "r_and_b_x__k__0__0"): 1.0, (3, "r_and_b_x__k__1__0"): 2.0, (3, "r_and_b_x__k__1__1__y"): -0.5, (6, "0"): inf, (6, "1"): inf, (7, "a"): 2.0}
+    assert names.numeric_leaves(df.where("false"), "k", "j").count() == 0
+
+
 def test_usage_of_mixed_history(spark):
     rows = [("spotify:track:a", None, None, 60_000, "2024-01-01T00:00:00Z", True), (None, " Art ", "Song", 1000, "junk", None), (None, "art", "song ", None, "2024-02-01 10:00", False), (None, None, "x", 5, None, None)]
     h = spark.createDataFrame(rows, "uri string, artistName string, trackName string, msPlayed long, ts string, skipped boolean")
