@@ -197,8 +197,11 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
 
     Full pieces stand alone. The linear program packs the lengths above 1/32 of the capacity; its solution is
     rounded down to whole sequences. Best fit then fills what stays free in them with what is left, longest
-    first, and opens new sequences for the rest.
+    first, and opens new sequences for the rest. Lengths of which few fit into a sequence can leave the program with more
+    sequences than best fit alone, which is then taken.
     """
+    alone: list[list] = []
+    _best_fit(alone, {n: c for n, c in histogram.items() if c > 0}, capacity)
     left = {n: c for n, c in histogram.items() if c > 0}
     runs: list[list] = [[left.pop(capacity), [(capacity, 1)], 0]] if capacity in left else []
     sizes = np.array(sorted(n for n in left if n > capacity // 32), np.int64)
@@ -211,6 +214,7 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
                     left[n] -= whole * a
                 runs.append([whole, inside, capacity - sum(n * a for n, a in inside)])
     _best_fit(runs, left, capacity)
+    runs = min(alone, runs, key=lambda r: sum(times for times, _, _ in r)) if runs else alone
     return Plan(capacity, [(times, inside) for times, inside, _ in runs])
 
 
