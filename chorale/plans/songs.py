@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.functions import names, text
-from chorale.operators import audio, canonical, cluster, enrich, features, labels, matching, quality, route, serve, usage, vocab
+from chorale.operators import audio, canonical, cluster, enrich, features, labels, matching, quality, reduction, route, schema, serve, usage, vocab
 from chorale.plans.catalogue import _POINTS, _SIL, _TRACKS, _events, _now, _points, _tracks, query, read
 from chorale.sources import records
 from chorale.streaming.usage import merged_usage, plays_by_period
@@ -193,6 +193,37 @@ def schema_extra_keys(spark, sf_dir):
     return e.select("event_id", F.array_join(quality.extra_keys(F.col("j"), ["k"]), ",").alias("extra"))
 
 
+_SCHEMA = {
+    "type": "object", "required": ["version", "title", "artists"],
+    "properties": {
+        "version": {"const": 1}, "title": {"type": "string", "minLength": 3}, "artists": {"type": "array", "minItems": 1, "items": {"type": "string", "minLength": 1}},
+        "year": {"type": ["integer", "null"], "minimum": 1800, "maximum": 3000}, "tags": {"type": "array", "items": {"$ref": "#/$defs/item"}},
+    },
+    "additionalProperties": False,
+    "$defs": {"item": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}, "count": {"type": "number", "minimum": 0}}}},
+}
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey AS p, l_suppkey AS s, CAST(l_quantity AS INTEGER) AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, array_to_string(list_filter([
+  CASE WHEN p % 5 = 0 THEN '$: needs version' END, CASE WHEN p % 5 = 1 THEN '$.version: must be 1' END, CASE WHEN s % 4 = 0 THEN '$.title: must have at least 3 characters' END,
+  CASE WHEN s % 3 = 0 THEN '$.artists: must have at least 1 items' END, CASE WHEN s % 3 = 1 THEN '$.artists[1]: must have at least 1 characters' END,
+  CASE WHEN q % 7 = 0 THEN '$.year: must be at least 1800' END, CASE WHEN q % 7 = 1 THEN '$.year: must be at most 3000' END, CASE WHEN q % 7 = 2 THEN '$.year: must be integer or null' END,
+  CASE WHEN q % 2 = 0 THEN '$.tags[0]: needs name' END, CASE WHEN q % 2 = 0 THEN '$.tags[0].count: must be at least 0' END, CASE WHEN p % 11 = 0 THEN '$: must not have extra' END
+], lambda x: x IS NOT NULL), '; ') AS violations FROM r""")
+def schema_violations(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem").repartition(spark.sparkContext.defaultParallelism)  # the file is one row group
+    p, s, q = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("int")
+    record = F.struct(
+        F.when(p % 5 == 1, 2).when(p % 5 > 1, 1).alias("version"), F.when(s % 4 == 0, "no").otherwise("title").alias("title"), F.when(s % 3 == 0, F.array().cast("array<string>")).when(s % 3 == 1, F.array(F.lit("x"), F.lit(""))).otherwise(F.array(F.lit("x"))).alias("artists"),
+        F.when(q % 7 == 0, 1799).when(q % 7 == 1, 3001).when(q % 7 == 2, 1999.5).when(q % 7 > 3, 2000.0).alias("year"),
+        F.array(F.struct(F.when(q % 2 == 1, "n").alias("name"), F.when(q % 2 == 0, -1).otherwise(3).alias("count"))).alias("tags"), F.when(p % 11 == 0, 1).alias("extra"),
+    )
+    made = line.select("l_orderkey", "l_linenumber", F.to_json(record).alias("j"))
+    return made.select("l_orderkey", "l_linenumber", F.array_join(schema.violations(F.col("j"), _SCHEMA), "; ").alias("violations"))
+
+
 @query(f"WITH {_RAW} SELECT count(*) AS records, count(isrc) AS with_isrc, 0::BIGINT AS with_mbid, count(*) AS with_tags, 0::BIGINT AS with_genres, 0::BIGINT AS with_acoustic_high_level, 0::BIGINT AS with_acoustic_low_level, 0::BIGINT AS with_audio_embedding FROM song")
 def quality_counters(spark, sf_dir):
     return quality.quality_counts(_songs(spark, sf_dir))
@@ -544,6 +575,15 @@ def key_and_mode(spark, sf_dir):
     return audio.key_and_mode(e, "vec_id").withColumn("confidence", F.round("confidence", 6))
 
 
+@query()
+def pca_sparse(spark, sf_dir):
+    """Variances of the first eight components of parts' words, types, brands and sizes, as sparse rows; they have no oracle."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("track_key"), F.explode(F.array_union(F.transform(F.split("p_name", " "), lambda w: F.concat(F.lit("tag__"), w)), F.array(F.concat(F.lit("genre__"), "p_type"), F.concat(F.lit("meta__"), "p_brand"), F.concat(F.lit("acoustic__"), "p_size")))).alias("feature"), F.lit(1.0).alias("value"))
+    n = read(spark, sf_dir, "part").count()
+    found = reduction.principal_components(p, features.scaler_stats(p, n), n, 8)
+    return spark.createDataFrame([(k, v) for k, v in enumerate(found[1])], "k int, variance double")
+
+
 @query()
 def playlist_summaries(spark, sf_dir):
     """Clusters of both halves of the embeddings, split where too large, with their names, samples and features."""
