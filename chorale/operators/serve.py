@@ -77,6 +77,11 @@ class Meter:
         return "fresh", self.used
 
 
+def request_order(request: tuple) -> tuple:
+    """Of requests (ts, status, cached, force, succeeded) of one time: nulls first, then by their columns."""
+    return tuple((False,) if x is None else (True, x) for x in request)
+
+
 METERED = "user_id string, ts timestamp, decision string, used int"
 
 
@@ -87,7 +92,7 @@ def replay(rows: Iterable[tuple], meter: Meter) -> list[tuple]:
 def metered(log: DataFrame) -> DataFrame:
     """(user_id, ts, decision, used) of log(user_id, ts, status, cached, force, succeeded), each user's in order of time.
 
-    A user's rows come sorted and in batches: a long log is walked, never held.
+    A user's rows come sorted and in batches: a long log is walked, never held. Requests of one time stand in the order of their other columns.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,4 +106,4 @@ def metered(log: DataFrame) -> DataFrame:
             yield pd.DataFrame(made, columns=["user_id", "ts", "decision", "used"])
 
     columns = ["user_id", "ts", "status", "cached", "force", "succeeded"]
-    return log.select(*columns).repartition("user_id").sortWithinPartitions("user_id", "ts").mapInPandas(run, METERED)
+    return log.select(*columns).repartition("user_id").sortWithinPartitions(*columns).mapInPandas(run, METERED)

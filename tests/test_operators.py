@@ -160,22 +160,6 @@ def test_meter_boundaries():
     assert m.ask(now + dt.timedelta(days=30), None, False, False, True) == ("fresh", 1)
 
 
-def test_metering_stream_equals_batch(spark, tmp_path):
-    t0, kinds = dt.datetime(2024, 1, 1), "user_id string, ts timestamp, status string, cached boolean, force boolean, succeeded boolean"
-    log = spark.createDataFrame([(u, t0 + dt.timedelta(seconds=20 * i), None, False, False, True) for u in ("a", "b") for i in range(6)], kinds)
-    want = sorted(map(tuple, serve.metered(log).collect()))
-    assert [r[2] for r in want if r[0] == "a"] == ["fresh", "rate", "fresh", "rate", "fresh", "quota"]
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    for i, part in enumerate((log.where(F.second("ts") % 60 < 30), log.where(F.second("ts") % 60 >= 30))):
-        part.where(f"minute(ts) = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    some = spark.read.parquet(str(tmp_path / "in"))
-    stream = streams.metered_stream(streams.read_events(spark, str(tmp_path / "in"), kinds, files=10))
-    q = stream.writeStream.outputMode("append").format("memory").queryName("metered").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(map(tuple, spark.table("metered").collect())) == sorted(map(tuple, serve.metered(some).collect()))
-
-
 def test_usage_stream(spark, tmp_path):
     e = spark.createDataFrame([("a", 5, False, dt.datetime(2024, 1, 1)), ("a", 7, True, dt.datetime(2024, 1, 2)), ("b", 1, False, None)], "usage_key string, ms long, skipped boolean, ts timestamp")
     e.repartition(2).write.parquet(str(tmp_path / "in"))
