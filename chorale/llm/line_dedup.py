@@ -239,7 +239,10 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     # A text of 0 and 1 for each line, as bytes: one look for each line, however many go.
     marks = F.zip_with(at, F.concat(F.array(F.lit(-1)), F.slice(at, 1, F.size(at) - 1)), lambda x, before: F.concat(F.repeat(F.lit("0"), x - before - 1), F.lit("1")))
     mask = F.array_join(marks, "").cast("binary")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, k: F.substring("__mask", k + 1, F.lit(1)) != F.lit(b"1"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(gone, (docs[id_col].cast("long") == gone["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__key"]), "left").withColumn("__mask", mask)
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    text = F.col(f"__row.`{text_col}`")
+    kept = F.filter(F.split(text, "\n"), lambda _, k: F.substring("__mask", k + 1, F.lit(1)) != F.lit(b"1"))
+    left = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    # The row travels as one column, so that none of its names meets one of these.
+    rows = docs.select(docs[id_col].cast("long").alias("__doc"), F.xxhash64(docs[text_col].cast("string")).alias("__text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    joined = rows.join(gone, (F.col("__doc") == F.col("__id")) & (F.col("__text") == F.col("__key")), "left").withColumn("__mask", mask)
+    return joined.select(*((left if c == text_col else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns))

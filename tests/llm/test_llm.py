@@ -126,6 +126,14 @@ def test_words_beyond_ascii_are_not_lowered_to_ascii(spark):
     assert "work" not in one and sum(one.values()) == 9 == got[1][0]
 
 
+def test_lines_of_a_table_with_odd_column_names(spark):
+    names = ["doc_id", "text", "__gone", "__id", "__key", "__mask", "__row", "a.b"]
+    d = spark.createDataFrame([(1, "one line of some length here\nmore", 5, 6, 7, 8, 9, 10), (2, "one line of some length here\nother", 1, 2, 3, 4, 5, 6), (None, "x", 0, 0, 0, 0, 0, 0)], ", ".join(f"`{c}` {'string' if c == 'text' else 'long'}" for c in names))
+    out = line_dedup.deduplicated(d)
+    assert out.columns == names
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, "one line of some length here\nmore", 5, 6, 7, 8, 9, 10), (2, "other", 1, 2, 3, 4, 5, 6), (None, "x", 0, 0, 0, 0, 0, 0)]))
+
+
 def test_native_plans_have_no_python(docs):
     for out in (license_scan.scan(docs), line_dedup.removed_lines(docs), line_dedup.summary(docs)):
         plan = out._jdf.queryExecution().toString()
