@@ -91,9 +91,10 @@ def cleaned(items: Column) -> Column:
 
 
 def year(c: Column) -> Column:
-    """A whole number as it is, else the first year from 1900 to 2099 in the text."""
-    found = F.regexp_extract(c.cast("string"), r"\b((?:19|20)\d{2})\b", 1)
-    return F.coalesce(c.try_cast("int"), F.nullif(found, F.lit("")).cast("int"))
+    """Of a column of whole numbers the number as it is; of texts the first year from 1900 to 2099 that stands alone; of others null."""
+    found = F.regexp_extract(c.cast("string"), r"(?U)\b((?:19|20)[0-9]{2})\b", 1)
+    kind = F.typeof(c)
+    return F.when(kind.isin("tinyint", "smallint", "int", "bigint"), c.cast("string").try_cast("int")).when(kind == "string", F.nullif(found, F.lit("")).try_cast("int"))
 
 
 def playlist_id(url: Column) -> Column:

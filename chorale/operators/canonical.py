@@ -37,8 +37,12 @@ def artists(df: DataFrame) -> Column:
     return F.when(F.size(many) > 0, many).otherwise(alone)
 
 
+# Where a year may stand, in this order.
+YEAR_FIELDS = ("year", "release_year", "releaseYear", "album.release_date", "album.releaseDate", "release_date", "releaseDate")
+
+
 def year(df: DataFrame) -> Column:
-    found = [t.year(F.col(p)) for p in ("year", "release_year", "releaseDate", "release_date", "album.release_date") if _has(df, p)]
+    found = [t.year(F.col(p)) for p in YEAR_FIELDS if _has(df, p)]
     return F.coalesce(*found, F.lit(None).cast("int"))
 
 

@@ -232,9 +232,10 @@ def split_oversized(labelled: DataFrame, features: DataFrame, rounds: int = 2, m
         strong = strong_children(signals(features, sub, ["playlist_id"]), tried)
         better = F.col("low") & (F.coalesce("strong", F.lit(0)) >= 2)
         judged = tried.join(solutions, "playlist_id", "left").join(strong, "playlist_id", "left").withColumn("better", better)
+        untried, one = F.col("k").isNull(), F.coalesce("largest", F.lit(1.0)) >= 1
         few, low_score, big = F.coalesce("meaningful", F.lit(0)) < 2, (F.coalesce("adjusted", F.lit(-9.0)) < LEAST_ADJUSTED) & ~F.col("better"), F.coalesce("largest", F.lit(1.0)) > MOST_OF_A_PART
-        reasons = F.concat_ws(",", F.when(few, "not_enough_meaningful_clusters"), F.when(low_score, "adjusted_score_too_low"), F.when(F.col("low") & ~F.col("better"), "low_signal_not_improved"), F.when(big, "largest_subcluster_still_too_large"))
-        judged = stored(judged.withColumn("ok", ~few & ~low_score & ~big).withColumn("reason", F.when(F.col("ok"), "accepted").otherwise(reasons)), "judged")
+        reasons = F.concat_ws(",", F.when(one, "single_cluster"), F.when(few, "not_enough_meaningful_clusters"), F.when(low_score, "adjusted_score_too_low"), F.when(F.col("low") & ~F.col("better"), "low_signal_not_improved"), F.when(big, "largest_subcluster_still_too_large"))
+        judged = stored(judged.withColumn("ok", ~few & ~low_score & ~big).withColumn("reason", F.when(F.col("ok"), "accepted").when(untried, "no_candidate_ks").otherwise(reasons)), "judged")
         first = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("size"), "was"))
         accepted = judged.where("ok").withColumn("rank", first).where("rank = 1").select("playlist_id", "parent", "was")
         done = F.coalesce(F.max("ok").over(Window.partitionBy("parent").orderBy(F.desc("size"), "was").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
@@ -242,8 +243,9 @@ def split_oversized(labelled: DataFrame, features: DataFrame, rounds: int = 2, m
         decisions = log if decisions is None else decisions.unionByName(log)
         if not accepted.limit(1).count():
             break
-        order = F.row_number().over(Window.partitionBy("playlist_id").orderBy(F.desc("m"), "cluster")) - 1
-        places = sub.groupBy("playlist_id", "cluster").agg(F.count("*").alias("m")).withColumn("place", order)
+        sizes = sub.groupBy("playlist_id", "cluster").agg(F.count("*").alias("m"))
+        keeps = F.row_number().over(Window.partitionBy("playlist_id").orderBy(F.desc("m"), "cluster")) == 1
+        places = sizes.withColumn("keeps", keeps).withColumn("place", F.row_number().over(Window.partitionBy("playlist_id").orderBy(F.desc("keeps"), "cluster")) - 1).drop("keeps")
         moved = sub.join(accepted, "playlist_id").join(places, ["playlist_id", "cluster"]).select(F.col("parent").alias("playlist_id"), "track_key", "place")
         top = labelled.groupBy("playlist_id").agg(F.max("cluster").alias("top"))
         number = F.when(F.coalesce("place", F.lit(0)) > 0, F.col("top") + F.col("place")).otherwise(F.col("cluster"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorale.functions.text import isrc, isrc_trimmed
+from chorale.session import stored
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -66,10 +69,11 @@ def upsert(base: DataFrame, delta: DataFrame, key: str, fill_columns: list[str],
     """Base with a delta: new keys are added; missing columns filled; lists replaced by longer ones.
 
     Rows of one key in the delta are folded first: the first filled value, the longest list. Where the base
-    has a key twice, its last row is updated and all are kept. Null keys are kept as they are.
+    has a key twice, its last row is updated and all are kept. Null keys are kept as they are. Blank texts are missing too.
     """
+    kinds = dict(base.dtypes)
     folded = delta.groupBy(key).agg(
-        *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fill_columns),
+        *(F.min_by(c, F.when(~empty(F.col(c), kinds[c]), F.col(order))).alias(c) for c in fill_columns),
         *(F.max_by(c, F.struct(F.size(F.coalesce(c, F.array())), -F.col(order))).alias(c) for c in longer_columns),
         *(F.min_by(c, order).alias(c) for c in delta.columns if c not in {key, *fill_columns, *longer_columns}),
     )
@@ -82,11 +86,42 @@ def upsert(base: DataFrame, delta: DataFrame, key: str, fill_columns: list[str],
         b, d = F.col(f"b.{c}"), F.col(f"d.{c}")
         if c in longer_columns:
             return F.when(size(d) > F.greatest(size(b), F.lit(0)), d).otherwise(F.coalesce(b, d))
-        return F.coalesce(b, d) if c in fill_columns else F.when(F.col("__last").isNotNull(), b).otherwise(d)
+        return F.when(empty(b, kinds[c]), F.coalesce(d, b)).otherwise(b) if c in fill_columns else F.when(F.col("__last").isNotNull(), b).otherwise(d)
 
     return joined.select(*(value(c).alias(c) for c in base.columns))
 
 
+def upsert_counts(base: DataFrame, delta: DataFrame, key: str, fill_columns: list[str], longer_columns: list[str], order: str) -> DataFrame:
+    """(measure, n): base, delta, added, updated, total, and field:<column> for each column, of upsert().
+
+    Rows of the delta are taken in order, one after another: each that fills a missing column, or brings a list longer than the
+    record's, counts once for that column, and once as an update; the first of a new key is added. A key's rows are
+    folded to the first of each length before they meet, so that a key of many rows is no task's. Order values of a key differ.
+    """
+    kinds, size = dict(base.dtypes), lambda c: F.coalesce(F.size(c), F.lit(0))
+    lacks = lambda df, at: df.where(F.col(key).isNotNull()).groupBy(key).agg(at(F.struct(*(empty(F.col(c), kinds[c]).alias(c) for c in fill_columns), *(size(c).alias(c) for c in longer_columns)), F.col(order)).alias("start"))
+    known = lacks(base, F.max_by).withColumn("since", F.lit(None).cast(delta.schema[order].dataType))
+    came = lacks(delta, F.min_by).join(delta.groupBy(key).agg(F.min(order).alias("since")), key)
+    state = stored(known.unionByName(came.join(known, key, "left_anti")), "starts")
+    later = F.col("since").isNull() | (F.col("o") > F.col("since"))
+    events = []
+    for c in fill_columns:
+        first = delta.where(~empty(F.col(c), kinds[c])).groupBy(key).agg(F.min(order).alias("o"))
+        events.append(first.join(state, key).where(F.col(f"start.{c}") & later).select(key, F.lit(c).alias("field"), "o"))
+    for c in longer_columns:
+        first = delta.select(key, size(c).alias("n"), F.col(order).alias("o")).groupBy(key, "n").agg(F.min("o").alias("o")).join(state, key).where((F.col("n") > F.col(f"start.{c}")) & later)
+        longer = F.min("o").over(Window.partitionBy(key).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+        events.append(first.withColumn("before", longer).where(F.col("before").isNull() | (F.col("o") < F.col("before"))).select(key, F.lit(c).alias("field"), "o"))
+    spark = base.sparkSession
+    every = stored(reduce(DataFrame.unionByName, events), "updates") if events else spark.createDataFrame([], f"`{key}` string, field string, o long")
+    new = delta.where(F.col(key).isNull()).groupBy(key).count().select(key).unionByName(came.join(known, key, "left_anti").select(key)).agg(F.count("*").alias("n"))
+    told = [base.agg(F.count("*").alias("n")).select(F.lit("base").alias("measure"), "n"), delta.agg(F.count("*").alias("n")).select(F.lit("delta").alias("measure"), "n"), new.select(F.lit("added").alias("measure"), "n"),
+            every.agg(F.count_distinct(key, "o").alias("n")).select(F.lit("updated").alias("measure"), "n"), base.agg(F.count("*").alias("n")).join(F.broadcast(new.withColumnRenamed("n", "m"))).select(F.lit("total").alias("measure"), (F.col("n") + F.col("m")).alias("n"))]
+    names = spark.createDataFrame([(c,) for c in [*fill_columns, *longer_columns]], "field string")
+    fields = names.join(every.groupBy("field").agg(F.count("*").alias("n")), "field", "left").select(F.concat(F.lit("field:"), "field").alias("measure"), F.coalesce("n", F.lit(0)).alias("n"))
+    return reduce(DataFrame.unionByName, told).unionByName(fields)
+
+
 def needs_enrichment(mbid: Column, tags: Column, genres: Column, acoustic: Column) -> Column:
     return (F.coalesce(F.trim(mbid), F.lit("")) == "") | (F.coalesce(F.size(tags), F.lit(0)) <= 0) | (F.coalesce(F.size(genres), F.lit(0)) <= 0) | acoustic.isNull()
 

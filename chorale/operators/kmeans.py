@@ -240,3 +240,51 @@ def _labels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [pa.array([batch["playlist_id"][i].as_py()] * len(labels)), pa.array([r["k"].as_py() for r in runs], pa.int32()), pa.array([r["seed"].as_py() for r in runs], pa.int32())]
             columns += [pa.array([batch["part"][i].as_py()] * len(labels), pa.int64()), pa.array(labels, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["playlist_id", "k", "seed", "part", "labels"])
+
+
+def mini_batch(points: DataFrame, k: int, batch: int = 2048, rounds: int = 100, seed: int = 42, key: str = "track_key") -> DataFrame:
+    """(key, cluster, sq) of points(key, embedding), by k centres that mini-batches have moved; sq: the squared distance from the centre.
+
+    About batch * rounds rows are drawn by hashes of their keys and dealt to the rounds in one pass over the points (a
+    table with fewer rows gives each to several rounds); one task walks this bounded sample, 200,000 rows by default. A
+    centre moves to each batch's points by one over the number of points that it has met so far. Then all points take
+    their nearest centre, ties to the lower number; null keys are drawn like others, an empty table has no rows.
+    """
+    n = points.count()
+    held = points.select(F.col(key).alias(key), F.col("embedding").cast("array<double>").alias("embedding"))
+    copies = max(1, -(-batch * rounds // max(1, n)))
+    share = min(1.0, batch * rounds / max(1, n * copies))
+    drawn_ = held.select("embedding", F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("h"), F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
+    drawn_ = drawn_.withColumn("d", F.xxhash64("h", "copy")).where(F.pmod("d", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = drawn_.select(F.pmod(F.shiftrightunsigned("d", 20), F.lit(rounds)).cast("int").alias("round"), "d", "embedding")
+    centres = sample.groupBy(F.lit(0).alias("one")).applyInPandas(lambda df: _moved_by_batches(df, k), "centres array<double>").first()
+    if centres is None:
+        return held.select(key, F.lit(0).alias("cluster"), F.lit(0.0).alias("sq"))
+    at = np.array(centres["centres"]).reshape(-1, len(held.select("embedding").first()[0]))
+
+    def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                apart = squared(_flat(b["embedding"], b.num_rows), at)
+                labels = apart.argmin(1)
+                yield pa.RecordBatch.from_arrays([b[key], pa.array(labels.astype(np.int32)), pa.array(apart[np.arange(len(labels)), labels])], names=[key, "cluster", "sq"])
+
+    kind = held.schema[key].dataType.simpleString()
+    return held.mapInArrow(nearest, f"`{key}` {kind}, cluster int, sq double")
+
+
+def _flat(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _moved_by_batches(df: pd.DataFrame, k: int) -> pd.DataFrame:
+    df = df.sort_values(["round", "d"], kind="stable")
+    points, ends = np.stack(df["embedding"].to_list()), np.flatnonzero(np.diff(df["round"].to_numpy())) + 1
+    centres = far_apart(points[: max(START_ROWS, START_EACH * k)], min(k, len(points)))
+    met = np.zeros(len(centres))
+    for own in np.split(points, ends):
+        _, sums, counts, _ = measured(own, centres)
+        met += counts
+        touched = counts > 0
+        centres[touched] += (sums[touched] - counts[touched, None] * centres[touched]) / met[touched, None]
+    return pd.DataFrame({"centres": [centres.ravel()]})

@@ -93,6 +93,28 @@ def term_group(terms: Column) -> Column:
     return routed(F.lower(terms), BY_TERMS, F.lit("More Picks"))
 
 
+# Kinds of groups by the beginning of an id, and then by words in a label; the first that fits.
+KEY_BY_ID = (("vibe-", "vibe"), ("era-", "era"), ("pop-", "popularity"), ("usage-", "usage"))
+KEY_BY_LABEL = (
+    ("jazz", ("jazz", "downtempo", "nujabes")), ("trap", ("trap",)), ("electronic", ("electronic", "dance")), ("dream", ("dream", "bedroom")), ("rock", ("rock", "indie")), ("rnb", ("r&b", "soul")),
+    ("melodic", ("melodic", "party rap")), ("rap", ("rap", "hip-hop", "hip hop")), ("pop", ("pop",)), ("acoustic", ("acoustic", "chill")), ("instrumental", ("instrumental", "breakbeat")),
+)
+
+
+def group_key(id_: Column, label: Column) -> Column:
+    """The kind of a suggested group, by its id or else its label; empty if nothing fits."""
+    low, tests = F.lower(F.coalesce(label, F.lit(""))), [(F.coalesce(id_, F.lit("")).startswith(start), key) for start, key in KEY_BY_ID]
+    for key, words in KEY_BY_LABEL:
+        held = F.lit(False)
+        for w in words:
+            held = held | F.contains(low, F.lit(w))
+        tests.append((held, key))
+    chain = F
+    for test, key in tests:
+        chain = chain.when(test, F.lit(key))
+    return chain.otherwise(F.lit(""))
+
+
 def pretty_feature(feature: Column) -> Column:
     spaced = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
     body = F.regexp_replace(feature, "^(tag|genre|meta)__", "")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.functions import text
-from chorale.operators import audio, canonical, cluster, enrich, features, quality, serve, usage, vocab
+from chorale.operators import audio, canonical, cluster, enrich, features, kmeans, quality, serve, usage, vocab
 from chorale.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,6 +175,24 @@ def delta_upsert(spark, sf_dir):
     return enrich.upsert(base, delta, "k", ["segment"], ["tags"], "nation").withColumn("tags", F.array_join("tags", "|"))
 
 
+@query("""WITH b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment WHEN c_custkey % 9 = 0 THEN ' ' END AS segment, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS tags FROM customer WHERE c_custkey % 5 <> 0),
+d AS (SELECT o_custkey AS k, o_orderkey AS o, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS segment, CAST(o_orderkey % 4 AS INTEGER) AS tags FROM orders),
+f AS (SELECT k, min(o) AS o0, arg_min(segment IS NULL, o) AS lacks, arg_min(tags, o) AS tags FROM d GROUP BY k),
+s AS (SELECT f.k, CASE WHEN b.k IS NULL THEN o0 END AS since, CASE WHEN b.k IS NULL THEN f.lacks ELSE trim(coalesce(b.segment, '')) = '' END AS lacks, CASE WHEN b.k IS NULL THEN f.tags ELSE b.tags END AS tags FROM f LEFT JOIN b USING (k)),
+e AS (SELECT k, 'segment' AS field, min(o) AS o FROM d JOIN s USING (k) WHERE d.segment IS NOT NULL AND lacks AND (since IS NULL OR o > since) GROUP BY k
+UNION ALL SELECT k, 'tags', o FROM (SELECT k, o, d.tags AS n, s.tags AS start, since, max(d.tags) OVER (PARTITION BY k ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM d JOIN s USING (k))
+  WHERE n > start AND (since IS NULL OR o > since) AND n > coalesce(before, 0)),
+new AS (SELECT count(*) AS n FROM s WHERE since IS NOT NULL)
+SELECT 'base' AS measure, count(*) AS n FROM b UNION ALL SELECT 'delta', count(*) FROM d UNION ALL SELECT 'added', n FROM new UNION ALL SELECT 'updated', count(*) FROM (SELECT DISTINCT k, o FROM e)
+UNION ALL SELECT 'total', (SELECT count(*) FROM b) + n FROM new UNION ALL SELECT 'field:segment', count(*) FROM e WHERE field = 'segment' UNION ALL SELECT 'field:tags', count(*) FROM e WHERE field = 'tags'""")
+def delta_upsert_counts(spark, sf_dir):
+    """Orders as a delta of their customers: many rows for a key, taken in order."""
+    c, o, k = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders"), F.col("c_custkey")
+    base = c.where("c_custkey % 5 <> 0").select(k.alias("k"), F.lit(0).cast("long").alias("o"), F.when(k % 3 != 0, F.col("c_mktsegment")).when(k % 9 == 0, " ").alias("segment"), F.when(k % 2 == 0, F.array("c_name")).otherwise(F.array().cast("array<string>")).alias("tags"))
+    delta = o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("segment"), F.array_repeat("o_orderstatus", (F.col("o_orderkey") % 4).cast("int")).alias("tags"))
+    return enrich.upsert_counts(base, delta, "k", ["segment"], ["tags"], "o")
+
+
 _LOOK = """l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem),
 k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 0 AS prio, 'part' AS match_type, p_brand AS payload FROM l JOIN part ON l_partkey = p_partkey AND p_size > 25
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1, 'supplier', s_name FROM l JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0)"""
@@ -361,6 +379,13 @@ def kmeans_sweep(spark, sf_dir):
     return spark.createDataFrame([(r["k"], r["inertia"], r["silhouette"], r["k"] == best["k"]) for r in found], "k int, inertia double, silhouette double, best boolean")
 
 
+@query()
+def kmeans_mini_batch(spark, sf_dir):
+    """Clusters of the embeddings by mini-batches, with their sizes; they have no oracle."""
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_key"), "embedding")
+    return kmeans.mini_batch(v, 8).groupBy("cluster").agg(F.count("*").alias("size"), F.sum("sq").alias("inertia"))
+
+
 @query()
 def pca_embed(spark, sf_dir):
     """The embeddings reduced to 32 components."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import os
+from urllib.parse import unquote, urlsplit
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.operators.features import checked_components
@@ -20,14 +23,28 @@ SONG = f"""schema_version INT, track_id STRING, title STRING, artists ARRAY<STRI
 
 
 def records(spark: SparkSession, paths: str | list[str], schema: str = SONG, strict: bool = True, multiline: bool = False, glob: str = "*.json*") -> DataFrame:
-    """Record files: a line or (multiline) an array of objects each; files, folders and globs.
+    """Record files: a line or (multiline) an array of objects each; files, folders and globs, each file read once however it is named.
 
     Strict reading fails on a bad row; otherwise such rows come with their text in `_corrupt_record`.
     """
     if not strict:
         schema = f"{schema}, _corrupt_record STRING"
     mode = "FAILFAST" if strict else "PERMISSIVE"
-    return spark.read.schema(schema).option("mode", mode).option("multiLine", multiline).option("pathGlobFilter", glob).json(paths)
+    return spark.read.schema(schema).option("mode", mode).option("multiLine", multiline).option("pathGlobFilter", glob).json(resolved(spark, paths, glob) or paths)
+
+
+def resolved(spark: SparkSession, paths: str | list[str], glob: str = "*.json*") -> list[str]:
+    """The files behind paths, folders and globs, each once, in order of their names; links on this machine count as what they point to."""
+    named = spark.read.option("pathGlobFilter", glob).format("binaryFile").load(paths).inputFiles()
+    parts = [(urlsplit(f), unquote(urlsplit(f).path)) for f in named]
+    real = {f"file:{os.path.realpath(path)}" if at.scheme in ("", "file") else f"{at.scheme}://{at.netloc}{path}" for at, path in parts}
+    return sorted(real)
+
+
+def manifest(spark: SparkSession, paths: str | list[str], glob: str = "*") -> DataFrame:
+    """(name, size, sha256) of the files behind paths, for artifacts: a file is hashed whole, in the task that reads it."""
+    files = spark.read.option("pathGlobFilter", glob).format("binaryFile").load(paths)
+    return files.select(F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def checked(df: DataFrame) -> DataFrame:
@@ -55,8 +72,7 @@ def playlist_items(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, pos, item VARIANT) of payloads that are a list, or an object with the list in tracks or items; items that aren't objects go."""
     whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v"))
     listed = whole.select("file", F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")).otherwise(F.coalesce(F.try_variant_get("v", "$.tracks", "variant"), F.try_variant_get("v", "$.items", "variant"))).alias("v"))
-    listed.createOrReplaceTempView("__payload")
-    each = spark.sql("SELECT file, t.pos AS pos, t.value AS item FROM __payload, LATERAL variant_explode(v) AS t")
+    each = spark.sql("SELECT file, t.pos AS pos, t.value AS item FROM {listed}, LATERAL variant_explode(v) AS t", listed=listed)
     return each.where(F.schema_of_variant("item").startswith("OBJECT"))
 
 
@@ -88,6 +104,34 @@ def write_matrix(features: DataFrame, vocabulary: DataFrame, rows: DataFrame, re
     for name, df in (("features", features), ("vocabulary", vocabulary), ("rows", rows)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
     write_report(report, f"{path}/report")
+    manifest(features.sparkSession, [f"{path}/{name}" for name in MATRIX], "*.parquet").write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+#: Tables of a feature matrix.
+MATRIX = ("features", "vocabulary", "rows")
+
+
+def load_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(features, vocabulary, rows) as write_matrix() wrote them: features(key, feature, value), vocabulary(feature, idx), rows(key, ...).
+
+    An error where a file lacks, is new or has changed, where columns aren't numbered from 0, a name stands twice, or a
+    cell belongs to no row or column.
+    """
+    now = manifest(spark, [f"{path}/{name}" for name in MATRIX], "*.parquet").alias("a")
+    odd = now.join(spark.read.parquet(f"{path}/manifest").alias("b"), "name", "full_outer").where("NOT (a.size <=> b.size AND a.sha256 <=> b.sha256)")
+    changed = [r["name"] for r in odd.orderBy("name").limit(5).collect()]
+    if changed:
+        raise ValueError(f"matrix: {', '.join(changed)} not as written")
+    features, vocabulary, rows = (spark.read.parquet(f"{path}/{name}") for name in MATRIX)
+    key = next(c for c in features.columns if c not in ("feature", "value"))
+    n = vocabulary.agg(F.count("*").alias("n"), F.count_distinct("feature").alias("names"), F.count_distinct("idx").alias("places"), F.min("idx").alias("low"), F.max("idx").alias("high")).first()
+    if n["n"] and (n["names"] < n["n"] or n["places"] < n["n"] or n["low"] != 0 or n["high"] != n["n"] - 1):
+        raise ValueError("matrix: columns aren't numbered from 0, each once")
+    if rows.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError("matrix: a row stands twice")
+    if features.join(vocabulary, "feature", "left_anti").limit(1).count() or features.join(rows, key, "left_anti").limit(1).count():
+        raise ValueError("matrix: cells of no row or column")
+    return features, vocabulary, rows
 
 
 def write_representation(stats: DataFrame, components: DataFrame, path: str) -> None:
@@ -124,6 +168,7 @@ def cache_hits(requests: DataFrame, cache: DataFrame, key: str = "cache_key") ->
 
 
 def cache_additions(answers: DataFrame, cache: DataFrame, order: str = "created_at", key: str = "cache_key") -> DataFrame:
-    """Rows to append: of each key that the cache lacks, the first writer's."""
-    first = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return answers.join(cache.select(key), key, "left_anti").withColumn("__n", first).where("__n = 1").drop("__n")
+    """Rows to append: of each key that the cache lacks, the first writer's; of equals any. Rows of a key are folded before they meet."""
+    held = F.struct(*(F.col(f"`{c}`") for c in answers.columns))
+    missing = answers.join(cache.select(key), key, "left_anti")
+    return missing.groupBy(F.col(key).alias("__key")).agg(F.min_by(held, order).alias("__row")).select(*(F.col(f"__row.`{c}`").alias(c) for c in answers.columns))

@@ -83,3 +83,33 @@ def test_sweep_finds_the_blobs(spark):
     b = np.min([apart[:, np.arange(80) % 4 == c].mean(1) + np.where(np.arange(80) % 4 == c, np.inf, 0) for c in range(4)], axis=0)
     assert four["silhouette"] == pytest.approx(float(np.mean((b - a) / np.maximum(a, b))))
     assert cluster.sweep(vectors.limit(2), range(2, 7)) == [] and cluster.best_k([]) is None
+
+
+def test_mini_batches_come_near_full_k_means(spark):
+    rows = [(r[1], r[2]) for r in cloud(4000, 5, dims=6)]
+    points = spark.createDataFrame(rows, "track_key string, embedding array<double>")
+    got = kmeans.mini_batch(points, 5, batch=256, rounds=60)
+    assert got.count() == 4000 and got.select("cluster").distinct().count() == 5
+    full = kmeans.clustered(points.withColumn("playlist_id", F.lit("all")), spark.createDataFrame([("all", 5)], KS), seeds=4).first()["inertia"]
+    assert full <= got.agg(F.sum("sq")).first()[0] * (1 + 1e-9) and got.agg(F.sum("sq")).first()[0] <= 1.03 * full
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, kmeans.mini_batch(points.repartition(3), 5, batch=256, rounds=60).collect()))
+    few = kmeans.mini_batch(points.limit(3), 5, batch=4, rounds=3)
+    assert few.count() == 3 and few.agg(F.sum("sq")).first()[0] == pytest.approx(0, abs=1e-9)
+    assert kmeans.mini_batch(points.where("false"), 5).count() == 0
+
+
+def test_sampled_silhouette_of_a_large_group(spark):
+    draw = np.random.default_rng(3)
+    rows = [(p, f"{p}{i}", i % 3, [float(x) for x in draw.normal([4.0 * (i % 3), 0.0], 1.0)]) for p, n in (("large", 900), ("small", 20)) for i in range(n)]
+    points = spark.createDataFrame(rows, "playlist_id string, track_key string, cluster int, embedding array<double>")
+    got = {r["playlist_id"]: r["silhouette"] for r in cluster.sampled_silhouette(points, ["playlist_id"], most=300).collect()}
+    order = [r["track_key"] for r in points.where("playlist_id = 'large'").orderBy(F.xxhash64("track_key"), "track_key").limit(300).collect()]
+    e, labels = (np.array([r[k] for r in rows if r[1] in set(order)]) for k in (3, 2))
+    apart = np.sqrt(((e[:, None] - e[None]) ** 2).sum(2))
+    sums = np.stack([apart[:, labels == c].sum(1) for c in range(3)], 1)
+    counts = np.bincount(labels)
+    a = sums[np.arange(300), labels] / (counts[labels] - 1)
+    b = np.where(np.arange(3)[None] == labels[:, None], np.inf, sums / counts).min(1)
+    assert set(got) == {"large"} and got["large"] == pytest.approx(float(((b - a) / np.maximum(a, b)).mean()))
+    whole = cluster.silhouette(points.where("playlist_id = 'large'"), ["playlist_id"]).first()["silhouette"]
+    assert got["large"] != whole and got["large"] == pytest.approx(whole, abs=0.05)

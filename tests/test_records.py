@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from chorale.functions import names, text
-from chorale.operators import audio, canonical, cluster, features, serve
+from chorale.operators import audio, canonical, cluster, enrich, features, route, serve
 from chorale.sources import records
 
 
@@ -157,3 +158,78 @@ def test_metering_of_one_long_log(spark):
     log = spark.range(3000).selectExpr("'u' AS user_id", "timestamp_seconds(id * 40) AS ts", "'active' AS status", "false AS cached", "false AS force", "true AS succeeded")
     decisions = [r["decision"] for r in serve.metered(log).orderBy("ts").collect()]
     assert decisions[:50] == ["fresh"] * 50 and set(decisions[50:]) == {"quota"}
+
+
+def test_a_file_named_twice_is_read_once(spark, tmp_path):
+    (tmp_path / "a b.json").write_text('{"track_id": "1"}\n')
+    (tmp_path / "link.json").symlink_to(tmp_path / "a b.json")
+    (tmp_path / "other.txt").write_text("no record")
+    named = [str(tmp_path / "a b.json"), str(tmp_path), f"{tmp_path}/*.json", f"file://{tmp_path}/link.json"]
+    assert [r["track_id"] for r in records.records(spark, named).collect()] == ["1"]
+    assert len(records.resolved(spark, named)) == 1 and records.records(spark, str(tmp_path), glob="*.none").count() == 0
+
+
+def test_a_matrix_is_checked_when_it_is_loaded(spark, tmp_path):
+    f = spark.createDataFrame([("t1", "tag__a", 1.0), ("t2", "tag__b", 2.0)], "track_id string, feature string, value double")
+    vocabulary = spark.createDataFrame([("tag__a", 0), ("tag__b", 1)], "feature string, idx int")
+    rows = f.select("track_id").distinct()
+    write = lambda name, v=vocabulary, r=rows: records.write_matrix(f, v, r, features.matrix_report(f, r, "track_id"), str(tmp_path / name))
+    write("good")
+    got = records.load_matrix(spark, str(tmp_path / "good"))
+    assert [d.count() for d in got] == [2, 2, 2]
+    part = next((tmp_path / "good/features").glob("*.parquet"))
+    part.write_bytes(part.read_bytes()[:-1])
+    (part.parent / f".{part.name}.crc").unlink()
+    with pytest.raises(ValueError, match="features/part-.*not as written"):
+        records.load_matrix(spark, str(tmp_path / "good"))
+    for name, v, r, says in (("gap", vocabulary.withColumn("idx", F.col("idx") * 2), rows, "numbered"), ("twice", vocabulary, rows.union(rows), "twice"), ("lost", vocabulary.limit(1), rows, "cells"), ("row", vocabulary, rows.where("track_id = 't1'"), "cells")):
+        write(name, v, r)
+        with pytest.raises(ValueError, match=says):
+            records.load_matrix(spark, str(tmp_path / name))
+
+
+def test_years_by_kind_and_field(spark):
+    for given, want in (("19", None), ("-5", None), ("20191", None), ("1999-05-01", 1999), ("c. 2001/2002", 2001), ("é2001", None)):
+        assert spark.range(1).select(text.year(F.lit(given)).alias("y")).first()["y"] == want
+    assert spark.range(1).select(text.year(F.lit(7)).alias("y"), text.year(F.lit(2.5)).alias("z")).first() == (7, None)
+    raw = "title string, artists array<string>, releaseYear string, album struct<release_date:string, releaseDate:string>, release_date string, releaseDate string, year string"
+    rows = [("a", ["x"], "2001", None, None, None, None), ("b", ["x"], None, ("2010-01-01", "2011"), "1999", "2005", None), ("c", ["x"], None, (None, "2011"), "1999", "2005", "none"), ("d", ["x"], None, None, "1999", "2005", ""), ("e", ["x"], None, None, None, "2005", "19")]
+    good, _ = canonical.canonical(spark.createDataFrame(rows, raw), "set")
+    assert {r["title"]: r["year"] for r in good.collect()} == {"a": 2001, "b": 2010, "c": 2011, "d": 1999, "e": 2005}
+
+
+def test_upsert_counts_against_a_plain_loop(spark):
+    draw = random.Random(8)
+    row = lambda o, keys: (draw.choice(keys), o, draw.choice([None, "", " ", "m"]), [0] * draw.randint(0, 4) if draw.random() < 0.8 else None)
+    base, delta = [row(o, ["a", "b", "c", None]) for o in range(8)], [row(o, ["a", "b", "d", "e", "f"]) for o in range(60)]
+    kind = "k string, o int, mbid string, tags array<int>"
+    got = {r["measure"]: r["n"] for r in enrich.upsert_counts(spark.createDataFrame(base, kind), spark.createDataFrame(delta, kind), "k", ["mbid"], ["tags"], "o").collect()}
+    held = {k: [m, t] for k, _, m, t in base if k}
+    want = {"base": 8, "delta": 60, "added": 0, "updated": 0, "field:mbid": 0, "field:tags": 0}
+    for k, _, m, t in delta:
+        if k not in held:
+            held[k] = [m, t]
+            want["added"] += 1
+            continue
+        fills, longer = not (held[k][0] or "").strip() and bool((m or "").strip()), len(t or []) > len(held[k][1] or [])
+        held[k] = [m if fills else held[k][0], t if longer else held[k][1]]
+        want["field:mbid"] += fills
+        want["field:tags"] += longer
+        want["updated"] += fills or longer
+    assert got == {**want, "total": 8 + want["added"]}
+    made = {r["k"]: r for r in enrich.upsert(spark.createDataFrame(base, kind), spark.createDataFrame(delta, kind), "k", ["mbid"], ["tags"], "o").where("k IS NOT NULL").orderBy("o").collect()}
+    assert all(len(made[k]["tags"] or []) == len(t or []) and (made[k]["mbid"] or "").strip() == (m or "").strip() for k, (m, t) in held.items())
+
+
+def test_group_keys(spark):
+    cases = {("era-90s", "Rock"): "era", ("usage-x", ""): "usage", ("vibe-1", "pop"): "vibe", ("pop-hits", "jazz"): "popularity", ("", "Nujabes / x"): "jazz", ("c1", "Trap Soul"): "trap", ("c1", "R&B / Neo"): "rnb", ("c1", "Party Rap"): "melodic", ("c1", "Hip Hop"): "rap", ("c1", "Dream Pop"): "dream", ("c1", "Pop"): "pop", (None, "Chill"): "acoustic", ("c", None): "", ("c", "Breakbeat"): "instrumental", ("c", "Party Rap Dance"): "electronic"}
+    df = spark.createDataFrame(list(cases), "id string, label string")
+    assert {(r["id"], r["label"]): r["g"] for r in df.withColumn("g", route.group_key(F.col("id"), F.col("label"))).collect()} == cases
+
+
+def test_a_repeated_code_gives_one_payload_whatever_the_order(spark):
+    tracks = spark.createDataFrame([("t", "us1", None)], "id string, isrc string, brainz struct<mbid:string>")
+    codes = spark.createDataFrame([("US1", ("z",)), (" us1 ", ("a",)), ("US1", ("m",))], "isrc string, brainz struct<mbid:string>")
+    none = spark.createDataFrame([], "id string, genres array<string>")
+    for part in (codes, codes.orderBy("brainz"), codes.repartition(3)):
+        assert enrich.enriched_if_absent(tracks, part, none).first()["brainz"]["mbid"] == "a"
