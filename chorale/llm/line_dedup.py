@@ -38,20 +38,21 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return i * short + F.greatest(extra, F.lit(0)), short + (extra >= 0).cast("int")
 
 
-def _pieces(n: Column, edits: int) -> list[tuple[Column, int, Column, Column]]:
-    """(length, segment, start, size) of the substrings that a line of n characters meets others by; the first edits + 1 are its own segments."""
+def _pieces(n: Column, edits: int) -> list[tuple[int, int, Column, Column]]:
+    """(characters that the other line is shorter by, segment, start, size) of the substrings that a line of n characters meets others by; the first
+    edits + 1 are its own segments."""
     own, others = [], []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
             start, size = _segment(n - shorter, i, edits + 1)
             for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                (own if shorter == move == 0 else others).append((n - shorter, i, start + move, size))
+                (own if shorter == move == 0 else others).append((shorter, i, start + move, size))
     return own + others
 
 
-def _keys(line: Column, n: Column, edits: int) -> Column:
-    """Of a line in UTF-32, so that a substring is a slice of bytes."""
-    return F.array(*(F.xxhash64(length.cast("int"), F.lit(i), F.substring(line, 4 * start + 1, 4 * size)) for length, i, start, size in _pieces(n, edits)))
+def _keys(line: Column, n: Column, edits: int, only: int | None = None) -> Column:
+    """Of a line in UTF-32, so that a substring is a slice of bytes; all, or those by which it meets lines shorter by so many characters."""
+    return F.array(*(F.xxhash64((n - shorter).cast("int"), F.lit(i), F.substring(line, 4 * start + 1, 4 * size)) for shorter, i, start, size in _pieces(n, edits) if only in (None, shorter)))
 
 
 def _keyed(df: DataFrame, line: str, edits: int, *kept: str) -> DataFrame:
@@ -134,16 +135,21 @@ def _common(keyed: DataFrame, edits: int) -> DataFrame:
 
 
 def _deeper(hot_lines: DataFrame, common: DataFrame, edits: int) -> DataFrame:
-    """(key, h, first, letters, own) of lines(h, line, first, letters) under their common keys and the segments of what each leaves of the line; own: in the index, too."""
+    """(key, h, first, letters, own) of lines(h, line, first, letters) under their common keys and the segments of what each leaves of the line; own: in the index, too.
+
+    A common key holds the length of the line in the index, so what both leave differs in length by as much as the lines do: inner
+    substrings for other differences meet nothing and aren't made.
+    """
     kept = ["h", "first", "letters"]
     n = (F.octet_length("wide") / 4).cast("int")
     wide = hot_lines.select(*kept, F.encode("line", "UTF-32").alias("wide"))
-    piece = F.array(*(F.struct(F.lit(k).alias("was"), (4 * start).alias("start"), (4 * size).alias("size")) for k, (_, _, start, size) in enumerate(_pieces(n, edits))))
+    piece = F.array(*(F.struct(F.lit(k).alias("was"), F.lit(shorter).alias("shorter"), (4 * start).alias("start"), (4 * size).alias("size")) for k, (shorter, _, start, size) in enumerate(_pieces(n, edits))))
     each = wide.select(*kept, "wide", piece.alias("pieces"), _keys(F.col("wide"), n, edits).alias("keys")).select(*kept, "wide", F.posexplode("keys").alias("k", "outer"), "pieces")
     shared = each.join(common.withColumnRenamed("key", "outer"), "outer").select(*kept, "wide", "outer", F.get("pieces", F.col("k")).alias("p"))
     rest = F.concat(F.substring("wide", F.lit(1), F.col("p.start")), F.substring("wide", F.col("p.start") + F.col("p.size") + 1, F.octet_length("wide")))
-    left = shared.select(*kept, "outer", "p.was", rest.alias("wide"))
-    again = left.select(*kept, "outer", "was", F.posexplode(_keys(F.col("wide"), n, edits)).alias("at", "inner"))
+    left = shared.select(*kept, "outer", "p.was", "p.shorter", rest.alias("wide"))
+    inner = F.coalesce(*(F.when(F.col("shorter") == s, _keys(F.col("wide"), n, edits, s)) for s in range(edits + 1)))
+    again = left.select(*kept, "outer", "was", F.posexplode(inner).alias("at", "inner"))
     return again.select(F.xxhash64("outer", "inner").alias("key"), *kept, ((F.col("was") <= edits) & (F.col("at") <= edits)).alias("own")).distinct()
 
 
