@@ -505,10 +505,23 @@ def playlist_listing(spark, sf_dir):
     return canonical.listing(n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.struct(F.when(F.col("n_regionkey") > 1, F.col("n_nationkey")).alias("total")).alias("tracks")))
 
 
-@query("SELECT o_custkey, array_to_string(list_distinct(list(o_orderpriority))[1:0] || (SELECT [] )::VARCHAR[], '') || CAST(least(3, count(DISTINCT o_orderpriority)) AS VARCHAR) AS n FROM orders GROUP BY o_custkey")
+@query("""WITH f AS (SELECT o_custkey, o_orderpriority AS p, min(o_orderkey) AS first FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY first) AS r FROM f)
+SELECT o_custkey, string_agg(p, '|' ORDER BY r) AS first_three FROM r WHERE r <= 3 GROUP BY o_custkey""")
 def ordered_distinct_limit(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("x"))
-    return o.select("o_custkey", F.size(names.ordered_distinct(F.col("x"), 3)).cast("string").alias("n"))
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("x"))
+    return o.select("o_custkey", F.array_join(names.ordered_distinct(F.col("x"), 3), "|").alias("first_three"))
+
+
+_LABELS = ["Jazz / Nujabes", "Trap Soul", "Electronic / Dance", "Dream Pop", "Rock / Indie", "R&B / Neo", "Party Rap", "Hip Hop", "Pop", "Chill", "Breakbeat", "Spoken"]
+_KEYS = ["jazz", "trap", "electronic", "dream", "rock", "rnb", "melodic", "rap", "pop", "acoustic", "instrumental", ""]
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE l_suppkey % 6 WHEN 0 THEN 'vibe' WHEN 1 THEN 'era' WHEN 2 THEN 'popularity' WHEN 3 THEN 'usage' ELSE ({_KEYS!r})[CAST(l_partkey % {len(_KEYS)} AS INTEGER) + 1] END AS group_key FROM lineitem""")
+def group_keys(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem")
+    start = F.get(F.array(*map(F.lit, ("vibe-", "era-", "pop-", "usage-", "c", ""))), (F.col("l_suppkey") % 6).cast("int"))
+    label = F.get(F.array(*map(F.lit, _LABELS)), (F.col("l_partkey") % len(_LABELS)).cast("int"))
+    return line.select("l_orderkey", "l_linenumber", route.group_key(F.concat(start, F.col("l_partkey").cast("string")), label).alias("group_key"))
 
 
 # -- nested payloads, clusters, sound --------------------------------------------------------------------------------
