@@ -118,13 +118,18 @@ def _listed(hashes: DataFrame) -> DataFrame:
     return F.broadcast(hashes) if hashes.count() <= BROADCAST_LINES else hashes
 
 
-def _meeting(index: DataFrame, probe: DataFrame, edits: int | None = None) -> DataFrame:
-    """(a, b), a < b: different lines under one key, and with edits those whose letters can be so near; some more than once."""
-    kept = [] if edits is None else ["letters"]
+def _meeting(index: DataFrame, probe: DataFrame, edits: int | None = None, both: bool = False) -> DataFrame:
+    """(a, b), a < b: different lines under one key, and with edits those whose letters can be so near; some more than once.
+
+    both: index holds the probe's own rows, so two of those would meet from either side, and need but one.
+    """
+    kept = [] if edits is None else ["letters", "own"]
     one, other = (d.select("key", F.col("h").alias(x), *(F.col(c).alias(c + x) for c in kept)) for d, x in ((index, "x"), (probe, "y")))
     alike = F.col("x") != F.col("y")
     if edits is not None:
         alike &= _letters_apart("lettersx", "lettersy") <= 2 * edits
+    if both:
+        alike &= ~F.col("owny") | (F.col("x") < F.col("y"))
     return one.join(other, (one["key"] == other["key"]) & alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -190,8 +195,8 @@ def near_lines(every: DataFrame, firsts: DataFrame, edits: int = EDITS, min_char
     centres = stored(index.groupBy("key").agg(F.min(F.struct("first", "h")).alias("c")), "centres")
     star = index.join(centres, "key").where("first > c.first").select(F.least("h", "c.h").alias("a"), F.greatest("h", "c.h").alias("b"))
     decided = stored(_later(_verified(star, texts, edits), firsts), "near-lines")
-    open_ = stored(_deeper(hot_lines.join(_listed(decided), "h", "left_anti"), hot, edits), "deeper")
-    still = _meeting(index, open_, edits).unionByName(_meeting(open_.where("own"), deep, edits))
+    open_, closed = (deep.join(_listed(decided), "h", how) for how in ("left_anti", "left_semi"))
+    still = _meeting(open_.where("own"), open_, edits, both=True).unionByName(_meeting(closed.where("own"), open_, edits)).unionByName(_meeting(open_.where("own"), closed, edits))
     cold = rows.join(hot, "key", "left_anti")
     others = _verified(_meeting(cold.where(F.col("at") <= edits), cold).unionByName(still), texts, edits)
     return decided.unionByName(_later(others, firsts)).distinct()
