@@ -77,36 +77,48 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 class _Grams:
-    """The n-grams of a block by order: distinct hashes, and for each word the number of the n-gram that ends there."""
+    """The n-grams of a block, one order at a time: no array of another order is held meanwhile."""
 
-    def __init__(self, words: bytes, codes: bytes, lengths: list[int], order: int) -> None:
-        h = unpacked(words, np.uint64)[unpacked(codes, np.uint32)] if sum(lengths) else np.zeros(0, np.uint64)
+    def __init__(self, words: bytes, codes: bytes, lengths: list[int]) -> None:
+        self.h = unpacked(words, np.uint64)[unpacked(codes, np.uint32)] if sum(lengths) else np.zeros(0, np.uint64)
         lengths = np.array(lengths, np.int64)
-        self.doc = np.repeat(np.arange(len(lengths)), lengths)
-        self.before = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.distinct, self.at = [], []
-        for n in range(1, order + 1):
-            own = np.zeros(len(h), np.uint64)
-            if len(h) >= n:
-                own[n - 1 :] = shingle_hashes(h, n) >> np.uint64(64 - BITS)
-            whole = self.before >= n - 1
-            distinct, at = np.unique(own[whole], return_inverse=True)
-            numbers = np.full(len(h), -1)
-            numbers[whole] = at
-            self.distinct.append(distinct), self.at.append(numbers)
-
-    def counts(self, n: int) -> np.ndarray:
-        """Of each distinct n-gram, in the block."""
-        at = self.at[n - 1]
-        return np.bincount(at[at >= 0], minlength=len(self.distinct[n - 1])).astype(np.uint32)
-
-    def own(self, n: int) -> np.ndarray:
+        self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.before = (np.arange(len(self.h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+
+    def hashes(self, n: int) -> np.ndarray:
+        """Of the n-grams that end at the words with n - 1 before them in their document."""
+        if len(self.h) < n:
+            return np.zeros(0, np.uint64)
+        return (shingle_hashes(self.h, n) >> np.uint64(64 - BITS))[self.before[n - 1 :] >= n - 1]
+
+    def counted(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams' hashes, in order, and how often each stands in the block."""
+        own = self.hashes(n)
+        own.sort()
+        starts = np.flatnonzero(np.concatenate([np.ones(min(len(own), 1), bool), own[1:] != own[:-1]]))
+        return own[starts], np.diff(starts, append=len(own)).astype(np.uint32)
+
+    def at(self, n: int) -> np.ndarray:
+        """For each word the number of the n-gram that ends there, in the order of counted(); -1 where there is none."""
+        own = self.hashes(n)
+        numbers = np.full(len(self.h), -1, np.int32)
+        order = np.argsort(own)
+        own = own[order]
+        ranks = np.empty(len(own), np.int32)
+        ranks[order] = np.cumsum(np.concatenate([np.zeros(min(len(own), 1), bool), own[1:] != own[:-1]]), dtype=np.int32)
+        numbers[self.before >= n - 1] = ranks
+        return numbers
+
+    def own(self, at: np.ndarray) -> np.ndarray:
         """At each word, how often its n-gram stands in its document; 0 where there is none."""
-        at = self.at[n - 1]
-        whole = at >= 0
-        _, which, counts = np.unique(self.doc[whole] * (len(self.distinct[n - 1]) + 1) + at[whole], return_inverse=True, return_counts=True)
-        out = np.zeros(len(at), np.int64)
-        out[whole] = counts[which]
+        whole = np.flatnonzero(at >= 0).astype(np.int32)
+        pairs = self.doc[whole].astype(np.int64) * (int(at.max(initial=0)) + 1) + at[whole]
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        starts = np.flatnonzero(np.concatenate([np.ones(min(len(pairs), 1), bool), pairs[1:] != pairs[:-1]]))
+        counts = np.diff(starts, append=len(pairs))
+        out = np.zeros(len(at), np.int32)
+        out[whole[order]] = np.repeat(counts, counts)
         return out
 
 
@@ -118,19 +130,19 @@ def _bounds(parts: int) -> np.ndarray:
 def _questions(order: int, parts: int):
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = _bounds(parts)
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
-            for row in batch.to_pylist():
-                grams = _Grams(row["words"], row["codes"], row["lengths"], order)
-                out = []
+            for i in range(batch.num_rows):
+                grams = _Grams(*(batch[c][i].as_py() for c in ("words", "codes", "lengths")))
                 for n in range(1, order + 1):
-                    distinct, counts = grams.distinct[n - 1], grams.counts(n)
+                    distinct, counts = grams.counted(n)
                     cuts = np.concatenate([[0], np.searchsorted(distinct, bounds), [len(distinct)]])
+                    out = []
                     for part in np.flatnonzero(np.diff(cuts)).tolist():
                         a, b = cuts[part : part + 2]
-                        out.append((row["block"], n, part, packed(np.diff(distinct[a:b], prepend=np.uint64(0))), packed(counts[a:b])))
-                columns = zip(*out, strict=True) if out else [()] * 5
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "n", "part", "hashes", "counts"])
+                        out.append((batch["block"][i].as_py(), n, part, packed(np.diff(distinct[a:b], prepend=np.uint64(0))), packed(counts[a:b])))
+                    columns = zip(*out, strict=True) if out else [()] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "n", "part", "hashes", "counts"])
 
     return ask
 
@@ -149,22 +161,26 @@ def _answer(group: pa.Table) -> pa.Table:
 def _scores(order: int, backoff: float, corpus: int):
     def score(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        grams = _Grams(row["words"], row["codes"], row["lengths"], order)
+        grams = _Grams(row.pop("words"), row.pop("codes"), row["lengths"])
         lengths = np.array(row["lengths"], np.int64)
-        answered = sorted(zip(answers["n"].to_pylist(), answers["part"].to_pylist(), answers["totals"].to_pylist(), strict=True))
-        others = []  # at each word, how often other documents have its n-gram
+        places = sorted((n, part, i) for i, (n, part) in enumerate(zip(answers["n"].to_pylist(), answers["part"].to_pylist(), strict=True)))
+        words = np.maximum(corpus - lengths, 1)
+        value, level, shorter = None, np.zeros(len(grams.h), np.int8), None
         for n in range(1, order + 1):
-            totals = np.concatenate([unpacked(x, np.uint64) for m, _, x in answered if m == n] or [np.zeros(0, np.uint64)]).astype(np.int64)
-            at = grams.at[n - 1]
-            others.append(np.where(at >= 0, totals[at] if len(totals) else 0, 0) - grams.own(n))
-        words = np.maximum(corpus - lengths, 1)[grams.doc]
-        value = np.where(others[0] > 0, np.log(np.maximum(others[0], 1) / words), np.log(backoff / words))
-        level = (others[0] > 0).astype(np.int64)
-        for n in range(2, order + 1):
-            history = np.concatenate([[0], others[n - 2][:-1]])
-            found = (others[n - 1] > 0) & (history > 0) & (grams.before >= n - 1)
-            value = np.where(found, np.log(np.maximum(others[n - 1], 1) / np.maximum(history, 1)), np.where(grams.before >= n - 1, value + np.log(backoff), value))
-            level[found] = n
+            totals = np.concatenate([unpacked(answers["totals"][i].as_py(), np.uint64) for m, _, i in places if m == n] or [np.zeros(0, np.uint64)]).astype(np.int64)
+            at = grams.at(n)
+            others = np.where(at >= 0, totals[at] if len(totals) else 0, 0) - grams.own(at)  # at each word, how often other documents have its n-gram
+            if n == 1:
+                value = np.where(others > 0, np.log(np.maximum(others, 1) / words[grams.doc]), np.log(backoff / words)[grams.doc])
+                level[others > 0] = 1
+            else:
+                history = np.concatenate([np.zeros(min(len(shorter), 1), np.int64), shorter[:-1]])
+                whole = grams.before >= n - 1
+                found = (others > 0) & (history > 0) & whole
+                value[whole] += np.log(backoff)
+                value[found] = np.log(others[found] / history[found])
+                level[found] = n
+            shorter = others
         total = np.bincount(grams.doc, weights=value, minlength=len(lengths))
         longest = np.bincount(grams.doc[level == order], minlength=len(lengths))
         return pa.table({
