@@ -25,8 +25,13 @@ def violations(json: Column, schema: dict) -> Column:
     json: a text. Paths are of keys and places, $ for the record itself. A text that isn't JSON, or null, has one violation. Known: $ref to
     #/$defs, type, const, enum, limits of numbers, lengths, pattern, items, required, properties and additionalProperties.
     """
-    root = F.try_parse_json(json)
-    return F.when(root.isNull(), F.array(F.lit("$: must be JSON"))).otherwise(_checked(root, schema, schema, F.lit("$"), ()))
+    told = lambda root: F.when(root.isNull(), F.array(F.lit("$: must be JSON"))).otherwise(_checked(root, schema, schema, F.lit("$"), ()))
+    return _bound(F.try_parse_json(json), told)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is named there: expressions with lambdas share nothing by themselves."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _checked(v: Column, schema: dict | bool, root: dict, path: Column, seen: tuple[str, ...]) -> Column:
@@ -37,11 +42,22 @@ def _checked(v: Column, schema: dict | bool, root: dict, path: Column, seen: tup
         if not name.startswith("#/$defs/") or name in seen:
             raise ValueError(f"schema: $ref {name!r} isn't a definition, or is of itself")
         schema, seen = {**root["$defs"][name.removeprefix("#/$defs/")], **{k: x for k, x in schema.items() if k != "$ref"}}, (*seen, name)
-    kind, rules, inner = F.schema_of_variant(v), {}, []
-    number = F.when(kind.rlike(_NUMBER), F.try_variant_get(v, "$", "double"))
-    text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
-    items = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
-    members = F.when(kind.startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>"))
+    seen_kind = F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind"), path.alias("path"))
+    return _bound(seen_kind, lambda x: _bound(_views(x["v"], x["kind"], x["path"]), lambda y: _held(y, schema, root, seen)))
+
+
+def _views(v: Column, kind: Column, path: Column) -> Column:
+    """A value and what it is as a number, text, list or object; null where it isn't one."""
+    return F.struct(
+        v.alias("v"), kind.alias("kind"), path.alias("path"), F.when(kind.rlike(_NUMBER), F.try_variant_get(v, "$", "double")).alias("number"),
+        F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).alias("text"), F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).alias("items"),
+        F.when(kind.startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>")).alias("members"),
+    )
+
+
+def _held(views: Column, schema: dict, root: dict, seen: tuple[str, ...]) -> Column:
+    v, kind, path, number, text, items, members = (views[c] for c in ("v", "kind", "path", "number", "text", "items", "members"))
+    rules, inner = {}, []
     for word, said in schema.items():
         if word == "type":
             names = [said] if isinstance(said, str) else said

@@ -93,3 +93,10 @@ def test_texts_that_are_no_json(spark):
 def test_what_is_not_known_is_an_error(spark, bad):
     with pytest.raises(ValueError, match="schema"):
         schema.violations(F.lit("1"), bad)
+
+
+def test_a_record_is_parsed_once(spark):
+    """However many rules look at it: within lambdas nothing is shared by itself."""
+    from chorale.plans.songs import _SCHEMA
+
+    assert schema.violations(F.col("j"), _SCHEMA)._jc.toString().count("try_parse_json") == 1
