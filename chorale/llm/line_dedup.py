@@ -6,7 +6,8 @@ indexed under its segments, by length and position, and probes the index for its
 lengths below with those of its substrings whose position such edits can reach. A segment that very many lines
 share names little: there the rest of the line, which may hold no more edits, is cut into segments again, and lines
 meet under both: first each with the earliest one there, then those that aren't decided by that with all. The counts of candidates' letters must not differ by more than two an edit; what remains is verified
-by a bit-parallel automaton in the band around the diagonal.
+by a bit-parallel automaton in the band around the diagonal. Lines of the last kind are measured as they meet, so that
+only near-equal ones make a row.
 
 A line is removed if an equal or near-equal line stands earlier, by doc_id, text (rows of one doc_id with other
 texts are other documents, in the order of a hash) and line number, whether or not that one stays itself. Lines
@@ -119,17 +120,19 @@ def _listed(hashes: DataFrame) -> DataFrame:
 
 
 def _meeting(index: DataFrame, probe: DataFrame, edits: int | None = None, both: bool = False) -> DataFrame:
-    """(a, b), a < b: different lines under one key, and with edits those whose letters can be so near; some more than once.
+    """(a, b), a < b: different lines under one key, and with edits only those within so many; some more than once.
 
     both: index holds the probe's own rows, so two of those would meet from either side, and need but one.
     """
-    kept = [] if edits is None else ["letters", "own"]
+    kept = [] if edits is None else ["letters", "own", "line"]
     one, other = (d.select("key", F.col("h").alias(x), *(F.col(c).alias(c + x) for c in kept)) for d, x in ((index, "x"), (probe, "y")))
     alike = F.col("x") != F.col("y")
     if edits is not None:
         alike &= _letters_apart("lettersx", "lettersy") <= 2 * edits
     if both:
         alike &= ~F.col("owny") | (F.col("x") < F.col("y"))
+    if edits is not None:  # the dearest test comes last; beyond so many edits it gives -1
+        alike &= F.levenshtein("linex", "liney", edits) >= 0
     return one.join(other, (one["key"] == other["key"]) & alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -140,12 +143,12 @@ def _common(keyed: DataFrame, edits: int) -> DataFrame:
 
 
 def _deeper(hot_lines: DataFrame, common: DataFrame, edits: int) -> DataFrame:
-    """(key, h, first, letters, own) of lines(h, line, first, letters) under their common keys and the segments of what each leaves of the line; own: in the index, too.
+    """(key, h, first, letters, line, own) of lines(h, line, first, letters) under their common keys and the segments of what each leaves of the line; own: in the index, too.
 
     A common key holds the length of the line in the index, so what both leave differs in length by as much as the lines do: inner
     substrings for other differences meet nothing and aren't made.
     """
-    kept = ["h", "first", "letters"]
+    kept = ["h", "first", "letters", "line"]
     n = (F.octet_length("wide") / 4).cast("int")
     wide = hot_lines.select(*kept, F.encode("line", "UTF-32").alias("wide"))
     piece = F.array(*(F.struct(F.lit(k).alias("was"), F.lit(shorter).alias("shorter"), (4 * start).alias("start"), (4 * size).alias("size")) for k, (shorter, _, start, size) in enumerate(_pieces(n, edits))))
@@ -198,7 +201,7 @@ def near_lines(every: DataFrame, firsts: DataFrame, edits: int = EDITS, min_char
     open_, closed = (deep.join(_listed(decided), "h", how) for how in ("left_anti", "left_semi"))
     still = _meeting(open_.where("own"), open_, edits, both=True).unionByName(_meeting(closed.where("own"), open_, edits)).unionByName(_meeting(open_.where("own"), closed, edits))
     cold = rows.join(hot, "key", "left_anti")
-    others = _verified(_meeting(cold.where(F.col("at") <= edits), cold).unionByName(still), texts, edits)
+    others = _verified(_meeting(cold.where(F.col("at") <= edits), cold), texts, edits).unionByName(stored(still.distinct(), "near-lines"))
     return decided.unionByName(_later(others, firsts)).distinct()
 
 

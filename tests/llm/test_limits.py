@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from chorale.llm import lm_scoring
+from chorale.llm import line_dedup, lm_scoring
 
 
 def test_questions_hold_one_order_at_a_time():
@@ -21,3 +21,23 @@ def test_questions_hold_one_order_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak / n < 80, peak / n  # 112 bytes a word with the arrays of all orders
+
+
+def test_lines_that_share_nearly_all_make_no_pairs(spark, monkeypatch):
+    """Lines of the same letters, two words of each turned round at its own place: alike under common segments, and four edits apart or more."""
+    words = [f"{a}{b}{c}" for a in "stn" for b in "aeo" for c in "lrd"] * 4
+    turned = lambda k: " ".join(w[::-1] if i in (k, k + 3) else w for i, w in enumerate(words))
+    d = spark.createDataFrame([(k, turned(k)) for k in range(60)] + [(99, turned(59)[:-1])], "doc_id long, text string")
+    made, stored = [], line_dedup.stored
+
+    def seen(df, label):
+        out = stored(df, label)
+        if label in ("line-pairs", "near-lines"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", seen)
+    monkeypatch.setattr(line_dedup, "GLANCE", 1)
+    got = line_dedup.removed_lines(d).collect()
+    assert [r["doc_id"] for r in got] == [99]
+    assert max(made) < 3 * 61, made
