@@ -1,8 +1,9 @@
 """k-means of many playlists at once, over blocks of their points.
 
 Points are dealt to blocks of some thousand rows, each a matrix. All runs of a playlist (every k and restart) go to its blocks as
-matrices of centres, and only sums, counts and costs come back: nothing is sent for a point. A playlist of one block runs
-to its end inside a task; of a larger one, each round is one pass over its blocks, with the same steps.
+matrices of centres, and only sums, counts and costs come back: nothing is sent for a point. A playlist of up to WHOLE_BLOCKS
+blocks is one block and runs to its end inside a task, its restarts side by side; of a larger one, each round is one pass
+over its blocks, with the same steps.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from chorale.session import stored
 
 #: Points of a block, about.
 BLOCK_ROWS = 4096
+#: Blocks' worth of points up to which a playlist stays whole: with 64 dimensions a matrix of 64 MB.
+WHOLE_BLOCKS = 32
 #: Points of a playlist that a restart picks its first centres from: so many, or so many for each centre.
 START_ROWS, START_EACH = 64, 4
 #: A run has ended when no centre moves by more than this part of its size.
@@ -41,9 +44,15 @@ def first_drawn(points: np.ndarray, hashes: np.ndarray, seed: int, n: int) -> tu
     return points[at], hashes[at]
 
 
-def squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances of all points from all centres."""
-    return np.maximum((points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)[None, :], 0)
+def prepared(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared lengths, points times two): what squared() needs of the points in each round."""
+    return (points**2).sum(1), 2 * points
+
+
+def squared(points: np.ndarray, centres: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Squared distances of all points from all centres; known: prepared(points)."""
+    lengths, twice = known or prepared(points)
+    return np.maximum(lengths[:, None] - twice @ centres.T + (centres**2).sum(1)[None, :], 0)
 
 
 def far_apart(sample: np.ndarray, k: int) -> np.ndarray:
@@ -56,9 +65,9 @@ def far_apart(sample: np.ndarray, k: int) -> np.ndarray:
     return sample[picked]
 
 
-def measured(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def measured(points: np.ndarray, centres: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(labels, sums, counts, cost) of the points under these centres; ties go to the lower number."""
-    apart = squared(points, centres)
+    apart = squared(points, centres, known)
     labels = apart.argmin(1)
     counts = np.bincount(labels, minlength=len(centres))
     member = np.zeros((len(centres), len(points)))
@@ -72,10 +81,10 @@ def moved(centres: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple[np
     return new, bool((np.abs(new - centres) > STILL * (1 + np.abs(centres))).any())
 
 
-def lloyd(points: np.ndarray, centres: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, float, bool]:
+def lloyd(points: np.ndarray, centres: np.ndarray, rounds: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, float, bool]:
     """(labels, centres, cost, whether it still moved) after Lloyd's rounds."""
     for _ in range(rounds):
-        labels, sums, counts, cost = measured(points, centres)
+        labels, sums, counts, cost = measured(points, centres, known)
         centres, going = moved(centres, sums, counts)
         if not going:
             break
@@ -84,7 +93,7 @@ def lloyd(points: np.ndarray, centres: np.ndarray, rounds: int) -> tuple[np.ndar
 
 def blocks(points: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """(playlist_id, part, parts, hashes, keys, data) of points(playlist_id, track_key, embedding): keys in the order of the data's rows."""
-    n = points.groupBy("playlist_id").agg(F.ceil(F.count("*") / rows).alias("parts"))
+    n = points.groupBy("playlist_id").agg(F.when(F.count("*") <= WHOLE_BLOCKS * rows, F.lit(1).cast("long")).otherwise(F.ceil(F.count("*") / rows)).alias("parts"))
     dealt = points.join(n, "playlist_id").withColumn("part", F.pmod(F.xxhash64(F.col("track_key").cast("string")), F.col("parts")))
     one = F.struct(F.xxhash64(F.col("track_key").cast("string"), F.lit("start")).alias("h"), "track_key", "embedding")
     held = dealt.groupBy("playlist_id", "part", "parts").agg(F.array_sort(F.collect_list(one)).alias("x"))
@@ -130,11 +139,12 @@ def _small(batches: Iterable[pa.RecordBatch], seeds: int, chunks: int, rounds: i
         for i in range(batch.num_rows):
             hashes = batch["hashes"][i].values.to_numpy().astype(np.int64).view(np.uint64)
             points, ks, out = _matrix(batch["data"][i], len(hashes)), batch["ks"][i].as_py(), {}
+            known = prepared(points)
             for seed in range(batch["chunk"][i].as_py(), seeds, chunks):
                 drawn_first, _ = first_drawn(points, hashes, seed, max(START_ROWS, START_EACH * ks[-1]))
                 starts = far_apart(drawn_first, min(ks[-1], len(points)))
                 for k in ks:
-                    labels, _, cost, going = lloyd(points, starts[:k], rounds)
+                    labels, _, cost, going = lloyd(points, starts[:k], rounds, known)
                     moving = out[k][2] + going if k in out else int(going)
                     out[k] = (cost, seed, moving, labels) if k not in out or cost < out[k][0] else (*out[k][:2], moving, out[k][3])
             rows = [(batch["playlist_id"][i].as_py(), k, seed, batch["part"][i].as_py(), cost, moving, labels.astype(np.int32)) for k, (cost, seed, moving, labels) in out.items()]
@@ -205,9 +215,10 @@ def _statistics(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             points = _matrix(batch["data"][i], len(batch["hashes"][i]))
+            known = prepared(points)
             for run in batch["runs"][i]:
                 centres = run["centres"].values.to_numpy().reshape(-1, points.shape[1])
-                _, sums, counts, cost = measured(points, centres)
+                _, sums, counts, cost = measured(points, centres, known)
                 key = (batch["playlist_id"][i].as_py(), run["k"].as_py(), run["seed"].as_py())
                 if key in total:
                     sums, counts, cost = sums + total[key][0], counts + total[key][1], cost + total[key][2]

@@ -113,3 +113,16 @@ def test_sampled_silhouette_of_a_large_group(spark):
     assert set(got) == {"large"} and got["large"] == pytest.approx(float(((b - a) / np.maximum(a, b)).mean()))
     whole = cluster.silhouette(points.where("playlist_id = 'large'"), ["playlist_id"]).first()["silhouette"]
     assert got["large"] != whole and got["large"] == pytest.approx(whole, abs=0.05)
+
+
+@pytest.mark.parametrize("block_rows", [40, 25])
+def test_playlists_of_some_blocks_run_whole_in_a_task(spark, rows, monkeypatch, block_rows):
+    """No round of passes over the table for them; larger ones take those rounds, to the same ends."""
+    points, ks = spark.createDataFrame(rows, POINTS), spark.createDataFrame([("p", 6), ("q", 4)], KS)
+    found = lambda: {(r["playlist_id"], r["track_key"], r["cluster"], round(r["inertia"], 6)) for r in kmeans.clustered(points, ks, seeds=3, block_rows=block_rows).collect()}
+    large, passes = kmeans._large, []
+    monkeypatch.setattr(kmeans, "_large", lambda *a: passes.append(1) or large(*a))
+    whole = found()
+    assert len(whole) == 230 and not passes
+    monkeypatch.setattr(kmeans, "WHOLE_BLOCKS", 1)
+    assert found() == whole and passes
