@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from chorale.functions import text
 from chorale.operators import matching
+from chorale.plans import songs
+from tests.conftest import DATA
 
 ROWS, RECORDINGS = "track_id string, title string, artists array<string>", "mbid string, ord int, title string, artist_credit array<string>, source_score int"
 
@@ -92,3 +94,19 @@ def test_blocks_are_bounded(spark):
 def test_fold(spark):
     for given in ["Beyoncé", "ＡＢＣ　１", "Straße", "ガギ", "أَهواك", "  A&B — c ", "!!!", "", None, "Ångström…"]:
         assert spark.range(1).select(text.fold(F.lit(given).cast("string")).alias("x")).first()["x"] == folded(given)
+
+
+def test_copies_and_common_grams_meet_once(spark, monkeypatch):
+    """Recordings of one title and credit are held once, and titles whose short grams are all common meet few others."""
+    seen = {}
+    monkeypatch.setattr(matching, "stored", lambda df, label, put=matching.stored: seen.setdefault(label, put(df, label)))
+    recordings = [(f"m{i}", i, f"large ring no {i % 300}", ["Brand"], i % 7) for i in range(1200)]
+    rows = [(f"t{i}", f"Large Ring No {i}", ["Brand"]) for i in range(100, 300)]
+    assert matched(spark, rows, recordings) == brute(rows, recordings, "search")
+    assert seen["recordings"].count() == 300
+    assert seen["rarest"].agg(F.max("n")).first()[0] <= 100
+
+
+def test_raw_tracks_are_dealt_to_all_cores(spark):
+    for made in (songs._raw(spark, DATA), songs._recordings(spark, DATA)):
+        assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
