@@ -82,11 +82,17 @@ def keeps_acoustic(name: Column) -> Column:
     return (name != "") & ~name.rlike("|".join(DROPPED_ACOUSTIC_PARTS)) & ~name.endswith("__probability")
 
 
+def kept_tags(items: Column) -> Column:
+    """array<struct<token, weight>> of a name/count column: canonical, kept tags with counts that aren't negative; a missing count is 1."""
+    named = F.filter(items, lambda x: squeeze(x["name"]) != "")
+    made = F.transform(named, lambda x: F.struct(token(x["name"]).alias("token"), F.coalesce(x["count"].try_cast("double"), F.lit(1.0)).alias("weight")))
+    known = F.transform(made, lambda x: F.struct(canonical_tag(x["token"]).alias("token"), x["weight"].alias("weight")))
+    return F.filter(known, lambda x: keeps_tag(x["token"]) & (x["weight"] >= 0))
+
+
 def exploded_tags(df: DataFrame, key: str, items: str) -> DataFrame:
-    """(key, token, weight) of a name/count column: canonical, kept tags with counts that aren't negative; a missing count is 1."""
-    each = df.select(key, F.explode(items).alias("x")).where(squeeze(F.col("x.name")) != "")
-    made = each.select(key, canonical_tag(token(F.col("x.name"))).alias("token"), F.coalesce(F.col("x.count").try_cast("double"), F.lit(1.0)).alias("weight"))
-    return made.where(keeps_tag(F.col("token")) & (F.col("weight") >= 0))
+    """(key, token, weight) of kept_tags()."""
+    return df.select(key, F.inline(kept_tags(F.col(items))))
 
 
 def numeric_leaves(df: DataFrame, key: str, json: str) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorale.functions.names import ITEM, canonical_tag, exploded_tags, keeps_acoustic, keeps_tag, numeric_leaves
+from chorale.functions.names import ITEM, canonical_tag, keeps_acoustic, keeps_tag, kept_tags, numeric_leaves
 from chorale.functions.text import token
+from chorale.session import stored
 
 
 @dataclass(frozen=True)
@@ -39,27 +40,36 @@ def song_features(songs: DataFrame, key: str = "track_id", w: Weights | None = N
     """(key, feature, value) of canonical records: seven meta features, tags, genres and acoustic measures.
 
     Counts enter as log1p, measures clipped to [-1, 1]; equal features of a record add up. `stats` are the
-    training's year statistics; without them those of the records are taken.
+    training's year statistics; without them those of the records are taken. A record makes all its features at once,
+    so that it is read once, and once for the statistics; measures are a part of their own.
     """
     w = w or Weights()
-    part = lambda d, prefix, value: d.select(key, F.concat(F.lit(prefix), "token").alias("feature"), value.alias("value"))
-    tags = exploded_tags(songs.select(key, F.col("brainz.tags").alias("t")), key, "t")
-    genres = exploded_tags(songs.select(key, F.concat(*(F.coalesce(c, F.array().cast("array<struct<name:string,count:double>>")) for c in ("brainz.genres", "spotify_artist_genres"))).alias("t")), key, "t")
-    leaves = numeric_leaves(songs.select(key, F.col("brainz.acoustic_high_level").alias("j")), key, "j").where(keeps_acoustic(F.col("path"))).withColumnRenamed("path", "token")
-    flag = lambda d, name: d.select(key, F.lit(f"meta__has_{name}").alias("feature"), F.lit(w.present).alias("value")).distinct()
-    year = songs.where("year is not null").join(F.broadcast(year_stats(songs) if stats is None else stats))  # one row
-    popular = songs.where("runtime_metadata.spotify_popularity is not null")
-    parts = [
-        part(tags, "tag__", F.log1p("weight") * w.tag), part(genres, "genre__", F.log1p("weight") * w.genre),
-        part(leaves, "acoustic__", F.greatest(F.least("value", F.lit(1.0)), F.lit(-1.0)) * w.acoustic),
-        flag(tags, "tags"), flag(genres, "genres"), flag(leaves, "acoustic_high_level"), flag(year, "year"), flag(popular, "popularity"),
-        year.select(key, F.lit("meta__year_z").alias("feature"), ((F.col("year") - F.col("year_mean")) / F.col("year_std") * w.year).alias("value")),
-        popular.select(key, F.lit("meta__popularity_scaled").alias("feature"), (F.col("runtime_metadata.spotify_popularity") / 100 * w.popularity).alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(key, "feature").agg(F.sum("value").alias("value"))
+    none = F.array().cast("array<struct<feature:string,value:double>>")
+    genres = F.concat(*(F.coalesce(c, F.array().cast(ITEM)) for c in ("brainz.genres", "spotify_artist_genres")))
+    made = songs.select(key, "year", F.col("runtime_metadata.spotify_popularity").alias("popular"), *(F.coalesce(kept_tags(c), F.array().cast("array<struct<token:string,weight:double>>")).alias(n) for n, c in (("tags", F.col("brainz.tags")), ("genres", genres))))
+    made = made.join(F.broadcast(year_stats(songs) if stats is None else stats))  # one row
+
+    def one(feature: str, value: Column) -> Column:
+        return F.array(F.struct(F.lit(feature).alias("feature"), value.cast("double").alias("value")))
+
+    def flag(name: str) -> Column:
+        return one(f"meta__has_{name}", F.lit(w.present))
+
+    def terms(c: str, prefix: str, weight: float) -> Column:
+        return F.transform(c, lambda x: F.struct(F.concat(F.lit(prefix), x["token"]).alias("feature"), (F.log1p(x["weight"]) * weight).alias("value")))
+
+    year = one("meta__year_z", (F.col("year") - F.col("year_mean")) / F.col("year_std") * w.year)
+    popular = one("meta__popularity_scaled", F.col("popular") / 100 * w.popularity)
+    each = F.concat(
+        terms("tags", "tag__", w.tag), terms("genres", "genre__", w.genre), F.when(F.size("tags") > 0, flag("tags")).otherwise(none), F.when(F.size("genres") > 0, flag("genres")).otherwise(none),
+        F.when(F.col("year").isNotNull(), F.concat(flag("year"), year)).otherwise(none), F.when(F.col("popular").isNotNull(), F.concat(flag("popularity"), popular)).otherwise(none),
+    )
+    measured = songs.where("brainz.acoustic_high_level is not null").select(key, F.col("brainz.acoustic_high_level").alias("j"))
+    leaves = numeric_leaves(measured, key, "j").where(keeps_acoustic(F.col("path")))
+    clipped = F.greatest(F.least("value", F.lit(1.0)), F.lit(-1.0)) * w.acoustic
+    leaf = F.concat(F.array(F.struct(F.concat(F.lit("acoustic__"), "path").alias("feature"), clipped.alias("value"))), flag("acoustic_high_level"))
+    out = made.select(key, F.inline(each)).unionByName(leaves.select(key, F.inline(leaf)))
+    return out.groupBy(key, "feature").agg(F.when(F.col("feature").startswith("meta__has_"), F.max("value")).otherwise(F.sum("value")).alias("value"))
 
 
 def browser_features(tracks: DataFrame, key: str, year_mean: float, year_std: float, w: Weights | None = None) -> DataFrame:
@@ -100,6 +110,7 @@ def fill_acoustic(features: DataFrame, keys: DataFrame, means: DataFrame, key: s
     """Records without any acoustic feature get the training means(feature, value) of all, which are as many as a vocabulary has at most."""
     if means.limit(MOST_MEANS + 1).count() > MOST_MEANS:
         raise ValueError(f"more than {MOST_MEANS} acoustic features")
+    features = stored(features, "features")
     have = features.where(F.col("feature").startswith("acoustic__")).select(key).distinct()
     lacking = keys.select(key).join(have, key, "left_anti")
     return features.unionByName(lacking.join(F.broadcast(means)).select(key, "feature", "value"))  # means: a vocabulary's rows
@@ -115,9 +126,9 @@ def legacy_features(tracks: DataFrame, key: str, numeric: list[str], classes: st
 
 
 def matrix_report(features: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    nonzero = features.where("value <> 0").agg(F.count_distinct(key).alias("nonzero_rows"))
-    columns = features.agg(F.count_distinct("feature").alias("columns"))
-    return rows.agg(F.count_distinct(key).alias("rows")).join(F.broadcast(nonzero)).join(F.broadcast(columns))  # one row each
+    """One row (rows, nonzero_rows, columns); the features are made once for both counts."""
+    told = features.agg(F.count_distinct(F.when(F.col("value") != 0, F.col(key))).alias("nonzero_rows"), F.count_distinct("feature").alias("columns"))
+    return rows.agg(F.count_distinct(key).alias("rows")).join(F.broadcast(told))  # one row each
 
 
 def scaler_stats(features: DataFrame, n: int) -> DataFrame:

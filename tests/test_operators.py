@@ -255,3 +255,30 @@ def test_silhouette_is_exact_for_many_rows(spark):
         mean = {k: sum(abs(x - y) * m for y, m in counts.items() if values[y] == k) / (n // 2 - (k == c)) for k in (0, 1)}
         want += counts[x] * (mean[1 - c] - mean[c]) / max(mean.values()) / n
     assert cluster.silhouette(points, ["playlist_id"]).first()["silhouette"] == pytest.approx(want, abs=1e-9)
+
+
+def _reads(df):
+    """How often its plan reads a table."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_features_are_made_once(spark, tmp_path):
+    """A record makes all its features in one read, another is for the years; reports and fills don't make them again."""
+    draws = [(str(i), 1990 + i % 9, i % 5) for i in range(40)]
+    raw = spark.createDataFrame(draws, "id string, year int, n int").withColumns({"title": F.lit("t"), "artists": F.array(F.lit("a")), "popularity": F.lit("50"), "tags": F.array(F.struct(F.concat(F.lit("tag "), "n").alias("name"), F.lit(2.0).alias("count")))})
+    raw.unionByName(raw.where("id = '0'")).write.parquet(str(tmp_path / "raw"))
+    songs = canonical.canonical(spark.read.parquet(str(tmp_path / "raw")), "d")[0]
+    made = features.song_features(songs)
+    assert _reads(made) <= 3
+    assert _reads(features.matrix_report(made, songs, "track_id")) <= 4
+    means = spark.createDataFrame([("acoustic__x", 0.5)], "feature string, value double")
+    filled = features.fill_acoustic(made, songs.select("track_id").distinct(), means)
+    assert _reads(filled) <= 3 and filled.count() == made.count() + 40
+    got = {(r["track_id"], r["feature"]): r["value"] for r in made.collect()}
+    assert [k for k, f in got if f == "tag__tag_0" and got[k, f] > 1.5] == ["spotify:0"]  # its rows' weights add up, its flags don't
+    assert {v for (_, f), v in got.items() if f.startswith("meta__has_")} == {0.1}
+
+
+def test_tags_are_kept_in_arrays(spark):
+    df = spark.sql("SELECT 1 k, array(named_struct('name', 'Rhythm & Blues', 'count', null), named_struct('name', ' ', 'count', 2.0), named_struct('name', 'x', 'count', -1.0), named_struct('name', 'Billboard Hot', 'count', 1.0), null) t UNION ALL SELECT 2, null")
+    assert [tuple(r) for r in names.exploded_tags(df, "k", "t").collect()] == [(1, "r_and_b", 1.0)]
