@@ -16,8 +16,9 @@ from chorale.operators import kmeans
 from chorale.operators.route import MIXED, cluster_names
 from chorale.session import stored
 
-#: Rows of a block, about, of which a silhouette measures two against each other in a task.
-BLOCK_ROWS = 2000
+#: Rows of a block, about, of which a silhouette measures two against each other in a task; blocks grow beyond it where a
+#: group would have more than MOST_BLOCKS, until they hold BLOCK_NUMBERS (32 MB; of coordinates, or of sums by cluster).
+BLOCK_ROWS, MOST_BLOCKS, BLOCK_NUMBERS = 2000, 6, 1 << 22
 # Limits of the penalties of a solution and of the split of a cluster.
 MIN_SPLIT, LARGE_SHARE, LOW_SIGNAL_SIZE, LOW_FEATURES, LOW_SCORE, CHILD_GAIN, MOST_OF_A_PART, LEAST_ADJUSTED = 24, 0.28, 18, 2, 0.35, 0.08, 0.78, 0.02
 
@@ -101,15 +102,14 @@ def merged_small(points: DataFrame, by: list[str], min_size: int) -> DataFrame:
 def silhouette(points: DataFrame, by: list[str]) -> DataFrame:
     """(by, silhouette): mean Euclidean silhouette of labelled points; a cluster of one scores 0, a group of one cluster null.
 
-    Exact for every size: blocks of a group's points meet blocks of its points, and each pair of blocks sends the sum of
-    distances for each (point, other cluster) on.
+    Exact for every size: each two blocks of a group's points meet once, and send the sums of distances for each (point,
+    cluster of the other block) on, both ways. A point is sent once for each block of its group.
     """
     points = points.select(*by, "track_key", "cluster", "embedding")
-    sizes = points.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("__blocks"))
-    dealt = points.join(sizes, by).withColumn("__block", F.pmod(F.xxhash64("track_key"), F.col("__blocks")))
+    dealt = points.join(_blocks(points, by), by).withColumn("__block", F.pmod(F.xxhash64("track_key"), F.col("__blocks")))
     own = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
-    asked = own.select(*by, F.col("__block").alias("__a"), F.col("__other").alias("__b"), "track_key", "cluster", "embedding")
-    met = own.select(F.col("__other").alias("__a"), F.col("__block").alias("__b"), *(F.col(c).alias(c) for c in points.columns))
+    asked = own.where("__block <= __other").select(*by, F.col("__block").alias("__a"), F.col("__other").alias("__b"), "track_key", "cluster", "embedding")
+    met = own.where("__other < __block").select(F.col("__other").alias("__a"), F.col("__block").alias("__b"), *(F.col(c).alias(c) for c in points.columns))
     key = [*by, "__a", "__b"]
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*by, "track_key", "cluster"]), f"__cluster {kinds['cluster']}", "total double", "n long"])
@@ -120,35 +120,63 @@ def silhouette(points: DataFrame, by: list[str]) -> DataFrame:
     return ab.groupBy(*by).agg(F.avg(F.when(F.col("b").isNotNull(), F.coalesce(s, F.lit(0.0)))).alias("silhouette"))
 
 
-def _distance_sums(by: list[str]):
-    """Of each point of the first block and each cluster of the second: the sum of distances to its points but the point itself, and their number."""
-
-    def sums(own: pa.Table, other: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("at", "to", "total", "n")}
-        if own.num_rows and other.num_rows:
-            mine, theirs = (t["embedding"].combine_chunks().flatten().to_numpy().astype(float).reshape(t.num_rows, -1) for t in (own, other))
-            number: dict = {}
-            keys, other_keys = (np.array([number.setdefault(k, len(number)) for k in t["track_key"].to_pylist()]) for t in (own, other))
-            first, label = np.unique(np.array(other["cluster"].to_pylist()), return_index=True, return_inverse=True)[1:]
-            member = (label[:, None] == np.arange(len(first))).astype(float)
-            square = (theirs * theirs).sum(1)
-            for k in range(0, len(mine), 256):
-                part, same = mine[k : k + 256], keys[k : k + 256, None] == other_keys[None, :]
-                d = np.sqrt(np.maximum((part * part).sum(1)[:, None] + square - 2 * part @ theirs.T, 0))
-                d[same] = 0
-                total, n = d @ member, (~same).astype(float) @ member
-                i, j = np.nonzero(n)
-                out["at"] += (i + k).tolist()
-                out["to"] += first[j].tolist()
-                out["total"] += total[i, j].tolist()
-                out["n"] += n[i, j].astype(int).tolist()
-        at, to = pa.array(out["at"], pa.int64()), pa.array(out["to"], pa.int64())
-        columns = {c: own[c].take(at) for c in [*by, "track_key", "cluster"]} | {"__cluster": other["cluster"].take(to)}
-        return pa.table(columns | {"total": pa.array(out["total"], pa.float64()), "n": pa.array(out["n"], pa.int64())})
+def _blocks(points: DataFrame, by: list[str]) -> DataFrame:
+    rows = BLOCK_NUMBERS / F.greatest(F.max(F.size("embedding")), F.count_distinct("cluster"), F.lit(1))
+    return points.groupBy(*by).agg(F.greatest(F.least(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(MOST_BLOCKS)), F.ceil(F.count("*") / rows)).cast("long").alias("__blocks"))
+
+
+def _distance_sums(by: list[str], tile: int = 1024):
+    """Of each point of one block and each cluster of the other, both ways: the sum of distances to its points but the point itself, and their number.
+
+    A block that meets itself comes alone. Equal keys are in one block.
+    """
+
+    def sums(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        alone = key[-2].as_py() == key[-1].as_py()
+        two = one if alone else two
+        a, b = _Block(one), _Block(two)
+        forth, back = np.zeros((len(a.at), len(b.first))), np.zeros((len(b.at), len(a.first)))
+        n_forth, n_back = np.tile(b.member.sum(0), (len(a.at), 1)), np.tile(a.member.sum(0), (len(b.at), 1))
+        keys = np.unique(one["track_key"].to_numpy(), return_inverse=True)[1] if alone else None
+        for i in range(0, len(a.at), tile):
+            x = a.at[i : i + tile]
+            for j in range(0, len(b.at), tile):
+                y = b.at[j : j + tile]
+                d = x @ y.T
+                d *= -2
+                d += a.square[i : i + tile, None]
+                d += b.square[j : j + tile]
+                np.sqrt(np.maximum(d, 0, out=d), out=d)
+                if alone:
+                    same = keys[i : i + tile, None] == keys[j : j + tile]
+                    if same.any():
+                        d[same] = 0
+                        n_forth[i : i + tile] -= same @ b.member[j : j + tile]
+                else:
+                    back[j : j + tile] += d.T @ a.member[i : i + tile]
+                forth[i : i + tile] += d @ b.member[j : j + tile]
+        out = [_told(one, two, b.first, forth, n_forth, by)]
+        return pa.concat_tables(out if alone else [*out, _told(two, one, a.first, back, n_back, by)])
 
     return sums
 
 
+class _Block:
+    """Coordinates, their squares, and which cluster each row is of; `first` has a row of each cluster."""
+
+    def __init__(self, t: pa.Table):
+        self.at = t["embedding"].combine_chunks().flatten().to_numpy().astype(float, copy=False).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 0))
+        self.square = (self.at * self.at).sum(1)
+        self.first, label = np.unique(t["cluster"].to_numpy(), return_index=True, return_inverse=True)[1:]
+        self.member = (label[:, None] == np.arange(len(self.first))).astype(float)
+
+
+def _told(own: pa.Table, other: pa.Table, first: np.ndarray, total: np.ndarray, n: np.ndarray, by: list[str]) -> pa.Table:
+    i, j = np.nonzero(n)
+    columns = {c: own[c].take(pa.array(i)) for c in [*by, "track_key", "cluster"]} | {"__cluster": other["cluster"].take(pa.array(first[j], pa.int64()))}
+    return pa.table(columns | {"total": pa.array(total[i, j]), "n": pa.array(n[i, j].astype(int))})
+
+
 def adjusted_score(silhouettes: DataFrame, points: DataFrame, by: list[str], min_size: int) -> DataFrame:
     """(by, silhouette, adjusted, largest, second, small_clusters, small_items, meaningful) of labelled points."""
     sizes = points.groupBy(*by, "cluster").agg(F.count("*").alias("size")).groupBy(*by).agg(F.sort_array(F.collect_list("size"), asc=False).alias("sizes"), F.sum("size").alias("n"))

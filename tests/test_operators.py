@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,6 +258,34 @@ def test_silhouette_is_exact_for_many_rows(spark):
     assert cluster.silhouette(points, ["playlist_id"]).first()["silhouette"] == pytest.approx(want, abs=1e-9)
 
 
+def test_silhouette_sends_a_point_once_a_block(spark, monkeypatch):
+    """Larger groups have larger blocks, and what they send stays in proportion; keys that a group repeats are one point."""
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 20)
+    draw = np.random.default_rng(5)
+    e, labels, keys = draw.normal(size=(2400, 3)), draw.integers(0, 4, 2400), np.arange(2400) // 2 * 2
+    rows = [("p", f"k{k}", int(c), [float(v) for v in x]) for k, c, x in zip(keys, labels, e, strict=True)]
+    points = spark.createDataFrame(rows, "playlist_id string, track_key string, cluster int, embedding array<double>")
+    apart, other = np.sqrt(((e[:, None] - e[None]) ** 2).sum(2)), keys[:, None] != keys[None]
+    sums, counts = (np.stack([(m * other)[:, labels == c].sum(1) for c in range(4)], 1) for m in (apart, np.ones_like(apart)))
+    own = {}
+    for k, c, s, n in zip(keys, labels, sums, counts, strict=True):
+        for to in range(4):
+            old = own.setdefault((k, c, to), [0.0, 0])
+            own[k, c, to] = [old[0] + s[to], old[1] + n[to]]
+    mean = {k: s / n for k, (s, n) in own.items()}
+    a, b = {}, {}
+    for (k, c, to), m in mean.items():
+        if c == to:
+            a[k] = max(a.get(k, 0), m)
+        else:
+            b[k] = min(b.get(k, np.inf), m)
+    want = float(np.mean([(b[k] - a[k]) / max(a[k], b[k]) for k in a]))
+    for numbers, blocks in ((cluster.BLOCK_NUMBERS, 6), (4 * 200, 12)):  # a block of 200 rows at most in the second
+        monkeypatch.setattr(cluster, "BLOCK_NUMBERS", numbers)
+        assert cluster._blocks(points, ["playlist_id"]).first()["__blocks"] == blocks
+        assert cluster.silhouette(points, ["playlist_id"]).first()["silhouette"] == pytest.approx(want, abs=1e-9)
+
+
 def _reads(df):
     """How often its plan reads a table."""
     return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
