@@ -42,10 +42,16 @@ def lookup_keys(source_id: Column, code: Column, mbid: Column, alias: Column) ->
     return F.array_compact(F.array(*made))
 
 
-def priority_lookup(rows: DataFrame, row_key: str, keys: str, lookup: DataFrame) -> DataFrame:
-    """(row_key, match_type, payload): the payload of the strongest key in lookup(key_type, key, payload); rows without one are left out."""
+def priority_lookup(rows: DataFrame, row_key: str, keys: str, lookup: DataFrame, parts: int | None = None) -> DataFrame:
+    """(row_key, match_type, payload): the payload of the strongest key in lookup(key_type, key, payload); rows without one are left out.
+
+    The lookup is what a task holds of the join, not the rows. parts: partitions in which rows meet again, if Spark's
+    number of them would leave too many rows to a task.
+    """
     each = rows.select(row_key, F.explode(keys).alias("k")).select(row_key, "k.*")
-    return each.join(lookup, ["key_type", "key"]).groupBy(row_key).agg(F.min_by("key_type", "prio").alias("match_type"), F.min_by("payload", "prio").alias("payload"))
+    found = each.join(lookup.hint("shuffle_hash"), ["key_type", "key"])
+    found = found if parts is None else found.repartition(parts, row_key)
+    return found.groupBy(row_key).agg(F.min_by("key_type", "prio").alias("match_type"), F.min_by("payload", "prio").alias("payload"))
 
 
 def empty(c: Column, kind: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chorale.functions import names, text
 from chorale.operators import audio, canonical, cluster, enrich, features, matching, quality, route, serve, usage
+from chorale.plans import catalogue
 from chorale.sources import records
 from chorale.streaming import usage as streams
 
@@ -311,3 +312,14 @@ def test_features_are_made_once(spark, tmp_path):
 def test_tags_are_kept_in_arrays(spark):
     df = spark.sql("SELECT 1 k, array(named_struct('name', 'Rhythm & Blues', 'count', null), named_struct('name', ' ', 'count', 2.0), named_struct('name', 'x', 'count', -1.0), named_struct('name', 'Billboard Hot', 'count', 1.0), null) t UNION ALL SELECT 2, null")
     assert [tuple(r) for r in names.exploded_tags(df, "k", "t").collect()] == [(1, "r_and_b", 1.0)]
+
+
+def test_lookup_tasks_do_not_grow_with_the_table(spark):
+    """Rows meet again in as many partitions as they fill, and the join sorts none of them."""
+    assert catalogue.parts_of(spark, 10 * catalogue.TASK_ROWS * 100) == 1000 and catalogue.parts_of(spark, 0) >= spark.sparkContext.defaultParallelism
+    rows = spark.range(50).select("id", F.array(F.struct(F.lit("a").alias("key_type"), F.lit(0).alias("prio"), F.col("id").alias("key")), F.struct(F.lit("b").alias("key_type"), F.lit(1).alias("prio"), (F.col("id") % 5).alias("key"))).alias("keys"))
+    lookup = spark.range(10).select(F.lit("a").alias("key_type"), F.col("id").alias("key"), F.lit("A").alias("payload")).unionByName(spark.range(4).select(F.lit("b").alias("key_type"), F.col("id").alias("key"), F.lit("B").alias("payload")))
+    found = enrich.priority_lookup(rows, "id", "keys", lookup, 7)
+    assert {r["id"]: (r["match_type"], r["payload"]) for r in found.collect()} == {i: ("a", "A") if i < 10 else ("b", "B") for i in range(50) if i < 10 or i % 5 < 4}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan and ", 7)" in plan
