@@ -146,8 +146,10 @@ def by_isrc(rows: DataFrame, recordings: DataFrame, code: str = "isrc") -> DataF
 
 def assembled_genres(tracks: DataFrame, artists: DataFrame) -> DataFrame:
     """(track_id, genres): genres of the track's artists in the artists' and their own order, each once; tracks without any are left out."""
-    each = tracks.select("track_id", F.posexplode("artist_ids").alias("ap", "artist_id")).join(artists.select("artist_id", F.posexplode("genres").alias("gp", "genre")), "artist_id")
-    first = each.groupBy("track_id", "genre").agg(F.min(F.struct("ap", "gp")).alias("at"))
+    met = tracks.select("track_id", F.posexplode("artist_ids").alias("ap", "artist_id")).join(artists.select("artist_id", "genres"), "artist_id")
+    each = met.select("track_id", "ap", F.posexplode("genres").alias("gp", "genre"))
+    place = F.shiftleft(F.col("ap").cast("long"), 32).bitwiseOR(F.col("gp").cast("long"))  # one number, so that minima are kept by hash and not sorted
+    first = each.groupBy("track_id", "genre").agg(F.min(place).alias("at"))
     return first.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "genre"))), lambda x: x["genre"]).alias("genres"))
 
 

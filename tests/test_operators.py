@@ -323,3 +323,13 @@ def test_lookup_tasks_do_not_grow_with_the_table(spark):
     assert {r["id"]: (r["match_type"], r["payload"]) for r in found.collect()} == {i: ("a", "A") if i < 10 else ("b", "B") for i in range(50) if i < 10 or i % 5 < 4}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan and ", 7)" in plan
+
+
+def test_genres_are_not_sorted_by_track(spark):
+    """Artists bring their genres as lists to the join, and the first places of genres are kept by hash."""
+    tracks = spark.createDataFrame([("t", ["a", "b", None]), ("u", ["c"])], "track_id string, artist_ids array<string>")
+    artists = spark.createDataFrame([("a", ["rock", None, "pop"]), ("b", ["pop", "rock", "folk"]), ("c", None)], "artist_id string, genres array<string>")
+    made = enrich.assembled_genres(tracks, artists)
+    assert [tuple(r) for r in made.collect()] == [("t", ["rock", None, "pop", "folk"])]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode(genres") < plan.index("Join") and "SortAggregate" not in made._jdf.queryExecution().executedPlan().toString()
