@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from json import loads as parse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,36 +108,54 @@ def numeric_leaves(df: DataFrame, key: str, json: str) -> DataFrame:
 
     def walked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, paths, values = [], [], []
+            ends, paths, values, done = [], [], [], 0
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for path, value in leaves(text):
-                    at.append(i)
-                    paths.append(path)
-                    values.append(value)
-                if len(at) >= LEAVES or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.float64())], names=schema.names)
-                    at, paths, values = [], [], []
+                add_leaves(text, paths, values)
+                ends.append(len(values))
+                if len(values) >= LEAVES or i == batch.num_rows - 1:
+                    at = np.repeat(np.arange(done, i + 1), np.diff(ends, prepend=0))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(paths, pa.string()), pa.array(values, pa.float64())], names=schema.names)
+                    ends, paths, values, done = [], [], [], i + 1
 
     return held.mapInArrow(walked, schema)
 
 
-def leaves(text: str | None) -> Iterator[tuple[str, float]]:
-    """(path, value) of the numbers in one JSON text."""
+def add_leaves(text: str | None, paths: list[str], values: list[float]) -> None:
+    """Paths and values of the numbers in one JSON text, added to both lists."""
     try:
         open_ = [("", parse(text))] if text else []
     except (ValueError, RecursionError):
         return
     while open_:
         path, node = open_.pop()
-        parts = ((p, v) for k, v in node.items() if (p := _part(k)) is not None) if isinstance(node, dict) else ((str(i), v) for i, v in enumerate(node)) if isinstance(node, list) else ()
-        for part, v in parts:
-            name = f"{path}__{part}" if path else part
-            if isinstance(v, (dict, list)):
+        if isinstance(node, dict):
+            named = node.items()
+        elif isinstance(node, list):
+            named = enumerate(node)
+        else:
+            continue
+        for key, v in named:
+            kind = type(v)
+            if kind is str or kind is bool or v is None:
+                continue
+            name = _name(path, key) if type(key) is str else f"{path}__{key}" if path else str(key)
+            if name is None:
+                continue
+            if kind is float:
+                paths.append(name)
+                values.append(v)
+            elif kind is int:
+                paths.append(name)
+                values.append(float(v) if v.bit_length() < 1024 else math.inf if v > 0 else -math.inf)
+            else:
                 open_.append((name, v))
-            elif isinstance(v, float) or isinstance(v, int) and not isinstance(v, bool) and v.bit_length() < 1024:
-                yield name, float(v)
-            elif isinstance(v, int) and not isinstance(v, bool):
-                yield name, math.inf if v > 0 else -math.inf
+
+
+@lru_cache(maxsize=1 << 16)
+def _name(path: str, key: str) -> str | None:
+    """The path of an object's key; None for one to skip."""
+    part = _part(key)
+    return part if part is None or not path else f"{path}__{part}"
 
 
 @lru_cache(maxsize=1 << 16)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from chorale.functions import names, text
 from chorale.operators import audio, canonical, cluster, enrich, features, matching, quality, route, serve, usage
-from chorale.plans import catalogue
+from chorale.plans import catalogue, songs
 from chorale.sources import records
 from chorale.streaming import usage as streams
+from tests.conftest import DATA
 
 
 def one(spark, expr):
@@ -333,3 +334,27 @@ def test_genres_are_not_sorted_by_track(spark):
     assert [tuple(r) for r in made.collect()] == [("t", ["rock", None, "pop", "folk"])]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("posexplode(genres") < plan.index("Join") and "SortAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numeric_leaves_of_large_batches(spark, monkeypatch):
+    """Rows without leaves between others, whole batches cut short by many leaves, and texts that aren't objects keep their keys."""
+    monkeypatch.setattr(names, "LEAVES", 5)
+    texts = ['{"a": 1, "b": {"c d": [1, true, "x", {"e": 2.5}]}}', None, "not json", "3", '[4, {"version": 5, "!": {"x": 6}}]', '{"big": 1' + "0" * 400 + "}", "{}"]
+    want = [[("a", 1.0), ("b__c_d__0", 1.0), ("b__c_d__3__e", 2.5)], [], [], [], [("0", 4.0), ("1____x", 6.0)], [("big", float("inf"))], []]
+    got = []
+    for text in texts:
+        paths, values = [], []
+        names.add_leaves(text, paths, values)
+        got.append(sorted(zip(paths, values, strict=True)))
+    assert got == want
+    df = spark.createDataFrame([(i, texts[i % 7]) for i in range(70)], "k int, j string").coalesce(1)
+    found = {}
+    for r in names.numeric_leaves(df, "k", "j").collect():
+        found.setdefault(r["k"], []).append((r["path"], r["value"]))
+    assert {k: sorted(v) for k, v in found.items()} == {i: want[i % 7] for i in range(70) if want[i % 7]}
+
+
+def test_lines_are_dealt_by_key(spark):
+    """Dealing rows round robin would sort each partition first."""
+    plan = songs.json_numeric_leaves(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in plan
