@@ -1,13 +1,14 @@
 """k-means of many playlists at once, over blocks of their points.
 
-Points are dealt to blocks of some thousand rows, each a matrix. All runs of a playlist (every k and restart) go to its blocks as
-matrices of centres, and only sums, counts and costs come back: nothing is sent for a point. A playlist of up to WHOLE_BLOCKS
-blocks is one block and runs to its end inside a task, its restarts side by side; of a larger one, each round is one pass
-over its blocks, with the same steps.
+Points are dealt to blocks of some thousand rows, each a matrix. The runs of a playlist (every k and restart) are dealt to tasks,
+more of them the more points it has. A task takes the playlist's blocks once and brings its runs to their end with nothing sent
+between the rounds: one matrix product measures all of its runs, and only points that changed their centre move the
+sums. A playlist of up to WHOLE_BLOCKS blocks is one block; of a larger one the best centres then meet its blocks for the labels.
 """
 
 from __future__ import annotations
 
+import tempfile
 import warnings
 from collections.abc import Iterable, Iterator
 
@@ -27,6 +28,12 @@ WHOLE_BLOCKS = 32
 START_ROWS, START_EACH = 64, 4
 #: A run has ended when no centre moves by more than this part of its size.
 STILL = 1e-9
+#: Distances that a task measures at once, so that they stay in the processor's cache.
+TILE_NUMBERS = 1 << 17
+#: Numbers of a large playlist that a task holds in memory (512 MB); further blocks stand in a file of its own.
+HELD_NUMBERS = 1 << 26
+#: Playlists of one block up to which each has partitions of its own.
+FEW_LISTS = 1000
 _RUN = "playlist_id string, k int, seed int"
 
 
@@ -55,6 +62,20 @@ def squared(points: np.ndarray, centres: np.ndarray, known: tuple[np.ndarray, np
     return np.maximum(lengths[:, None] - twice @ centres.T + (centres**2).sum(1)[None, :], 0)
 
 
+def copies(centres: np.ndarray) -> np.ndarray:
+    """The centres that equal an earlier one: none is nearest, however the products round."""
+    if len(np.unique(centres[:, 0])) == len(centres):
+        return np.zeros(0, int)
+    return np.setdiff1d(np.arange(len(centres)), np.unique(centres, axis=0, return_index=True)[1])
+
+
+def labelled(points: np.ndarray, centres: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, squared distances from all centres); ties go to the lower number."""
+    apart = squared(points, centres, known)
+    apart[:, copies(centres)] = np.inf
+    return apart.argmin(1), apart
+
+
 def far_apart(sample: np.ndarray, k: int) -> np.ndarray:
     """The first point of the sample, and then k - 1 times the one farthest from those picked."""
     picked = [0]
@@ -67,8 +88,7 @@ def far_apart(sample: np.ndarray, k: int) -> np.ndarray:
 
 def measured(points: np.ndarray, centres: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(labels, sums, counts, cost) of the points under these centres; ties go to the lower number."""
-    apart = squared(points, centres, known)
-    labels = apart.argmin(1)
+    labels, apart = labelled(points, centres, known)
     counts = np.bincount(labels, minlength=len(centres))
     member = np.zeros((len(centres), len(points)))
     member[labels, np.arange(len(points))] = 1
@@ -81,14 +101,103 @@ def moved(centres: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple[np
     return new, bool((np.abs(new - centres) > STILL * (1 + np.abs(centres))).any())
 
 
-def lloyd(points: np.ndarray, centres: np.ndarray, rounds: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, float, bool]:
-    """(labels, centres, cost, whether it still moved) after Lloyd's rounds."""
-    for _ in range(rounds):
-        labels, sums, counts, cost = measured(points, centres, known)
-        centres, going = moved(centres, sums, counts)
-        if not going:
+class _Held:
+    """Blocks of a playlist's points, with a column of ones; walked in the blocks' order in tiles of so many rows."""
+
+    def __init__(self):
+        self.blocks, self.numbers, self.points, self.file = [], 0, 0, None
+
+    def add(self, points: np.ndarray, part: int) -> None:
+        block = np.ones((len(points), points.shape[1] + 1))
+        block[:, :-1] = points
+        self.numbers, self.points = self.numbers + block.size, self.points + len(points)
+        if self.numbers > HELD_NUMBERS:
+            self.file = self.file or tempfile.TemporaryFile()  # noqa: SIM115
+            self.blocks.append((part, self.file.seek(0, 2), block.shape))
+            self.file.write(block.data)
+        else:
+            self.blocks.append((part, block, block.shape))
+        self.blocks.sort(key=lambda x: x[0])
+
+    def tiles(self, rows: int) -> Iterator[tuple[int, np.ndarray]]:
+        start = 0
+        for _, block, shape in self.blocks:
+            if isinstance(block, int):
+                self.file.seek(block)
+                block = np.frombuffer(self.file.read(8 * shape[0] * shape[1])).reshape(shape)
+            for i in range(0, len(block), rows):
+                yield start + i, block[i : i + rows]
+            start += len(block)
+
+
+def lloyd(held: _Held, starts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, list[tuple[np.ndarray, float, bool]]]:
+    """Lloyd's rounds of runs side by side: (their rows of labels, (centres, cost, whether it still moved) of each).
+
+    Sums are carried on by the points that changed their centre. Before a run ends all its points are measured anew, with ties
+    to the lower number; it goes on if its centres move by that.
+    """
+    sizes = np.array([len(c) for c in starts])
+    labels = np.zeros((len(starts), held.points), np.uint8 if sizes.max() <= 256 else np.int32)
+    centres, sums, out, live = list(starts), [np.zeros((k, starts[0].shape[1] + 1)) for k in sizes], [None] * len(starts), list(range(len(starts)))
+    for r in range(rounds):
+        change = _changes(held, [centres[i] for i in live], labels, live, first=r == 0)
+        new, ended = {}, []
+        for i, c in zip(live, change, strict=True):
+            sums[i] += c
+            new[i], going = moved(centres[i], sums[i][:, :-1], sums[i][:, -1])
+            if not going or r == rounds - 1:
+                ended.append(i)
+        for i, (full, cost) in _measured_all(held, centres, labels, ended).items():
+            sums[i] = full
+            new[i], going = moved(centres[i], full[:, :-1], full[:, -1])
+            if not going or r == rounds - 1:
+                out[i] = (centres[i], cost, going)
+        live = [i for i in live if out[i] is None]
+        if not live:
             break
-    return labels, centres, cost, going
+        centres = [new.get(i, c) for i, c in enumerate(centres)]
+    return labels, out
+
+
+def _changes(held: _Held, centres: list[np.ndarray], labels: np.ndarray, live: list[int], first: bool) -> list[np.ndarray]:
+    """What each run's sums and counts change by under these centres; labels take the nearer centres."""
+    every = np.concatenate(centres)
+    halves = np.hstack([-every, (every**2).sum(1, keepdims=True) / 2])
+    ends = np.cumsum([len(c) for c in centres])
+    begins, owner = ends - [len(c) for c in centres], np.repeat(np.arange(len(centres)), [len(c) for c in centres])
+    change, never = np.zeros(halves.shape), np.concatenate([a + copies(c) for a, c in zip(begins, centres, strict=True)])
+    for at, x in held.tiles(max(256, TILE_NUMBERS // len(every))):
+        near, n = halves @ x.T, len(x)  # half of what a squared distance has beyond the point's own square
+        near[never] = np.inf
+        if first:
+            own = np.stack([near[a:b].argmin(0) for a, b in zip(begins, ends, strict=True)])
+            labels[live, at : at + n] = own
+            member = np.zeros(near.shape)
+            member[own + begins[:, None], np.arange(n)] = 1
+            change += member @ x
+            continue
+        least = np.stack([near[a:b].min(0) for a, b in zip(begins, ends, strict=True)])
+        was = labels[live, at : at + n] + begins[:, None]
+        run, i = np.nonzero(near.take(was * n + np.arange(n)) > least)
+        if len(run):
+            to, left = np.where(owner[:, None] == run, near[:, i], np.inf).argmin(0), was[run, i]
+            labels[np.array(live)[run], at + i] = to - begins[run]
+            member, each = np.zeros((len(every), len(run))), np.arange(len(run))
+            member[to, each], member[left, each] = 1, -1
+            change += member @ x[i]
+    return np.split(change, ends[:-1])
+
+
+def _measured_all(held: _Held, centres: list[np.ndarray], labels: np.ndarray, runs: list[int]) -> dict[int, tuple[np.ndarray, float]]:
+    """Sums with counts, and the cost, of some runs under their centres, of all points; labels are set."""
+    out = {i: (np.zeros((len(centres[i]), centres[i].shape[1] + 1)), 0.0) for i in runs}
+    for at, x in held.tiles(BLOCK_ROWS) if runs else ():
+        known = prepared(x[:, :-1])
+        for i in runs:
+            own, sums, counts, cost = measured(x[:, :-1], centres[i], known)
+            labels[i, at : at + len(x)] = own
+            out[i] = (out[i][0] + np.hstack([sums, counts[:, None]]), out[i][1] + cost)
+    return out
 
 
 def blocks(points: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -119,11 +228,10 @@ def clustered(points: DataFrame, ks: DataFrame, seeds: int = 20, rounds: int = 3
     held = stored(held.join(asked.select(F.col("playlist_id").cast("string").alias("playlist_id"), "ks"), "playlist_id"), "blocks")
     small, large = held.where("parts = 1"), held.where("parts > 1")
     lists, many = held.agg(F.count_if(F.col("parts") == 1), F.count_if(F.col("parts") > 1)).first()
-    chunks = max(1, min(seeds, -(-2 * spark.sparkContext.defaultParallelism // max(1, lists))))  # few playlists: their restarts run side by side
-    some = small.select("playlist_id", "part", "hashes", "data", "ks", F.explode(F.array(*(F.lit(c) for c in range(chunks)))).alias("chunk")).repartition("playlist_id", "chunk")
-    found = stored(some.mapInArrow(lambda batches: _small(batches, seeds, chunks, rounds), f"{_RUN}, part long, inertia double, moving int, labels array<int>"), "runs")
-    if many:
-        found = found.unionByName(_large(large, seeds, rounds))
+    found = _large(large, seeds, rounds) if many else None
+    if lists or not many:
+        few = stored(_dealt(small, seeds).mapInArrow(lambda batches: _small(batches, seeds, rounds), f"{_RUN}, part long, inertia double, moving int, labels array<int>"), "runs")
+        found = few.unionByName(found) if many else few
     still = found.agg(F.sum("moving")).first()[0]
     if still:
         warnings.warn(f"k-means: {still} restarts still moved after {rounds} rounds", stacklevel=2)
@@ -133,51 +241,94 @@ def clustered(points: DataFrame, ks: DataFrame, seeds: int = 20, rounds: int = 3
     return each.select("playlist_id", "k", F.col("x.keys").alias("track_key"), F.col("x.labels").alias("cluster"), "seed", "inertia")
 
 
-def _small(batches: Iterable[pa.RecordBatch], seeds: int, chunks: int, rounds: int) -> Iterator[pa.RecordBatch]:
-    """All runs of playlists of one block; of each k the best restart of the chunk alone."""
+def _dealt(held: DataFrame, seeds: int) -> DataFrame:
+    """Each block for every chunk of its playlist's runs: the more chunks the greater its share of all points, two a core in all.
+
+    A chunk has a partition of its own, the largest first, unless there are thousands of playlists of one block.
+    """
+    spark = held.sparkSession
+    sizes = held.groupBy("playlist_id").agg(F.sum(F.size("hashes")).alias("n"), F.first(F.size("ks")).alias("tried"), F.first("parts").alias("parts"))
+    lists, total, parts = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("parts"), F.lit(1))).first()
+    share = F.ceil(2 * spark.sparkContext.defaultParallelism * F.col("n") / F.lit(max(1, total)))
+    sizes = sizes.withColumn("chunks", F.least(F.col("tried") * seeds, share).cast("int"))
+    if not lists or (lists > FEW_LISTS and parts == 1):
+        each = held.join(sizes.select("playlist_id", "chunks"), "playlist_id").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        return each.repartition("playlist_id", "chunk")
+    told = sizes.orderBy(F.desc("n"), "playlist_id").collect()
+    places = [(r["playlist_id"], c, r["chunks"]) for r in told for c in range(r["chunks"])]
+    at = spark.createDataFrame([(*p, i) for i, p in enumerate(places)], "playlist_id string, chunk int, chunks int, place int")
+    return held.join(F.broadcast(at), "playlist_id").repartitionById(len(places), F.col("place"))
+
+
+def _runs(ks: list[int], seeds: int, chunk: int, chunks: int) -> list[tuple[int, int]]:
+    """(k, seed) of the chunk's runs: each has about as many of every k."""
+    return [(k, seed) for k in reversed(ks) for seed in range(seeds)][chunk::chunks]
+
+
+def _draw(drawn_: dict[int, tuple | None], points: np.ndarray, hashes: np.ndarray, n: int) -> None:
+    """Adds a block to what each restart draws first."""
+    for seed, had in drawn_.items():
+        some = first_drawn(points, hashes, seed, n)
+        drawn_[seed] = some if had is None else first_drawn(*(np.concatenate(x) for x in zip(had, some, strict=True)), seed, n)
+
+
+def _best(held: _Held, drawn_: dict[int, tuple], runs: list[tuple[int, int]], most: int, rounds: int) -> list[tuple]:
+    """(k, seed, centres, inertia, restarts that still moved, labels) of the best run of each k, from what the restarts drew."""
+    far = {seed: far_apart(points, min(most, len(points))) for seed, (points, _) in drawn_.items()}
+    labels, ended = lloyd(held, [far[seed][:k] for k, seed in runs], rounds)
+    out = {}
+    for (k, seed), own, (centres, cost, going) in zip(runs, labels, ended, strict=True):
+        moving = out[k][4] + going if k in out else int(going)
+        out[k] = (k, seed, centres, cost, moving, own) if k not in out or (cost, seed) < (out[k][3], out[k][1]) else (*out[k][:4], moving, out[k][5])
+    return list(out.values())
+
+
+def _small(batches: Iterable[pa.RecordBatch], seeds: int, rounds: int) -> Iterator[pa.RecordBatch]:
+    """The chunk's runs of playlists of one block; of each k the best of them alone."""
+    kinds = {"playlist_id": pa.string(), "k": pa.int32(), "seed": pa.int32(), "part": pa.int64(), "inertia": pa.float64(), "moving": pa.int32(), "labels": pa.list_(pa.int32())}
+    for name, part, held, drawn_, runs, most in _blocks_met(batches, seeds):
+        yield _batch([(name, k, seed, part, cost, moving, own.astype(np.int32)) for k, seed, _, cost, moving, own in _best(held, drawn_, runs, most, rounds)], kinds)
+
+
+def _blocks_met(batches: Iterable[pa.RecordBatch], seeds: int, one: bool = False) -> Iterator[tuple]:
+    """(playlist, part, block, what the chunk's restarts draw first, its runs, the greatest k) of each block; one: all of them are one playlist's."""
+    told = None
     for batch in batches:
         for i in range(batch.num_rows):
-            hashes = batch["hashes"][i].values.to_numpy().astype(np.int64).view(np.uint64)
-            points, ks, out = _matrix(batch["data"][i], len(hashes)), batch["ks"][i].as_py(), {}
-            known = prepared(points)
-            for seed in range(batch["chunk"][i].as_py(), seeds, chunks):
-                drawn_first, _ = first_drawn(points, hashes, seed, max(START_ROWS, START_EACH * ks[-1]))
-                starts = far_apart(drawn_first, min(ks[-1], len(points)))
-                for k in ks:
-                    labels, _, cost, going = lloyd(points, starts[:k], rounds, known)
-                    moving = out[k][2] + going if k in out else int(going)
-                    out[k] = (cost, seed, moving, labels) if k not in out or cost < out[k][0] else (*out[k][:2], moving, out[k][3])
-            rows = [(batch["playlist_id"][i].as_py(), k, seed, batch["part"][i].as_py(), cost, moving, labels.astype(np.int32)) for k, (cost, seed, moving, labels) in out.items()]
-            yield _runs(rows)
-
-
-def _runs(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"playlist_id": pa.string(), "k": pa.int32(), "seed": pa.int32(), "part": pa.int64(), "inertia": pa.float64(), "moving": pa.int32(), "labels": pa.list_(pa.int32())}
+            hashes, ks = batch["hashes"][i].values.to_numpy().astype(np.int64).view(np.uint64), batch["ks"][i].as_py()
+            if told is None or not one:
+                runs = _runs(ks, seeds, batch["chunk"][i].as_py(), batch["chunks"][i].as_py())
+                told = (batch["playlist_id"][i].as_py(), batch["part"][i].as_py(), _Held(), dict.fromkeys(seed for _, seed in runs), runs, ks[-1])
+            points = _matrix(batch["data"][i], len(hashes))
+            told[2].add(points, batch["part"][i].as_py())
+            _draw(told[3], points, hashes, max(START_ROWS, START_EACH * ks[-1]))
+            if not one:
+                yield told
+    if one and told:
+        yield told
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
 def _large(held: DataFrame, seeds: int, rounds: int) -> DataFrame:
-    """The same for playlists of many blocks: a pass over them for the starts, one for each round, one for the labels."""
-    starts = held.mapInArrow(lambda batches: _drawn_first(batches, seeds), "playlist_id string, seed int, ks array<int>, hashes array<long>, data array<double>")
-    centres = stored(starts.groupBy("playlist_id", "seed").applyInPandas(_start, f"{_RUN}, centres array<double>"), "centres")
-    ended, live = None, centres.withColumn("inertia", F.lit(None).cast("double")).withColumn("going", F.lit(True))
-    for _ in range(rounds):
-        parts = _with_centres(held, live).mapInArrow(_statistics, f"{_RUN}, n int, sums array<double>, counts array<long>, cost double")
-        sums = parts.groupBy("playlist_id", "k", "seed").applyInPandas(_total, f"{_RUN}, sums array<double>, counts array<long>, cost double")
-        live = stored(live.drop("inertia", "going").join(sums, ["playlist_id", "k", "seed"]).groupBy("playlist_id", "k", "seed").applyInPandas(_next, f"{_RUN}, centres array<double>, inertia double, going boolean"), "centres")
-        over = live.where("not going")
-        ended = over if ended is None else ended.unionByName(over)
-        live = live.where("going")
-        if not live.limit(1).count():
-            break
-    every = ended.unionByName(live)
-    best = every.groupBy("playlist_id", "k").agg(F.min_by(F.struct("seed", "centres", "inertia"), F.struct("inertia", "seed")).alias("x"), F.sum(F.col("going").cast("int")).alias("moving"))
-    best = stored(best.select("playlist_id", "k", "x.*", F.col("moving").cast("int").alias("moving")), "best")
+    """The same for playlists of many blocks: tasks send the centres of their best runs, and those of the best of all meet the blocks for the labels."""
+    runs = _dealt(held, seeds).mapInArrow(lambda batches: _whole(batches, seeds, rounds), f"{_RUN}, centres array<double>, inertia double, moving int")
+    best = runs.groupBy("playlist_id", "k").agg(F.min_by(F.struct("seed", "centres", "inertia"), F.struct("inertia", "seed")).alias("x"), F.sum("moving").cast("int").alias("moving"))
+    best = stored(best.select("playlist_id", "k", "x.*", "moving"), "best")
     told = best.select("playlist_id", "k", "seed", "inertia", "moving")
     labels = _with_centres(held, best.select("playlist_id", "k", "seed", "centres")).mapInArrow(_labels, f"{_RUN}, part long, labels array<int>")
     return labels.join(told, ["playlist_id", "k", "seed"]).withColumn("moving", F.when(F.col("part") == 0, F.col("moving")).otherwise(0))
 
 
+def _whole(batches: Iterable[pa.RecordBatch], seeds: int, rounds: int) -> Iterator[pa.RecordBatch]:
+    """The runs of the one chunk of a large playlist whose blocks are this partition."""
+    kinds = {"playlist_id": pa.string(), "k": pa.int32(), "seed": pa.int32(), "centres": pa.list_(pa.float64()), "inertia": pa.float64(), "moving": pa.int32()}
+    for name, _, held, drawn_, runs, most in _blocks_met(batches, seeds, one=True):
+        yield _batch([(name, k, seed, centres.ravel(), cost, moving) for k, seed, centres, cost, moving, _ in _best(held, drawn_, runs, most, rounds)], kinds)
+
+
 def _with_centres(held: DataFrame, centres: DataFrame) -> DataFrame:
     runs = centres.groupBy("playlist_id").agg(F.collect_list(F.struct("k", "seed", "centres")).alias("runs"))
     return held.select("playlist_id", "part", "hashes", "data").join(runs, "playlist_id")
@@ -203,51 +354,12 @@ def _start(df: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"playlist_id": df["playlist_id"].iloc[0], "k": ks, "seed": seed, "centres": [far[:k].ravel() for k in ks]})
 
 
-def _statistics(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of sums for each run of each playlist that the task has met, not for each of its blocks."""
-    total: dict[tuple, list] = {}
-
-    def told() -> pa.RecordBatch:
-        kinds = {"playlist_id": pa.string(), "k": pa.int32(), "seed": pa.int32(), "n": pa.int32(), "sums": pa.list_(pa.float64()), "counts": pa.list_(pa.int64()), "cost": pa.float64()}
-        rows = [(*run, len(c), s.ravel(), c, cost) for run, (s, c, cost) in total.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
-
-    for batch in batches:
-        for i in range(batch.num_rows):
-            points = _matrix(batch["data"][i], len(batch["hashes"][i]))
-            known = prepared(points)
-            for run in batch["runs"][i]:
-                centres = run["centres"].values.to_numpy().reshape(-1, points.shape[1])
-                _, sums, counts, cost = measured(points, centres, known)
-                key = (batch["playlist_id"][i].as_py(), run["k"].as_py(), run["seed"].as_py())
-                if key in total:
-                    sums, counts, cost = sums + total[key][0], counts + total[key][1], cost + total[key][2]
-                total[key] = [sums, counts, cost]
-            if len(total) >= 2000:
-                yield told()
-                total.clear()
-    if total:
-        yield told()
-
-
-def _total(df: pd.DataFrame) -> pd.DataFrame:
-    out = df.iloc[:1][["playlist_id", "k", "seed"]].copy()
-    return out.assign(sums=[np.sum(df["sums"].to_list(), axis=0)], counts=[np.sum(df["counts"].to_list(), axis=0)], cost=df["cost"].sum())
-
-
-def _next(df: pd.DataFrame) -> pd.DataFrame:
-    r = df.iloc[0]
-    n = len(r["counts"])
-    centres, going = moved(np.asarray(r["centres"]).reshape(n, -1), np.asarray(r["sums"]).reshape(n, -1), np.asarray(r["counts"]))
-    return df.iloc[:1][["playlist_id", "k", "seed"]].assign(centres=[centres.ravel()], inertia=r["cost"], going=going)
-
-
 def _labels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             points = _matrix(batch["data"][i], len(batch["hashes"][i]))
             runs = batch["runs"][i]
-            labels = [squared(points, r["centres"].values.to_numpy().reshape(-1, points.shape[1])).argmin(1).astype(np.int32) for r in runs]
+            labels = [labelled(points, r["centres"].values.to_numpy().reshape(-1, points.shape[1]))[0].astype(np.int32) for r in runs]
             columns = [pa.array([batch["playlist_id"][i].as_py()] * len(labels)), pa.array([r["k"].as_py() for r in runs], pa.int32()), pa.array([r["seed"].as_py() for r in runs], pa.int32())]
             columns += [pa.array([batch["part"][i].as_py()] * len(labels), pa.int64()), pa.array(labels, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["playlist_id", "k", "seed", "part", "labels"])

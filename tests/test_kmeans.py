@@ -126,3 +126,39 @@ def test_playlists_of_some_blocks_run_whole_in_a_task(spark, rows, monkeypatch,
     assert len(whole) == 230 and not passes
     monkeypatch.setattr(kmeans, "WHOLE_BLOCKS", 1)
     assert found() == whole and passes
+
+
+def test_rounds_of_large_playlists_write_nothing(spark, rows, monkeypatch):
+    """However many rounds they take, a playlist of many blocks is read for its runs, and once more for its labels."""
+    written, store = [], kmeans.stored
+    monkeypatch.setattr(kmeans, "stored", lambda df, label: written.append(label) or store(df, label))
+    monkeypatch.setattr(kmeans, "WHOLE_BLOCKS", 1)
+    points, ks = spark.createDataFrame(rows, POINTS), spark.createDataFrame([("p", 6), ("q", 4)], KS)
+    assert kmeans.clustered(points, ks, seeds=3, block_rows=25).where("playlist_id != 'one'").count() == 230
+    assert len(written) <= 3
+
+
+def test_runs_side_by_side_end_like_runs_alone(monkeypatch):
+    """Points in memory or in a file, in one tile or some; of centres that are equal the lower number takes the points."""
+    points = np.array([r[2] for r in cloud(700, 4)])
+    starts = [kmeans.far_apart(points[at:], k) for at, k in ((0, 3), (20, 5), (40, 8))] + [np.repeat(points[:1], 3, axis=0)]
+
+    def ended(numbers, tile, some, rounds=300):
+        monkeypatch.setattr(kmeans, "HELD_NUMBERS", numbers)
+        monkeypatch.setattr(kmeans, "TILE_NUMBERS", tile)
+        held = kmeans._Held()
+        for part in (2, 0, 1):
+            held.add(points[part * 300 : part * 300 + 300], part)
+        return kmeans.lloyd(held, some, rounds)
+
+    labels, out = ended(1 << 20, 1 << 20, starts)
+    assert not any(going for *_, going in out) and not ended(1 << 20, 1, starts[3:], 1)[0].any()
+    for own, (centres, cost, _) in zip(labels, out, strict=True):
+        apart = ((points[:, None] - centres[None]) ** 2).sum(2)
+        assert (own == apart.argmin(1)).all() and cost == pytest.approx(apart.min(1).sum())
+        assert all(np.allclose(centres[j], points[own == j].mean(0), atol=1e-7) for j in set(own))
+    few, again = ended(1000, 1, starts)
+    assert (few == labels).all() and [c for _, c, _ in again] == pytest.approx([c for _, c, _ in out])
+    for i, start in enumerate(starts):
+        alone, [one] = ended(1 << 20, 1, [start])
+        assert (alone[0] == labels[i]).all() and one[1] == pytest.approx(out[i][1])
