@@ -28,8 +28,8 @@ WHOLE_BLOCKS = 32
 START_ROWS, START_EACH = 64, 4
 #: A run has ended when no centre moves by more than this part of its size.
 STILL = 1e-9
-#: Distances that a task measures at once, so that they stay in the processor's cache.
-TILE_NUMBERS = 1 << 17
+#: Points, and centres of some runs, that a task measures at once, so that distances stay in the processor's cache.
+TILE_ROWS, TILE_CENTRES = 1024, 128
 #: Numbers of a large playlist that a task holds in memory (512 MB); further blocks stand in a file of its own.
 HELD_NUMBERS = 1 << 26
 #: Playlists of one block up to which each has partitions of its own.
@@ -102,32 +102,35 @@ def moved(centres: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple[np
 
 
 class _Held:
-    """Blocks of a playlist's points, with a column of ones; walked in the blocks' order in tiles of so many rows."""
+    """Blocks of a playlist's points, with a column of ones, and once more in single precision; walked in the blocks' order."""
 
     def __init__(self):
-        self.blocks, self.numbers, self.points, self.file = [], 0, 0, None
+        self.blocks, self.numbers, self.points, self.file, self.longest = [], 0, 0, None, 0.0
 
     def add(self, points: np.ndarray, part: int) -> None:
         block = np.ones((len(points), points.shape[1] + 1))
         block[:, :-1] = points
         self.numbers, self.points = self.numbers + block.size, self.points + len(points)
+        self.longest = max(self.longest, float(np.sqrt((points**2).sum(1).max(initial=0))))
         if self.numbers > HELD_NUMBERS:
             self.file = self.file or tempfile.TemporaryFile()  # noqa: SIM115
             self.blocks.append((part, self.file.seek(0, 2), block.shape))
             self.file.write(block.data)
         else:
-            self.blocks.append((part, block, block.shape))
+            self.blocks.append((part, (block, block.astype(np.float32)), block.shape))
         self.blocks.sort(key=lambda x: x[0])
 
-    def tiles(self, rows: int) -> Iterator[tuple[int, np.ndarray]]:
+    def tiles(self, rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place of the first, points, the same in single precision) of so many rows at a time."""
         start = 0
-        for _, block, shape in self.blocks:
-            if isinstance(block, int):
-                self.file.seek(block)
+        for _, held, shape in self.blocks:
+            if isinstance(held, int):
+                self.file.seek(held)
                 block = np.frombuffer(self.file.read(8 * shape[0] * shape[1])).reshape(shape)
-            for i in range(0, len(block), rows):
-                yield start + i, block[i : i + rows]
-            start += len(block)
+                held = (block, block.astype(np.float32))
+            for i in range(0, shape[0], rows):
+                yield start + i, held[0][i : i + rows], held[1][i : i + rows]
+            start += shape[0]
 
 
 def lloyd(held: _Held, starts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, list[tuple[np.ndarray, float, bool]]]:
@@ -140,10 +143,11 @@ def lloyd(held: _Held, starts: list[np.ndarray], rounds: int) -> tuple[np.ndarra
     labels = np.zeros((len(starts), held.points), np.uint8 if sizes.max() <= 256 else np.int32)
     centres, sums, out, live = list(starts), [np.zeros((k, starts[0].shape[1] + 1)) for k in sizes], [None] * len(starts), list(range(len(starts)))
     for r in range(rounds):
-        change = _changes(held, [centres[i] for i in live], labels, live, first=r == 0)
         new, ended = {}, []
-        for i, c in zip(live, change, strict=True):
-            sums[i] += c
+        for some in _side_by_side(live, sizes):
+            for i, change in zip(some, _changes(held, [centres[i] for i in some], labels, some, first=r == 0), strict=True):
+                sums[i] += change
+        for i in live:
             new[i], going = moved(centres[i], sums[i][:, :-1], sums[i][:, -1])
             if not going or r == rounds - 1:
                 ended.append(i)
@@ -159,31 +163,68 @@ def lloyd(held: _Held, starts: list[np.ndarray], rounds: int) -> tuple[np.ndarra
     return labels, out
 
 
+def _side_by_side(live: list[int], sizes: np.ndarray) -> Iterator[list[int]]:
+    """The runs in groups of some TILE_CENTRES centres."""
+    group = []
+    for i in live:
+        if group and sizes[group].sum() + sizes[i] > TILE_CENTRES:
+            yield group
+            group = []
+        group.append(i)
+    yield group
+
+
 def _changes(held: _Held, centres: list[np.ndarray], labels: np.ndarray, live: list[int], first: bool) -> list[np.ndarray]:
-    """What each run's sums and counts change by under these centres; labels take the nearer centres."""
-    every = np.concatenate(centres)
-    halves = np.hstack([-every, (every**2).sum(1, keepdims=True) / 2])
-    ends = np.cumsum([len(c) for c in centres])
-    begins, owner = ends - [len(c) for c in centres], np.repeat(np.arange(len(centres)), [len(c) for c in centres])
+    """What each run's sums and counts change by under these centres; labels take the nearer centres.
+
+    All distances are made in single precision. Where two are less apart than rounding can hide, double precision decides.
+    """
+    every, sizes = np.concatenate(centres), np.array([len(c) for c in centres])
+    halves = np.hstack([-every, (every**2).sum(1, keepdims=True) / 2])  # times a point: half of what a squared distance has beyond the point's own square
+    ends = np.cumsum(sizes)
+    begins, owner = ends - sizes, np.repeat(np.arange(len(sizes)), sizes)
     change, never = np.zeros(halves.shape), np.concatenate([a + copies(c) for a, c in zip(begins, centres, strict=True)])
-    for at, x in held.tiles(max(256, TILE_NUMBERS // len(every))):
-        near, n = halves @ x.T, len(x)  # half of what a squared distance has beyond the point's own square
-        near[never] = np.inf
+    longest = np.array([np.sqrt((c**2).sum(1).max()) for c in centres])
+    single = 1e-12 < held.longest < 1e12
+    hidden = 4 * (every.shape[1] + 8) * np.finfo(np.float32 if single else float).eps * (held.longest + longest) ** 2
+    few, hidden = (halves.astype(np.float32), hidden.astype(np.float32)) if single else (halves, hidden)
+    rows = np.minimum(begins + np.arange(sizes.max())[:, None], len(every) - 1)
+    beyond = (np.arange(sizes.max())[:, None] >= sizes) | np.isin(rows, never)
+    for at, x, x_single in held.tiles(TILE_ROWS):
+        n = len(x)
         if first:
+            near = halves @ x.T
+            near[never] = np.inf
             own = np.stack([near[a:b].argmin(0) for a, b in zip(begins, ends, strict=True)])
             labels[live, at : at + n] = own
             member = np.zeros(near.shape)
             member[own + begins[:, None], np.arange(n)] = 1
             change += member @ x
             continue
-        least = np.stack([near[a:b].min(0) for a, b in zip(begins, ends, strict=True)])
+        near = few @ (x_single if single else x).T
+        near[never] = np.inf
         was = labels[live, at : at + n] + begins[:, None]
-        run, i = np.nonzero(near.take(was * n + np.arange(n)) > least)
+        place = was * n + np.arange(n)
+        limit = near.take(place) + hidden[:, None]
+        near.put(place, limit)
+        run, i = np.nonzero(np.stack([near[a:b].min(0) for a, b in zip(begins, ends, strict=True)]) < limit)
         if len(run):
-            to, left = np.where(owner[:, None] == run, near[:, i], np.inf).argmin(0), was[run, i]
-            labels[np.array(live)[run], at + i] = to - begins[run]
-            member, each = np.zeros((len(every), len(run))), np.arange(len(run))
-            member[to, each], member[left, each] = 1, -1
+            left, each = was[run, i] - begins[run], np.arange(len(run))
+            apart = near.take(rows[:, run] * n + i)
+            apart[left, each] -= hidden[run]
+            apart[beyond[:, run]] = np.inf
+            to = apart.argmin(0)
+            nearest = apart[to, each]
+            apart[to, each] = np.inf
+            unsure = np.flatnonzero(~(apart.min(0) - nearest > hidden[run]))
+            exact = (halves[rows[:, run[unsure]]] * x[i[unsure]]).sum(2)
+            exact[beyond[:, run[unsure]]] = np.inf
+            to[unsure] = exact.argmin(0)
+            other = np.flatnonzero(to != left)
+            run, i, to, left, each = run[other], i[other], to[other], left[other], each[: len(other)]
+            labels[np.array(live)[run], at + i] = to
+            member = np.zeros((len(every), len(other)))
+            member[begins[run] + to, each], member[begins[run] + left, each] = 1, -1
             change += member @ x[i]
     return np.split(change, ends[:-1])
 
@@ -191,7 +232,7 @@ def _changes(held: _Held, centres: list[np.ndarray], labels: np.ndarray, live: l
 def _measured_all(held: _Held, centres: list[np.ndarray], labels: np.ndarray, runs: list[int]) -> dict[int, tuple[np.ndarray, float]]:
     """Sums with counts, and the cost, of some runs under their centres, of all points; labels are set."""
     out = {i: (np.zeros((len(centres[i]), centres[i].shape[1] + 1)), 0.0) for i in runs}
-    for at, x in held.tiles(BLOCK_ROWS) if runs else ():
+    for at, x, _ in held.tiles(BLOCK_ROWS) if runs else ():
         known = prepared(x[:, :-1])
         for i in runs:
             own, sums, counts, cost = measured(x[:, :-1], centres[i], known)

@@ -145,7 +145,8 @@ def test_runs_side_by_side_end_like_runs_alone(monkeypatch):
 
     def ended(numbers, tile, some, rounds=300):
         monkeypatch.setattr(kmeans, "HELD_NUMBERS", numbers)
-        monkeypatch.setattr(kmeans, "TILE_NUMBERS", tile)
+        monkeypatch.setattr(kmeans, "TILE_ROWS", tile)
+        monkeypatch.setattr(kmeans, "TILE_CENTRES", tile)
         held = kmeans._Held()
         for part in (2, 0, 1):
             held.add(points[part * 300 : part * 300 + 300], part)
@@ -157,8 +158,26 @@ def test_runs_side_by_side_end_like_runs_alone(monkeypatch):
         apart = ((points[:, None] - centres[None]) ** 2).sum(2)
         assert (own == apart.argmin(1)).all() and cost == pytest.approx(apart.min(1).sum())
         assert all(np.allclose(centres[j], points[own == j].mean(0), atol=1e-7) for j in set(own))
-    few, again = ended(1000, 1, starts)
+    few, again = ended(1000, 7, starts)
     assert (few == labels).all() and [c for _, c, _ in again] == pytest.approx([c for _, c, _ in out])
     for i, start in enumerate(starts):
-        alone, [one] = ended(1 << 20, 1, [start])
+        alone, [one] = ended(1 << 20, 64, [start])
         assert (alone[0] == labels[i]).all() and one[1] == pytest.approx(out[i][1])
+
+
+def test_silhouettes_of_labellings_together_are_those_of_each(spark, rows, monkeypatch):
+    """Over blocks that meet, with clusters of one point, equal points and a labelling of one cluster; each distance is made once."""
+    own = [*rows, *(("q", f"copy{i}", rows[150][2]) for i in range(3)), ("two", "a", [0.0, 0.0, 1.0]), ("two", "b", [0.0, 0.0, 1.0])]
+    points = spark.createDataFrame(own, POINTS)
+    labels = [(p, k, key, (i * i) % k if i % 100 or k < 4 else k) for i, (p, key, _) in enumerate(own) for k in (1, 3, 5, 9) if p != "two" or k == 3]
+    labels = cluster.contiguous(spark.createDataFrame(labels, "playlist_id string, k int, track_key string, cluster int"), ["playlist_id", "k"])
+    each = cluster.silhouette(labels.join(points, ["playlist_id", "track_key"]), ["playlist_id", "k"])
+    plain = {(r["playlist_id"], r["k"]): r["silhouette"] for r in each.collect() if r["silhouette"] is not None}
+    for block_rows in (2000, 30):
+        monkeypatch.setattr(cluster, "BLOCK_ROWS", block_rows)
+        got = {(r["playlist_id"], r["k"]): r["silhouette"] for r in cluster.silhouettes(points, labels).collect()}
+        assert got == pytest.approx(plain) and len(got) == 7
+    asked = []
+    monkeypatch.setattr(cluster, "silhouette", lambda *a: asked.append(a))
+    chosen, solutions = cluster.cluster_playlists(points.where("playlist_id != 'two'"), seeds=2)
+    assert chosen.count() == 234 and solutions.count() == 2 and not asked
