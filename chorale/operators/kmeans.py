@@ -186,7 +186,7 @@ def _changes(held: _Held, centres: list[np.ndarray], labels: np.ndarray, live: l
     change, never = np.zeros(halves.shape), np.concatenate([a + copies(c) for a, c in zip(begins, centres, strict=True)])
     longest = np.array([np.sqrt((c**2).sum(1).max()) for c in centres])
     single = 1e-12 < held.longest < 1e12
-    hidden = 4 * (every.shape[1] + 8) * np.finfo(np.float32 if single else float).eps * (held.longest + longest) ** 2
+    hidden = (every.shape[1] + 8) * np.finfo(np.float32 if single else float).eps * longest * (held.longest + longest)
     few, hidden = (halves.astype(np.float32), hidden.astype(np.float32)) if single else (halves, hidden)
     rows = np.minimum(begins + np.arange(sizes.max())[:, None], len(every) - 1)
     beyond = (np.arange(sizes.max())[:, None] >= sizes) | np.isin(rows, never)
@@ -207,7 +207,10 @@ def _changes(held: _Held, centres: list[np.ndarray], labels: np.ndarray, live: l
         place = was * n + np.arange(n)
         limit = near.take(place) + hidden[:, None]
         near.put(place, limit)
-        run, i = np.nonzero(np.stack([near[a:b].min(0) for a, b in zip(begins, ends, strict=True)]) < limit)
+        least = np.empty_like(limit)
+        for a, b, out in zip(begins, ends, least, strict=True):
+            np.minimum.reduce(near[a:b], axis=0, out=out)
+        run, i = np.divmod(np.flatnonzero(least < limit), n)
         if len(run):
             left, each = was[run, i] - begins[run], np.arange(len(run))
             apart = near.take(rows[:, run] * n + i)
