@@ -21,6 +21,8 @@ from chorale.session import stored
 BLOCK_ROWS, MOST_BLOCKS, BLOCK_NUMBERS = 2000, 6, 1 << 22
 #: The same where labellings are measured together: some more blocks, so that their pairs spread evenly.
 MOST_TOGETHER = 12
+#: Points of each side whose distances are made at once there.
+TOGETHER_TILE = 256
 # Limits of the penalties of a solution and of the split of a cluster.
 MIN_SPLIT, LARGE_SHARE, LOW_SIGNAL_SIZE, LOW_FEATURES, LOW_SCORE, CHILD_GAIN, MOST_OF_A_PART, LEAST_ADJUSTED = 24, 0.28, 18, 2, 0.35, 0.08, 0.78, 0.02
 
@@ -210,7 +212,7 @@ def silhouettes(points: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _sums_together(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
     """Of each point of one block and each cluster of every labelling: the sum of distances to its points in the other block, both ways."""
-    alone, tile = key[-2].as_py() == key[-1].as_py(), 512
+    alone, tile = key[-2].as_py() == key[-1].as_py(), TOGETHER_TILE
     a = _Labelled(one, tile)
     b = a if alone else _Labelled(two, tile)
     forth = np.zeros((len(a.at), a.width))
@@ -244,7 +246,9 @@ class _Labelled:
         self.beside = np.hstack([self.at, np.ones((rows, 1)), (self.at * self.at).sum(1, keepdims=True)])
         for i in range(0, rows, tile):
             present, column = np.unique(place[i : i + tile], return_inverse=True)
-            member = np.zeros((len(place[i : i + tile]), len(present)))
+            if 2 * len(present) > self.width:  # all columns are added sooner than many
+                present, column = slice(None), place[i : i + tile]
+            member = np.zeros((len(place[i : i + tile]), self.width if isinstance(present, slice) else len(present)))
             member[np.arange(len(member))[:, None], column.reshape(len(member), -1)] = 1
             self.tiles.append((i, present, member))
 
